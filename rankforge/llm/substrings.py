@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankforge.llm.words import BASE, WordHashes, gram_hashes, hash_words, mix, split_words
+from rankforge.llm.words import BASE, gram_hashes, mix, split_words, word_hashes
 from rankforge.llm.workspace import Workspace
 
 WINDOW, GRAM = 20, 6
@@ -46,6 +46,10 @@ GROUP = 512
 #: Rows whose trees are built at a time.
 CHUNK = 40_000
 NO_ID = -(1 << 63)
+#: Low bits of a sort key that hold a position; texts may have as many words.
+AT = np.uint64((1 << 28) - 1)
+#: Bytes of a word's hash that a suffix carries: two different words are taken for one with odds of 2**-40, where all else around an equal anchor is equal.
+WORD_BYTES = 5
 
 
 def anchors_of(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -55,8 +59,13 @@ def anchors_of(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray,
         none = np.empty(0, np.int64)
         return none, np.empty(0, np.uint64), none, none
     m = len(grams) - PLACES + 1
-    # Sliding minimum in blocks: the minimum of a window is that of a block's tail and the next one's head.
-    pos = np.lib.stride_tricks.sliding_window_view(grams, PLACES).argmin(1) + np.arange(m)
+    # Hash and position in one number; the least of PLACES neighbours by doubling, equal hashes go to the left one.
+    low = (grams & ~AT) | np.arange(len(grams), dtype=np.uint64)
+    width = 1
+    while width * 2 <= PLACES:
+        low = np.minimum(low[:-width], low[width:])
+        width *= 2
+    pos = (np.minimum(low[:m], low[PLACES - width : PLACES - width + m]) & AT).astype(np.int64)
     edge = np.flatnonzero(np.r_[True, pos[1:] != pos[:-1]])
     last = np.r_[edge[1:], m] - 1
     at = pos[edge]
@@ -71,12 +80,11 @@ def anchors(docs: DataFrame) -> DataFrame:
     """key, doc_id, pos of every anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
         for b in batches:
             key, doc, pos = [], [], []
             ids = b.column(0).to_numpy()
             for i, t in enumerate(b.column(1)):
-                at, k, _, _ = anchors_of(hash_words(split_words(t.as_py()), cache))
+                at, k, _, _ = anchors_of(word_hashes(t.as_buffer()))
                 key.append(k)
                 pos.append(at)
                 doc.append(np.full(len(at), ids[i]))
@@ -87,42 +95,53 @@ def anchors(docs: DataFrame) -> DataFrame:
 
 
 def packed(docs: DataFrame) -> DataFrame:
-    """doc_id and the words of the text, joined by blanks and compressed; a third of the bytes that the text would take in a shuffle."""
+    """doc_id and the compressed text, in a third of the bytes that the text would take in a shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=1)
         for b in batches:
-            yield pa.record_batch([b.column(0), pa.array([z.compress(" ".join(split_words(t.as_py())).encode("utf-8", "surrogatepass")) for t in b.column(1)], pa.binary())], ["doc_id", "z"])
+            yield pa.record_batch([b.column(0), pa.array([z.compress(t.as_buffer() or b"") for t in b.column(1)], pa.binary())], ["doc_id", "z"])
 
     return documents(docs).mapInArrow(run, "doc_id long, z binary")
 
 
-def unpack(z: bytes, d: zstandard.ZstdDecompressor) -> list[str]:
-    text = d.decompress(z).decode("utf-8", "surrogatepass")
-    return text.split(" ") if text else []
+def sides_of(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The words on both sides of the anchors at these positions, nearest first, as WORD_BYTES each."""
+    few = np.ascontiguousarray(hashes.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :WORD_BYTES]
+    blank = np.zeros((SIDE, WORD_BYTES), np.uint8)
+    padded = np.concatenate([blank, few, blank])
+    near = np.arange(SIDE)
+    left, right = padded[(at + SIDE - 1)[:, None] - near], padded[(at + SIDE + GRAM)[:, None] + near]
+    return np.concatenate([left, right], 1).reshape(len(at), 2 * SIDE * WORD_BYTES)
 
 
 def contexts(rows: DataFrame) -> DataFrame:
-    """From doc_id, z and hits (pos, key, part, whole): one row for each suffix, with the words on both sides of its anchor."""
+    """From doc_id, z and hits (pos, key, part): one row for each suffix, with the words on both sides of its anchor."""
     schema = "key long, part int, doc_id long, pos int, low int, high int, sides binary"
+    width = 2 * SIDE * WORD_BYTES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, d = WordHashes(), zstandard.ZstdDecompressor()
+        d = zstandard.ZstdDecompressor()
         for b in batches:
-            out: list[list] = [[] for _ in range(7)]
-            for doc, z, hits in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
-                h = hash_words(unpack(z.as_py(), d), cache)
+            hits, ids = b.column(2), b.column(0).to_numpy()
+            ends, flat = hits.offsets.to_numpy() - hits.offsets[0].as_py(), hits.flatten()
+            where, part = (flat.field(c).to_numpy() for c in ("pos", "part"))
+            out: list[list[np.ndarray]] = [[] for _ in range(7)]
+            for i, z in enumerate(b.column(1)):
+                h = word_hashes(d.decompress(z.as_buffer()))
                 at, keys, low, high = anchors_of(h)
-                part = {x["pos"]: (x["key"], x["part"]) for x in hits}
-                padded = np.r_[np.zeros(SIDE, np.uint64), h, np.zeros(SIDE, np.uint64)]
-                for i, p in enumerate(at.tolist()):
-                    if p not in part or part[p][0] != int(keys[i : i + 1].view(np.int64)[0]):
-                        continue
-                    left, right = padded[p : p + SIDE][::-1], padded[p + SIDE + GRAM : p + 2 * SIDE + GRAM]
-                    for c, v in zip(out, (*part[p], doc, p, int(low[i]), int(high[i]), left.tobytes() + right.tobytes()), strict=True):
-                        c.append(v)
-            types = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(out, types, strict=True)], [x.split()[0] for x in schema.split(", ")])
+                # Copies that share an id may bring a hit twice.
+                mine, first = np.unique(where[ends[i] : ends[i + 1]], return_index=True)
+                here = np.isin(at, mine)
+                at, keys, low, high = at[here], keys[here], low[here], high[here]
+                own = part[ends[i] : ends[i + 1]][first][np.isin(mine, at)]
+                for c, v in zip(out, (keys.view(np.int64), own, np.full(len(at), ids[i]), at, low, high, sides_of(h, at)), strict=True):
+                    c.append(v)
+            key, own, doc, at, low, high, sides = (np.concatenate(c) for c in out)
+            offsets = np.arange(len(key) + 1, dtype=np.int32) * width
+            binary = pa.Array.from_buffers(pa.binary(), len(key), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(sides))])
+            ints = [pa.array(x.astype(np.int32)) for x in (own, at, low, high)]
+            yield pa.record_batch([pa.array(key), ints[0], pa.array(doc.astype(np.int64)), *ints[1:], binary], [x.split()[0] for x in schema.split(", ")])
 
     return rows.select("doc_id", "z", "hits").mapInArrow(run, schema)
 
@@ -190,7 +209,9 @@ NAMES = ["doc_id", "pos", "bits", "more", "start"]
 
 def _build(table: pa.Table) -> Iterator[pa.RecordBatch]:
     key, part, doc, pos, low, high = (table[c].to_numpy() for c in ("key", "part", "doc_id", "pos", "low", "high"))
-    sides = np.frombuffer(b"".join(table["sides"].to_pylist()), np.uint64).reshape(len(key), 2 * SIDE)
+    sides = np.zeros((len(key), 2 * SIDE, 8), np.uint8)
+    sides[:, :, :WORD_BYTES] = np.frombuffer(b"".join(table["sides"].to_pylist()), np.uint8).reshape(len(key), 2 * SIDE, WORD_BYTES)
+    sides = sides.view("<u8")[:, :, 0]
     # Rows of copies that share a doc_id are one suffix.
     new = np.r_[True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]) | (pos[1:] != pos[:-1])]
     key, part, doc, pos, low, high, sides = (x[new] for x in (key, part, doc, pos, low, high, sides))
@@ -209,11 +230,13 @@ def _build(table: pa.Table) -> Iterator[pa.RecordBatch]:
 
 def repeats(docs: DataFrame, work: Workspace) -> DataFrame:
     """doc_id, pos, bits: the windows that start at pos minus each set bit repeat an earlier one."""
-    found = anchors(docs)
-    counts = found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    found = work.table(anchors(docs), "anchors")
+    # Written apart, so that the join deals both sides anew and can split a common key.
+    counts = work.table(found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "counts")
     hits = found.join(counts, "key")
     part = F.when(F.col("n") > GROUP, F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / GROUP)).cast("int")).otherwise(-1)
     hits = work.table(hits.select("doc_id", "key", "pos", part.alias("part")), "hits")
+    work.drop("anchors", "counts")
     per_doc = hits.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "key", "part")).alias("hits"))
     rows = contexts(packed(docs).join(per_doc, "doc_id"))
     dealt = rows.repartition("key", "part").sortWithinPartitions("key", "part", "doc_id", "pos")
@@ -237,7 +260,7 @@ def dedup(docs: DataFrame) -> DataFrame:
         for b in batches:
             rows = []
             for doc, z, hits in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
-                words = unpack(z.as_py(), d)
+                words = split_words(d.decompress(z.as_buffer()).decode("utf-8", "surrogatepass"))
                 n = len(words)
                 if hits:
                     edge = np.zeros(n + 1, np.int64)
