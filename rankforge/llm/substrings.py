@@ -127,6 +127,7 @@ def contexts(rows: DataFrame) -> DataFrame:
             ends, flat = hits.offsets.to_numpy() - hits.offsets[0].as_py(), hits.flatten()
             where, part = (flat.field(c).to_numpy() for c in ("pos", "part"))
             out: list[list[np.ndarray]] = [[] for _ in range(7)]
+            held = 0
             for i, z in enumerate(b.column(1)):
                 h = word_hashes(d.decompress(z.as_buffer()))
                 at, keys, low, high = anchors_of(h)
@@ -137,11 +138,19 @@ def contexts(rows: DataFrame) -> DataFrame:
                 own = part[ends[i] : ends[i + 1]][first][np.isin(mine, at)]
                 for c, v in zip(out, (keys.view(np.int64), own, np.full(len(at), ids[i]), at, low, high, sides_of(h, at)), strict=True):
                     c.append(v)
-            key, own, doc, at, low, high, sides = (np.concatenate(c) for c in out)
-            offsets = np.arange(len(key) + 1, dtype=np.int32) * width
-            binary = pa.Array.from_buffers(pa.binary(), len(key), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(sides))])
-            ints = [pa.array(x.astype(np.int32)) for x in (own, at, low, high)]
-            yield pa.record_batch([pa.array(key), ints[0], pa.array(doc.astype(np.int64)), *ints[1:], binary], [x.split()[0] for x in schema.split(", ")])
+                held += len(at)
+                if held > CHUNK:
+                    yield batch(out)
+                    out, held = [[] for _ in range(7)], 0
+            if held:
+                yield batch(out)
+
+    def batch(columns: list[list[np.ndarray]]) -> pa.RecordBatch:
+        key, own, doc, at, low, high, sides = (np.concatenate(c) for c in columns)
+        offsets = np.arange(len(key) + 1, dtype=np.int32) * width
+        binary = pa.Array.from_buffers(pa.binary(), len(key), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(sides))])
+        ints = [pa.array(x.astype(np.int32)) for x in (own, at, low, high)]
+        return pa.record_batch([pa.array(key), ints[0], pa.array(doc.astype(np.int64)), *ints[1:], binary], [x.split()[0] for x in schema.split(", ")])
 
     return rows.select("doc_id", "z", "hits").mapInArrow(run, schema)
 

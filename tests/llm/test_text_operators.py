@@ -147,9 +147,10 @@ def test_jaccard_components(spark):
     assert got == components(texts)
 
 
-@pytest.mark.parametrize("rounds", [0, 1])
-def test_jaccard_without_hub_rounds(spark, monkeypatch, rounds):
+@pytest.mark.parametrize(("rounds", "dense"), [(-1, 2), (-1, 1000), (0, 5)])
+def test_jaccard_without_hub_rounds(spark, monkeypatch, rounds, dense):
     monkeypatch.setattr(jaccard, "HUB_ROUNDS", rounds)
+    monkeypatch.setattr(jaccard, "DENSE", dense)
     monkeypatch.setattr(jaccard, "BLOCK", 3)
     texts = corner_texts()[:70]
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.link(frame(spark, texts)).collect()}
@@ -177,7 +178,7 @@ def test_divide_skip_finds_what_counting_finds():
         sets = [np.unique(rng.integers(0, 60, rng.integers(1, 40)).astype(np.uint64)) for _ in range(30)]
         q = np.unique(rng.integers(0, 60, 30).astype(np.uint64))
         want = [i for i, s in enumerate(sets) if 100 * len(np.intersect1d(s, q)) >= 75 * len(np.union1d(s, q))]
-        assert jaccard.search_block(q, sets, 75) == want
+        assert jaccard.Block(sets).search(q) == want
 
 
 # ---- substrings
