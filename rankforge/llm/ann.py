@@ -126,11 +126,13 @@ def search_block(index: Index, cell: int, queries: pd.DataFrame, rows: pd.DataFr
     order = np.argsort(ids, kind="stable")
     ids, x = ids[order], np.stack(rows["embedding"].to_numpy())[order].astype(np.float64)
     code = np.frombuffer(b"".join(rows["code"]), np.uint8).reshape(len(ids), -1)[order]
-    # Copies share one place in the ranking, so that they don't displace other vectors.
+    # Copies share one place in the ranking, so that they don't displace other vectors; rows that repeat count once.
     _, first, group = np.unique(x, axis=0, return_index=True, return_inverse=True)
     group = group.ravel()
-    members = np.argsort(group, kind="stable")
-    ends = np.cumsum(np.bincount(group))
+    members = np.lexsort((ids, group))
+    new = np.r_[True, (ids[members][1:] != ids[members][:-1]) | (group[members][1:] != group[members][:-1])]
+    members = members[new]
+    ends = np.cumsum(np.bincount(group[members]))
     begins = np.r_[0, ends[:-1]]
     columns = np.arange(code.shape[1])
     out = []
@@ -139,12 +141,18 @@ def search_block(index: Index, cell: int, queries: pd.DataFrame, rows: pd.DataFr
         adc = index.tables(v, cell)[columns, code[first]].sum(1)
         near = np.argpartition(adc, depth)[:depth] if len(adc) > depth else np.arange(len(adc))
         exact = np.sqrt(((x[first[near]] - v) ** 2).sum(1))
-        take = []
-        for g, d in sorted(zip(near.tolist(), exact.tolist(), strict=True), key=lambda p: p[1])[: k + 1]:
+        take: dict[int, float] = {}
+        last = np.inf
+        for g, d in sorted(zip(near.tolist(), exact.tolist(), strict=True), key=lambda p: p[1]):
+            if d > last:
+                break
             # The first k copies besides the query itself are all that can count.
-            take += [(d, int(i)) for i in ids[members[begins[g] : min(ends[g], begins[g] + k + 1)]] if i != q]
-        ties = sorted(take)[:k]
-        out += [(int(q), i, d) for d, i in ties]
+            for i in ids[members[begins[g] : min(ends[g], begins[g] + k + 1)]].tolist():
+                if i != q:
+                    take.setdefault(i, d)
+            if len(take) >= k:
+                last = min(last, d)
+        out += [(int(q), i, d) for d, i in sorted((d, i) for i, d in take.items())[:k]]
     return out
 
 

@@ -17,6 +17,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,26 +37,67 @@ PARTS = 64
 #: Words of which a worker keeps the ids.
 CACHE_WORDS = 400_000
 
+#: Parts words in the encoder's input.
+MARK = "|"
+
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 class WordIds(dict):
-    """word -> its ids as little-endian 32-bit bytes. The tokenizer never joins what white space parts, so texts can be encoded by word."""
+    """word -> its ids as little-endian 32-bit bytes. The tokenizer never joins what white space parts, so texts can be encoded by word.
+
+    Nor does it join a letter and the points or commas after it, and it lower-cases:
+    so a new word is looked up without them, in lower case, before it is encoded.
+    When the words are too many, those not met since the last time are forgotten.
+    """
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.encoder = Tokenizer.from_file(path)
+        (self.mark,) = self.encoder.encode(MARK, add_special_tokens=False).ids
+        self.older: dict[str, bytes] = {}
+        self.cores: dict[str, bytes] = {}
 
     def learn(self, words: set[str]) -> None:
-        if len(self) + len(words) > CACHE_WORDS:
+        if len(self) > CACHE_WORDS:
+            self.older = dict(self)
             self.clear()
-        new = [w for w in words if w not in self]
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for w, e in zip(part, self.encoder.encode_batch(part, add_special_tokens=False), strict=True):
-                self[w] = np.array(e.ids, "<u4").tobytes()
+        if len(self.cores) > CACHE_WORDS:
+            self.cores.clear()
+        parts = {}
+        for w in words:
+            if w in self:
+                continue
+            if w in self.older:
+                self[w] = self.older[w]
+                continue
+            core = w.rstrip(".,")
+            tail = w[len(core) :] if core and core[-1].isalpha() else ""
+            core = core if tail else w
+            parts[w] = (core.lower() if core.isascii() else core, tail)
+        new = list({x for p in parts.values() for x in p if x not in self.cores})
+        self.cores.update(zip(new, self.encode_all(new), strict=True))
+        for w, (core, tail) in parts.items():
+            self[w] = self.cores[core] + self.cores[tail]
+
+    def encode_all(self, words: list[str]) -> list[bytes]:
+        """Ids of each word. Words go to the encoder in long texts, parted by a mark that is one token; words that hold the mark go alone."""
+        plain = [i for i, w in enumerate(words) if MARK not in w]
+        lots = [plain[k : k + 2048] for k in range(0, len(plain), 2048)]
+        out = [b""] * len(words)
+        for lot, e in zip(lots, self.encoder.encode_batch([f" {MARK} ".join(words[i] for i in lot) for lot in lots], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            ends = np.append(np.flatnonzero(ids == self.mark), len(ids)).tolist()
+            begin = 0
+            for i, end in zip(lot, ends, strict=True):
+                out[i] = ids[begin:end].tobytes()
+                begin = end + 1
+        alone = [i for i, w in enumerate(words) if MARK in w]
+        for i, e in zip(alone, self.encoder.encode_batch([words[i] for i in alone], add_special_tokens=False), strict=True):
+            out[i] = np.array(e.ids, "<u4").tobytes()
+        return out
 
     def encode(self, text: str) -> bytes:
         for c in "\n\t\r":
@@ -69,9 +111,17 @@ class WordIds(dict):
             return b"".join(map(self.__getitem__, words))
 
 
+@cache
+def word_ids(path: str) -> WordIds:
+    """One for each worker process, so that tasks that follow each other share it."""
+    return WordIds(path)
+
+
 def cut_pieces(tokenizer: str, capacity: int):
+    from rankforge.llm.packing import word_ids  # by name, so that workers keep one
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = WordIds(tokenizer)
+        ids = word_ids(tokenizer)
         end = np.array([END_ID], "<u4").tobytes()
         for b in batches:
             rows: list[tuple] = []
