@@ -1,10 +1,705 @@
-"""All queries of the reference's operators, by name, and their SQL."""
+"""All queries over the reference's operators, by name, and the SQL that they are checked against.
+
+Every query runs over whole tables. Doubles are rounded in both engines before they
+are returned; windows have total orders.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from rankforge.functions import columns as C
+from rankforge.operators import ceiling, fuse, learned, metrics, ranking, rerank, retrieve, scorers, split, stats, trainers
+from rankforge.plans import oracles as O
+from rankforge.plans.context import MODELS, RETRIEVED, Context
+from rankforge.sources import datasets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable:
+    def add(f: Callable[[Context], DataFrame]) -> Callable[[Context], DataFrame]:
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(Context(spark, sf_dir))
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+r6 = lambda c, name, d=6: F.round(c, d).alias(name)
+
+# ---- logs, splits, statistics
+
+
+@query(O.with_(O.RAW) + "SELECT part, count(*) AS n_rows, count(DISTINCT user_idx) AS n_users, count(DISTINCT item_idx) AS n_items, round(sum(rating), 2) AS rating, min(ts) AS first_ts, max(ts) AS last_ts FROM log GROUP BY part")
+def interactions_orders(c):
+    return c.log.groupBy("part").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("user_idx").alias("n_users"), F.count_distinct("item_idx").alias("n_items"), F.round(F.sum("rating"), 2).alias("rating"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+
+
+@query("SELECT (props::JSON->>'k')::BIGINT AS item_idx, count(*) AS n_rows, count(DISTINCT user_id) AS n_users, round(avg(value), 6) AS rating, epoch_us(max(ts)) AS last_us FROM events GROUP BY 1")
+def interactions_events(c):
+    e = datasets.from_events(c.spark, c.sf_dir)
+    return e.groupBy("item_idx").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("user_idx").alias("n_users"), r6(F.avg("rating"), "rating"), F.round(F.max("ts") * 1e6).cast("long").alias("last_us"))
+
+
+def _kcore_sql(rounds: int, users: int, items: int) -> str:
+    parts, source = [O.RAW], "raw"
+    for i in range(rounds):
+        parts += [
+            f"u{i} AS MATERIALIZED (SELECT * FROM {source} WHERE user_idx IN (SELECT user_idx FROM {source} GROUP BY 1 HAVING count(*) >= {users}))",
+            f"k{i} AS MATERIALIZED (SELECT * FROM u{i} WHERE item_idx IN (SELECT item_idx FROM u{i} GROUP BY 1 HAVING count(*) >= {items}))",
+        ]
+        source = f"k{i}"
+    return O.with_(*parts) + f"SELECT user_idx, count(*) AS n_rows, count(DISTINCT item_idx) AS n_items, sum(item_idx)::BIGINT AS item_sum FROM {source} GROUP BY 1"
+
+
+@query(_kcore_sql(14, 14, 12))
+def kcore(c):
+    core = split.kcore(c.raw, 14, 12)
+    return core.groupBy("user_idx").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("item_idx").alias("n_items"), F.sum("item_idx").alias("item_sum"))
+
+
+@query(O.with_(O.RAW) + "SELECT user_idx, part, count(*) AS n_rows, sum(pos)::BIGINT AS pos_sum, min(pos) AS first_pos, max(pos) AS last_pos FROM log GROUP BY 1, 2")
+def temporal_split(c):
+    return c.log.groupBy("user_idx", "part").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("pos").alias("pos_sum"), F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"))
+
+
+@query(O.with_(O.RAW) + """, back AS (SELECT *, row_number() OVER (PARTITION BY user_idx ORDER BY ts DESC, item_idx DESC, k1 DESC, k2 DESC) AS b FROM raw)
+SELECT user_idx, CASE WHEN b <= 2 THEN 'test' WHEN b <= 3 THEN 'valid' ELSE 'train' END AS part, count(*) AS n_rows, sum(item_idx)::BIGINT AS item_sum FROM back GROUP BY 1, 2""")
+def leave_last_split(c):
+    return split.leave_last(c.raw, 1, 2).groupBy("user_idx", "part").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("item_idx").alias("item_sum"))
+
+
+@query(O.with_(O.RAW) + "SELECT item_idx, dense_rank() OVER (ORDER BY item_idx) - 1 AS idx FROM (SELECT DISTINCT item_idx FROM raw)")
+def dense_ids(c):
+    return ranking.dense_index(c.raw, "item_idx", "idx")
+
+
+@query(O.with_(O.BASE) + "SELECT item_idx, train_count, is_tail FROM stats")
+def item_stats(c):
+    return c.stats
+
+
+@query(O.with_(O.BASE) + "SELECT round(item_p5, 6) AS item_p5, round(item_p20, 6) AS item_p20, round(user_p5, 6) AS user_p5 FROM limits")
+def thresholds(c):
+    return c.limits.select(*[r6(F.col(x), x) for x in ("item_p5", "item_p20", "user_p5")])
+
+
+@query(O.with_(O.BASE) + "SELECT user_idx, item_idx, pos, train_item_count, train_user_count, item_new, item_cold, long_tail, user_cold, warm, primary_scenario FROM flagged")
+def scenario_flags(c):
+    return c.flagged.select("user_idx", "item_idx", "pos", "train_item_count", "train_user_count", *split.SCENARIOS, "primary_scenario")
+
+
+@query(O.with_(O.BASE) + f"SELECT scenario, count(*) AS num_test_cases FROM flagged, {O.NAMES} WHERE {O.IN_SCENARIO} GROUP BY 1")
+def scenario_counts(c):
+    return metrics.scenario_counts(c.flagged)
+
+
+@query(O.with_(O.BASE, O.CANDIDATES) + "SELECT user_idx, item_idx, label, pool_pos FROM candidates")
+def candidates_uniform(c):
+    return c.candidates
+
+
+@query(O.with_(O.BASE) + """, slots AS (SELECT item_idx, row_number() OVER (ORDER BY pos) - 1 AS slot FROM train),
+tries AS (SELECT g.user_idx, g.true_item, t.i AS try, """ + O.DRAW.format(seed=42, cols="user_idx, t.i") + """ % (SELECT count(*) FROM train) AS slot FROM gold g, range(1, 73) t(i)),
+fill AS (SELECT t.user_idx, s.item_idx, min(try) AS try FROM tries t JOIN slots s USING (slot) WHERE s.item_idx <> t.true_item GROUP BY 1, 2),
+unseen AS (SELECT *, row_number() OVER (PARTITION BY user_idx ORDER BY try) + 1 AS pool_pos FROM fill f WHERE NOT EXISTS (SELECT 1 FROM train t WHERE t.user_idx = f.user_idx AND t.item_idx = f.item_idx))
+SELECT user_idx, true_item AS item_idx, 1 AS label, 1 AS pool_pos FROM gold UNION ALL SELECT user_idx, item_idx, 0, pool_pos::INT FROM unseen WHERE pool_pos <= 10""")
+def candidates_popularity(c):
+    return split.popularity_candidates(c.gold, c.train, c.train, 9)
+
+
+MIXED = "mixed AS MATERIALIZED (SELECT user_idx, item_idx, label, row_number() OVER (PARTITION BY user_idx ORDER BY md5(concat_ws(':', 7, user_idx, item_idx)), item_idx)::INT AS pool_pos FROM candidates)"
+
+
+def _mixed(c):
+    """The pool in seeded order, so that the positive may stand anywhere."""
+    return c.candidates.withColumn("pool_pos", F.row_number().over(ranking.USER.orderBy(ranking.tie_key(7, "user_idx", "item_idx"), "item_idx")))
+
+
+@query(O.with_(O.BASE, O.CANDIDATES, MIXED) + """, late AS (SELECT *, sum(CASE WHEN label = 1 AND pool_pos > 10 THEN 1 ELSE 0 END) OVER (PARTITION BY user_idx) AS late,
+  sum(CASE WHEN label = 0 AND pool_pos <= 10 THEN 1 ELSE 0 END) OVER (PARTITION BY user_idx ORDER BY pool_pos DESC) AS back FROM mixed)
+SELECT user_idx, item_idx, label, row_number() OVER (PARTITION BY user_idx ORDER BY pool_pos)::INT AS pool_pos FROM late WHERE (pool_pos <= 10 AND (label = 1 OR back > late)) OR (label = 1 AND pool_pos > 10)""")
+def limit_candidates(c):
+    return ranking.limit_candidates(_mixed(c), 10)
+
+
+@query(O.with_(O.BASE) + f""", strata AS (SELECT DISTINCT scenario, user_idx FROM flagged, {O.NAMES} WHERE scenario NOT IN ('overall', 'item_new') AND {O.IN_SCENARIO})
+SELECT DISTINCT user_idx FROM (SELECT *, row_number() OVER (PARTITION BY scenario ORDER BY md5(concat_ws(':', 42, user_idx)), user_idx) AS pl FROM strata) WHERE pl <= 50""")
+def rerank_users(c):
+    return split.rerank_users(c.flagged, 200)
+
+
+@query(O.with_(O.BASE) + "SELECT user_idx FROM (SELECT DISTINCT user_idx FROM flagged) ORDER BY md5(concat_ws(':', 42, user_idx)), user_idx LIMIT 100")
+def sampled_users(c):
+    return ranking.sample_users(c.flagged, 100)
+
+
+@query(O.with_(O.BASE, O.RECENT.format(n=10)) + "SELECT user_idx, string_agg(item_idx::VARCHAR, ',' ORDER BY back DESC) AS items FROM recent GROUP BY 1")
+def recent_history(c):
+    return ranking.recent_items(c.train, 10).select("user_idx", F.array_join(F.col("items").cast("array<string>"), ",").alias("items"))
+
+
+@query(O.with_(O.BASE, O.RECENT.format(n=10)) + "SELECT user_idx, string_agg(coalesce(title, ''), ' ; ' ORDER BY back DESC) AS history FROM recent LEFT JOIN items USING (item_idx) GROUP BY 1")
+def history_text(c):
+    return rerank.history_text(c.train, c.items)
+
+
+@query(O.with_(O.BASE, O.MARKOV) + "SELECT item_from, item_to, n, p FROM moves")
+def transitions(c):
+    return scorers.markov_edges(c.train)
+
+
+# ---- scorers of a pool
+
+SCORED_SQL = "SELECT user_idx, item_idx, score FROM scored"
+
+
+@query(O.with_(O.BASE, O.CANDIDATES, O.POPULARITY) + SCORED_SQL)
+def score_popularity(c):
+    return scorers.popularity(c.candidates, c.train).select("user_idx", "item_idx", "score")
+
+
+@query(O.with_(O.BASE, O.SIMILARITY) + "SELECT item_i, count(*) AS n, round(sum(sim), 6) AS total, round(max(sim), 6) AS top FROM sims GROUP BY 1")
+def item_similarity(c):
+    s = scorers.item_similarity(c.train)
+    return s.groupBy("item_i").agg(F.count(F.lit(1)).alias("n"), r6(F.sum("sim"), "total"), r6(F.max("sim"), "top"))
+
+
+@query(O.with_(O.BASE, O.CANDIDATES, O.SIMILARITY) + "SELECT user_idx, item_idx, coalesce(score, 0)::DOUBLE AS score FROM candidates LEFT JOIN knn_scores USING (user_idx, item_idx)")
+def score_itemknn(c):
+    return scorers.itemknn(c.candidates, c.train).select("user_idx", "item_idx", "score")
+
+
+@query(O.with_(O.BASE, O.CANDIDATES, O.MARKOV) + "SELECT user_idx, item_idx, coalesce(score, 0)::DOUBLE AS score FROM candidates LEFT JOIN markov_scores USING (user_idx, item_idx)")
+def score_markov(c):
+    return scorers.markov(c.candidates, c.train).select("user_idx", "item_idx", "score")
+
+
+TFIDF_POOL = "tfidf_scores AS MATERIALIZED (SELECT c.user_idx, c.item_idx, round(sum(x * y), 9) AS score FROM candidates c JOIN tv USING (item_idx) JOIN tp ON tp.user_idx = c.user_idx AND tp.term = tv.term GROUP BY 1, 2)"
+EMBEDDING_POOL = "emb_pool AS MATERIALIZED (SELECT c.user_idx, c.item_idx, round(list_dot_product(u, v), 9) AS score FROM candidates c JOIN profiles USING (user_idx) JOIN unit USING (item_idx))"
+
+
+@query(O.with_(O.BASE, O.CANDIDATES, O.RECENT.format(n=50), O.TFIDF, TFIDF_POOL) + "SELECT user_idx, item_idx, coalesce(score, 0)::DOUBLE AS score FROM candidates LEFT JOIN tfidf_scores USING (user_idx, item_idx)")
+def score_tfidf(c):
+    return scorers.tfidf(c.candidates, c.train, c.items).select("user_idx", "item_idx", "score")
+
+
+@query(O.with_(O.BASE, O.CANDIDATES, O.RECENT.format(n=50), O.VECTORS, EMBEDDING_POOL) + "SELECT user_idx, item_idx, coalesce(score, 0)::DOUBLE AS score FROM candidates LEFT JOIN emb_pool USING (user_idx, item_idx)")
+def score_embedding(c):
+    return scorers.embedding(c.candidates, c.train, c.vectors).select("user_idx", "item_idx", "score")
+
+
+def _scaled_sql(name: str, source: str) -> str:
+    return f"""{name}_raw AS (SELECT c.user_idx, c.item_idx, coalesce(score, 0)::DOUBLE AS s FROM candidates c LEFT JOIN {source} USING (user_idx, item_idx)),
+{name}_s AS MATERIALIZED (SELECT user_idx, item_idx, CASE WHEN max(s) OVER w <= min(s) OVER w THEN 0 ELSE (s - min(s) OVER w) / (max(s) OVER w - min(s) OVER w) END AS x FROM {name}_raw WINDOW w AS (PARTITION BY user_idx))"""
+
+
+@query(O.with_(O.BASE, O.CANDIDATES, O.POPULARITY, O.SIMILARITY, O.MARKOV, O.RECENT.format(n=50), O.VECTORS, EMBEDDING_POOL, _scaled_sql("sem", "emb_pool"), _scaled_sql("gra", "knn_scores"), _scaled_sql("bas", "markov_scores"), _scaled_sql("pop", "scored"))
+       + "SELECT c.user_idx, c.item_idx, round(0.5 * sem_s.x + 0.45 * gra_s.x + 0.3 * bas_s.x - 0.1 * pop_s.x + CASE WHEN is_tail THEN 0.05 ELSE 0 END, 9)::DOUBLE AS score FROM candidates c JOIN sem_s USING (user_idx, item_idx) JOIN gra_s USING (user_idx, item_idx) JOIN bas_s USING (user_idx, item_idx) JOIN pop_s USING (user_idx, item_idx) LEFT JOIN stats USING (item_idx)")
+def graph_aware_fusion(c):
+    pool = c.candidates
+    df = scorers.graph_aware(pool, scorers.embedding(pool, c.train, c.vectors), scorers.itemknn(pool, c.train), scorers.markov(pool, c.train), scorers.popularity(pool, c.train), c.stats)
+    return df.select("user_idx", "item_idx", "score")
+
+
+@query(O.with_(O.BASE, O.CANDIDATES, O.POPULARITY, _scaled_sql("pop", "scored")) + "SELECT user_idx, item_idx, round(x, 6) AS scaled FROM pop_s")
+def minmax_per_user(c):
+    return ranking.minmax(scorers.popularity(c.candidates, c.train), "score", "scaled").select("user_idx", "item_idx", r6(F.col("scaled"), "scaled"))
+
+
+@query(O.with_(O.BASE, O.CANDIDATES, O.POPULARITY) + "SELECT user_idx, item_idx, round((score - avg(score) OVER w) / (stddev_pop(score) OVER w + 1e-8), 6) AS z FROM scored WINDOW w AS (PARTITION BY user_idx)")
+def zscore_per_user(c):
+    return ranking.zscore(scorers.popularity(c.candidates, c.train), "score", "z").select("user_idx", "item_idx", r6(F.col("z"), "z"))
+
+
+@query(O.with_(O.BASE, O.CANDIDATES, O.POPULARITY) + "SELECT user_idx, item_idx, round((rank() OVER (PARTITION BY user_idx ORDER BY score) + (count(*) OVER (PARTITION BY user_idx, score) - 1) / 2.0::DOUBLE) / count(*) OVER (PARTITION BY user_idx) * 100, 6)::DOUBLE AS pct FROM scored")
+def percentile_rank_user(c):
+    return ranking.percentile_rank(scorers.popularity(c.candidates, c.train), "score", "pct").select("user_idx", "item_idx", r6(F.col("pct"), "pct"))
+
+
+@query(O.with_(O.BASE) + "SELECT item_idx, round((rank() OVER (ORDER BY train_count) + (count(*) OVER (PARTITION BY train_count) - 1) / 2.0::DOUBLE) / count(*) OVER () * 100, 6)::DOUBLE AS pct FROM stats")
+def percentile_rank_global(c):
+    return ranking.percentile_rank(c.stats, "train_count", "pct", by=None).select("item_idx", r6(F.col("pct"), "pct"))
+
+
+# ---- ranking metrics
+
+RANKED = "ranked AS MATERIALIZED (SELECT user_idx, item_idx, score, row_number() OVER (PARTITION BY user_idx ORDER BY score DESC, md5(concat_ws(':', 42, user_idx, item_idx)), item_idx) AS rank FROM scored)"
+GOLD_RANK = "gr AS MATERIALIZED (SELECT g.*, r.rank FROM gold g LEFT JOIN ranked r ON r.user_idx = g.user_idx AND r.item_idx = g.true_item)"
+POOL_METRICS = (O.BASE, O.CANDIDATES, O.POPULARITY, RANKED, GOLD_RANK)
+GINI = "(sum((2 * i - m - 1) * (v + 1e-12)) / (max(m) * sum(v + 1e-12)))"
+
+
+def _ranked(c):
+    return ranking.rank_scored(scorers.popularity(c.candidates, c.train))
+
+
+@query(O.with_(*POOL_METRICS) + f""", shown AS (SELECT item_idx, count(*) AS v FROM ranked JOIN gold USING (user_idx) WHERE rank <= 10 GROUP BY 1),
+placed AS (SELECT item_idx, v, row_number() OVER (ORDER BY v, item_idx) AS i, count(*) OVER () AS m FROM shown)
+SELECT (SELECT count(*) FROM gr) AS n_users, (SELECT count(*) FROM shown) AS unique_exposed_items, (SELECT round({GINI}, 6) FROM placed) AS gini_exposure,
+  (SELECT count(*) FROM shown JOIN stats USING (item_idx) WHERE is_tail) AS unique_tail_exposed_items, m.* FROM (SELECT {O.at_k((5, 10))} FROM gr) m""")
+def ranking_metrics(c):
+    return metrics.evaluate(scorers.popularity(c.candidates, c.train), c.gold, c.stats, (5, 10))
+
+
+@query(O.with_(*POOL_METRICS) + f"SELECT scenario, count(*) AS n_users, {O.at_k()} FROM gr, {O.NAMES} WHERE {O.IN_SCENARIO} GROUP BY 1")
+def subgroup_metrics(c):
+    return metrics.subgroups(c.gold, _ranked(c))
+
+
+@query(O.with_(*POOL_METRICS) + "SELECT metric, k, round(avg(CASE WHEN rank <= k THEN CASE metric WHEN 'recall' THEN 1.0::DOUBLE WHEN 'ndcg' THEN 1 / log2(rank + 1) ELSE 1.0::DOUBLE / rank END ELSE 0 END), 6) AS value, count(*) AS n_users FROM gr, (VALUES ('recall'), ('ndcg'), ('mrr')) m(metric), (VALUES (5), (10), (20)) ks(k) GROUP BY 1, 2")
+def long_metrics(c):
+    return metrics.long_metrics(c.gold, _ranked(c), (5, 10, 20))
+
+
+@query(O.with_(O.BASE) + f", placed AS (SELECT train_count::DOUBLE AS v, row_number() OVER (ORDER BY train_count, item_idx) AS i, count(*) OVER () AS m FROM stats) SELECT round({GINI}, 6) AS gini FROM placed")
+def exposure_gini(c):
+    return metrics.gini(c.stats, "train_count")
+
+
+@query(O.with_(O.BASE, O.CANDIDATES, MIXED) + "SELECT count(*) AS n_eval_users, round(avg(CASE WHEN pool_pos IS NULL THEN 0::DOUBLE ELSE 1 END), 6) AS pool_coverage, quantile_cont(pool_pos, 0.5)::DOUBLE AS median_true_rank, " + ", ".join(f"round(avg(CASE WHEN pool_pos <= {k} THEN 1::DOUBLE ELSE 0 END), 6) AS oracle_recall_at_{k}" for k in (5, 10, 20)) + " FROM gold g LEFT JOIN mixed m ON m.user_idx = g.user_idx AND m.item_idx = g.true_item")
+def oracle_recall(c):
+    return metrics.oracle_recall(c.gold, _mixed(c), (5, 10, 20))
+
+
+TIES = "bw AS MATERIALIZED (SELECT user_idx, (sum(CASE WHEN s.score > o.score THEN 1 ELSE 0 END) + 1)::BIGINT AS best, sum(CASE WHEN s.score >= o.score THEN 1 ELSE 0 END)::BIGINT AS worst FROM scored s JOIN (SELECT s.user_idx, max(score) AS score FROM scored s JOIN gold g ON g.user_idx = s.user_idx AND g.true_item = s.item_idx GROUP BY 1) o USING (user_idx) GROUP BY 1)"
+
+
+@query(O.with_(O.BASE, O.CANDIDATES, O.POPULARITY, TIES) + "SELECT count(*) AS n_users, round(avg(CASE WHEN worst > best THEN 1::DOUBLE ELSE 0 END), 6) AS tie_rate, "
+       + ", ".join(f"round(avg(CASE WHEN {w} <= {k} THEN 1::DOUBLE ELSE 0 END), 6) AS recall_at_{k}_{w}, round(avg(CASE WHEN {w} <= {k} THEN 1 / log2({w} + 1) ELSE 0::DOUBLE END), 6) AS ndcg_at_{k}_{w}" for k in (5, 10) for w in ("best", "worst")) + " FROM bw")
+def tie_diagnostic(c):
+    return metrics.tie_diagnostic(scorers.popularity(c.candidates, c.train), c.gold, (5, 10))
+
+
+@query(O.with_(O.BASE, O.CANDIDATES, O.POPULARITY) + """, y AS MATERIALIZED (SELECT score, CASE WHEN g.true_item IS NOT NULL THEN 1 ELSE 0 END AS y FROM scored s LEFT JOIN gold g ON g.user_idx = s.user_idx AND g.true_item = s.item_idx),
+a AS (SELECT count(*) FILTER (y = 1) AS nr, count(*) FILTER (y = 0) AS ni, avg(score) FILTER (y = 1) AS mr, avg(score) FILTER (y = 0) AS mi, coalesce(stddev_samp(score) FILTER (y = 1), 0) AS sr, coalesce(stddev_samp(score) FILTER (y = 0), 0) AS si, min(score) AS lo, max(score) AS hi FROM y),
+ranks AS (SELECT rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS p, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS q FROM y),
+hist AS (SELECT least(100, floor((score - lo) / ((hi - lo) / 100)) + 1) AS b, count(*) FILTER (y = 1) / max(nr)::DOUBLE AS dr, count(*) FILTER (y = 0) / max(ni)::DOUBLE AS di FROM y, a GROUP BY 1)
+SELECT nr AS n_relevant, ni AS n_irrelevant, round(mr, 4) AS mean_relevant, round(mi, 4) AS mean_irrelevant, round(sr, 4) AS std_relevant, round(si, 4) AS std_irrelevant,
+  round((mr - mi) / sqrt(((nr - 1) * sr * sr + (ni - 1) * si * si) / (nr + ni - 2)), 4) AS cohens_d, round((SELECT corr(p, q) FROM ranks), 4) AS spearman_r, round((mr - mi) / sqrt(sr * sr / nr + si * si / ni), 4) AS t_stat, round((SELECT sum(least(dr, di)) FROM hist), 4) AS overlap_coef FROM a""")
+def score_separation(c):
+    return metrics.separation(scorers.popularity(c.candidates, c.train), c.gold)
+
+
+@query(O.with_(O.BASE, O.CANDIDATES) + "SELECT count(*) AS n_users, round(avg(n), 6) AS mean, round(stddev_samp(n), 6) AS std, min(n) AS smallest, quantile_cont(n, 0.25)::DOUBLE AS q25, quantile_cont(n, 0.5)::DOUBLE AS q50, quantile_cont(n, 0.75)::DOUBLE AS q75, max(n) AS largest FROM (SELECT user_idx, count(*) AS n FROM candidates GROUP BY 1)")
+def candidate_sizes(c):
+    return metrics.pool_sizes(c.candidates)
+
+
+# ---- retrievers
+
+LISTED = "SELECT user_idx, item_idx, score, rank FROM {t}"
+
+
+def _listed(df: DataFrame) -> DataFrame:
+    return df.select("user_idx", "item_idx", "score", F.col("rank").cast("long").alias("rank"))
+
+
+@query(O.with_(O.BASE, O.POP_ITEMS, O.ORDER.format(source="pop_items"), O.by_order(20, "top")) + LISTED.format(t="top"))
+def retrieve_popularity(c):
+    return _listed(c.retrieved("popularity", 20))
+
+
+RECENCY = "span AS (SELECT max(ts) AS last, greatest(max(ts) - min(ts), 1) AS span FROM train), decayed AS (SELECT item_idx, round(sum(exp(-(last - ts) / (0.1 * span))), 9) AS s FROM train, span GROUP BY 1), rec_items AS (SELECT item_idx, coalesce(s, 0)::DOUBLE AS score FROM items LEFT JOIN decayed USING (item_idx))"
+
+
+@query(O.with_(O.BASE, RECENCY, O.ORDER.format(source="rec_items"), O.by_order(20, "top")) + LISTED.format(t="top"))
+def retrieve_recency(c):
+    return _listed(c.retrieved("recency", 20))
+
+
+@query(O.with_(O.BASE, O.SIMILARITY, O.best("knn_scores", 20, "top")) + LISTED.format(t="top"))
+def retrieve_itemknn(c):
+    return _listed(c.retrieved("itemknn", 20))
+
+
+@query(O.with_(O.BASE, O.MARKOV, O.best("markov_scores", 20, "top")) + LISTED.format(t="top"))
+def retrieve_markov(c):
+    return _listed(c.retrieved("markov", 20))
+
+
+@query(O.with_(O.BASE, O.RECENT.format(n=50), O.TFIDF, "all_tfidf AS (SELECT p.user_idx, v.item_idx, round(sum(x * y), 9) AS score FROM tp p JOIN gold USING (user_idx) JOIN tv v USING (term) GROUP BY 1, 2 HAVING round(sum(x * y), 9) > 0)", O.best("all_tfidf", 20, "top")) + LISTED.format(t="top"))
+def retrieve_tfidf(c):
+    return _listed(c.retrieved("tfidf", 20))
+
+
+@query(O.with_(O.BASE, O.RECENT.format(n=50), O.VECTORS, O.EMBEDDING, O.best("emb_scores", 20, "top")) + LISTED.format(t="top"))
+def retrieve_embedding(c):
+    return _listed(c.retrieved("embedding", 20))
+
+
+COOCCUR = """h AS MATERIALIZED (SELECT DISTINCT user_idx, item_idx FROM recent), co AS MATERIALIZED (SELECT a.item_idx AS item_a, b.item_idx AS item_b, count(*) AS n FROM h a JOIN h b USING (user_idx) WHERE a.item_idx <> b.item_idx GROUP BY 1, 2 HAVING count(*) >= 2),
+co_scores AS (SELECT h.user_idx, item_b AS item_idx, sum(n)::DOUBLE AS score FROM h JOIN gold USING (user_idx) JOIN co ON item_a = h.item_idx GROUP BY 1, 2)"""
+
+
+@query(O.with_(O.BASE, O.RECENT.format(n=50), COOCCUR, O.best("co_scores", 20, "top", "item_idx DESC")) + LISTED.format(t="top"))
+def retrieve_cooccur(c):
+    return _listed(c.retrieved("cooccur", 20))
+
+
+@query(O.with_(O.RAW.replace("raw AS (", "raw AS MATERIALIZED (")) + """, vec AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), unit AS MATERIALIZED (SELECT vec_id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM vec),
+sims AS (SELECT a.vec_id AS item_a, b.vec_id AS item_b, round(list_dot_product(a.v, b.v), 9) AS n FROM unit a, unit b),
+firsts AS (SELECT * FROM sims QUALIFY row_number() OVER (PARTITION BY item_a ORDER BY n DESC, item_b) <= 11)
+SELECT item_a, item_b, round(n, 6) AS sim FROM (SELECT *, row_number() OVER (PARTITION BY item_a ORDER BY n DESC, item_b) AS r FROM firsts WHERE item_a <> item_b) WHERE r <= 10""")
+def item_neighbours(c):
+    e = c.spark.read.parquet(f"{c.sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("item_idx"), "embedding")
+    return retrieve.vector_neighbours(e, 10).select("item_a", "item_b", r6(F.col("n"), "sim"))
+
+
+@query(O.with_(O.BASE, O.POP_ITEMS, O.ORDER.format(source="pop_items"), O.by_order(50, "ranked"), GOLD_RANK) + f"SELECT scenario, count(*) AS n_users, {', '.join(f'round(avg(CASE WHEN rank <= {k} THEN 1.0::DOUBLE ELSE 0 END), 6) AS recall_at_{k}' for k in (5, 10, 20, 50))} FROM gr, {O.NAMES} WHERE {O.IN_SCENARIO} GROUP BY 1")
+def popularity_recall(c):
+    """The flagship: log, split, retriever, rank of gold, recall overall and by scenario."""
+    r = metrics.gold_rank(c.gold, c.retrieved("popularity", 50))
+    recall = [r6(F.avg(F.coalesce(F.col("rank") <= k, F.lit(False)).cast("double")), f"recall_at_{k}") for k in (5, 10, 20, 50)]
+    return split.scenario_rows(r).groupBy("scenario").agg(F.count(F.lit(1)).alias("n_users"), *recall)
+
+
+# ---- fusion and allocation
+
+POOLS = (O.BASE, O.pools())
+ORD = "CASE model WHEN 'itemknn' THEN 0 WHEN 'embedding' THEN 1 WHEN 'popularity' THEN 2 END"
+FUSED = ("itemknn", "embedding", "popularity")
+
+
+@query(O.with_(*POOLS) + f"""SELECT user_idx, item_idx, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY user_idx ORDER BY score DESC, f) AS rank FROM (
+  SELECT user_idx, item_idx, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS score, min({{'o': {ORD}, 'r': rank}}) AS f FROM pools WHERE model IN {FUSED} GROUP BY 1, 2)) WHERE rank <= 20""")
+def fuse_rrf(c):
+    return fuse.rrf(c.pools, FUSED, 20).select("user_idx", "item_idx", "score", F.col("rank").cast("long").alias("rank"))
+
+
+def _priority(p: str, where: str, n: int | None, source: str = "pools") -> str:
+    cut = f" WHERE rank <= {n}" if n else ""
+    return f"SELECT user_idx, item_idx, rank FROM (SELECT *, row_number() OVER (PARTITION BY user_idx ORDER BY p, item_idx) AS rank FROM (SELECT user_idx, item_idx, min({p}) AS p FROM {source} WHERE {where} GROUP BY 1, 2)){cut}"
+
+
+def _rank_long(df: DataFrame) -> DataFrame:
+    return df.select("user_idx", "item_idx", F.col("rank").cast("long").alias("rank"))
+
+
+@query(O.with_(*POOLS) + _priority(f"{{'r': rank, 'o': {ORD}}}", f"model IN {FUSED}", 20))
+def fuse_interleave(c):
+    return _rank_long(fuse.interleave(c.pools, FUSED, 20))
+
+
+CARA = {True: {"embedding": 0.5, "markov": 0.3, "popularity": 0.2}, False: {"itemknn": 0.6, "popularity": 0.25, "embedding": 0.15}}
+PROFILE = "profile AS (SELECT * FROM (VALUES " + ", ".join(f"({str(cold).lower()}, '{m}', {i}, {max(1, round(s * 20))})" for cold, p in CARA.items() for i, (m, s) in enumerate(sorted(p.items(), key=lambda x: -x[1]))) + ") t(user_cold, model, ord, budget)), regime AS (SELECT p.*, f.ord, f.budget FROM pools p JOIN gold g USING (user_idx) JOIN profile f ON f.user_cold = g.user_cold AND f.model = p.model)"
+
+
+@query(O.with_(*POOLS, PROFILE) + _priority("{'a': CASE WHEN rank <= budget THEN 0 ELSE 1 END, 'b': ord, 'c': rank}", "true", 20, "regime"))
+def fuse_cara(c):
+    return _rank_long(fuse.cara(c.pools, c.gold, 20, CARA[True], CARA[False]))
+
+
+QUOTA = {"itemknn": 10, "embedding": 6, "popularity": 4}
+QUOTA_SQL = "quota AS (SELECT * FROM (VALUES ('itemknn', 10, 0), ('embedding', 6, 1), ('popularity', 4, 2)) t(model, quota, ord)), granted AS (SELECT p.*, ord FROM pools p JOIN quota q USING (model) WHERE rank <= quota)"
+
+
+@query(O.with_(*POOLS, QUOTA_SQL) + _priority("{'o': ord, 'r': rank}", "true", None, "granted"))
+def quota_apply(c):
+    return _rank_long(fuse.apply_quota(c.pools, QUOTA))
+
+
+GRID = fuse.quota_grid(MODELS, 50, 10)
+GRID_SQL = "grid AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{m}', {q})" for i, g in enumerate(GRID) for m, q in g.items()) + ") t(quota_id, model, quota)), gold_places AS MATERIALIZED (SELECT g.user_idx, p.model, p.rank, g.user_cold FROM gold g JOIN pools p ON p.user_idx = g.user_idx AND p.item_idx = g.true_item)"
+
+
+@query(O.with_(*POOLS, GRID_SQL) + """, hits AS (SELECT quota_id, user_cold, count(DISTINCT user_idx) AS hits FROM gold_places JOIN grid USING (model) WHERE rank <= quota GROUP BY 1, 2),
+cov AS (SELECT q.quota_id, t.user_cold, coalesce(hits, 0) / n::DOUBLE AS coverage FROM (SELECT DISTINCT quota_id FROM grid) q CROSS JOIN (SELECT user_cold, count(*) AS n FROM gold GROUP BY 1) t LEFT JOIN hits h ON h.quota_id = q.quota_id AND h.user_cold = t.user_cold)
+SELECT user_cold, quota_id, round(coverage, 6) AS coverage FROM cov QUALIFY row_number() OVER (PARTITION BY user_cold ORDER BY coverage DESC, quota_id) = 1""")
+def quota_grid_best(c):
+    """Tuned on the evaluated users themselves: an upper bound, not a fair comparison (as in the fallback of the original tables)."""
+    cov = fuse.quota_coverage(c.pools, c.gold, GRID, "user_cold")
+    return fuse.tuned_quota(cov, "user_cold").select("user_cold", "quota_id", r6(F.col("coverage"), "coverage"))
+
+
+@query(O.with_(*POOLS) + "SELECT user_idx, count(DISTINCT item_idx) AS n_items FROM pools GROUP BY 1")
+def oracle_union(c):
+    return fuse.union(c.pools).groupBy("user_idx").agg(F.count(F.lit(1)).alias("n_items"))
+
+
+COVERAGE = f"""hit AS (SELECT DISTINCT model, user_idx, item_idx AS true_item FROM pools WHERE rank <= 50), gs AS MATERIALIZED (SELECT scenario, user_idx, true_item FROM gold, {O.NAMES} WHERE {O.IN_SCENARIO}),
+coverage AS MATERIALIZED (SELECT m.model, s.scenario, round(avg(CASE WHEN h.user_idx IS NULL THEN 0::DOUBLE ELSE 1 END), 6) AS coverage, count(*) AS n_users FROM gs s CROSS JOIN (SELECT DISTINCT model FROM pools) m LEFT JOIN hit h ON h.model = m.model AND h.user_idx = s.user_idx AND h.true_item = s.true_item GROUP BY 1, 2),
+together AS (SELECT s.scenario, round(avg(CASE WHEN EXISTS (SELECT 1 FROM hit h WHERE h.user_idx = s.user_idx AND h.true_item = s.true_item) THEN 1::DOUBLE ELSE 0 END), 6) AS union_coverage FROM gs s GROUP BY 1),
+ceiling AS MATERIALIZED (SELECT c.scenario, max(coverage) AS best_single, arg_max(model, {{'c': coverage, 'm': model}}) AS best_model, max(union_coverage) AS union_coverage FROM coverage c JOIN together USING (scenario) GROUP BY 1)"""
+
+
+@query(O.with_(*POOLS, COVERAGE) + "SELECT model, scenario, coverage, n_users FROM coverage")
+def coverage_by_scenario(c):
+    return metrics.coverage(c.pools, c.gold, RETRIEVED)
+
+
+@query(O.with_(*POOLS) + "SELECT model, k, round(sum(CASE WHEN rank <= k THEN 1 ELSE 0 END) / (SELECT count(*) FROM gold)::DOUBLE, 6) AS recall, (SELECT count(*) FROM gold) AS n_users FROM pools p JOIN gold g ON g.user_idx = p.user_idx AND g.true_item = p.item_idx, (VALUES (10), (20), (50)) ks(k) GROUP BY 1, 2")
+def recall_curve(c):
+    return metrics.recall_curve(c.pools, c.gold, (10, 20, 50))
+
+
+def _ceiling(c):
+    cov = metrics.coverage(c.pools, c.gold, RETRIEVED)
+    return cov, ceiling.union_coverage(cov, c.pools, c.gold, RETRIEVED)
+
+
+@query(O.with_(*POOLS, COVERAGE) + "SELECT scenario, best_single, best_model, union_coverage FROM ceiling")
+def oracle_ceiling(c):
+    return _ceiling(c)[1].select("scenario", "best_single", "best_model", "union_coverage")
+
+
+@query(O.with_(*POOLS, COVERAGE) + "SELECT model, scenario, coverage, round(union_coverage - coverage, 6) AS regret, round((union_coverage - coverage) / nullif(union_coverage, 0) * 100, 4) AS regret_pct FROM coverage JOIN ceiling USING (scenario)")
+def regret(c):
+    return ceiling.regret(*_ceiling(c))
+
+
+@query(O.with_(*POOLS, COVERAGE) + "SELECT model, scenario, round(CASE WHEN union_coverage - best_single > 1e-9 THEN (coverage - best_single) / (union_coverage - best_single) END, 6) AS realised FROM coverage JOIN ceiling USING (scenario)")
+def headroom(c):
+    return ceiling.headroom(*_ceiling(c))
+
+
+@query(O.with_(*POOLS) + """, weights AS (SELECT primary_scenario, count(*) / sum(count(*)) OVER ()::DOUBLE AS weight FROM flagged GROUP BY 1),
+by_primary AS (SELECT m.model, g.primary_scenario, avg(CASE WHEN p.item_idx IS NULL THEN 0::DOUBLE ELSE 1 END) AS v FROM gold g CROSS JOIN (SELECT DISTINCT model FROM pools) m LEFT JOIN pools p ON p.model = m.model AND p.user_idx = g.user_idx AND p.item_idx = g.true_item GROUP BY 1, 2)
+SELECT model, round(sum(weight * v) / sum(weight), 6) AS natural FROM by_primary JOIN weights USING (primary_scenario) GROUP BY 1""")
+def natural_reweight(c):
+    hits = c.pools.select("model", "user_idx", F.col("item_idx").alias("true_item"), F.lit(1.0).alias("hit"))
+    base = c.gold.select("user_idx", "true_item", "primary_scenario").join(F.broadcast(c.pools.select("model").distinct()))
+    values = base.join(hits, ["model", "user_idx", "true_item"], "left").groupBy("model", "primary_scenario").agg(F.avg(F.coalesce("hit", F.lit(0.0))).alias("v"))
+    return ceiling.reweight(values, ceiling.natural_weights(c.flagged), "v", ["model"])
+
+
+def _hits_sql(model: str, k: int, name: str) -> str:
+    return f"{name} AS MATERIALIZED (SELECT g.user_idx, CASE WHEN p.rank <= {k} THEN 1::DOUBLE ELSE 0 END AS hit FROM gold g LEFT JOIN pools p ON p.model = '{model}' AND p.user_idx = g.user_idx AND p.item_idx = g.true_item)"
+
+
+def _hits(c, model: str, k: int) -> DataFrame:
+    ranks = metrics.gold_rank(c.gold, c.pools.where(F.col("model") == model))
+    return ranks.select("user_idx", F.coalesce(F.col("rank") <= k, F.lit(False)).cast("double").alias("hit"))
+
+
+HITS = (_hits_sql("itemknn", 20, "a"), _hits_sql("embedding", 20, "b"))
+
+
+@query(O.with_(*POOLS, *HITS) + f"SELECT scenario, count(*) AS n_users, round(avg(a.hit), 6) AS recall_a, round(avg(b.hit), 6) AS recall_b, round(avg(greatest(a.hit, b.hit)), 6) AS recall_oracle FROM gold g JOIN a USING (user_idx) JOIN b USING (user_idx), {O.NAMES} WHERE {O.IN_SCENARIO} GROUP BY 1")
+def oracle_router(c):
+    return ceiling.router(_hits(c, "itemknn", 20), _hits(c, "embedding", 20), c.gold)
+
+
+# ---- statistics
+
+@query(O.with_(*POOLS) + """, h AS (SELECT model, sum(CASE WHEN rank <= 20 THEN 1 ELSE 0 END)::BIGINT AS hits, (SELECT count(*) FROM gold) AS n FROM pools p JOIN gold g ON g.user_idx = p.user_idx AND g.true_item = p.item_idx GROUP BY 1)
+SELECT model, hits, n, round(greatest(0, (hits / n::DOUBLE + 1.96 * 1.96 / (2 * n) - 1.96 * sqrt(hits / n::DOUBLE * (1 - hits / n::DOUBLE) / n + 1.96 * 1.96 / (4.0 * n * n))) / (1 + 1.96 * 1.96 / n)), 6)::DOUBLE AS ci_low,
+  round(least(1, (hits / n::DOUBLE + 1.96 * 1.96 / (2 * n) + 1.96 * sqrt(hits / n::DOUBLE * (1 - hits / n::DOUBLE) / n + 1.96 * 1.96 / (4.0 * n * n))) / (1 + 1.96 * 1.96 / n)), 6)::DOUBLE AS ci_high FROM h""")
+def wilson_ci(c):
+    ranks = c.pools.join(c.gold.select("user_idx", F.col("true_item").alias("item_idx")), ["user_idx", "item_idx"])
+    h = ranks.groupBy("model").agg(F.sum((F.col("rank") <= 20).cast("long")).alias("hits")).join(F.broadcast(c.gold.agg(F.count(F.lit(1)).alias("n"))))
+    return stats.with_wilson(h, "hits", "n")
+
+
+@query(O.with_(*POOLS, *HITS) + """, d AS (SELECT count(*) AS n_users, round(avg(a.hit - b.hit), 6) AS mean_delta, sum(CASE WHEN a.hit > b.hit THEN 1 ELSE 0 END)::BIGINT AS gained, sum(CASE WHEN a.hit < b.hit THEN 1 ELSE 0 END)::BIGINT AS lost FROM a JOIN b USING (user_idx))
+SELECT n_users, mean_delta, gained, lost, round(CASE WHEN gained + lost = 0 THEN 1 ELSE least(1, (SELECT 2 * sum(exp(lgamma(gained + lost + 1) - lgamma(i + 1) - lgamma(gained + lost - i + 1) - (gained + lost) * ln(2))) FROM range(0, least(gained, lost) + 1) t(i))) END, 6)::DOUBLE AS p FROM d""")
+def paired_delta_mcnemar(c):
+    d = stats.paired(_hits(c, "itemknn", 20), _hits(c, "embedding", 20))
+    row = d.first()
+    return d.withColumn("p", F.round(F.lit(C.mcnemar(int(row["gained"] or 0), int(row["lost"] or 0))), 6))
+
+
+@query(O.with_(*POOLS) + """, seeds AS (SELECT (user_idx % 3)::BIGINT AS seed, model, avg(CASE WHEN rank <= 20 THEN 1::DOUBLE ELSE 0 END) AS v FROM pools p JOIN gold g USING (user_idx) WHERE p.item_idx = g.true_item GROUP BY 1, 2)
+SELECT model, count(v) AS n_seeds, round(avg(v), 6) AS mean, round(coalesce(stddev_samp(v), 0), 6) AS std, round(coalesce(stddev_samp(v), 0) / sqrt(count(v)), 6) AS sem FROM seeds GROUP BY 1""")
+def multiseed_summary(c):
+    """Three groups of users stand for three seeds."""
+    ranks = c.pools.join(c.gold.select("user_idx", F.col("true_item").alias("item_idx")), ["user_idx", "item_idx"]).withColumn("seed", F.col("user_idx") % 3)
+    return stats.multiseed(ranks.groupBy("seed", "model").agg(F.avg((F.col("rank") <= 20).cast("double")).alias("v")), "v", ["model"])
+
+
+@query()
+def bootstrap_ci(c):
+    return stats.bootstrap(stats.per_user(metrics.gold_rank(c.gold, _ranked(c)), (5, 10)))
+
+
+# ---- learned fusion
+
+LHF_MODELS = ("popularity", "itemknn", "markov")
+
+
+def _lhf_sql() -> str:
+    cols = []
+    for m in LHF_MODELS:
+        cols += [f"coalesce(min(rank) FILTER (model = '{m}'), 51)::INT AS rank_{m}", f"(count(*) FILTER (model = '{m}') > 0)::INT AS has_{m}", f"coalesce(max(score) FILTER (model = '{m}'), 0)::DOUBLE AS score_{m}"]
+    body = ", ".join(cols)
+    return O.with_(*POOLS) + f""", f AS (SELECT user_idx, item_idx, {body}, count(DISTINCT model)::INT AS n_hits, min(rank)::INT AS min_rank, round(avg(rank), 6) AS mean_rank, greatest(0, max(score))::DOUBLE AS max_score, round(sum(score) / count(DISTINCT model), 10) AS mean_score
+  FROM pools WHERE model IN {LHF_MODELS} GROUP BY 1, 2)
+SELECT f.*, coalesce(uc.c, 0)::INT AS user_hist_len, coalesce(ic.c, 0)::INT AS item_pop, round(ln(1 + coalesce(ic.c, 0)), 6) AS item_logpop, (coalesce(ic.c, 0) = 0)::INT AS item_new, length(i.text)::INT AS item_textlen, g.user_cold::INT AS user_cold, (g.true_item = f.item_idx)::INT AS label
+FROM f LEFT JOIN uc USING (user_idx) LEFT JOIN ic USING (item_idx) LEFT JOIN items i USING (item_idx) LEFT JOIN gold g USING (user_idx)"""
+
+
+@query(_lhf_sql())
+def lhf_features(c):
+    df = learned.features(c.pools, LHF_MODELS, RETRIEVED, c.gold, c.train, c.items)
+    for x, digits in (("mean_rank", 6), ("mean_score", 10), ("item_logpop", 6)):
+        df = df.withColumn(x, F.round(x, digits))
+    return df
+
+
+def _fused(c, kind: str) -> DataFrame:
+    df = learned.features(c.pools, LHF_MODELS, RETRIEVED, c.gold, c.train, c.items)
+    p = learned.cross_fit(df, kind, learned.feature_names(LHF_MODELS), folds=2, rounds=5)
+    top = learned.reranked(p, RETRIEVED)
+    r = metrics.gold_rank(c.gold, top)
+    return split.scenario_rows(r).groupBy("scenario").agg(F.count(F.lit(1)).alias("n_users"), r6(F.avg((F.coalesce("rank", F.lit(999)) <= 20).cast("double")), "recall_at_20"))
+
+
+@query()
+def lhf_gbt(c):
+    return _fused(c, "gbt")
+
+
+@query()
+def lhf_logreg(c):
+    return _fused(c, "logreg")
+
+
+@query()
+def selective_gate(c):
+    """Where the second retriever's hit beats the first one's: predicted from margin, top score and entropy of the first list."""
+    gate = ranking.gate_features(c.pools.where("model = 'itemknn'"))
+    a, b = _hits(c, "itemknn", 20).withColumnRenamed("hit", "ha"), _hits(c, "embedding", 20).withColumnRenamed("hit", "hb")
+    df = gate.join(a, "user_idx").join(b, "user_idx").join(c.gold.select("user_idx", F.col("user_cold").cast("int").alias("cold")), "user_idx").withColumn("label", (F.col("hb") > F.col("ha")).cast("int"))
+    p = learned.cross_fit(df, "gbt", ("top", "margin", "entropy", "cold"), folds=2, rounds=5, keep=("user_idx", "label", "ha", "hb"))
+    return p.agg(F.count(F.lit(1)).alias("n_users"), r6(F.avg("ha"), "recall_a"), r6(F.avg("hb"), "recall_b"), r6(F.avg(F.when(F.col("p") > 0.5, F.col("hb")).otherwise(F.col("ha"))), "recall_gated"), r6(F.avg(F.greatest("ha", "hb")), "recall_oracle"))
+
+
+# ---- trained embeddings
+
+PROPAGATE = """e AS (SELECT user_idx, item_idx, count(*)::DOUBLE AS n FROM train GROUP BY 1, 2), half AS (SELECT 'u' || user_idx AS src, 'i' || item_idx AS dst, n / sqrt((sum(n) OVER (PARTITION BY user_idx) + 1e-8) * (sum(n) OVER (PARTITION BY item_idx) + 1e-8)) AS w FROM e),
+adj AS MATERIALIZED (SELECT src, dst, w FROM half UNION ALL SELECT dst, src, w FROM half),
+x0 AS MATERIALIZED (SELECT node, pl, ((('0x' || substr(md5(concat_ws(':', 42, node, pl)), 1, 8))::BIGINT)::DOUBLE / 4294967295.0::DOUBLE - 0.5) * 0.2 AS x FROM (SELECT DISTINCT src AS node FROM adj), range(0, 4) t(pl)),
+x1 AS MATERIALIZED (SELECT src AS node, pl, sum(w * x) AS x FROM adj JOIN x0 ON node = dst GROUP BY 1, 2),
+x2 AS (SELECT src AS node, pl, sum(w * x) AS x FROM adj JOIN x1 ON node = dst GROUP BY 1, 2)"""
+
+
+@query(O.with_(O.BASE, PROPAGATE) + "SELECT node, pl::INT AS place, round(sum(x) / 3, 6)::DOUBLE AS x FROM (SELECT * FROM x0 UNION ALL SELECT * FROM x1 UNION ALL SELECT * FROM x2) GROUP BY 1, 2")
+def lightgcn_propagate(c):
+    edges = trainers.bipartite_edges(c.train)
+    return trainers.propagate(edges, trainers.hash_vectors(edges, 4)).select("node", F.col("at").alias("place"), r6(F.col("x"), "x"))
+
+
+def _vector_top(c, users: DataFrame, items: DataFrame) -> DataFrame:
+    u = users.join(c.gold.select("user_idx"), "user_idx", "left_semi").withColumnRenamed("embedding", "u")
+    had = c.seen.distinct().groupBy("user_idx").agg(F.count(F.lit(1)).alias("had"))
+    top = retrieve.best(retrieve.dense_top(u, items.withColumnRenamed("embedding", "v"), 20, had), c.seen, 20)
+    return metrics.gold_rank(c.gold, top).agg(F.count(F.lit(1)).alias("n_users"), *metrics.at_k((5, 20)))
+
+
+@query()
+def als_topn(c):
+    return _vector_top(c, *trainers.als(c.train, 16, 5))
+
+
+@query()
+def bpr_topn(c):
+    uid, iid, p, q = trainers.fit_bpr(*trainers.sample_pairs(c.train), dim=16, epochs=5)
+    return _vector_top(c, trainers.vectors(c.spark, uid, p, "user_idx"), trainers.vectors(c.spark, iid, q, "item_idx"))
+
+
+# ---- evidence, prompts, parsers
+
+EVIDENCE = """last50 AS (SELECT user_idx, item_idx, back FROM recent), dir AS (SELECT a.item_idx AS item_a, b.item_idx AS item_b FROM last50 a JOIN last50 b USING (user_idx) WHERE a.back > b.back AND a.item_idx <> b.item_idx GROUP BY 1, 2 HAVING count(*) >= 2),
+near AS MATERIALIZED (SELECT item_a, item_b FROM dir UNION SELECT item_b, item_a FROM dir),
+met AS (SELECT c.user_idx, c.item_idx, count(*) AS overlap, list(substr(coalesce(i.title, ''), 1, 40) ORDER BY h.back DESC, substr(coalesce(i.title, ''), 1, 40))[1:3] AS names FROM candidates c JOIN recent h ON h.user_idx = c.user_idx AND h.back <= 10 JOIN near n ON n.item_a = c.item_idx AND n.item_b = h.item_idx LEFT JOIN items i ON i.item_idx = h.item_idx GROUP BY 1, 2),
+pop AS (SELECT item_idx, is_tail, (rank() OVER (ORDER BY train_count) + (count(*) OVER (PARTITION BY train_count) - 1) / 2.0::DOUBLE) / count(*) OVER () * 100 AS pct FROM stats),
+sem AS (SELECT user_idx, item_idx, (rank() OVER (PARTITION BY user_idx ORDER BY s) + (count(*) OVER (PARTITION BY user_idx, s) - 1) / 2.0::DOUBLE) / count(*) OVER (PARTITION BY user_idx) * 100 AS pct FROM (SELECT c.user_idx, c.item_idx, coalesce(score, 0) AS s FROM candidates c LEFT JOIN markov_scores USING (user_idx, item_idx))),
+evidence AS MATERIALIZED (SELECT c.user_idx, c.item_idx, 50.0::DOUBLE AS graph_pct, round(sem.pct, 6)::DOUBLE AS semantic_pct, coalesce(overlap, 0) AS overlap, array_to_string(coalesce(names, []), ', ') AS names, round(coalesce(pop.pct, 0), 6)::DOUBLE AS popularity_pct, coalesce(is_tail, false) AS is_tail
+  FROM candidates c JOIN sem USING (user_idx, item_idx) LEFT JOIN met USING (user_idx, item_idx) LEFT JOIN pop USING (item_idx))"""
+EVIDENCE_PARTS = (O.BASE, O.CANDIDATES, O.MARKOV, O.RECENT.format(n=50), EVIDENCE)
+
+
+def _evidence(c):
+    return rerank.evidence(c.candidates, c.train, c.items, c.stats, None, scorers.markov(c.candidates, c.train))
+
+
+@query(O.with_(*EVIDENCE_PARTS) + "SELECT * FROM evidence")
+def gala_evidence(c):
+    return _evidence(c).withColumn("semantic_pct", F.round("semantic_pct", 6)).withColumn("popularity_pct", F.round("popularity_pct", 6)).withColumn("names", F.array_join("names", ", "))
+
+
+@query(O.with_(*EVIDENCE_PARTS) + """SELECT user_idx, item_idx, md5('Graph: top ' || round_even(100 - graph_pct, 0)::INT || '% of candidates' || chr(10) || 'Text: top ' || round_even(100 - semantic_pct, 0)::INT || '% of candidates'
+  || CASE WHEN names <> '' THEN chr(10) || 'Often seen with: ' || names || ' (' || overlap || ')' ELSE '' END || chr(10) || 'Popularity: ' || CASE WHEN is_tail THEN 'bottom ' || round_even(popularity_pct, 0)::INT ELSE 'top ' || round_even(100 - popularity_pct, 0)::INT END || '%') AS digest FROM evidence""")
+def evidence_prompts(c):
+    e = _evidence(c)
+    text = rerank.evidence_lines(F.col("names"), F.round("graph_pct", 6), F.round("semantic_pct", 6), F.col("overlap"), F.round("popularity_pct", 6), F.col("is_tail"))
+    return e.select("user_idx", "item_idx", F.md5(text).alias("digest"))
+
+
+@query(r"SELECT doc_id, round(greatest(0, least(100, coalesce(nullif(regexp_extract(text, '\b\d+(?:\.\d+)?\b'), '')::DOUBLE, 0))), 6)::DOUBLE AS score, nullif(regexp_extract(text, '\b\d+(?:\.\d+)?\b'), '') IS NULL AS failed FROM documents WHERE text IS NOT NULL")
+def parse_scores(c):
+    docs = c.spark.read.parquet(f"{c.sf_dir}/documents.parquet").where("text is not null").select("doc_id", F.col("text").alias("answer"))
+    return rerank.generated_scores(docs).select("doc_id", r6(F.col("score"), "score"), "failed")
+
+
+@query(O.with_(O.BASE, O.CANDIDATES) + """, n AS (SELECT user_idx, max(pool_pos) AS n FROM candidates GROUP BY 1), said AS (SELECT user_idx, n, [(user_idx * 7) % 25, (user_idx * 3) % 20, 2, (user_idx * 7) % 25] AS a FROM n),
+good AS (SELECT user_idx, n, list_filter(a, lambda x: x >= 1 AND x <= n) AS a FROM said),
+firsts AS (SELECT user_idx, n, list_filter(a, lambda x, i: list_position(a, x) = i) AS a FROM good),
+ordered_all AS (SELECT user_idx, n, list_concat(a, list_filter(range(1, n + 1), lambda x: NOT list_contains(a, x))) AS a FROM firsts),
+placed AS (SELECT user_idx, n, unnest(a) AS pool_pos, generate_subscripts(a, 1) - 1 AS place FROM ordered_all)
+SELECT c.user_idx, c.item_idx, (n - place)::DOUBLE AS score FROM placed p JOIN candidates c ON c.user_idx = p.user_idx AND c.pool_pos = p.pool_pos""")
+def listwise_parse(c):
+    """Answers are made from the ids, with a repeat and places that are out of bounds."""
+    u = F.col("user_idx")
+    answers = c.candidates.select("user_idx").distinct().select("user_idx", F.concat(F.lit("Best: "), (u * 7 % 25).cast("string"), F.lit(", "), (u * 3 % 20).cast("string"), F.lit(" then 2, again "), (u * 7 % 25).cast("string"), F.lit(".")).alias("answer"))
+    return rerank.listwise_scores(c.candidates, answers)
+
+
+@query(O.with_(O.BASE, O.CANDIDATES, O.POPULARITY) + """, n AS (SELECT user_idx, max(pool_pos)::BIGINT AS n FROM candidates GROUP BY 1),
+p AS (SELECT user_idx, n, t.i AS pair, """ + O.DRAW.format(seed=42, cols="user_idx, t.i") + """ % n + 1 AS pa, """ + O.DRAW.format(seed=43, cols="user_idx, t.i") + """ % (n - 1) + 1 AS shift FROM n, range(1, 13) t(i)),
+ab AS (SELECT p.user_idx, a.item_idx AS a, b.item_idx AS b, sa.score >= sb.score AS a_wins FROM p JOIN candidates a ON a.user_idx = p.user_idx AND a.pool_pos = pa JOIN candidates b ON b.user_idx = p.user_idx AND b.pool_pos = (pa - 1 + shift) % n + 1
+  JOIN scored sa ON sa.user_idx = p.user_idx AND sa.item_idx = a.item_idx JOIN scored sb ON sb.user_idx = p.user_idx AND sb.item_idx = b.item_idx),
+won AS (SELECT user_idx, CASE WHEN a_wins THEN a ELSE b END AS item_idx, count(*)::DOUBLE AS score FROM ab GROUP BY 1, 2)
+SELECT c.user_idx, c.item_idx, coalesce(score, 0)::DOUBLE AS score FROM candidates c LEFT JOIN won USING (user_idx, item_idx)""")
+def pairwise_wins(c):
+    """Popularity judges the pairs."""
+    pairs = rerank.random_pairs(c.candidates, 12)
+    s = scorers.popularity(c.candidates, c.train)
+    a, b = s.select("user_idx", F.col("item_idx").alias("a"), F.col("score").alias("sa")), s.select("user_idx", F.col("item_idx").alias("b"), F.col("score").alias("sb"))
+    judged = pairs.join(a, ["user_idx", "a"]).join(b, ["user_idx", "b"]).withColumn("a_wins", F.col("sa") >= F.col("sb"))
+    return rerank.wins(c.candidates, judged)
+
+
+@query(O.with_(*POOLS) + """, places AS (SELECT p.model, p.user_idx, row_number() OVER (PARTITION BY p.model, p.user_idx ORDER BY coalesce(ic.c, 0) DESC, p.item_idx) AS r2, p.rank, p.item_idx = g.true_item AS is_gold FROM pools p JOIN gold g USING (user_idx) LEFT JOIN ic USING (item_idx))
+SELECT model, round(sum(CASE WHEN is_gold THEN 1 ELSE 0 END) / (SELECT count(*) FROM gold)::DOUBLE, 6) AS coverage, round(sum(CASE WHEN is_gold AND rank <= 10 THEN 1 ELSE 0 END) / (SELECT count(*) FROM gold)::DOUBLE, 6) AS retriever_recall_at_10,
+  round(sum(CASE WHEN is_gold AND r2 <= 10 THEN 1 ELSE 0 END) / (SELECT count(*) FROM gold)::DOUBLE, 6) AS e2e_recall_at_10, round(sum(CASE WHEN is_gold AND r2 <= 10 THEN 1 ELSE 0 END) / nullif(sum(CASE WHEN is_gold THEN 1 ELSE 0 END), 0)::DOUBLE, 6) AS conditional_recall_at_10 FROM places GROUP BY 1""")
+def end2end_decomposition(c):
+    """Retrieve, rerank (popularity stands for the reranker), and split the result: recall = coverage x conditional success."""
+    from pyspark.sql.window import Window
+
+    pop = c.train.groupBy("item_idx").agg(F.count(F.lit(1)).alias("n"))
+    again = F.row_number().over(Window.partitionBy("model", "user_idx").orderBy(F.desc("n"), "item_idx"))
+    rows = c.pools.join(pop, "item_idx", "left").na.fill(0, ["n"]).withColumn("again", again).join(c.gold.select("user_idx", "true_item"), "user_idx")
+    mine = (F.col("item_idx") == F.col("true_item")).cast("int")
+    sums = rows.groupBy("model").agg(F.sum(mine).alias("g"), F.sum(mine * (F.col("rank") <= 10).cast("int")).alias("a"), F.sum(mine * (F.col("again") <= 10).cast("int")).alias("b"))
+    total = c.gold.agg(F.count(F.lit(1)).alias("t"))
+    return sums.join(F.broadcast(total)).select("model", r6(F.col("g") / F.col("t"), "coverage"), r6(F.col("a") / F.col("t"), "retriever_recall_at_10"), r6(F.col("b") / F.col("t"), "e2e_recall_at_10"), r6(ceiling.conditional_success(F.col("b"), F.col("g")), "conditional_recall_at_10"))
+
+
+@query(O.with_(*POOLS, COVERAGE) + "SELECT (SELECT round(avg(CASE WHEN item_new THEN 1::DOUBLE ELSE 0 END), 6) FROM gold) AS item_new_share, (SELECT round(avg(coalesce(c, 0)), 6) FROM gold LEFT JOIN uc USING (user_idx)) AS mean_history, (SELECT round(avg(length(text)), 6) FROM gold JOIN items ON item_idx = true_item) AS mean_text_length, (SELECT max(coverage) FROM coverage WHERE scenario = 'overall' AND model IN ('itemknn', 'markov')) AS best_cf, (SELECT max(coverage) FROM coverage WHERE scenario = 'overall' AND model = 'embedding') AS best_content")
+def domain_diagnostic(c):
+    cov = metrics.coverage(c.pools, c.gold, RETRIEVED).where("scenario = 'overall'")
+    a = c.gold.agg(r6(F.avg(F.col("item_new").cast("double")), "item_new_share"))
+    b = c.gold.select("user_idx").join(split.user_counts(c.train), "user_idx", "left").agg(r6(F.avg(F.coalesce("train_user_count", F.lit(0))), "mean_history"))
+    d = c.gold.join(c.items, F.col("true_item") == F.col("item_idx")).agg(r6(F.avg(F.length("text")), "mean_text_length"))
+    best = cov.agg(F.max(F.when(F.col("model").isin("itemknn", "markov"), F.col("coverage"))).alias("best_cf"), F.max(F.when(F.col("model") == "embedding", F.col("coverage"))).alias("best_content"))
+    return a.join(b).join(d).join(best)
+
+
+@query(O.with_(O.BASE, O.MARKOV) + """, w AS (SELECT user_idx, item_idx, sum(0.8::DOUBLE ** (back - 1)) AS w FROM (SELECT *, row_number() OVER (PARTITION BY user_idx ORDER BY ts DESC, pos DESC) AS back FROM train) WHERE back <= 50 GROUP BY 1, 2)
+SELECT user_idx, count(*) AS n_items, round(sum(s), 4) AS total FROM (SELECT user_idx, item_to, sum(w * p) AS s FROM w JOIN moves ON item_from = item_idx GROUP BY 1, 2) GROUP BY 1""")
+def sequential_scores(c):
+    return trainers.decayed_markov(c.train).groupBy("user_idx").agg(F.count(F.lit(1)).alias("n_items"), r6(F.sum("score"), "total", 4))
+
+
+@query(O.with_(*POOLS) + """, g AS (SELECT user_idx, max(score) AS m FROM pools WHERE model = 'itemknn' GROUP BY 1), e AS (SELECT p.user_idx, rank, score, exp(score - m) / sum(exp(score - m)) OVER (PARTITION BY p.user_idx) AS p FROM pools p JOIN g USING (user_idx) WHERE model = 'itemknn')
+SELECT user_idx, round(max(score) FILTER (rank = 1), 6) AS top, round(coalesce(max(score) FILTER (rank = 1) - max(score) FILTER (rank = 2), 0), 6) AS margin, round(-sum(p * ln(p + 1e-12)), 6) AS entropy FROM e GROUP BY 1""")
+def gate_features(c):
+    g = ranking.gate_features(c.pools.where("model = 'itemknn'"))
+    return g.select("user_idx", *[r6(F.col(x), x) for x in ("top", "margin", "entropy")])
