@@ -12,7 +12,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankforge.operators.ranking import USER
+from rankforge.operators.ranking import by_user
 
 #: Components and budgets (fixed values).
 COMPONENTS = ("lightgcn", "itemknn", "sbert", "popularity")
@@ -32,7 +32,7 @@ def ordinal(models: Sequence[str]) -> Column:
 def by_priority(rows: DataFrame, priority: Sequence[Column], n: int | None) -> DataFrame:
     """user_idx, item_idx, rank by the least priority of each item; the first n if given."""
     first = rows.groupBy("user_idx", "item_idx").agg(F.min(F.struct(*[p.alias(f"p{i}") for i, p in enumerate(priority)])).alias("__p"))
-    ranked = first.withColumn("rank", F.row_number().over(USER.orderBy("__p", "item_idx")))
+    ranked = first.withColumn("rank", F.row_number().over(by_user().orderBy("__p", "item_idx")))
     return (ranked if n is None else ranked.where(F.col("rank") <= n)).select("user_idx", "item_idx", "rank")
 
 
@@ -40,7 +40,7 @@ def rrf(pools: DataFrame, models: Sequence[str], n: int, k: int = 60) -> DataFra
     """Sum of 1 / (k + rank); ties by the first component that lists the item, then by its rank there."""
     rows = pools.withColumn("__o", ordinal(models)).where("__o is not null")
     s = rows.groupBy("user_idx", "item_idx").agg(F.round(F.sum(1 / (k + F.col("rank"))), 12).alias("score"), F.min(F.struct("__o", "rank")).alias("__first"))
-    ranked = s.withColumn("rank", F.row_number().over(USER.orderBy(F.desc("score"), "__first")))
+    ranked = s.withColumn("rank", F.row_number().over(by_user().orderBy(F.desc("score"), "__first")))
     return ranked.where(F.col("rank") <= n).select("user_idx", "item_idx", "score", "rank")
 
 

@@ -107,13 +107,14 @@ def separation(scored: DataFrame, gold: DataFrame, bins: int = 100) -> DataFrame
         F.coalesce(F.stddev_samp(rel), F.lit(0.0)).alias("sr"), F.coalesce(F.stddev_samp(irr), F.lit(0.0)).alias("si"), F.min("score").alias("lo"), F.max("score").alias("hi"),
     )
     ranked = percentile_rank(df.select("score", "y"), "score", "p", by=None)
-    spearman = percentile_rank(ranked, "y", "q", by=None).agg(F.coalesce(F.nanvl(F.corr("p", "q"), F.lit(0.0)), F.lit(0.0)).alias("rho"))
+    spread = F.nullif(F.stddev_pop("p") * F.stddev_pop("q"), F.lit(0.0))
+    spearman = percentile_rank(ranked, "y", "q", by=None).agg(F.coalesce(F.covar_pop("p", "q") / spread, F.lit(0.0)).alias("rho"))
     bucket = F.least(F.lit(bins), F.floor((F.col("score") - F.col("lo")) / ((F.col("hi") - F.col("lo")) / bins)) + 1)
-    hist = df.join(F.broadcast(a)).where("hi > lo").groupBy(bucket.alias("b")).agg((F.count(rel) / F.max("n_relevant")).alias("dr"), (F.count(irr) / F.max("n_irrelevant")).alias("di"))
+    hist = df.join(F.broadcast(a)).where("hi > lo").groupBy(bucket.alias("b")).agg(F.try_divide(F.count(rel), F.max("n_relevant")).alias("dr"), F.try_divide(F.count(irr), F.max("n_irrelevant")).alias("di"))
     overlap = hist.agg(F.sum(F.least("dr", "di")).alias("ov"))
-    pooled = F.sqrt(((F.col("n_relevant") - 1) * F.col("sr") ** 2 + (F.col("n_irrelevant") - 1) * F.col("si") ** 2) / (F.col("n_relevant") + F.col("n_irrelevant") - 2))
-    d = F.when(pooled > 0, (F.col("mr") - F.col("mi")) / pooled).otherwise(0.0)
-    t = (F.col("mr") - F.col("mi")) / F.sqrt(F.col("sr") ** 2 / F.col("n_relevant") + F.col("si") ** 2 / F.col("n_irrelevant"))
+    pooled = F.sqrt(F.try_divide((F.col("n_relevant") - 1) * F.col("sr") ** 2 + (F.col("n_irrelevant") - 1) * F.col("si") ** 2, F.col("n_relevant") + F.col("n_irrelevant") - 2))
+    d = F.coalesce(F.try_divide(F.col("mr") - F.col("mi"), pooled), F.lit(0.0))
+    t = F.try_divide(F.col("mr") - F.col("mi"), F.sqrt(F.try_divide(F.col("sr") ** 2, F.col("n_relevant")) + F.try_divide(F.col("si") ** 2, F.col("n_irrelevant"))))
     r = lambda c, n: F.round(c, 4).alias(n)
     return a.join(spearman).join(overlap).select(
         "n_relevant", "n_irrelevant", r(F.col("mr"), "mean_relevant"), r(F.col("mi"), "mean_irrelevant"), r(F.col("sr"), "std_relevant"), r(F.col("si"), "std_irrelevant"),

@@ -6,9 +6,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
+
+def by_user() -> WindowSpec:
+    """The rows of a user. A function, as windows need a running session and modules must not."""
+    return Window.partitionBy("user_idx")
 
-USER = Window.partitionBy("user_idx")
 
 
 def tie_key(seed: int, *cols: str) -> Column:
@@ -49,7 +52,7 @@ def dense_index(ids: DataFrame, column: str, name: str, buckets: int = 256) -> D
 def rank_scored(scored: DataFrame, seed: int | None = 42, name: str = "rank") -> DataFrame:
     """Rank by falling score within a user; ties by draw (seed) or by item."""
     tie = [F.col("item_idx")] if seed is None else [tie_key(seed, "user_idx", "item_idx"), F.col("item_idx")]
-    return scored.withColumn(name, F.row_number().over(USER.orderBy(F.desc("score"), *tie)))
+    return scored.withColumn(name, F.row_number().over(by_user().orderBy(F.desc("score"), *tie)))
 
 
 def top(scored: DataFrame, n: int, seed: int | None = None) -> DataFrame:
@@ -67,19 +70,19 @@ def limit_candidates(pool: DataFrame, k: int) -> DataFrame:
     if "label" not in pool.columns:
         return pool.where(F.col("pool_pos") <= k)
     positive, head = F.col("label") == 1, F.col("__at") <= k
-    df = pool.withColumn("__at", F.row_number().over(USER.orderBy("pool_pos")))
-    df = df.withColumn("__pos", F.sum(positive.cast("int")).over(USER)).withColumn("__late", F.sum((positive & ~head).cast("int")).over(USER))
-    df = df.withColumn("__nth", F.sum(positive.cast("int")).over(USER.orderBy("__at")))
-    after = F.sum((~positive & head).cast("int")).over(USER.orderBy(F.desc("__at")))
+    df = pool.withColumn("__at", F.row_number().over(by_user().orderBy("pool_pos")))
+    df = df.withColumn("__pos", F.sum(positive.cast("int")).over(by_user())).withColumn("__late", F.sum((positive & ~head).cast("int")).over(by_user()))
+    df = df.withColumn("__nth", F.sum(positive.cast("int")).over(by_user().orderBy("__at")))
+    after = F.sum((~positive & head).cast("int")).over(by_user().orderBy(F.desc("__at")))
     df = df.withColumn("__back", after)
     keep = F.when(F.col("__pos") >= k, positive & (F.col("__nth") <= k)).otherwise((head & (positive | (F.col("__back") > F.col("__late")))) | (positive & ~head))
-    df = df.where(keep).withColumn("pool_pos", F.row_number().over(USER.orderBy("__at")))
+    df = df.where(keep).withColumn("pool_pos", F.row_number().over(by_user().orderBy("__at")))
     return df.select(*pool.columns)
 
 
 def recent(log: DataFrame, n: int) -> DataFrame:
     """The last n interactions of each user; ``back`` is 1 for the latest."""
-    return log.withColumn("back", F.row_number().over(USER.orderBy(F.desc("ts"), F.desc("pos")))).where(F.col("back") <= n)
+    return log.withColumn("back", F.row_number().over(by_user().orderBy(F.desc("ts"), F.desc("pos")))).where(F.col("back") <= n)
 
 
 def recent_items(log: DataFrame, n: int) -> DataFrame:
@@ -94,7 +97,7 @@ def last_item(log: DataFrame) -> DataFrame:
 
 def transitions(log: DataFrame) -> DataFrame:
     """(item_from, item_to, n): adjacent items of a user's history."""
-    nxt = F.lead("item_idx").over(USER.orderBy("ts", "pos"))
+    nxt = F.lead("item_idx").over(by_user().orderBy("ts", "pos"))
     return log.select(F.col("item_idx").alias("item_from"), nxt.alias("item_to"), "user_idx").where("item_to is not null").groupBy("item_from", "item_to").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -114,26 +117,26 @@ def percentile_rank(df: DataFrame, column: str, name: str, by: str | None = "use
 
 def minmax(df: DataFrame, column: str, name: str) -> DataFrame:
     """Scaled to 0..1 within a user; 0 where all values are equal."""
-    low, high = F.min(column).over(USER), F.max(column).over(USER)
+    low, high = F.min(column).over(by_user()), F.max(column).over(by_user())
     return df.withColumn(name, F.when(high <= low, 0.0).otherwise((F.col(column) - low) / (high - low)))
 
 
 def zscore(df: DataFrame, column: str, name: str) -> DataFrame:
-    return df.withColumn(name, (F.col(column) - F.avg(column).over(USER)) / (F.stddev_pop(column).over(USER) + 1e-8))
+    return df.withColumn(name, (F.col(column) - F.avg(column).over(by_user())) / (F.stddev_pop(column).over(by_user()) + 1e-8))
 
 
 def best_worst(scored: DataFrame, gold: DataFrame) -> DataFrame:
     """user_idx, best and worst rank of the gold item under ties; users whose gold has no score drop out."""
     df = scored.join(gold.select("user_idx", "true_item"), "user_idx")
-    own = F.max(F.when(F.col("item_idx") == F.col("true_item"), F.col("score"))).over(USER)
+    own = F.max(F.when(F.col("item_idx") == F.col("true_item"), F.col("score"))).over(by_user())
     df = df.withColumn("own", own).where("own is not null")
     return df.groupBy("user_idx").agg((F.sum((F.col("score") > F.col("own")).cast("int")) + 1).alias("best"), F.sum((F.col("score") >= F.col("own")).cast("int")).alias("worst"))
 
 
 def gate_features(ranked: DataFrame) -> DataFrame:
     """user_idx, top score, margin to the second, entropy of the softmax."""
-    df = ranked.withColumn("__e", F.exp(F.col("score") - F.max("score").over(USER)))
-    df = df.withColumn("__p", F.col("__e") / F.sum("__e").over(USER))
+    df = ranked.withColumn("__e", F.exp(F.col("score") - F.max("score").over(by_user())))
+    df = df.withColumn("__p", F.col("__e") / F.sum("__e").over(by_user()))
     first = F.max(F.when(F.col("rank") == 1, F.col("score")))
     second = F.max(F.when(F.col("rank") == 2, F.col("score")))
     return df.groupBy("user_idx").agg(first.alias("top"), F.coalesce(first - second, F.lit(0.0)).alias("margin"), (-F.sum(F.col("__p") * F.log(F.col("__p") + 1e-12))).alias("entropy"))

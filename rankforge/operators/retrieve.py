@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from rankforge.operators import scorers
-from rankforge.operators.ranking import USER, exclude, last_item, recent
+from rankforge.operators.ranking import by_user, exclude, last_item, recent
 
 
 def best(scores: DataFrame, seen: DataFrame, n: int, high_id: bool = False) -> DataFrame:
     tie = F.desc("item_idx") if high_id else F.col("item_idx")
-    ranked = exclude(scores, seen).withColumn("rank", F.row_number().over(USER.orderBy(F.desc("score"), tie)))
+    ranked = exclude(scores, seen).withColumn("rank", F.row_number().over(by_user().orderBy(F.desc("score"), tie)))
     return ranked.where(F.col("rank") <= n).select("user_idx", "item_idx", "score", "rank")
 
 
@@ -32,7 +32,7 @@ def by_global_order(order: DataFrame, users: DataFrame, seen: DataFrame, n: int)
     """The first n unseen items of one order for all users: a user needs no more than its first n + |seen| places."""
     had = seen.select("user_idx", "item_idx").distinct().groupBy("user_idx").agg(F.count(F.lit(1)).alias("had"))
     places = users.select("user_idx").distinct().join(had, "user_idx", "left").select("user_idx", F.explode(F.sequence(F.lit(1), F.coalesce("had", F.lit(0)) + n)).alias("place"))
-    rows = exclude(places.join(order, "place"), seen).withColumn("rank", F.row_number().over(USER.orderBy("place")))
+    rows = exclude(places.join(order, "place"), seen).withColumn("rank", F.row_number().over(by_user().orderBy("place")))
     return rows.where(F.col("rank") <= n).select("user_idx", "item_idx", "score", "rank")
 
 
@@ -135,7 +135,7 @@ def vector_neighbours(vectors: DataFrame, k: int = 50) -> DataFrame:
     unit = scorers.dense(scorers.unit_vectors(vectors), "item_idx")
     own = unit.select(F.col("item_idx").alias("user_idx"), F.col("v").alias("u"))
     near = dense_top(own, unit, k + 1, None, max(1, -(-vectors.count() // BLOCK))).where("user_idx != item_idx")
-    ranked = near.withColumn("rank", F.row_number().over(USER.orderBy(F.desc("score"), "item_idx"))).where(F.col("rank") <= k)
+    ranked = near.withColumn("rank", F.row_number().over(by_user().orderBy(F.desc("score"), "item_idx"))).where(F.col("rank") <= k)
     return ranked.select(F.col("user_idx").alias("item_a"), F.col("item_idx").alias("item_b"), F.col("score").alias("n"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from rankforge.operators.ranking import USER, draw, exclude, positions, tie_key
+from rankforge.operators.ranking import by_user, draw, exclude, positions, tie_key
 from rankforge.schema import SCENARIOS
 
 DAY = 86_400
@@ -48,7 +48,7 @@ def temporal_split(log: DataFrame, train: tuple[int, int] = (7, 10), valid_end:
 
 def leave_last(log: DataFrame, valid_n: int, test_n: int) -> DataFrame:
     """Per user: the last test_n rows are test, valid_n before them validation."""
-    back = F.row_number().over(USER.orderBy(F.desc("ts"), F.desc("item_idx"), F.desc("k1"), F.desc("k2")))
+    back = F.row_number().over(by_user().orderBy(F.desc("ts"), F.desc("item_idx"), F.desc("k1"), F.desc("k2")))
     return log.withColumn("part", F.when(back <= test_n, "test").when(back <= test_n + valid_n, "valid").otherwise("train"))
 
 
@@ -95,7 +95,7 @@ def primary() -> Column:
 
 def gold(test: DataFrame) -> DataFrame:
     """One row per user: the last test row, its item as true_item, with all its columns."""
-    last = test.withColumn("__back", F.row_number().over(USER.orderBy(F.desc("ts"), F.desc("pos")))).where("__back = 1").drop("__back")
+    last = test.withColumn("__back", F.row_number().over(by_user().orderBy(F.desc("ts"), F.desc("pos")))).where("__back = 1").drop("__back")
     return last.withColumnRenamed("item_idx", "true_item")
 
 
@@ -122,7 +122,7 @@ def _pool(gold_rows: DataFrame, seen: DataFrame, slots: DataFrame, size: DataFra
     tries = users.withColumn("try", F.explode(F.sequence(F.lit(1), F.lit(negatives * draws)))).join(F.broadcast(size))
     tries = tries.withColumn("slot", draw(seed, F.col("n"), "user_idx", "try")).join(slots, "slot").where("item_idx != true_item")
     tries = exclude(tries.groupBy("user_idx", "item_idx").agg(F.min("try").alias("try")), seen)
-    fill = tries.withColumn("pool_pos", F.row_number().over(USER.orderBy("try")) + 1).where(F.col("pool_pos") <= negatives + 1)
+    fill = tries.withColumn("pool_pos", F.row_number().over(by_user().orderBy("try")) + 1).where(F.col("pool_pos") <= negatives + 1)
     fill = fill.select("user_idx", "item_idx", F.lit(0).alias("label"), "pool_pos")
     return users.select("user_idx", F.col("true_item").alias("item_idx"), F.lit(1).alias("label"), F.lit(1).alias("pool_pos")).unionByName(fill)
 
@@ -132,7 +132,7 @@ def hard_first(pool: DataFrame, hard: DataFrame, negatives: int) -> DataFrame:
     first = hard.select("user_idx", "item_idx").distinct().join(pool.where("label = 1").select("user_idx", F.col("item_idx").alias("g")), "user_idx").where("item_idx != g")
     rows = pool.withColumn("__p", F.when(F.col("label") == 1, 0).otherwise(2)).unionByName(first.select("user_idx", "item_idx", F.lit(0).alias("label"), F.lit(0).alias("pool_pos"), F.lit(1).alias("__p")))
     rows = rows.withColumn("__r", F.row_number().over(Window.partitionBy("user_idx", "item_idx").orderBy("__p"))).where("__r = 1")
-    rows = rows.withColumn("pool_pos", F.row_number().over(USER.orderBy("__p", "pool_pos", "item_idx")))
+    rows = rows.withColumn("pool_pos", F.row_number().over(by_user().orderBy("__p", "pool_pos", "item_idx")))
     return rows.where(F.col("pool_pos") <= negatives + 1).select("user_idx", "item_idx", "label", "pool_pos")
 
 

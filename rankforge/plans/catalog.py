@@ -119,7 +119,7 @@ MIXED = "mixed AS MATERIALIZED (SELECT user_idx, item_idx, label, row_number() O
 
 def _mixed(c):
     """The pool in seeded order, so that the positive may stand anywhere."""
-    return c.candidates.withColumn("pool_pos", F.row_number().over(ranking.USER.orderBy(ranking.tie_key(7, "user_idx", "item_idx"), "item_idx")))
+    return c.candidates.withColumn("pool_pos", F.row_number().over(ranking.by_user().orderBy(ranking.tie_key(7, "user_idx", "item_idx"), "item_idx")))
 
 
 @query(O.with_(O.BASE, O.CANDIDATES, MIXED) + """, late AS (SELECT *, sum(CASE WHEN label = 1 AND pool_pos > 10 THEN 1 ELSE 0 END) OVER (PARTITION BY user_idx) AS late,

@@ -112,7 +112,7 @@ def mind(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFr
     shown = impressions(behaviors)
     log = past.unionByName(shown.where("clicked").drop("clicked")).dropna(subset=["user_id", "item_id", "timestamp"]).join(items.select("item_id"), "item_id", "left_semi")
     log = log.groupBy("user_id", "item_id").agg(F.min("timestamp").alias("timestamp")).withColumn("rating", F.lit(5.0))
-    hard = shown.where("not clicked").select("user_id", "item_id").distinct().join(items.select("item_id"), "item_id", "left_semi")
+    hard = shown.where("not clicked").select("user_id", "item_id").distinct().join(items.select("item_id"), "item_id", "left_semi").select("user_id", "item_id")
     return log_schema(log), items, hard
 
 
