@@ -34,11 +34,14 @@ END_ID = 1
 SEARCH_STEPS = 20_000
 #: Parts into which each length is dealt for numbering, so that a common length is not one task's work.
 PARTS = 64
+#: Code points of the texts that are encoded together.
+LOT = 1 << 20
 #: Words of which a worker keeps the ids.
 CACHE_WORDS = 400_000
 
 #: Parts words in the encoder's input.
 MARK = "|"
+LOT_WORDS = 512
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -61,15 +64,8 @@ class WordIds(dict):
         self.cores: dict[str, bytes] = {}
 
     def learn(self, words: set[str]) -> None:
-        if len(self) > CACHE_WORDS:
-            self.older = dict(self)
-            self.clear()
-        if len(self.cores) > CACHE_WORDS:
-            self.cores.clear()
         parts = {}
         for w in words:
-            if w in self:
-                continue
             if w in self.older:
                 self[w] = self.older[w]
                 continue
@@ -85,9 +81,9 @@ class WordIds(dict):
     def encode_all(self, words: list[str]) -> list[bytes]:
         """Ids of each word. Words go to the encoder in long texts, parted by a mark that is one token; words that hold the mark go alone."""
         plain = [i for i, w in enumerate(words) if MARK not in w]
-        lots = [plain[k : k + 2048] for k in range(0, len(plain), 2048)]
+        lots = [plain[k : k + LOT_WORDS] for k in range(0, len(plain), LOT_WORDS)]
         out = [b""] * len(words)
-        for lot, e in zip(lots, self.encoder.encode_batch([f" {MARK} ".join(words[i] for i in lot) for lot in lots], add_special_tokens=False), strict=True):
+        for lot, e in zip(lots, self.encoder.encode_batch_fast([f" {MARK} ".join(words[i] for i in lot) for lot in lots], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, "<u4")
             ends = np.append(np.flatnonzero(ids == self.mark), len(ids)).tolist()
             begin = 0
@@ -99,16 +95,22 @@ class WordIds(dict):
             out[i] = np.array(e.ids, "<u4").tobytes()
         return out
 
-    def encode(self, text: str) -> bytes:
-        for c in "\n\t\r":
-            if c in text:
-                text = text.replace(c, " ")
-        words = text.split(" ")
-        try:
-            return b"".join(map(self.__getitem__, words))
-        except KeyError:
-            self.learn(set(words))
-            return b"".join(map(self.__getitem__, words))
+    def encode_texts(self, texts: list[str]) -> Iterator[bytes]:
+        """Ids of each text; words that are new to the worker are encoded together."""
+        split = []
+        for text in texts:
+            for c in "\n\t\r":
+                if c in text:
+                    text = text.replace(c, " ")
+            split.append(text.split(" "))
+        if len(self) > CACHE_WORDS:
+            self.older = dict(self)
+            self.clear()
+        if len(self.cores) > CACHE_WORDS:
+            self.cores.clear()
+        self.learn(set().union(*split).difference(self))
+        for words in split:
+            yield b"".join(map(self.__getitem__, words))
 
 
 @cache
@@ -117,6 +119,19 @@ def word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
+def encoded(ids: WordIds, texts: pa.Array) -> Iterator[bytes]:
+    """Ids of a column's texts, in lots of bounded size; nulls are empty."""
+    lot: list[str] = []
+    held = 0
+    for t in texts:
+        lot.append(t.as_py() or "")
+        held += len(lot[-1])
+        if held > LOT:
+            yield from ids.encode_texts(lot)
+            lot, held = [], 0
+    yield from ids.encode_texts(lot)
+
+
 def cut_pieces(tokenizer: str, capacity: int):
     from rankforge.llm.packing import word_ids  # by name, so that workers keep one
 
@@ -125,8 +140,8 @@ def cut_pieces(tokenizer: str, capacity: int):
         end = np.array([END_ID], "<u4").tobytes()
         for b in batches:
             rows: list[tuple] = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                data = ids.encode(text.as_py() or "") + end
+            for doc, data in zip(b.column(0).to_pylist(), encoded(ids, b.column(1)), strict=True):
+                data += end
                 n = len(data) // 4
                 rows += [(doc, k, s, min(capacity, n - s), zlib.crc32(data[4 * s : 4 * (s + capacity)])) for k, s in enumerate(range(0, n, capacity))]
             cols = list(zip(*rows, strict=True)) or [()] * 5
