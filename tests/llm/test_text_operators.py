@@ -181,6 +181,17 @@ def test_divide_skip_finds_what_counting_finds():
         assert jaccard.Block(sets).search(q) == want
 
 
+def test_sketches_bound_the_difference():
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    for _ in range(40):
+        a, b = (np.unique(rng.integers(0, 1 << 64, rng.integers(1, 900), np.uint64)) for _ in range(2))
+        b = np.unique(np.concatenate([b, rng.choice(a, rng.integers(0, len(a) + 1))]))
+        assert jaccard.apart(jaccard.sketch(a), jaccard.sketch(b)) <= len(np.setxor1d(a, b))
+        assert jaccard.apart(jaccard.sketch(a), jaccard.sketch(a)) == 0
+
+
 # ---- substrings
 
 
