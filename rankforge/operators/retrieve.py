@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -83,8 +83,8 @@ def graph_expansion(users: DataFrame, train: DataFrame, edges: DataFrame, seen:
     return best(scorers.expand(history, edges, "item_a", "item_b", "n"), seen, n, high_id=True)
 
 
-#: Vectors of one block of the catalogue.
-BLOCK = 8192
+#: Vectors of one block of the catalogue, and users of one batch.
+BLOCK, BATCH = 8192, 4096
 
 
 def dense_top(users: DataFrame, items: DataFrame, n: int, extra: DataFrame | None = None, blocks: int = 1) -> DataFrame:
@@ -94,13 +94,13 @@ def dense_top(users: DataFrame, items: DataFrame, n: int, extra: DataFrame | Non
     product, and only the best n of a block leave it. ``extra`` has, by user, how many
     more items than n are wanted (as many as the user has seen).
     """
-    wanted = users if extra is None else users.join(extra, "user_idx", "left")
-    if extra is None:
-        wanted = wanted.withColumn("had", F.lit(0).cast("long"))
+    wanted = users.withColumn("had", F.lit(0).cast("long")) if extra is None else users.join(extra, "user_idx", "left")
+    # Every batch of users meets every block of items: both are as large as memory allows, as a block travels once for each batch.
+    batches = max(1, -(-users.count() // BATCH))
     parts = wanted.select("user_idx", "u", F.coalesce("had", F.lit(0).cast("long")).alias("had")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    parts = parts.withColumn("batch", F.pmod(F.xxhash64("user_idx"), F.lit(64)))
+    parts = parts.withColumn("batch", F.pmod(F.xxhash64("user_idx"), F.lit(batches)).cast("int"))
     held = items.withColumn("block", F.pmod(F.xxhash64("item_idx"), F.lit(blocks)).cast("int")).select("block", "item_idx", "v")
-    held = held.withColumn("batch", F.explode(F.sequence(F.lit(0), F.lit(63)).cast("array<bigint>")))
+    held = held.withColumn("batch", F.explode(F.sequence(F.lit(0), F.lit(batches - 1))))
 
     digits = scorers.DIGITS  # workers need not import the scorers
 
@@ -161,10 +161,3 @@ class Registry(dict[str, Callable[..., DataFrame]]):
                 continue
             pools = found if pools is None else pools.unionByName(found)
         return pools, failed
-
-
-def batches(rows: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
-    """Frames of at most ``size`` rows, for model plug-ins."""
-    for pdf in rows:
-        for at in range(0, len(pdf), size):
-            yield pdf.iloc[at : at + size]
