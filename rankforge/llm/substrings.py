@@ -44,7 +44,7 @@ SIDE = WINDOW - GRAM
 #: Suffixes of one group.
 GROUP = 512
 #: Rows whose trees are built at a time.
-CHUNK = 40_000
+CHUNK = 20_000
 NO_ID = -(1 << 63)
 #: Low bits of a sort key that hold a position; texts may have as many words.
 AT = np.uint64((1 << 28) - 1)
@@ -127,7 +127,7 @@ def contexts(rows: DataFrame) -> DataFrame:
             ends, flat = hits.offsets.to_numpy() - hits.offsets[0].as_py(), hits.flatten()
             where, part = (flat.field(c).to_numpy() for c in ("pos", "part"))
             out: list[list[np.ndarray]] = [[] for _ in range(7)]
-            held = 0
+            held = 0  # suffixes gathered so far
             for i, z in enumerate(b.column(1)):
                 h = word_hashes(d.decompress(z.as_buffer()))
                 at, keys, low, high = anchors_of(h)
@@ -267,22 +267,33 @@ def dedup(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         d = zstandard.ZstdDecompressor()
         for b in batches:
-            rows = []
-            for doc, z, hits in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
+            ids, hits = b.column(0).to_pylist(), b.column(2)
+            ends, flat = hits.offsets.to_numpy() - hits.offsets[0].as_py(), hits.flatten()
+            pos, bits = (flat.field(c).to_numpy() for c in ("pos", "bits"))
+            rows, held = [], 0
+            for i, z in enumerate(b.column(1)):
                 words = split_words(d.decompress(z.as_buffer()).decode("utf-8", "surrogatepass"))
                 n = len(words)
-                if hits:
+                own = slice(ends[i], ends[i + 1])
+                if ends[i + 1] > ends[i]:
                     edge = np.zeros(n + 1, np.int64)
-                    pos, bits = np.array([h["pos"] for h in hits]), np.array([h["bits"] for h in hits])
                     for o in range(PLACES):
-                        s = pos[(bits >> o) & 1 == 1] - o
+                        s = pos[own][(bits[own] >> o) & 1 == 1] - o
                         np.add.at(edge, s, 1)
                         np.add.at(edge, s + WINDOW, -1)
                     gone = np.cumsum(edge[:n]) > 0
                     words = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
                 kept = " ".join(words)
-                rows.append((None if doc == NO_ID else doc, n, n - len(words), kept, hashlib.sha256(kept.encode("utf-8", "surrogatepass")).hexdigest()))
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [()] * 5, types, strict=True)], [x.split()[0] for x in schema.split(", ")])
+                rows.append((None if ids[i] == NO_ID else ids[i], n, n - len(words), kept, hashlib.sha256(kept.encode("utf-8", "surrogatepass")).hexdigest()))
+                held += len(kept) + 200
+                if held > 4 << 20:
+                    yield batch(rows)
+                    rows, held = [], 0
+            if rows:
+                yield batch(rows)
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
+        return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], [x.split()[0] for x in schema.split(", ")])
 
     return packed(docs).join(flags, "doc_id", "left").select("doc_id", "z", "flags").mapInArrow(run, schema)
