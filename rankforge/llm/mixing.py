@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from rankforge.llm.workspace import Workspace
+from rankforge.llm.workspace import BROADCAST_ROWS, Workspace, small
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, MOST = 1.5, 2
@@ -110,37 +110,33 @@ def mix(docs: DataFrame, keep: Sequence[str] = ("doc_id",), weights: Sequence[fl
     """
     spark = docs.sparkSession
     work = Workspace(spark, "mixing")
-    own = ["__size", "__part", "__draw"]
     cols = [c for c in keep if c != "source"]
     sized = with_size(docs.select(*dict.fromkeys([*cols, "doc_id", "source", "text"])), "__size")
-    sized = sized.select(*cols, "source", F.col("doc_id").alias("__doc"), "__size", F.xxhash64(F.lit(seed), "doc_id").alias("__draw"))
+    # A source's key is never null, so joins and windows on it share one exchange.
+    key = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")).alias("__key")
+    sized = sized.select(*cols, "source", key, F.col("doc_id").alias("__doc"), "__size", F.xxhash64(F.lit(seed), "doc_id").alias("__draw"))
     sized = sized.withColumn("__part", F.pmod(F.shiftrightunsigned("__draw", 20), F.lit(PARTS)).cast("int"))
-    counts = work.table(sized.groupBy("source", "__size", "__part").agg(F.count(F.lit(1)).alias("n")), "counts")
-    per_source = counts.groupBy("source").agg(F.sum(F.col("__size") * F.col("n")).alias("words")).orderBy(F.col("source").asc_nulls_last()).collect()
+    counts = work.table(sized.groupBy("__key", "__size", "__part").agg(F.count(F.lit(1)).alias("n")), "counts")
+    per_source = counts.groupBy("__key").agg(F.sum(F.col("__size") * F.col("n")).alias("words")).orderBy((F.col("__key") == "").asc(), "__key").collect()
     sizes = [int(r["words"]) for r in per_source]
     want = targets(sizes, [weights[i % len(weights)] for i in range(len(sizes))], share, most)
     base = [min(most, int(t // n)) if n else 0 for t, n in zip(want, sizes, strict=True)]
-    schema = "source string, source_size long, target double, base int, budget long"
-    rows = [(r["source"], n, t, b, round(t - b * n)) for r, n, t, b in zip(per_source, sizes, want, base, strict=True)]
-    sources = spark.createDataFrame(rows, schema)
+    rows = [(r["__key"], n, t, b, round(t - b * n)) for r, n, t, b in zip(per_source, sizes, want, base, strict=True)]
+    sources = spark.createDataFrame(rows, "__key string, source_size long, target double, base int, budget long")
+    few = F.broadcast if len(rows) <= BROADCAST_ROWS else lambda df: df
 
-    by_size = counts.groupBy("source", "__size").agg(F.sum("n").alias("n"))
-    by_size = by_size.join(F.broadcast(sources.select("source", "budget")), by_size["source"].eqNullSafe(sources["source"]), "left").select(by_size["source"], "__size", "n", "budget")
+    by_size = counts.groupBy("__key", "__size").agg(F.sum("n").alias("n")).join(few(sources.select("__key", "budget")), "__key")
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         take = fit_budget(dict(zip(pdf["__size"].tolist(), pdf["n"].tolist(), strict=True)), int(pdf["budget"].iloc[0]))
-        return pd.DataFrame({"source": pdf["source"], "__size": pdf["__size"], "extra": [take.get(int(n), 0) for n in pdf["__size"]]})
+        return pd.DataFrame({"__key": pdf["__key"], "__size": pdf["__size"], "extra": [take.get(int(n), 0) for n in pdf["__size"]]})
 
     # One group has a row for each distinct size of a source.
-    extra = by_size.groupBy("source").applyInPandas(fit, "source string, __size long, extra long")
-    parts = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("source", "__size").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    same = lambda a, b: a["source"].eqNullSafe(b["source"]) & (a["__size"] == b["__size"])
-    quota = parts.join(extra, same(parts, extra), "left").select(parts["source"], parts["__size"], "__part", F.greatest(F.lit(0), F.least(F.col("n"), F.coalesce("extra", F.lit(0)) - F.col("before"))).alias("quota"))
+    extra = by_size.groupBy("__key").applyInPandas(fit, "__key string, __size long, extra long")
+    parts = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("__key", "__size").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    quota = parts.join(extra, ["__key", "__size"]).select("__key", "__size", "__part", F.greatest(F.lit(0), F.least(F.col("n"), F.col("extra") - F.col("before"))).alias("quota"))
     quota = work.table(quota, "quota")
-    ranked = sized.withColumn("__at", F.row_number().over(Window.partitionBy("source", "__size", "__part").orderBy("__draw", "__doc")))
-    out = ranked.join(quota, same(ranked, quota) & (ranked["__part"] == quota["__part"]), "left").select(*[ranked[c] for c in cols], ranked["source"], ranked["__size"], "__at", "quota")
-    out = out.join(F.broadcast(sources), out["source"].eqNullSafe(sources["source"]), "left").select(
-        *[out[c] for c in cols], out["source"], out["__size"].alias("size"), "source_size", "target",
-        (F.col("base") + (F.col("__at") <= F.col("quota")).cast("int")).alias("copies"),
-    )
+    at = F.row_number().over(Window.partitionBy("__key", "__size", "__part").orderBy("__draw", "__doc"))
+    out = sized.withColumn("__at", at).join(small(quota), ["__key", "__size", "__part"]).join(few(sources), "__key")
+    out = out.select(*cols, "source", F.col("__size").alias("size"), "source_size", "target", (F.col("base") + (F.col("__at") <= F.col("quota")).cast("int")).alias("copies"))
     return out.withColumn("taken", F.col("size") * F.col("copies"))
