@@ -54,6 +54,7 @@ def pairwise_prompt(history: Column, a: Column, b: Column) -> Column:
 
 def score_with(rows: DataFrame, scorer: Callable[[pd.DataFrame], pd.Series], column: str = "score", kind: str = "double", chunk: int = 20_000) -> DataFrame:
     """rows with a column from a plug-in, called on at most ``chunk`` rows at a time; a model is loaded once by a scorer that caches it."""
+    rows = rows.drop(column)
     schema = f"{', '.join(f'`{n}` {t}' for n, t in rows.dtypes)}, `{column}` {kind}"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

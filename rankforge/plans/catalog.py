@@ -1,4 +1,4 @@
-"""All queries over the reference's operators, by name, and the SQL that they are checked against.
+"""All queries over the recommender operators, by name, and the SQL that they are checked against.
 
 Every query runs over whole tables. Doubles are rounded in both engines before they
 are returned; windows have total orders.
@@ -413,7 +413,7 @@ GRID_SQL = "grid AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{m}', {q})" fo
 cov AS (SELECT q.quota_id, t.user_cold, coalesce(hits, 0) / n::DOUBLE AS coverage FROM (SELECT DISTINCT quota_id FROM grid) q CROSS JOIN (SELECT user_cold, count(*) AS n FROM gold GROUP BY 1) t LEFT JOIN hits h ON h.quota_id = q.quota_id AND h.user_cold = t.user_cold)
 SELECT user_cold, quota_id, round(coverage, 6) AS coverage FROM cov QUALIFY row_number() OVER (PARTITION BY user_cold ORDER BY coverage DESC, quota_id) = 1""")
 def quota_grid_best(c):
-    """Tuned on the evaluated users themselves: an upper bound, not a fair comparison (as in the fallback of the original tables)."""
+    """Tuned on the evaluated users themselves: an upper bound, not a fair comparison."""
     cov = fuse.quota_coverage(c.pools, c.gold, GRID, "user_cold")
     return fuse.tuned_quota(cov, "user_cold").select("user_cold", "quota_id", r6(F.col("coverage"), "coverage"))
 
