@@ -7,8 +7,8 @@ each query to the blocks of its nearest cells, ranks a block's codes by asymmetr
 distance tables, and reranks the best ``DEPTH`` distinct vectors of each block by the
 exact distance in double precision. The blocks' results meet by query.
 
-A query probes at least ``PROBES`` cells, and further ones until they hold enough
-candidates, so it finds k neighbours wherever there are k.
+How many cells a query probes is measured on the sample (``COVER``); it goes on until
+they hold enough candidates, so it finds k neighbours wherever there are k.
 
 Corner cases: vectors that are null, zero, of another length than most, or hold null
 or non-finite components take no part, nor do rows without an id; rows that share an
@@ -32,8 +32,10 @@ from rankforge.llm.workspace import Workspace
 
 SAMPLE, SEED = 20_000, 7
 CELLS, SUBSPACES, CODES = 128, 16, 256
-#: Isotropic vectors of 64 dimensions are the hardest case: their neighbours lie all over, so most cells are probed (recall: README).
-PROBES, DEPTH, K = 96, 100, 10
+DEPTH, K = 100, 10
+#: Cells that a query probes: as few as hold this share of the true neighbours of TRIED sample vectors within the sample.
+#: Clustered vectors need a few cells, isotropic ones, whose neighbours lie all over, most of them.
+COVER, TRIED = 0.98, 512
 #: Vectors of one block: half as many again as a cell has on average, within these bounds, which memory sets at the upper end.
 BLOCK = (256, 65_536)
 
@@ -65,6 +67,7 @@ class Index:
     centroids: np.ndarray
     books: list[np.ndarray]
     parts: list[tuple[int, int]]
+    probes: int
 
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         cell = nearest(x, self.centroids)
@@ -98,7 +101,22 @@ def fit(rows: DataFrame, cells: int = CELLS, sample: int = SAMPLE) -> Index | No
     rest = x - centroids[nearest(x, centroids)]
     cuts = np.linspace(0, x.shape[1], min(SUBSPACES, x.shape[1]) + 1).astype(int)
     parts = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
-    return Index(centroids, [kmeans(rest[:, a:b], min(CODES, len(x)), SEED + 1 + i, 8) for i, (a, b) in enumerate(parts)], parts)
+    return Index(centroids, [kmeans(rest[:, a:b], min(CODES, len(x)), SEED + 1 + i, 8) for i, (a, b) in enumerate(parts)], parts, calibrate(x, centroids))
+
+
+def calibrate(x: np.ndarray, centroids: np.ndarray, k: int = K) -> int:
+    """How many cells must be probed so that they hold COVER of the k nearest sample vectors of sample vectors."""
+    cell = nearest(x, centroids)
+    ask = x[:TRIED]
+    far = distances(ask, x)
+    far[np.arange(len(ask)), np.arange(len(ask))] = np.inf
+    k = min(k, len(x) - 1)
+    if k < 1:
+        return len(centroids)
+    true = np.argpartition(far, k - 1, 1)[:, :k]
+    place = np.argsort(np.argsort(distances(ask, centroids), 1, kind="stable"), 1)
+    ranks = np.sort(np.take_along_axis(place, cell[true], 1).ravel())
+    return int(ranks[min(len(ranks) - 1, int(np.ceil(COVER * len(ranks))))]) + 1
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -156,7 +174,7 @@ def search_block(index: Index, cell: int, queries: pd.DataFrame, rows: pd.DataFr
     return out
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = K, probes: int = PROBES, depth: int = DEPTH, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = K, probes: int | None = None, depth: int = DEPTH, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score (Euclidean distance): the k nearest found of each query's id, not itself."""
     spark = vectors.sparkSession
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -167,6 +185,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, probes: int = PRO
         return empty
     rows = rows.where(F.size("embedding") == size["d"])
     index = fit(rows)
+    probes = index.probes if probes is None else probes
     rows = work.table(encoded(rows, index), "encoded")
     held = {r["cell"]: r["count"] for r in rows.groupBy("cell").count().collect()}  # a row for each cell
     counts = np.array([held.get(c, 0) for c in range(len(index.centroids))])
