@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
+#: Equal ranges of values into which a global ranking is dealt.
+RANGES = 1024
+
+
 def by_user() -> WindowSpec:
     """The rows of a user. A function, as windows need a running session and modules must not."""
     return Window.partitionBy("user_idx")
@@ -107,11 +111,16 @@ def percentile_rank(df: DataFrame, column: str, name: str, by: str | None = "use
         w = Window.partitionBy(by)
         ties = Window.partitionBy(by, column)
         return df.withColumn(name, (F.rank().over(w.orderBy(column)) + (F.count(F.lit(1)).over(ties) - 1) / 2) / F.count(F.lit(1)).over(w) * 100)
-    # Over all rows: ranks of the distinct values, which are few, not of the rows.
+    # Over all rows: ranks of the distinct values, numbered within equal ranges of the values.
     counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("__n"))
-    below = F.coalesce(F.sum("__n").over(Window.orderBy(column).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    total = F.sum("__n").over(Window.partitionBy())
-    ranks = counts.select(column, ((below + (F.col("__n") + 1) / 2) / total * 100).alias(name))
+    ends = counts.agg(F.min(column).cast("double").alias("__lo"), F.max(column).cast("double").alias("__hi"), F.sum("__n").alias("__total"))
+    place = F.when(F.col("__hi") > F.col("__lo"), F.floor((F.col(column) - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * RANGES)).otherwise(0)
+    counts = counts.join(F.broadcast(ends)).withColumn("__range", place)
+    ranges = counts.groupBy("__range").agg(F.sum("__n").alias("__m"))
+    ranges = ranges.select("__range", F.coalesce(F.sum("__m").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    inside = F.coalesce(F.sum("__n").over(Window.partitionBy("__range").orderBy(column).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranks = counts.withColumn("__inside", inside).join(ranges, "__range")
+    ranks = ranks.select(column, ((F.col("__before") + F.col("__inside") + (F.col("__n") + 1) / 2) / F.col("__total") * 100).alias(name))
     return df.join(ranks, column)
 
 

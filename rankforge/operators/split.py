@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from rankforge.operators.ranking import by_user, draw, exclude, positions, tie_key
+from rankforge.operators.ranking import by_user, dense_index, draw, exclude, positions, tie_key
 from rankforge.schema import SCENARIOS
 
 DAY = 86_400
+#: Rows that are numbered together.
+SLOTS = 65_536
 
 
 def kcore(log: DataFrame, min_user: int, min_item: int, rounds: int = 50) -> DataFrame:
@@ -107,13 +109,13 @@ def scenario_rows(df: DataFrame, scenarios: tuple[str, ...] = SCENARIOS) -> Data
 
 def uniform_candidates(gold_rows: DataFrame, seen: DataFrame, items: DataFrame, negatives: int, seed: int = 42, draws: int = 4) -> DataFrame:
     """The gold item and ``negatives`` unseen items: seeded draws from the catalogue, ``draws`` times as many as wanted, not a product with it."""
-    at = items.select("item_idx").withColumn("slot", F.row_number().over(Window.orderBy("item_idx")) - 1)
+    at = dense_index(items, "item_idx", "slot")
     return _pool(gold_rows, seen, at, items.agg(F.count(F.lit(1)).alias("n")), negatives, seed, draws)
 
 
 def popularity_candidates(gold_rows: DataFrame, seen: DataFrame, train: DataFrame, negatives: int, seed: int = 42, draws: int = 8) -> DataFrame:
     """As uniform_candidates; a draw is a random training row, so items come in proportion to their counts."""
-    at = train.select("item_idx", (F.row_number().over(Window.orderBy("pos")) - 1).alias("slot"))
+    at = positions(train.select("item_idx", "pos"), F.floor(F.col("pos") / SLOTS), ["pos"], "slot").select("item_idx", (F.col("slot") - 1).alias("slot"))
     return _pool(gold_rows, seen, at, train.agg(F.count(F.lit(1)).alias("n")), negatives, seed, draws)
 
 

@@ -66,6 +66,15 @@ def test_constant_scores(spark):
     assert sep["overlap_coef"] == 1.0 and sep["cohens_d"] == 0.0 and sep["spearman_r"] == 0.0
 
 
+@given(st.lists(st.sampled_from([0.0, 0.5, 1.0, -3.25, 1e9, 7.0]), min_size=1, max_size=12))
+@FEW
+def test_global_percentiles(spark, values):
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i long, v double")
+    for r in ranking.percentile_rank(df, "v", "p", by=None).collect():
+        below, same = sum(x < r["v"] for x in values), sum(x == r["v"] for x in values)
+        assert r["p"] == pytest.approx((below + (same + 1) / 2) / len(values) * 100)
+
+
 def test_evaluate_counts_exposure(spark):
     s = scored(spark, [(1, 10, 2), (1, 11, 1), (2, 10, 2), (9, 12, 5)])
     tails = spark.createDataFrame([(10, 5, False), (11, 1, True), (12, 1, True)], "item_idx long, train_count long, is_tail boolean")
