@@ -24,6 +24,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rankforge.llm.workspace import bounded_batches
+
 #: Control strings of the format (fixed values).
 BEGIN, HEAD, BODY, END = "<s>", "[INST]", "[/INST]", "</s>"
 CONTROL = r"(\\|<s>|</s>|\[INST\]|\[/INST\])"
@@ -131,6 +133,7 @@ def format_chats(turns: DataFrame) -> DataFrame:
     A conversation is one string, so it is the unit of work: rows go to tasks by
     conv_id, and a task holds one batch of rows and one conversation at a time.
     """
+    bounded_batches(turns.sparkSession)
     turns = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"))
     dealt = turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
     return dealt.select("conv_id", "role", "text").mapInArrow(_format, COLUMNS)

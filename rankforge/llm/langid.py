@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rankforge.llm.workspace import bounded_batches
+
 BUCKETS = 1 << 15
 #: Code points worked on at a time; longer texts are taken in overlapping parts.
 BLOCK = 1 << 19
@@ -88,6 +90,7 @@ def fit(docs: DataFrame, lang: str = "lang") -> Model:
             at = np.flatnonzero(n)
             yield pa.record_batch([pa.array([k] * len(at), pa.string()), pa.array(at), pa.array(n[at])], ["lang", "bucket", "n"])
 
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(lang).cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where("lang is not null and text is not null")
     found = rows.mapInArrow(run, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     table = found.toArrow()
@@ -145,6 +148,7 @@ def infer(model: Model, owner: np.ndarray, bucket: np.ndarray, docs: int) -> tup
 
 def detect(docs: DataFrame, model: Model) -> DataFrame:
     """docs with lang_pred and score (the estimated proportion of that language)."""
+    bounded_batches(docs.sparkSession)
     docs = docs.drop("lang_pred", "score")
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     column = docs.columns.index("text")

@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rankforge.llm.workspace import bounded_batches
+
 UNIT, RATE = 192, 16_000
 UP, DOWN, TAPS = 1, 2, 16
 WINDOW, HOP, MELS, FRAMES = 256, 128, 16, 32
@@ -159,6 +161,7 @@ def _seconds(pairs: list[tuple[float, float]]) -> list[dict]:
 
 def audio_columns(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes (unpadded), media (WAV), tensors with their spans, segments, n_frames of every text."""
+    bounded_batches(docs.sparkSession)
     types = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.list_(pa.float32())), *[pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())]))] * 2, pa.int64()]
     names = [c.split()[0] for c in COLUMNS.replace("start_s:double,end_s:double", "").split(", ")]
 

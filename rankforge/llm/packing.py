@@ -21,6 +21,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,8 +35,8 @@ END_ID = 1
 SEARCH_STEPS = 20_000
 #: Parts into which each length is dealt for numbering, so that a common length is not one task's work.
 PARTS = 64
-#: Code points of the texts that are encoded together.
-LOT = 1 << 20
+#: Bytes of the texts that are encoded together.
+LOT = 8 << 20
 #: Words of which a worker keeps the ids.
 CACHE_WORDS = 400_000
 
@@ -47,36 +48,16 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 class WordIds(dict):
-    """word -> its ids as little-endian 32-bit bytes. The tokenizer never joins what white space parts, so texts can be encoded by word.
-
-    Nor does it join a letter and the points or commas after it, and it lower-cases:
-    so a new word is looked up without them, in lower case, before it is encoded.
-    When the words are too many, those not met since the last time are forgotten.
-    """
+    """word -> its ids as little-endian 32-bit bytes. The tokenizer never joins what white space parts, so texts can be encoded by word."""
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.encoder = Tokenizer.from_file(path)
+        self.encoder.model._resize_cache(0)  # words come once, so its own cache only costs
         (self.mark,) = self.encoder.encode(MARK, add_special_tokens=False).ids
-        self.older: dict[str, bytes] = {}
-        self.cores: dict[str, bytes] = {}
-
-    def learn(self, words: set[str]) -> None:
-        parts = {}
-        for w in words:
-            if w in self.older:
-                self[w] = self.older[w]
-                continue
-            core = w.rstrip(".,")
-            tail = w[len(core) :] if core and core[-1].isalpha() else ""
-            core = core if tail else w
-            parts[w] = (core.lower() if core.isascii() else core, tail)
-        new = list({x for p in parts.values() for x in p if x not in self.cores})
-        self.cores.update(zip(new, self.encode_all(new), strict=True))
-        for w, (core, tail) in parts.items():
-            self[w] = self.cores[core] + self.cores[tail]
+        self.tails = np.array([self.encoder.encode(f"a{c}", add_special_tokens=False).ids[1] for c in ".,"], "<u4")
 
     def encode_all(self, words: list[str]) -> list[bytes]:
         """Ids of each word. Words go to the encoder in long texts, parted by a mark that is one token; words that hold the mark go alone."""
@@ -95,22 +76,50 @@ class WordIds(dict):
             out[i] = np.array(e.ids, "<u4").tobytes()
         return out
 
-    def encode_texts(self, texts: list[str]) -> Iterator[bytes]:
-        """Ids of each text; words that are new to the worker are encoded together."""
-        split = []
-        for text in texts:
-            for c in "\n\t\r":
-                if c in text:
-                    text = text.replace(c, " ")
-            split.append(text.split(" "))
+    def encode_texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, where each text's ids end); nulls are empty.
+
+        Arrow numbers the words of the texts, and again what is left of the distinct
+        ones without case and a last point or comma, neither of which the tokenizer
+        joins to a letter. What is new of that is encoded together; ids are gathered by number.
+        """
+        texts = pc.fill_null(texts, "")
+        for c in "\n\t\r":
+            texts = pc.replace_substring(texts, pattern=c, replacement=" ")
+        lists = pc.split_pattern(texts, pattern=" ")
+        ends = lists.offsets.to_numpy()[1:] - lists.offsets[0].as_py()
+        coded = lists.flatten().dictionary_encode()
+        words, code = coded.dictionary, coded.indices.to_numpy()
+
+        tail = np.where(pc.match_substring_regex(words, pattern=r"[A-Za-z]\.$"), 1, np.where(pc.match_substring_regex(words, pattern="[A-Za-z],$"), 2, 0))
+        cores = pc.if_else(pa.array(tail > 0), pc.utf8_slice_codeunits(words, 0, -1), words)
+        # Only of ASCII is lower case the same before and after normalisation; the mark is part of special tokens.
+        plain = pc.and_(pc.string_is_ascii(cores), pc.invert(pc.match_substring(cores, pattern=MARK)))
+        cores = pc.if_else(plain, pc.ascii_lower(cores), cores).dictionary_encode()
+        keys, core = cores.dictionary.to_pylist(), cores.indices.to_numpy()
         if len(self) > CACHE_WORDS:
-            self.older = dict(self)
             self.clear()
-        if len(self.cores) > CACHE_WORDS:
-            self.cores.clear()
-        self.learn(set().union(*split).difference(self))
-        for words in split:
-            yield b"".join(map(self.__getitem__, words))
+        new = [w for w in keys if w not in self]
+        self.update(zip(new, self.encode_all(new), strict=True))
+        known = list(map(self.__getitem__, keys))
+        size = np.fromiter(map(len, known), np.int64, len(known)) // 4
+
+        # Ids of each distinct word, then of each word.
+        ids, n = gather(np.frombuffer(b"".join(known), "<u4"), size, core, tail > 0)
+        ids[np.cumsum(n)[tail > 0] - 1] = self.tails[tail[tail > 0] - 1]
+        ids, n = gather(ids, n, code, np.zeros(len(code), bool))
+        return ids, np.concatenate([[0], np.cumsum(n)])[ends]
+
+
+def gather(ids: np.ndarray, size: np.ndarray, at: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the runs of ids with these numbers, one after the other, with a free place behind those that have more; their lengths)."""
+    begin, n = np.cumsum(size) - size, size[at]
+    length = n + more
+    start = np.cumsum(length) - length
+    out = np.zeros(int(length.sum()), "<u4")
+    inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    out[np.repeat(start, n) + inside] = ids[np.repeat(begin[at], n) + inside]
+    return out, length
 
 
 @cache
@@ -120,16 +129,17 @@ def word_ids(path: str) -> WordIds:
 
 
 def encoded(ids: WordIds, texts: pa.Array) -> Iterator[bytes]:
-    """Ids of a column's texts, in lots of bounded size; nulls are empty."""
-    lot: list[str] = []
-    held = 0
-    for t in texts:
-        lot.append(t.as_py() or "")
-        held += len(lot[-1])
-        if held > LOT:
-            yield from ids.encode_texts(lot)
-            lot, held = [], 0
-    yield from ids.encode_texts(lot)
+    """Ids of a column's texts, in lots of bounded size."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + LOT, "right")))
+        every, ends = ids.encode_texts(texts.slice(at, to - at))
+        begin = 0
+        for end in ends.tolist():
+            yield every[begin:end].tobytes()
+            begin = end
+        at = to
 
 
 def cut_pieces(tokenizer: str, capacity: int):

@@ -22,10 +22,23 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Rows of an Arrow batch. The default of Spark, 10,000, is a gigabyte of long texts.
+BATCH_ROWS = 2048
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lets Python workers of this session take at most BATCH_ROWS rows at a time; smaller settings stay."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name, "10000"))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 class Workspace:
     """Named Parquet tables of one run of an operator. Written tables survive lost executors and are read instead of recomputed."""
 
     def __init__(self, spark: SparkSession, name: str) -> None:
+        bounded_batches(spark)
         self.spark, self.root = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
