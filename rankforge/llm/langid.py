@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rankforge.llm.workspace import bounded_batches
+from rankforge.llm.workspace import bounded_batches, releasing
 
 BUCKETS = 1 << 15
 #: Code points worked on at a time; longer texts are taken in overlapping parts.
@@ -92,7 +92,7 @@ def fit(docs: DataFrame, lang: str = "lang") -> Model:
 
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(lang).cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where("lang is not null and text is not null")
-    found = rows.mapInArrow(run, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    found = rows.mapInArrow(releasing(run), "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     table = found.toArrow()
     counts: dict[str, np.ndarray] = {}
     bucket, n = table["bucket"].to_numpy(), table["n"].to_numpy()
@@ -182,7 +182,7 @@ def detect(docs: DataFrame, model: Model) -> DataFrame:
             settle()
             yield pa.record_batch([*b.columns, pa.array(lang, pa.string()), pa.array(score)], [*b.schema.names, "lang_pred", "score"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(releasing(run), schema)
 
 
 def held_out(doc_id: str = "doc_id") -> F.Column:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankforge.llm.workspace import bounded_batches
+from rankforge.llm.workspace import bounded_batches, releasing
 
 UNIT, RATE = 192, 16_000
 UP, DOWN, TAPS = 1, 2, 16
@@ -181,7 +181,7 @@ def audio_columns(docs: DataFrame) -> DataFrame:
         if rows[0]:
             yield _batch(rows, types, names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, COLUMNS)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(releasing(run), COLUMNS)
 
 
 def _batch(rows: list[list], types: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
@@ -211,4 +211,4 @@ def digests(media: DataFrame) -> DataFrame:
             cols = list(zip(*rows, strict=True)) or [()] * 8
             yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, types, strict=True)], [x.split()[0] for x in schema.split(", ")])
 
-    return media.select("doc_id", "n_bytes", "media", "tensors", "segments", "n_frames").mapInArrow(run, schema)
+    return media.select("doc_id", "n_bytes", "media", "tensors", "segments", "n_frames").mapInArrow(releasing(run), schema)

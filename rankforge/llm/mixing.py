@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from rankforge.llm.workspace import BROADCAST_ROWS, Workspace, small
+from rankforge.llm.workspace import BROADCAST_ROWS, Workspace, releasing, small
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, MOST = 1.5, 2
@@ -48,7 +48,7 @@ def with_size(docs: DataFrame, name: str = "size") -> DataFrame:
             n = pc.fill_null(pc.cast(pc.count_substring_regex(b.column(at), pattern=r"[^\x20\x09-\x0D]+"), pa.int64()), 0)
             yield pa.record_batch([*b.columns, n], [*b.schema.names, name])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(releasing(run), schema)
 
 
 def targets(sizes: Sequence[float], weights: Sequence[float], share: float = SHARE, most: float = MOST) -> list[float]:

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from rankforge.llm.workspace import Workspace
+from rankforge.llm.workspace import Workspace, releasing
 
 CAPACITY = 4096
 END_ID = 1
@@ -38,7 +38,7 @@ PARTS = 64
 #: Bytes of the texts that are encoded together.
 LOT = 8 << 20
 #: Words of which a worker keeps the ids.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 500_000
 
 #: Parts words in the encoder's input.
 MARK = "|"
@@ -124,7 +124,7 @@ def gather(ids: np.ndarray, size: np.ndarray, at: np.ndarray, more: np.ndarray)
 
 @cache
 def word_ids(path: str) -> WordIds:
-    """One for each worker process, so that tasks that follow each other share it."""
+    """One encoder for each worker process; the words are forgotten after each task."""
     return WordIds(path)
 
 
@@ -157,8 +157,9 @@ def cut_pieces(tokenizer: str, capacity: int):
             cols = list(zip(*rows, strict=True)) or [()] * 5
             types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        ids.clear()
 
-    return run
+    return releasing(run)
 
 
 def complete_bin(space: int, lengths: list[int], left: dict[int, int], steps: int = SEARCH_STEPS) -> list[int]:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankforge.llm.words import BASE, gram_hashes, mix, split_words, word_hashes
-from rankforge.llm.workspace import Workspace
+from rankforge.llm.workspace import Workspace, releasing
 
 WINDOW, GRAM = 20, 6
 #: Places in a window where its anchor can be.
@@ -91,7 +91,7 @@ def anchors(docs: DataFrame) -> DataFrame:
             if key:
                 yield pa.record_batch([pa.array(np.concatenate(key).view(np.int64)), pa.array(np.concatenate(doc).astype(np.int64)), pa.array(np.concatenate(pos).astype(np.int32))], ["key", "doc_id", "pos"])
 
-    return documents(docs).mapInArrow(run, "key long, doc_id long, pos int")
+    return documents(docs).mapInArrow(releasing(run), "key long, doc_id long, pos int")
 
 
 def packed(docs: DataFrame) -> DataFrame:
@@ -102,7 +102,7 @@ def packed(docs: DataFrame) -> DataFrame:
         for b in batches:
             yield pa.record_batch([b.column(0), pa.array([z.compress(t.as_buffer() or b"") for t in b.column(1)], pa.binary())], ["doc_id", "z"])
 
-    return documents(docs).mapInArrow(run, "doc_id long, z binary")
+    return documents(docs).mapInArrow(releasing(run), "doc_id long, z binary")
 
 
 def sides_of(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -152,7 +152,7 @@ def contexts(rows: DataFrame) -> DataFrame:
         ints = [pa.array(x.astype(np.int32)) for x in (own, at, low, high)]
         return pa.record_batch([pa.array(key), ints[0], pa.array(doc.astype(np.int64)), *ints[1:], binary], [x.split()[0] for x in schema.split(", ")])
 
-    return rows.select("doc_id", "z", "hits").mapInArrow(run, schema)
+    return rows.select("doc_id", "z", "hits").mapInArrow(releasing(run), schema)
 
 
 def tree_levels(root: np.ndarray, words: np.ndarray) -> list[np.ndarray]:
@@ -249,7 +249,7 @@ def repeats(docs: DataFrame, work: Workspace) -> DataFrame:
     per_doc = hits.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "key", "part")).alias("hits"))
     rows = contexts(packed(docs).join(per_doc, "doc_id"))
     dealt = rows.repartition("key", "part").sortWithinPartitions("key", "part", "doc_id", "pos")
-    built = work.table(dealt.mapInArrow(build, "doc_id long, pos int, bits int, more long, start int"), "built")
+    built = work.table(dealt.mapInArrow(releasing(build), "doc_id long, pos int, bits int, more long, start int"), "built")
     work.drop("hits")
     on = built.where("more is not null").select("more", "doc_id", "start")
     first = on.groupBy("more").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -296,4 +296,4 @@ def dedup(docs: DataFrame) -> DataFrame:
         types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
         return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], [x.split()[0] for x in schema.split(", ")])
 
-    return packed(docs).join(flags, "doc_id", "left").select("doc_id", "z", "flags").mapInArrow(run, schema)
+    return packed(docs).join(flags, "doc_id", "left").select("doc_id", "z", "flags").mapInArrow(releasing(run), schema)

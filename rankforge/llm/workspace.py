@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +36,31 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_ROWS))
 
 
+def release() -> None:
+    """Hands memory that a worker has freed back to the system; at the end of a task, as workers outlive tasks and their allocators keep what they had."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library: it keeps the memory
+
+
+def releasing(work: Callable[[Iterator[Any]], Iterator[Any]]) -> Callable[[Iterator[Any]], Iterator[Any]]:
+    """A function of batches that calls ``release`` when it is through."""
+
+    def run(batches: Iterator[Any]) -> Iterator[Any]:
+        try:
+            yield from work(batches)
+        finally:
+            release()
+
+    return run
+
+
 class Workspace:
     """Named Parquet tables of one run of an operator. Written tables survive lost executors and are read instead of recomputed."""
 
