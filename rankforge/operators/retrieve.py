@@ -105,7 +105,7 @@ def dense_top(users: DataFrame, items: DataFrame, n: int, extra: DataFrame | Non
     digits = scorers.DIGITS  # workers need not import the scorers
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out: list[pd.DataFrame] = []
+        users, found, scores = [], [], []
         if len(left) and len(right):
             right = right.sort_values("item_idx")
             ids, v = right["item_idx"].to_numpy(), np.stack(right["v"].to_numpy()).astype(np.float64)
@@ -113,9 +113,16 @@ def dense_top(users: DataFrame, items: DataFrame, n: int, extra: DataFrame | Non
                 part = left.iloc[at : at + 512]
                 s = np.round(np.stack(part["u"].to_numpy()).astype(np.float64) @ v.T, digits)
                 for user, had, row in zip(part["user_idx"], part["had"], s, strict=True):
-                    take = np.argsort(-row, kind="stable")[: n + int(had)]
-                    out.append(pd.DataFrame({"user_idx": user, "item_idx": ids[take], "score": row[take]}))
-        return pd.concat(out) if out else pd.DataFrame({"user_idx": [], "item_idx": [], "score": []})
+                    k = min(len(row), n + int(had))
+                    # All that tie with the k-th stay until they are ordered by item.
+                    near = np.flatnonzero(row >= np.partition(row, len(row) - k)[len(row) - k])
+                    near = near[np.argsort(-row[near], kind="stable")[:k]]
+                    users.append(np.full(k, user, np.int64))
+                    found.append(ids[near])
+                    scores.append(row[near])
+        if not users:
+            return pd.DataFrame({"user_idx": [], "item_idx": [], "score": []})
+        return pd.DataFrame({"user_idx": np.concatenate(users), "item_idx": np.concatenate(found), "score": np.concatenate(scores)})
 
     return parts.groupBy("block", "batch").cogroup(held.groupBy("block", "batch")).applyInPandas(run, "user_idx long, item_idx long, score double")
 
