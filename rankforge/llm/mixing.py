@@ -33,6 +33,8 @@ SHARE, MOST = 1.5, 2
 SEED = 20_240
 #: Words of a budget that dynamic programming fits; its tables hold WINDOW bits for each step.
 WINDOW = 1 << 16
+#: Columns of the result; columns of the input with these names, besides source, do not pass through.
+RESULTS = ("source", "size", "source_size", "target", "copies", "taken")
 #: Parts into which the documents of one size and source are dealt for numbering.
 PARTS = 256
 
@@ -110,7 +112,7 @@ def mix(docs: DataFrame, keep: Sequence[str] = ("doc_id",), weights: Sequence[fl
     """
     spark = docs.sparkSession
     work = Workspace(spark, "mixing")
-    cols = [c for c in keep if c != "source"]
+    cols = [c for c in keep if c not in RESULTS]
     sized = with_size(docs.select(*dict.fromkeys([*cols, "doc_id", "source", "text"])), "__size")
     # A source's key is never null, so joins and windows on it share one exchange.
     key = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")).alias("__key")

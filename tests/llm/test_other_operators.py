@@ -226,7 +226,8 @@ def test_mixing_query(spark, sf):
 
 def test_mixing_corner_cases(spark):
     rows = [(1, None, None, "a"), (2, "", None, "a"), (3, "x y z", None, None), (3, "x y z", None, None), (4, "w " * 50, None, "b"), (None, "q", None, "b"), (5, "v " * 500, None, "é")]
-    got = mixing.mix(docs(spark, rows), keep=("doc_id", "n_chars")).collect()
+    got = mixing.mix(docs(spark, rows), keep=("doc_id", "n_chars", "size", "length")).collect()
+    assert all(isinstance(r["size"], int) and r["length"] == 5 for r in got)
     assert len(got) == len(rows) and {r["source_size"] for r in got if r["source"] is None} == {6}
     assert all(r["copies"] in (0, 1, 2) and r["taken"] == r["copies"] * r["size"] for r in got)
     assert mixing.mix(docs(spark, rows).where("doc_id = 77")).collect() == []
