@@ -1,7 +1,7 @@
 """URL filters: host and path rules, and association rules for what they leave open.
 
 Rules (host, path, verdict) judge the urls that they fit; the longest wins. Those
-urls, labelled by their rules, are transactions of tokens (host labels, path
+urls, labelled by their rules, are transactions of tokens (host words, path
 segments, file endings, query keys); FP-growth mines token sets that go along with
 a verdict, and rules with enough support and confidence judge the urls left: an
 inverted index leads from each rule's rarest token to the rule, all its tokens must
@@ -50,14 +50,13 @@ def rule_of(rules: Sequence[tuple[str, str, str]]) -> tuple[Column, Column]:
 
 
 def tokens() -> Column:
-    """The distinct tokens of a url, sorted: host labels, path words (numbers as #), ending, query keys."""
+    """The distinct tokens of a url, sorted: words of the host, path words (numbers as #), ending, query keys."""
     words = lambda c, by: F.filter(F.split(c, by), lambda x: x != "")
-    host = F.transform(words(F.col("host"), r"\."), lambda x: F.concat(F.lit("host="), x))
-    label = F.transform(words(F.col("host"), r"[.-]"), lambda x: F.concat(F.lit("word="), x))
+    host = F.transform(words(F.col("host"), r"[.-]"), lambda x: F.concat(F.lit("host="), x))
     path = F.transform(words(F.regexp_replace("path", r"\.[A-Za-z0-9]+$", ""), "/"), lambda x: F.concat(F.lit("path="), F.regexp_replace(x, "[0-9]+", "#")))
     ending = F.filter(F.array(F.concat(F.lit("end="), F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))), lambda x: x != "end=")
     query = F.transform(words(F.regexp_extract("__url", r"\?([^#]*)", 1), "&"), lambda x: F.concat(F.lit("key="), F.regexp_extract(x, "^[^=]*", 0)))
-    return F.array_sort(F.array_distinct(F.concat(host, label, path, ending, F.coalesce(query, F.array().cast("array<string>")))))
+    return F.array_sort(F.array_distinct(F.concat(host, path, ending, F.coalesce(query, F.array().cast("array<string>")))))
 
 
 def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
