@@ -18,6 +18,7 @@ import os
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,7 @@ PARTS = 64
 #: Bytes of the texts that are encoded together.
 LOT = 8 << 20
 #: Words of which a worker keeps the ids.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 400_000
 
 #: Parts words in the encoder's input.
 MARK = "|"
@@ -64,7 +65,7 @@ class WordIds(dict):
         plain = [i for i, w in enumerate(words) if MARK not in w]
         lots = [plain[k : k + LOT_WORDS] for k in range(0, len(plain), LOT_WORDS)]
         out = [b""] * len(words)
-        for lot, e in zip(lots, self.encoder.encode_batch_fast([f" {MARK} ".join(words[i] for i in lot) for lot in lots], add_special_tokens=False), strict=True):
+        for lot, e in self._encodings(words, lots):
             ids = np.array(e.ids, "<u4")
             ends = np.append(np.flatnonzero(ids == self.mark), len(ids)).tolist()
             begin = 0
@@ -76,6 +77,12 @@ class WordIds(dict):
             out[i] = np.array(e.ids, "<u4").tobytes()
         return out
 
+    def _encodings(self, words: list[str], lots: list[list[int]]) -> Iterator[tuple[list[int], Any]]:
+        """(lot, its encoding), a few lots at a time: an encoding is many times as large as its ids."""
+        for k in range(0, len(lots), 32):
+            some = lots[k : k + 32]
+            yield from zip(some, self.encoder.encode_batch_fast([f" {MARK} ".join(words[i] for i in lot) for lot in some], add_special_tokens=False), strict=True)
+
     def encode_texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, where each text's ids end); nulls are empty.
 
@@ -113,12 +120,16 @@ class WordIds(dict):
 
 def gather(ids: np.ndarray, size: np.ndarray, at: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(the runs of ids with these numbers, one after the other, with a free place behind those that have more; their lengths)."""
-    begin, n = np.cumsum(size) - size, size[at]
+    begin, n = (np.cumsum(size) - size).astype(np.int32), size[at].astype(np.int32)
     length = n + more
-    start = np.cumsum(length) - length
+    start = (np.cumsum(length) - length).astype(np.int32)
     out = np.zeros(int(length.sum()), "<u4")
-    inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-    out[np.repeat(start, n) + inside] = ids[np.repeat(begin[at], n) + inside]
+    inside = np.arange(int(n.sum()), dtype=np.int32)
+    inside -= np.repeat((np.cumsum(n) - n).astype(np.int32), n)
+    place = np.repeat(start, n)
+    place += inside
+    inside += np.repeat(begin[at], n)
+    out[place] = ids[inside]
     return out, length
 
 
