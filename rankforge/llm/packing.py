@@ -39,8 +39,10 @@ PARTS = 64
 #: Bytes of the texts that are encoded together.
 LOT = 8 << 20
 #: Words of which a worker keeps the ids.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
 
+#: Words whose ids are put together at a time.
+GATHER = 100_000
 #: Parts words in the encoder's input.
 MARK = "|"
 LOT_WORDS = 512
@@ -83,8 +85,8 @@ class WordIds(dict):
             some = lots[k : k + 32]
             yield from zip(some, self.encoder.encode_batch_fast([f" {MARK} ".join(words[i] for i in lot) for lot in some], add_special_tokens=False), strict=True)
 
-    def encode_texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts, where each text's ids end); nulls are empty.
+    def encode_texts(self, texts: pa.Array) -> Iterator[bytes]:
+        """Ids of each text; nulls are empty.
 
         Arrow numbers the words of the texts, and again what is left of the distinct
         ones without case and a last point or comma, neither of which the tokenizer
@@ -97,6 +99,7 @@ class WordIds(dict):
         ends = lists.offsets.to_numpy()[1:] - lists.offsets[0].as_py()
         coded = lists.flatten().dictionary_encode()
         words, code = coded.dictionary, coded.indices.to_numpy()
+        del texts, lists
 
         tail = np.where(pc.match_substring_regex(words, pattern=r"[A-Za-z]\.$"), 1, np.where(pc.match_substring_regex(words, pattern="[A-Za-z],$"), 2, 0))
         cores = pc.if_else(pa.array(tail > 0), pc.utf8_slice_codeunits(words, 0, -1), words)
@@ -114,13 +117,24 @@ class WordIds(dict):
         # Ids of each distinct word, then of each word.
         ids, n = gather(np.frombuffer(b"".join(known), "<u4"), size, core, tail > 0)
         ids[np.cumsum(n)[tail > 0] - 1] = self.tails[tail[tail > 0] - 1]
-        ids, n = gather(ids, n, code, np.zeros(len(code), bool))
-        return ids, np.concatenate([[0], np.cumsum(n)])[ends]
-
-
-def gather(ids: np.ndarray, size: np.ndarray, at: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        begin = np.cumsum(n) - n
+        del known, words, cores
+        first = 0
+        while first < len(ends):  # texts of about GATHER words at a time
+            word = int(ends[first - 1]) if first else 0
+            last = max(first + 1, int(np.searchsorted(ends, word + GATHER, "right")))
+            some = code[word : ends[last - 1]]
+            out, length = gather(ids, n, some, np.zeros(len(some), bool), begin)
+            stop = np.concatenate([[0], np.cumsum(length)])[ends[first:last] - word].tolist()
+            for a, b in zip([0, *stop], stop, strict=False):
+                yield out[a:b].tobytes()
+            first = last
+
+
+def gather(ids: np.ndarray, size: np.ndarray, at: np.ndarray, more: np.ndarray, begin: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(the runs of ids with these numbers, one after the other, with a free place behind those that have more; their lengths)."""
-    begin, n = (np.cumsum(size) - size).astype(np.int32), size[at].astype(np.int32)
+    begin = (np.cumsum(size) - size if begin is None else begin).astype(np.int32)
+    n = size[at].astype(np.int32)
     length = n + more
     start = (np.cumsum(length) - length).astype(np.int32)
     out = np.zeros(int(length.sum()), "<u4")
@@ -145,11 +159,7 @@ def encoded(ids: WordIds, texts: pa.Array) -> Iterator[bytes]:
     at = 0
     while at < len(texts):
         to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + LOT, "right")))
-        every, ends = ids.encode_texts(texts.slice(at, to - at))
-        begin = 0
-        for end in ends.tolist():
-            yield every[begin:end].tobytes()
-            begin = end
+        yield from ids.encode_texts(texts.slice(at, to - at))
         at = to
 
 
