@@ -85,7 +85,7 @@ class WordIds(dict):
             some = lots[k : k + 32]
             yield from zip(some, self.encoder.encode_batch_fast([f" {MARK} ".join(words[i] for i in lot) for lot in some], add_special_tokens=False), strict=True)
 
-    def encode_texts(self, texts: pa.Array) -> Iterator[bytes]:
+    def encode_texts(self, texts: pa.Array, words_kept: int = CACHE_WORDS) -> Iterator[bytes]:
         """Ids of each text; nulls are empty.
 
         Arrow numbers the words of the texts, and again what is left of the distinct
@@ -107,7 +107,7 @@ class WordIds(dict):
         plain = pc.and_(pc.string_is_ascii(cores), pc.invert(pc.match_substring(cores, pattern=MARK)))
         cores = pc.if_else(plain, pc.ascii_lower(cores), cores).dictionary_encode()
         keys, core = cores.dictionary.to_pylist(), cores.indices.to_numpy()
-        if len(self) > CACHE_WORDS:
+        if len(self) > words_kept:
             self.clear()
         new = [w for w in keys if w not in self]
         self.update(zip(new, self.encode_all(new), strict=True))
@@ -153,17 +153,17 @@ def word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
-def encoded(ids: WordIds, texts: pa.Array) -> Iterator[bytes]:
+def encoded(ids: WordIds, texts: pa.Array, lot: int = LOT, words_kept: int = CACHE_WORDS) -> Iterator[bytes]:
     """Ids of a column's texts, in lots of bounded size."""
     size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0
     while at < len(texts):
-        to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + LOT, "right")))
-        yield from ids.encode_texts(texts.slice(at, to - at))
+        to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + lot, "right")))
+        yield from ids.encode_texts(texts.slice(at, to - at), words_kept)
         at = to
 
 
-def cut_pieces(tokenizer: str, capacity: int):
+def cut_pieces(tokenizer: str, capacity: int, lot: int = LOT, words_kept: int = CACHE_WORDS):
     from rankforge.llm.packing import word_ids  # by name, so that workers keep one
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,7 +171,7 @@ def cut_pieces(tokenizer: str, capacity: int):
         end = np.array([END_ID], "<u4").tobytes()
         for b in batches:
             rows: list[tuple] = []
-            for doc, data in zip(b.column(0).to_pylist(), encoded(ids, b.column(1)), strict=True):
+            for doc, data in zip(b.column(0).to_pylist(), encoded(ids, b.column(1), lot, words_kept), strict=True):
                 data += end
                 n = len(data) // 4
                 rows += [(doc, k, s, min(capacity, n - s), zlib.crc32(data[4 * s : 4 * (s + capacity)])) for k, s in enumerate(range(0, n, capacity))]
@@ -284,11 +284,14 @@ def place(table: np.ndarray):
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, lot: int = LOT, words_kept: int = CACHE_WORDS) -> DataFrame:
+    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+
+    lot (bytes of text encoded together) and words_kept trade a worker's memory for time; the result is the same.
+    """
     spark: SparkSession = docs.sparkSession
     work = Workspace(spark, "packing")
-    pieces = work.table(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut_pieces(tokenizer, capacity), PIECES), "pieces")
+    pieces = work.table(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut_pieces(tokenizer, capacity, lot, words_kept), PIECES), "pieces")
     pieces = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(PARTS)).cast("int"))
     parts = pieces.groupBy("length", "part").agg(F.count(F.lit(1)).alias("rows"))
     # capacity x PARTS rows at most, whatever the input.
