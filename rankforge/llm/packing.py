@@ -199,30 +199,37 @@ def complete_bin(space: int, lengths: list[int], left: dict[int, int], steps: in
 
     asc = lengths[::-1]
 
-    def search(room: int, top: int, chosen: list[int], used: dict[int, int]) -> None:
-        nonlocal best, best_waste, budget
-        if room < best_waste:
-            best, best_waste = list(chosen), room
-        if best_waste == 0 or budget <= 0 or room < smallest:
-            return
-        i = bisect.bisect_right(asc, min(room, top)) - 1
-        while i >= 0 and best_waste and budget > 0:
-            x = asc[i]
-            # Bound: with lengths of at most x, each used as often as it is left, can the room be filled better than the incumbent does?
-            if x * 1 < room - best_waste + 1 and _reach(asc, i, left, used, room) <= room - best_waste:
-                return
-            if left[x] > used.get(x, 0):
-                budget -= 1
-                used[x] = used.get(x, 0) + 1
-                chosen.append(x)
-                search(room - x, x, chosen, used)
-                chosen.pop()
-                used[x] -= 1
+    # A stack instead of recursion: a bin may hold ``capacity`` pieces, more than Python's frames go deep.
+    chosen: list[int] = []
+    places: list[int] = []  # of the chosen lengths in asc
+    used: dict[int, int] = {}
+    room, i, entered = space, -1, True
+    while True:
+        if entered:
+            if room < best_waste:
+                best, best_waste = list(chosen), room
+            top = min(room, chosen[-1]) if chosen else room
+            i = -1 if room < smallest else bisect.bisect_right(asc, top) - 1
+            entered = False
+        x = asc[i] if i >= 0 else 0
+        # Bound: with lengths of at most x, each used as often as it is left, can the room be filled better than the incumbent does?
+        if i < 0 or not best_waste or budget <= 0 or (x * 1 < room - best_waste + 1 and _reach(asc, i, left, used, room) <= room - best_waste):
+            if not chosen:
+                return best
+            x = chosen.pop()
+            used[x] -= 1
+            room += x
+            i = places.pop() - 1
+        elif left[x] > used.get(x, 0):
+            budget -= 1
+            used[x] = used.get(x, 0) + 1
+            chosen.append(x)
+            places.append(i)
+            room -= x
+            entered = True
+        else:
             i -= 1
 
-    search(space, space, [], {})
-    return best
-
 
 def _reach(asc: list[int], i: int, left: dict[int, int], used: dict[int, int], room: int) -> int:
     """Sum of the lengths left up to asc[i], as far as the room goes."""

@@ -108,6 +108,21 @@ def test_packing_corner_cases(spark):
     assert packing.pack(df.where("doc_id = 99"), TOKENIZER).collect() == []
 
 
+def test_packing_thousands_of_short_texts(spark):
+    texts = {i: None if i % 2 else "" for i in range(5000)}
+    rows = packing.pack(docs(spark, [(i, t, None, None) for i, t in texts.items()]), TOKENIZER).collect()
+    assert check_packing(rows, texts) == (2, 2)
+
+
+@pytest.mark.parametrize("histogram", [{1: 2000}, {4: 3000}, {1: 900, 2: 900, 3: 900, 4: 5000}])
+def test_plan_of_many_short_pieces(histogram):
+    placed = Counter()
+    for m, times in packing.plan(histogram):
+        assert sum(n * k for n, k in times.items()) <= 4096
+        placed.update({n: m * k for n, k in times.items()})
+    assert placed == Counter(histogram)
+
+
 @given(st.dictionaries(st.integers(1, 12), st.integers(1, 4), max_size=5))
 @settings(max_examples=60, deadline=None)
 def test_plan_places_every_length_once_and_is_near_the_best(histogram):
