@@ -3,7 +3,7 @@
 import hashlib
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -195,6 +195,24 @@ def test_sketches_bound_the_difference():
 # ---- substrings
 
 
+def test_substrings_of_different_texts_under_one_id(spark):
+    rng = random.Random(4)
+    a, b, c = (" ".join(str(rng.randrange(10**6)) for _ in range(40)) for _ in range(3))
+    rows = [(1, a), (2, a), (2, b), (2, b), (None, c), (None, b + " " + c), (None, None)]
+    got = Counter(tuple(r) for r in substrings.dedup(frame(spark, rows)).select("doc_id", "n_words", "n_removed").collect())
+    # b stands first under the null id, so it goes from document 2; c has its place once, under either of the null id's texts.
+    nulls = sorted(((n, k) for (i, n, k), m in got.items() for _ in range(m) if i is None), key=str)
+    assert got[1, 40, 0] == 1 and got[2, 40, 40] == 3 and nulls in ([(0, 0), (40, 0), (80, 40)], [(0, 0), (40, 40), (80, 0)])
+    alone = Counter(tuple(r) for r in substrings.dedup(frame(spark, rows[:4])).select("doc_id", "n_words", "n_removed").collect())
+    assert alone == {(1, 40, 0): 1, (2, 40, 40): 1, (2, 40, 0): 2}
+
+
+def test_substrings_of_one_hot_document(spark):
+    texts = [(1, "same " * 60_000), (2, "x " + "same " * 30), (3, "a b c " * 9000)]
+    rows = substrings.dedup(frame(spark, texts)).collect()
+    assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in rows} == deduped(texts)
+
+
 def deduped(texts):
     seen, out = {}, {}
     words = {i: WORD.findall(t or "") for i, t in texts}
