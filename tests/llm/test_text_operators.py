@@ -170,6 +170,14 @@ def test_jaccard_nulls_and_empty_table(spark):
     assert got == sorted([(None, 3, 5), (5, 3, 5), (5, 3, 5), (None, 0, None)], key=str)
 
 
+def test_jaccard_dedup_keeps_one_row_of_each_component(spark):
+    a, b = "a b c d e f g h", "k l m n o p q r"
+    rows = [(1, a), (2, a), (2, b), (None, a), (2, b), (3, "A  b c d e f g h"), (4, None), (4, None), (5, " "), (None, "only here and nowhere else at all")]
+    got = Counter(tuple(r) for r in jaccard.dedup(frame(spark, rows)).select("doc_id", "text").collect())
+    assert got == Counter([(1, a), (2, b), (4, None), (4, None), (5, " "), (None, "only here and nowhere else at all")])
+    assert jaccard.dedup(frame(spark, rows).where("doc_id = 9")).collect() == []
+
+
 def test_divide_skip_finds_what_counting_finds():
     import numpy as np
 
