@@ -27,17 +27,26 @@ from pyspark.sql import types as T
 from rankforge.llm.workspace import bounded_batches, releasing
 
 BUCKETS = 1 << 15
-#: Code points worked on at a time; longer texts are taken in overlapping parts.
+#: Code points worked on at a time with up to four languages; longer texts are taken in overlapping parts.
 BLOCK = 1 << 19
 ROUNDS = 5
 LETTER = regex.compile(r"\p{L}")
 
 
+def framed(text: str) -> str:
+    """A text as its trigrams see it: lower-cased, between two spaces."""
+    return f" {text.lower()} "
+
+
 def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(index of the text, bucket) for each trigram of the lower-cased texts, each between two spaces."""
-    joined = "".join(f" {t.lower()} " for t in texts)
-    code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4")
-    owner = np.repeat(np.arange(len(texts), dtype=np.int32), [len(t.lower()) + 2 for t in texts])
+    """(index of the text, bucket) for each trigram of the texts."""
+    return grams_of([framed(t) for t in texts])
+
+
+def grams_of(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(index of the part, bucket) for each trigram of framed texts or parts of them."""
+    code = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), "<u4")
+    owner = np.repeat(np.arange(len(parts), dtype=np.int32), [len(p) for p in parts])
     # Digits and marks say nothing of a language: they count as spaces.
     code = np.where((code < 65) | ((code > 90) & (code < 97)) | ((code > 122) & (code < 170)), 32, code).astype(np.uint32)
     if len(code) < 3:
@@ -49,13 +58,17 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return owner[:-2][good], (h >> np.uint32(17))[good].astype(np.int64)
 
 
-def blocks(texts: list[str]) -> Iterator[tuple[list[int], list[str]]]:
-    """Texts in blocks of bounded size; (indices, parts)."""
+def blocks(texts: list[str], languages: int = 4) -> Iterator[tuple[list[int], list[str]]]:
+    """Framed texts in blocks of bounded size; (indices, parts). Every trigram lies in one part, and there are no others.
+
+    Inference holds some numbers for each language and trigram, so more languages make smaller blocks.
+    """
+    block = max(3, BLOCK * 4 // max(4, languages))
     at, parts, size = [], [], 0
-    for i, t in enumerate(texts):
-        for s in range(0, max(1, len(t)), BLOCK):
-            p = t[max(0, s - 2) : s + BLOCK] if len(t) > BLOCK else t
-            if parts and size + len(p) > BLOCK:
+    for i, t in enumerate(map(framed, texts)):
+        for s in range(0, len(t), block):
+            p = t[max(0, s - 2) : s + block]
+            if parts and size + len(p) > block:
                 yield at, parts
                 at, parts, size = [], [], 0
             at.append(i)
@@ -84,7 +97,7 @@ def fit(docs: DataFrame, lang: str = "lang") -> Model:
             langs, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             for k in dict.fromkeys(langs):
                 for _, parts in blocks([t for t, x in zip(texts, langs, strict=True) if x == k]):
-                    n = np.bincount(trigrams(parts)[1], minlength=BUCKETS)
+                    n = np.bincount(grams_of(parts)[1], minlength=BUCKETS)
                     total[k] = total[k] + n if k in total else n
         for k, n in total.items():
             at = np.flatnonzero(n)
@@ -174,11 +187,11 @@ def detect(docs: DataFrame, model: Model) -> DataFrame:
                     lang[i], score[i] = model.languages[best[j]], s[j]
                 group.clear()
 
-            for at, parts in blocks([texts[i] for i in live]):
+            for at, parts in blocks([texts[i] for i in live], len(model.languages)):
                 here = [live[i] for i in at]
                 if group and here[0] != group[-1][0][-1]:
                     settle()
-                group.append((here, *trigrams(parts)))
+                group.append((here, *grams_of(parts)))
             settle()
             yield pa.record_batch([*b.columns, pa.array(lang, pa.string()), pa.array(score)], [*b.schema.names, "lang_pred", "score"])
 

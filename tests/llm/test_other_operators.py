@@ -272,6 +272,20 @@ def test_langid_corner_cases(spark, monkeypatch):
     assert langid.detect(docs(spark, rows).where("doc_id = 50"), model).collect() == []
 
 
+@given(st.lists(st.text(alphabet="aB c.É1ΣİǅΑ", max_size=30), max_size=5), st.sampled_from([1, 4, 9]))
+@settings(max_examples=80, deadline=None)
+def test_langid_parts_have_the_trigrams_of_whole_texts(texts, languages):
+    old, langid.BLOCK = langid.BLOCK, 7
+    try:
+        got = Counter()
+        for at, parts in langid.blocks(texts, languages):
+            owner, bucket = langid.grams_of(parts)
+            got.update(zip(np.array(at)[owner].tolist(), bucket.tolist(), strict=True))
+    finally:
+        langid.BLOCK = old
+    assert got == Counter(zip(*(x.tolist() for x in langid.trigrams(texts)), strict=True))
+
+
 def test_mixture_proportions_of_a_two_language_text(spark, sf):
     rows = spark.read.parquet(f"{sf}/documents.parquet").where("lang is not null and length(text) > 2000")
     model = langid.fit(rows)
