@@ -36,7 +36,7 @@ FLOOR = -10.0
 #: Bytes of results that one Arrow batch gathers.
 BATCH_BYTES = 4 << 20
 
-COLUMNS = "doc_id long, n_bytes long, media binary, tensors array<array<float>>, spans array<struct<start_s:double,end_s:double>>, segments array<struct<start_s:double,end_s:double>>, n_frames long"
+COLUMNS = "doc_id long, n_bytes long, media binary, tensors binary, segments array<struct<start_s:double,end_s:double>>, n_frames long"
 
 
 def payload_of(text: str | None) -> bytes:
@@ -138,14 +138,30 @@ def analyse(media: bytes) -> tuple[np.ndarray, list[tuple[float, float]], list[t
 
 
 def tensor_type() -> pa.DataType:
-    """The Arrow type of one element of ``tensors``."""
     return pa.fixed_shape_tensor(pa.float32(), (FRAMES, MELS))
 
 
-def tensor_array(flat: list[list[float]] | np.ndarray) -> pa.Array:
-    """Elements of ``tensors`` as an Arrow array of fixed-shape tensors."""
-    values = np.asarray(flat, np.float32).reshape(-1, FRAMES * MELS)
-    return pa.ExtensionArray.from_storage(tensor_type(), pa.FixedSizeListArray.from_arrays(pa.array(values.ravel()), FRAMES * MELS))
+@cache
+def stream_schema() -> pa.Schema:
+    return pa.schema([("tensor", tensor_type()), ("start_s", pa.float64()), ("end_s", pa.float64())])
+
+
+def to_stream(tensors: np.ndarray, spans: list[tuple[float, float]]) -> bytes:
+    """An Arrow stream of fixed-shape tensors with their time spans. Spark has no extension types, so a column holds it as bytes."""
+    storage = pa.FixedSizeListArray.from_arrays(pa.array(tensors.ravel()), FRAMES * MELS)
+    times = np.array(spans, np.float64).reshape(-1, 2)
+    columns = [pa.ExtensionArray.from_storage(tensor_type(), storage), pa.array(times[:, 0]), pa.array(times[:, 1])]
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, stream_schema()) as writer:
+        writer.write_batch(pa.record_batch(columns, schema=stream_schema()))
+    return sink.getvalue().to_pybytes()
+
+
+def from_stream(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(tensors, tensors x FRAMES x MELS; their time spans, tensors x 2)."""
+    table = pa.ipc.open_stream(data).read_all().combine_chunks()
+    tensor = table["tensor"].chunk(0).to_numpy_ndarray() if table.num_rows else np.empty((0, FRAMES, MELS), np.float32)
+    return tensor, np.stack([table["start_s"].to_numpy(), table["end_s"].to_numpy()], 1)
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, str | None]]:
@@ -160,37 +176,30 @@ def _seconds(pairs: list[tuple[float, float]]) -> list[dict]:
 
 
 def audio_columns(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes (unpadded), media (WAV), tensors with their spans, segments, n_frames of every text."""
+    """doc_id, n_bytes (unpadded), media (WAV), tensors (``to_stream``), segments, n_frames of every text."""
     bounded_batches(docs.sparkSession)
-    types = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.list_(pa.float32())), *[pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())]))] * 2, pa.int64()]
-    names = [c.split()[0] for c in COLUMNS.replace("start_s:double,end_s:double", "").split(", ")]
+    seconds = pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())]))
+    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary()), ("tensors", pa.binary()), ("segments", seconds), ("n_frames", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[list] = [[] for _ in names]
+        rows: list[tuple] = []
         held = 0
         for doc, text in _texts(batches):
-            data = payload_of(text)
-            media = to_wav(data)
+            media = to_wav(payload_of(text))
             tensors, spans, parts, frames = analyse(media)
-            for c, v in zip(rows, (doc, len((text or "").encode("utf-8", "surrogatepass")), media, tensors, _seconds(spans), _seconds(parts), frames), strict=True):
-                c.append(v)
-            held += len(media) + tensors.nbytes
+            stream = to_stream(tensors, spans)
+            rows.append((doc, len((text or "").encode("utf-8", "surrogatepass")), media, stream, _seconds(parts), frames))
+            held += len(media) + len(stream)
             if held > BATCH_BYTES:
-                yield _batch(rows, types, names)
-                rows, held = [[] for _ in names], 0
-        if rows[0]:
-            yield _batch(rows, types, names)
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(releasing(run), COLUMNS)
+                yield batch(rows)
+                rows, held = [], 0
+        if rows:
+            yield batch(rows)
 
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
-def _batch(rows: list[list], types: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
-    cols = [pa.array(c, t) for c, t in zip(rows, types, strict=True) if t != types[3]]
-    flat = np.concatenate(rows[3]) if rows[3] else np.empty((0, FRAMES * MELS), np.float32)
-    inner = pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1, dtype=np.int32) * (FRAMES * MELS)), pa.array(flat.ravel()))
-    outer = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(t) for t in rows[3]])].astype(np.int32)), inner)
-    cols.insert(3, outer)
-    return pa.record_batch(cols, names)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(releasing(run), COLUMNS)
 
 
 def digests(media: DataFrame) -> DataFrame:
@@ -199,14 +208,13 @@ def digests(media: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            tensors, frames = b.column(3), b.column(5).to_pylist()
             rows = []
-            for i, (doc, n, data, parts) in enumerate(zip(*(b.column(c).to_pylist() for c in (0, 1, 2, 4)), strict=True)):
+            for doc, n, data, tensors, parts, frames in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 payload, _ = from_wav(data)
-                mel = tensors[i].values.flatten().to_numpy(zero_copy_only=False).reshape(-1, MELS)[: frames[i]]
+                mel = from_stream(tensors)[0].reshape(-1, MELS)[:frames]
                 mean = ",".join(f"{v:.2f}" for v in mel.mean(0, dtype=np.float64))
                 spoken = sum(p["end_s"] - p["start_s"] for p in parts)
-                rows.append((doc, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), f"frames={frames[i]};segments={len(parts)};spoken_s={spoken:.3f};mel={mean}"))
+                rows.append((doc, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), f"frames={frames};segments={len(parts)};spoken_s={spoken:.3f};mel={mean}"))
             types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
             cols = list(zip(*rows, strict=True)) or [()] * 8
             yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, types, strict=True)], [x.split()[0] for x in schema.split(", ")])
