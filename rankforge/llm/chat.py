@@ -31,6 +31,8 @@ BEGIN, HEAD, BODY, END = "<s>", "[INST]", "[/INST]", "</s>"
 CONTROL = r"(\\|<s>|</s>|\[INST\]|\[/INST\])"
 TOKEN = re.compile(r"\\(\\|<s>|</s>|\[INST\]|\[/INST\])|(<s>|</s>|\[INST\]|\[/INST\])|([^\\<\[]+|.)", re.S)
 LOSS_ROLE = "assistant"
+#: Bytes for which scatter indices, 8 bytes each, are made at a time.
+SCATTER = 1 << 20
 
 COLUMNS = "conv_id long, formatted string, n_turns long, loss_spans array<struct<start:long,end:long>>"
 
@@ -44,14 +46,20 @@ def unescape(text: str) -> str:
 
 
 def scatter(out: np.ndarray, at: np.ndarray, column: pa.Array) -> None:
-    """Copies the strings of a column to the given offsets of a buffer."""
+    """Copies the strings of a column to the given offsets of a buffer; indices are made for SCATTER bytes at a time."""
     off = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, column.offset * 4).astype(np.int64)
     n = np.diff(off)
     if not n.sum():
         return
     data = np.frombuffer(column.buffers()[2], np.uint8)
-    inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    out[np.repeat(at, n) + inside] = data[np.repeat(off[:-1], n) + inside]
+    for i in np.flatnonzero(n > SCATTER).tolist():
+        out[at[i] : at[i] + n[i]] = data[off[i] : off[i + 1]]
+    n = np.where(n > SCATTER, 0, n)
+    cuts = np.searchsorted(np.cumsum(n), np.arange(SCATTER, n.sum(), SCATTER), "right")
+    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(n)], strict=True):
+        m = n[a:b]
+        inside = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+        out[np.repeat(at[a:b], m) + inside] = data[np.repeat(off[a:b], m) + inside]
 
 
 def assemble(conv: np.ndarray, roles: pa.Array, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:

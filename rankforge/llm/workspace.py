@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -9,31 +10,35 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Rows up to which a table of ids may be broadcast (8 bytes a row and hashing overhead: some tens of MB); beyond it, joins shuffle.
-BROADCAST_ROWS = 500_000
+#: Bytes up to which a measured table may be broadcast; its hash table is two or three times as large. Beyond it, joins shuffle.
+BROADCAST_BYTES = 16 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; only where that is unset (tests, one machine), a temporary one."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    """The folder named by spark.checkpoint.dir. Where that is unset, a temporary one on a single machine, and an error on a cluster."""
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = getattr(spark.sparkContext, "_rankforge_folder", None)
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = getattr(context, "_rankforge_folder", None)
         if folder is None:
-            folder = spark.sparkContext._rankforge_folder = tempfile.mkdtemp(prefix="rankforge-")
+            folder = context._rankforge_folder = tempfile.mkdtemp(prefix="rankforge-")
     return folder.rstrip("/")
 
 
-#: Rows of an Arrow batch. The default of Spark, 10,000, is a gigabyte of long texts.
-BATCH_ROWS = 2048
+#: Rows and bytes of an Arrow batch. The default of Spark, 10,000 rows, is a gigabyte of long texts.
+BATCH_ROWS, BATCH_BYTES = 2048, 16 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Lets Python workers of this session take at most BATCH_ROWS rows at a time; smaller settings stay."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(name, "10000"))
-    if now <= 0 or now > BATCH_ROWS:
-        spark.conf.set(name, str(BATCH_ROWS))
+    """Lets Python workers of this session take at most BATCH_ROWS rows and BATCH_BYTES bytes at a time; smaller settings stay."""
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = re.fullmatch(r"(\d+)b?", spark.conf.get(name, str((1 << 31) - 2)), re.I)
+        if not now or not 0 < int(now[1]) <= most:
+            spark.conf.set(name, str(most))
 
 
 def release() -> None:
@@ -81,7 +86,9 @@ class Workspace:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def small(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """df, marked for broadcast if it is counted to have few rows. df should be a written table, or cheap to count."""
-    n = df.count() if rows is None else rows
-    return F.broadcast(df) if n <= BROADCAST_ROWS else df
+def small(df: DataFrame) -> DataFrame:
+    """df, marked for broadcast if it is measured to be small. df should be a written table, or cheap to compute."""
+    sized = [F.octet_length(f.name if isinstance(f.dataType, T.BinaryType) else F.col(f.name).cast("string")) for f in df.schema.fields if not isinstance(f.dataType, (T.NumericType, T.BooleanType))]
+    width = sum((F.coalesce(c, F.lit(0)) for c in sized), F.lit(16 + 8 * len(df.columns)).cast("long"))
+    size = df.agg(F.sum(width)).first()[0] or 0
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df

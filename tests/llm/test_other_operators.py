@@ -8,6 +8,7 @@ import re
 import wave
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
@@ -194,16 +195,30 @@ def test_url_query(spark, sf):
 # ---- mixing
 
 
-@given(st.lists(st.integers(0, 1000), max_size=7))
-@settings(max_examples=100, deadline=None)
-def test_targets(sizes):
-    t = mixing.targets(sizes, [mixing.WEIGHTS[i % 3] for i in range(len(sizes))])
-    assert all(0 <= x <= 2 * n + 1e-9 for x, n in zip(t, sizes, strict=True))
-    assert sum(t) == pytest.approx(1.5 * sum(sizes))
+def plain_targets(sizes):
+    """Water level by bisection, in exact fractions: every source has the smaller of level times weight and twice its words."""
+    weight = [Fraction((5, 2, 1)[i % 3]) for i in range(len(sizes))]
+    total = Fraction(3 * sum(sizes), 2)
+    levels = sorted({Fraction(2 * n) / w for n, w in zip(sizes, weight, strict=True)})
+    lo = max([Fraction(0), *[x for x in levels if sum(min(x * w, 2 * n) for n, w in zip(sizes, weight, strict=True)) <= total]])
+    free = sum(w for n, w in zip(sizes, weight, strict=True) if lo * w < 2 * n)
+    level = lo + (total - sum(min(lo * w, 2 * n) for n, w in zip(sizes, weight, strict=True))) / free if free else lo
+    return [float(min(level * w, 2 * n)) for n, w in zip(sizes, weight, strict=True)]
 
 
-@given(st.dictionaries(st.integers(0, 30), st.integers(0, 5), max_size=6), st.integers(0, 300), st.sampled_from([1, 20, 1000]))
-@settings(max_examples=200, deadline=None)
+@pytest.mark.parametrize("sizes", [[], [0], [7], [1000, 1, 1], [0, 5, 0, 9, 100, 3], [10**9, 1, 10**6, 10**3, 0, 17], list(range(1, 40))])
+def test_targets(spark, sizes):
+    from rankforge.llm.workspace import Workspace
+
+    names = [f"s{i:02d}" for i in range(len(sizes))]
+    names[-1:] = [""] * min(1, len(names))  # null, last
+    table = spark.createDataFrame(list(zip(names, sizes, strict=True)), "__key string, words long").repartition(3)
+    got = {r["__key"]: r["target"] for r in mixing.with_targets(mixing.with_weights(table, mixing.WEIGHTS, Workspace(spark, "test"))).collect()}
+    assert [got[k] for k in names] == pytest.approx(plain_targets(sizes))
+
+
+@given(st.dictionaries(st.integers(0, 60), st.integers(0, 5), max_size=6), st.integers(0, 400), st.sampled_from([1, 20, 1000]))
+@settings(max_examples=300, deadline=None)
 def test_fit_budget(counts, budget, window):
     take = mixing.fit_budget(counts, budget, window)
     assert all(0 <= k <= counts[n] for n, k in take.items())
@@ -213,14 +228,22 @@ def test_fit_budget(counts, budget, window):
         reach = {0}
         for n, c in counts.items():
             reach = {s + n * k for s in reach for k in range(c + 1)}
-        # The like share comes first, so the best choice is the best of those that contain it.
+        assert got == max(s for s in reach if s <= budget)
+
+
+def test_fit_budget_gives_shares_back(monkeypatch):
+    monkeypatch.setattr(mixing, "WINDOWS", (8, 64))
+    rng = np.random.default_rng(2)
+    for _ in range(300):
+        counts = {int(n): int(c) for n, c in zip(rng.integers(1, 70, 4), rng.integers(1, 6, 4), strict=True)}
         total = sum(n * c for n, c in counts.items())
-        base = {n: c * budget // total for n, c in counts.items() if n and c} if budget < total else counts
-        rest = {0}
+        budget = int(rng.integers(0, total + 1))
+        reach = {0}
         for n, c in counts.items():
-            rest = {s + n * k for s in rest for k in range(c - base.get(n, 0) + 1)}
-        fixed = sum(n * k for n, k in base.items())
-        assert got == max(fixed + s for s in rest if fixed + s <= budget)
+            reach = {s + n * k for s in reach for k in range(c + 1)}
+        take = mixing.fit_budget(counts, budget)
+        assert sum(n * k for n, k in take.items()) == max(s for s in reach if s <= budget) and all(k <= counts[n] for n, k in take.items())
+    assert mixing.fit_budget({4: 5, 58: 2}, 124) == {4: 2, 58: 2}
 
 
 def test_mixing_query(spark, sf):
@@ -230,7 +253,7 @@ def test_mixing_query(spark, sf):
     for r in rows:
         total[r[2]] += size[r[0]]
     order = sorted(total, key=lambda s: (s is None, (s or "").encode()))
-    want = dict(zip(order, mixing.targets([total[s] for s in order], [(5, 2, 1)[i % 3] for i in range(len(order))]), strict=True))
+    want = dict(zip(order, plain_targets([total[s] for s in order]), strict=True))
     source = {r[0]: r[2] for r in rows}
     got = q.op6_mixing(spark, sf).collect()
     taken = Counter()
@@ -243,6 +266,22 @@ def test_mixing_query(spark, sf):
     assert sorted(map(tuple, got)) == sorted(map(tuple, q.op6_mixing(spark, sf).collect()))
 
 
+@pytest.mark.parametrize("keep", [("doc_id",), ("doc_id", "text", "lang")])
+def test_mixing_of_repeated_rows(spark, keep):
+    # One document a hundred times, and texts that differ under one id: words are taken to the last one.
+    rows = [(1, "a b c", "x", "one")] * 100 + [(2, "d e", None, "one"), (2, "f g", None, "one"), (3, "h " * 41, None, "two")] + [(None, "k l m n", None, None)] * 9
+    got = mixing.mix(docs(spark, rows).repartition(5), keep=keep).collect()
+    total = {"one": 304, "two": 41, None: 36}
+    want = dict(zip(total, plain_targets(list(total.values())), strict=True))
+    taken = Counter()
+    for r in got:
+        taken[r["source"]] += r["taken"]
+        assert r["copies"] in (0, 1, 2) and (r["source_size"], r["target"]) == (total[r["source"]], pytest.approx(want[r["source"]]))
+    assert len(got) == len(rows)
+    assert want["two"] == 82 and taken["two"] == 82 and taken[None] <= want[None] < taken[None] + 4
+    assert abs(taken["one"] - want["one"]) <= 1
+
+
 def test_mixing_corner_cases(spark):
     rows = [(1, None, None, "a"), (2, "", None, "a"), (3, "x y z", None, None), (3, "x y z", None, None), (4, "w " * 50, None, "b"), (None, "q", None, "b"), (5, "v " * 500, None, "é")]
     got = mixing.mix(docs(spark, rows), keep=("doc_id", "n_chars", "size", "length")).collect()
@@ -305,6 +344,16 @@ def test_mixture_proportions_of_a_two_language_text(spark, sf):
 @given(st.lists(st.tuples(st.text(max_size=8), st.text(alphabet="\\<s>/[INST] é😀x\n", max_size=30)), min_size=1, max_size=5))
 @settings(max_examples=150, deadline=None)
 def test_chat_round_trip(turns):
+    check_round_trip(turns)
+
+
+@pytest.mark.parametrize("scatter", [1, 5, 64])
+def test_chat_round_trip_in_small_steps(monkeypatch, scatter):
+    monkeypatch.setattr(chat, "SCATTER", scatter)
+    check_round_trip([("user", "é" * n + "</s>" * (n % 3)) for n in range(12)])
+
+
+def check_round_trip(turns):
     import pyarrow as pa
 
     turns = [(r.encode("utf-8", "ignore").decode(), t) for r, t in turns]
@@ -456,7 +505,7 @@ def test_pipeline(spark, sf):
     for r in kept[3]:
         taken[r["source"]] += size[r["doc_id"]]
     order = sorted(total, key=lambda s: (s is None, (s or "").encode()))
-    want = mixing.targets([total[s] for s in order], [(5, 2, 1)[i % 3] for i in range(len(order))])
+    want = plain_targets([total[s] for s in order])
     assert all(abs(taken[s] - t) <= max(1, 0.01 * t) for s, t in zip(order, want, strict=True))
     texts = {r["doc_id"]: r["text"] for r in kept[3]}
     packed = corpus_pipeline.STAGES[-1][1](spark, rows, sf).collect()
