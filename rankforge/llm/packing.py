@@ -1,11 +1,10 @@
 """Best-fit packing of tokenised documents into fixed-length sequences by bin completion.
 
 The lengths of all pieces are counted; the histogram has at most ``capacity`` rows
-at any input size, so the search runs on the driver. Each step of the search takes
-the longest length left, finds by branch and bound the filling of the rest of its
-bin that wastes least, and repeats that filling until one of its lengths runs out.
-A step uses up a length, so there are at most ``capacity`` steps. Pieces are then
-numbered within their length in the cluster and looked up in the steps.
+at any input size, so the search (``plan``) runs on the driver: branch and bound over
+the undominated fillings of one bin after another, each around the longest length
+left, with best fit as the first incumbent. Pieces are then numbered within their
+length in the cluster and looked up in the bins.
 
 Corner cases: null and empty texts give the single id 1; repeated rows are packed
 once for each row; a null doc_id is packed like any other; an empty table gives an
@@ -14,9 +13,12 @@ empty result; columns other than doc_id and text are ignored.
 
 from __future__ import annotations
 
+import bisect
 import os
 import zlib
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import cache
 from typing import Any
 
@@ -32,8 +34,12 @@ from rankforge.llm.workspace import Workspace, releasing
 
 CAPACITY = 4096
 END_ID = 1
-#: Steps of the search for one filling; when they are used up, the best filling so far is taken.
-SEARCH_STEPS = 20_000
+#: Steps of the search for one filling, and of the whole search; when they are used up, the best found so far is taken.
+SEARCH_STEPS, PLAN_STEPS = 20_000, 200_000
+#: With more pieces left than these, fillings are first repeated as often as their lengths last; with more than those, that is the only branch.
+EXACT_PIECES, WIDE_PIECES = 64, 512
+#: States of the search that are remembered, so that none is searched twice.
+SEEN_STATES = 100_000
 #: Parts into which each length is dealt for numbering, so that a common length is not one task's work.
 PARTS = 64
 #: Bytes of the texts that are encoded together.
@@ -183,21 +189,20 @@ def cut_pieces(tokenizer: str, capacity: int, lot: int = LOT, words_kept: int =
     return releasing(run)
 
 
-def complete_bin(space: int, lengths: list[int], left: dict[int, int], steps: int = SEARCH_STEPS) -> list[int]:
-    """The filling of ``space`` with lengths that are left which wastes least; longest lengths first.
+Filling = tuple[int, ...]
+
+
+def best_filling(space: int, asc: list[int], left: dict[int, int], steps: int = SEARCH_STEPS) -> list[int]:
+    """The filling of ``space`` with lengths that are left (rising in ``asc``) which wastes least; longest lengths first.
 
     Branch and bound: the incumbent is best fit (the longest length that fits, again
     and again). A branch adds lengths in falling order, which enumerates each filling
-    once; fillings to which another length could be added are dominated by the fuller
-    ones and never kept; a branch whose lengths cannot beat the incumbent's waste is cut.
+    once; a branch whose lengths cannot beat the incumbent's waste is cut.
     """
     best: list[int] = []
     best_waste = space
     budget = steps
-    smallest = lengths[-1] if lengths else space + 1
-    import bisect
-
-    asc = lengths[::-1]
+    smallest = asc[0] if asc else space + 1
 
     # A stack instead of recursion: a bin may hold ``capacity`` pieces, more than Python's frames go deep.
     chosen: list[int] = []
@@ -213,7 +218,7 @@ def complete_bin(space: int, lengths: list[int], left: dict[int, int], steps: in
             entered = False
         x = asc[i] if i >= 0 else 0
         # Bound: with lengths of at most x, each used as often as it is left, can the room be filled better than the incumbent does?
-        if i < 0 or not best_waste or budget <= 0 or (x * 1 < room - best_waste + 1 and _reach(asc, i, left, used, room) <= room - best_waste):
+        if i < 0 or not best_waste or budget <= 0 or (x < room - best_waste + 1 and _reach(asc, i, left, used, room) <= room - best_waste):
             if not chosen:
                 return best
             x = chosen.pop()
@@ -240,31 +245,240 @@ def _reach(asc: list[int], i: int, left: dict[int, int], used: dict[int, int], r
     return total
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, steps: int = SEARCH_STEPS) -> list[tuple[int, dict[int, int]]]:
-    """(repeats, {length: times in one sequence}) for all pieces that the histogram counts; at most one entry for each distinct length."""
-    left = {n: c for n, c in histogram.items() if c > 0}
-    lengths = sorted(left, reverse=True)
+def dominated(filling: Filling, waste: int, free: int) -> bool:
+    """Whether some pieces of a filling can be exchanged for one longer (or as long) piece that is left, or that piece just added.
+
+    What is taken out goes where the piece that came in was, so the exchange costs no
+    bin. free: bit n for each length n that is left besides the filling.
+    """
+    one, many, mask = 0, 0, (1 << (sum(filling) + 1)) - 1
+    for n in filling:  # sums of one piece, and of two or more
+        many |= ((one | many) << n) & mask
+        one |= 1 << n
+    longer, gap = (one << 1) | 2, waste  # a piece for a longer one; a piece added: from a sum of nothing
+    if waste:
+        spread, width = longer, 1
+        while width < gap:  # bit s becomes the bits s to s + waste - 1
+            step = min(width, gap - width)
+            spread |= spread << step
+            width += step
+        if spread & free:
+            return True
+    spread, width = many, 1
+    while width < waste + 1:
+        step = min(width, waste + 1 - width)
+        spread |= spread << step
+        width += step
+    return bool(spread & free)
+
+
+def fillings(space: int, asc: list[int], left: dict[int, int], most_waste: int, counter: list[int]) -> list[tuple[int, Filling]]:
+    """(waste, filling) of all undominated fillings of ``space`` that waste at most ``most_waste``, least waste first.
+
+    counter[0] is the number of steps that may still be made; the list is not whole if it runs out.
+    """
     out = []
-    while lengths:
-        x = lengths[0]
+    free = sum(1 << n for n in asc if left[n])
+    # How far the lengths up to each place can fill a room.
+    sums = [0]
+    for n in asc:
+        sums.append(sums[-1] + n * left[n])
+    stack: list[tuple[int, int, Filling]] = [(space, len(asc) - 1, ())]
+    while stack and counter[0] > 0:
+        counter[0] -= 1
+        room, i, chosen = stack.pop()
+        i = min(i, bisect.bisect_right(asc, room) - 1)
+        if i < 0 or room == 0:
+            if room <= most_waste:
+                used = Counter(chosen)
+                bits = free
+                for n, k in used.items():
+                    if left[n] == k:
+                        bits &= ~(1 << n)
+                if not dominated(chosen, room, bits):
+                    out.append((room, chosen))
+            continue
+        if room - sums[i + 1] > most_waste:
+            continue
+        n = asc[i]
+        for k in range(min(left[n], room // n) + 1):
+            stack.append((room - n * k, i - 1, chosen + (n,) * k))
+    return sorted(out, key=lambda f: (f[0], len(f[1])))
+
+
+def lower_bound(left: dict[int, int], capacity: int) -> int:
+    """A number of bins that no packing can go below: the sum of lengths, and the pieces of which no two share a bin with those that fit beside them."""
+    asc = sorted(n for n, c in left.items() if c)
+    if not asc:
+        return 0
+    best = -(-sum(n * left[n] for n in asc) // capacity)
+    half = capacity // 2
+    big = [n for n in asc if n > half]
+    small = [n for n in asc if n <= half]
+    total_big = sum(left[n] for n in big)
+    best = max(best, total_big)
+    # Pieces shorter than k do not count; pieces longer than capacity - k are alone; the rest of the big ones lend their room to k..half.
+    held, j = 0, len(big)
+    alone = 0
+    beside_sum, beside = sum(n * left[n] for n in big), total_big
+    tail = sum(n * left[n] for n in small)
+    for k in small:
+        while j and big[j - 1] > capacity - k:
+            j -= 1
+            alone += left[big[j]]
+            beside_sum -= big[j] * left[big[j]]
+            beside -= left[big[j]]
+        need = (tail - held) - (beside * capacity - beside_sum)
+        best = max(best, alone + beside + max(0, -(-need // capacity)))
+        held += k * left[k]
+    return best
+
+
+def best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[int, Filling]]:
+    """(repeats, filling): falling lengths, each piece into the fullest bin that has room. Bins that are alike are handled together."""
+    bins: dict[int, dict[Filling, int]] = {}  # room -> fillings and their numbers
+    rooms: list[int] = []  # rising
+
+    def put(room: int, filling: Filling, k: int) -> None:
+        if room not in bins:
+            bins[room] = {}
+            bisect.insort(rooms, room)
+        bins[room][filling] = bins[room].get(filling, 0) + k
+
+    def take(room: int, filling: Filling, k: int) -> None:
+        bins[room][filling] -= k
+        if not bins[room][filling]:
+            del bins[room][filling]
+        if not bins[room]:
+            del bins[room]
+            rooms.remove(room)
+
+    for n in sorted((n for n, c in histogram.items() if c > 0), reverse=True):
+        c = histogram[n]
+        while c:
+            at = bisect.bisect_left(rooms, n)
+            # As long as a piece fits, the bin that took the last one stays the fullest.
+            if at < len(rooms):
+                room = rooms[at]
+                filling, held = next(iter(bins[room].items()))
+            else:
+                room, filling, held = capacity, (), c
+            each = min(room // n, c)
+            k = min(held, c // each)
+            if at < len(rooms):
+                take(room, filling, k)
+            put(room - each * n, filling + (n,) * each, k)
+            c -= k * each
+    return [(k, f) for held in bins.values() for f, k in held.items()]
+
+
+@dataclass
+class Plan:
+    """bins: (repeats, lengths in one sequence); bound: bins that any packing needs; proved: whether fewer than these are impossible."""
+
+    bins: list[tuple[int, Filling]]
+    bound: int
+    proved: bool
+
+    @property
+    def size(self) -> int:
+        return sum(k for k, _ in self.bins)
+
+
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, steps: int = PLAN_STEPS) -> Plan:
+    """A packing of all pieces that the histogram counts, by bin completion.
+
+    The incumbent is best fit. A node of the search takes the longest length left and
+    branches over the fillings around it: the one that wastes least first, repeated as
+    often as its lengths last while many pieces are left, then every other undominated
+    one. A branch is cut when its bins and the lower bound of what is left reach the
+    incumbent, so all its bins together may waste only what the incumbent's do, less
+    one bin. When ``steps`` run out the incumbent stands, and ``proved`` says so. Never worse than best fit.
+    """
+    left = {n: c for n, c in histogram.items() if c > 0}
+    bound = lower_bound(left, capacity)
+    best = best_fit(left, capacity)
+    size = sum(k for k, _ in best)
+    counter = [steps]
+    whole = True  # whether every branch that was not cut has been searched
+    seen: dict[tuple, int] = {}
+    path: list[tuple[int, Filling]] = []
+    asc = sorted(left)
+    used, total, pieces = 0, sum(n * c for n, c in left.items()), sum(left.values())
+
+    def change(k: int, filling: Filling) -> None:
+        """Takes out k times a filling; puts it back where k is negative."""
+        nonlocal used, total, pieces
+        used, total, pieces = used + k, total - k * sum(filling), pieces - k * len(filling)
+        for n, m in Counter(filling).items():
+            if not left[n]:
+                bisect.insort(asc, n)
+            left[n] -= k * m
+            if not left[n]:
+                asc.remove(n)
+
+    def branches() -> Iterator[tuple[int, Filling]]:
+        nonlocal whole
+        x = asc[-1]
+        first: Filling | None = None
+        if pieces > EXACT_PIECES:
+            whole = False  # repeats are not undone one by one
+            left[x] -= 1
+            first = (x, *best_filling(capacity - x, asc, left))
+            left[x] += 1
+            yield min(left[n] // k for n, k in Counter(first).items()), first
+            if pieces > WIDE_PIECES:
+                return
+        # Waste that a better packing than the incumbent can still have.
+        most = (size - 1 - used) * capacity - total
         left[x] -= 1
-        filling = [x, *complete_bin(capacity - x, [n for n in lengths if n <= capacity - x and left[n]], left, steps)]
+        found = fillings(capacity - x, asc[: bisect.bisect_right(asc, capacity - x)], left, most, counter) if most >= 0 else []
         left[x] += 1
-        times = {n: filling.count(n) for n in filling}
-        repeats = min(left[n] // k for n, k in times.items())
-        for n, k in times.items():
-            left[n] -= k * repeats
-        out.append((repeats, times))
-        lengths = [n for n in lengths if left[n]]
-    return out
+        for _, f in found:
+            if (x, *f) != first:
+                yield 1, (x, *f)
+
+    def worth() -> bool:
+        """Whether what is left may still make a better packing than the incumbent."""
+        if not pieces or used - (-total // capacity) >= size:
+            return False
+        if pieces > WIDE_PIECES:
+            return True
+        state = tuple((n, left[n]) for n in asc)
+        if used + lower_bound(left, capacity) >= size or seen.get(state, used + 1) <= used:
+            return False
+        if len(seen) < SEEN_STATES:
+            seen[state] = used
+        return True
+
+    stack: list[Iterator[tuple[int, Filling]]] = [branches()] if worth() else []
+    while stack and size > bound:
+        branch = next(stack[-1], None) if counter[0] > 0 else None
+        if branch is None:
+            stack.pop()
+            if path:
+                k, f = path.pop()
+                change(-k, f)
+            continue
+        counter[0] -= 1
+        path.append(branch)
+        change(*branch)
+        if not pieces and used < size:
+            best, size = list(path), used
+        if worth():
+            stack.append(branches())
+        else:
+            k, f = path.pop()
+            change(-k, f)
+    return Plan(best, bound, size == bound or (whole and counter[0] > 0))
 
 
-def runs(steps: list[tuple[int, dict[int, int]]]) -> np.ndarray:
+def runs(bins: list[tuple[int, Filling]]) -> np.ndarray:
     """Rows (length, first rank, first sequence, repeats, offset of the first slot), by length and rank."""
     rows, rank, sequence = [], {}, 0
-    for repeats, times in steps:
+    for repeats, filling in bins:
         offset = 0
-        for n, k in sorted(times.items(), reverse=True):
+        for n, k in sorted(Counter(filling).items(), reverse=True):
             r = rank.get(n, 0)
             rows.append((n, r, sequence, repeats, offset))
             rank[n] = r + k * repeats
@@ -304,7 +518,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, lot: int = L
     # capacity x PARTS rows at most, whatever the input.
     parts = parts.withColumn("before", F.coalesce(F.sum("rows").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     histogram = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.sum("rows").alias("n")).collect()}
-    table = runs(plan(histogram, capacity))
+    table = runs(plan(histogram, capacity).bins)
     ranked = pieces.withColumn("at", F.row_number().over(Window.partitionBy("length", "part").orderBy("doc_id", "piece", "ids_crc32")))
     ranked = ranked.join(F.broadcast(parts.select("length", "part", "before")), ["length", "part"]).withColumn("rank", F.col("before") + F.col("at") - 1)
     schema = T.StructType([*T._parse_datatype_string(PIECES).fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])

@@ -101,8 +101,10 @@ def check_packing(rows, texts, repeats=None):
 
 def test_packing_query(spark, sf):
     texts = {r[0]: r[1] for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
-    used, least = check_packing(q.op4_packing(spark, sf).collect(), texts)
-    assert used <= least + max(1, least // 100)
+    rows = q.op4_packing(spark, sf).collect()
+    used, least = check_packing(rows, texts)
+    assert least <= used <= best_fit_falling([r["length"] for r in rows], 4096)
+    assert used == packing.plan(Counter(r["length"] for r in rows)).size <= least + max(1, least // 100)
 
 
 def test_packing_corner_cases(spark):
@@ -119,34 +121,74 @@ def test_packing_thousands_of_short_texts(spark):
     assert check_packing(rows, texts) == (2, 2)
 
 
-@pytest.mark.parametrize("histogram", [{1: 2000}, {4: 3000}, {1: 900, 2: 900, 3: 900, 4: 5000}])
-def test_plan_of_many_short_pieces(histogram):
+def placed_by(plan, capacity):
+    assert all(sum(f) <= capacity for _, f in plan.bins)
     placed = Counter()
-    for m, times in packing.plan(histogram):
-        assert sum(n * k for n, k in times.items()) <= 4096
-        placed.update({n: m * k for n, k in times.items()})
-    assert placed == Counter(histogram)
+    for m, filling in plan.bins:
+        placed.update({n: m * k for n, k in Counter(filling).items()})
+    return placed
 
 
-@given(st.dictionaries(st.integers(1, 12), st.integers(1, 4), max_size=5))
-@settings(max_examples=60, deadline=None)
-def test_plan_places_every_length_once_and_is_near_the_best(histogram):
-    steps = packing.plan(histogram, 12)
-    placed = Counter()
-    for m, times in steps:
-        assert sum(n * k for n, k in times.items()) <= 12
-        for n, k in times.items():
-            placed[n] += m * k
-    assert placed == Counter(histogram)
-    items = sorted(Counter(histogram).elements(), reverse=True)
+@pytest.mark.parametrize("histogram", [{1: 2000}, {4: 3000}, {1: 900, 2: 900, 3: 900, 4: 5000}, {1500: 70_000, 1300: 50_001, 7: 90_000, 4096: 12}])
+def test_plan_of_many_pieces(histogram):
+    plan = packing.plan(histogram)
+    assert placed_by(plan, 4096) == Counter(histogram)
+    assert plan.bound <= plan.size <= sum(k for k, _ in packing.best_fit(histogram, 4096))
+
+
+def best_fit_falling(items, capacity):
     bins: list[int] = []
-    for n in items:  # best fit, falling
-        room = [b for b in bins if b + n <= 12]
+    for n in sorted(items, reverse=True):
+        room = [b for b in bins if b + n <= capacity]
         if room:
             bins[bins.index(max(room))] += n
         else:
             bins.append(n)
-    assert sum(m for m, _ in steps) <= len(bins) + 1
+    return len(bins)
+
+
+def fewest(items, capacity):
+    """The least number of bins, by trying every bin for every piece."""
+    items, best = sorted(items, reverse=True), [len(items)]
+
+    def go(i, bins):
+        if len(bins) >= best[0]:
+            return
+        if i == len(items):
+            best[0] = len(bins)
+            return
+        for j in range(len(bins)):
+            if bins[j] + items[i] <= capacity and bins[j] not in bins[:j]:
+                go(i + 1, [*bins[:j], bins[j] + items[i], *bins[j + 1 :]])
+        go(i + 1, [*bins, items[i]])
+
+    go(0, [])
+    return best[0]
+
+
+def test_plan_is_optimal_on_small_instances():
+    rng = np.random.default_rng(4)
+    assert packing.plan(Counter([51, 46, 45, 44, 44, 43, 41, 31, 23, 16]), 100).size == 4
+    for _ in range(1500):
+        capacity = int(rng.choice([12, 20, 100]))
+        items = rng.integers(1, max(2, int(capacity * rng.choice([0.4, 0.6, 1.0]))) + 1, rng.integers(0, 11)).clip(max=capacity).tolist()
+        plan = packing.plan(dict(Counter(items)), capacity)
+        assert placed_by(plan, capacity) == Counter(items)
+        assert plan.proved and plan.size == fewest(items, capacity) >= plan.bound
+
+
+def test_plan_is_never_worse_than_best_fit():
+    rng = np.random.default_rng(5)
+    better = 0
+    for _ in range(10_000):
+        capacity = int(rng.choice([50, 400, 4096]))
+        items = rng.integers(1, int(capacity * rng.choice([0.3, 0.5, 0.8])) + 1, rng.integers(1, 60)).tolist()
+        plan = packing.plan(dict(Counter(items)), capacity, 300)
+        plain = best_fit_falling(items, capacity)
+        assert placed_by(plan, capacity) == Counter(items) and plan.bound <= plan.size <= plain
+        assert sum(k for k, _ in packing.best_fit(dict(Counter(items)), capacity)) == plain
+        better += plan.size < plain
+    assert better
 
 
 # ---- url filters
