@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankforge.llm.words import BASE, gram_hashes, mix, split_words, word_hashes
-from rankforge.llm.workspace import Workspace, releasing, small
+from rankforge.llm.workspace import Workspace, identified, once, releasing
 
 WINDOW, GRAM = 20, 6
 #: Places in a window where its anchor can be.
@@ -75,20 +75,6 @@ def anchors_of(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return at, grams[at], at - last, at - edge
 
 
-def documents(docs: DataFrame, work: Workspace) -> DataFrame:
-    """doc_id, variant, text. Texts that share an id are told apart by ``variant``, a hash; it is 0 where an id occurs once."""
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))
-    often = work.table(rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id", F.lit(True).alias("again")), "often")
-    variant = F.when(F.col("again"), F.xxhash64(F.coalesce("text", F.lit("")))).otherwise(F.lit(0).cast("long"))
-    return rows.join(small(often), "doc_id", "left").select("doc_id", variant.alias("variant"), "text")
-
-
-def once(rows: DataFrame) -> DataFrame:
-    """Each document, however many rows it has."""
-    again = rows.where("variant != 0").groupBy("doc_id", "variant").agg(F.min("text").alias("text"))
-    return rows.where("variant = 0").unionByName(again)
-
-
 def anchors(rows: DataFrame) -> DataFrame:
     """key, doc_id, variant, pos of every anchor."""
 
@@ -276,7 +262,7 @@ def repeats(rows: DataFrame, work: Workspace) -> DataFrame:
 def dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the words left, joined by one blank) and kept_sha256 of every row."""
     work = Workspace(docs.sparkSession, "substrings")
-    rows = documents(docs, work)
+    rows = identified(docs, work).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "variant", "text")
     flags = repeats(once(rows), work).groupBy("doc_id", "variant").agg(F.collect_list(F.struct("pos", "bits")).alias("flags"))
     schema = "doc_id long, n_words long, n_removed long, kept string, kept_sha256 string"
 

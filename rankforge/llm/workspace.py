@@ -92,3 +92,19 @@ def small(df: DataFrame) -> DataFrame:
     width = sum((F.coalesce(c, F.lit(0)) for c in sized), F.lit(16 + 8 * len(df.columns)).cast("long"))
     size = df.agg(F.sum(width)).first()[0] or 0
     return F.broadcast(df) if size <= BROADCAST_BYTES else df
+
+
+def identified(docs: DataFrame, work: Workspace) -> DataFrame:
+    """doc_id, variant, text and all other columns of docs. Texts that share an id are told apart by ``variant``, a hash; it is 0 where an id occurs once."""
+    rows = docs.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("text", F.col("text").cast("string"))
+    often = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("__id"), F.lit(True).alias("__again"))
+    often = small(work.table(often, "often"))
+    variant = F.when(F.col("__again"), F.xxhash64(F.coalesce("text", F.lit("")))).otherwise(F.lit(0).cast("long"))
+    others = [c for c in rows.columns if c not in ("doc_id", "text", "variant")]
+    return rows.join(often, F.col("doc_id").eqNullSafe(F.col("__id")), "left").select("doc_id", variant.alias("variant"), "text", *others)
+
+
+def once(rows: DataFrame) -> DataFrame:
+    """doc_id, variant, text of each document, however many rows it has."""
+    again = rows.where("variant != 0").groupBy("doc_id", "variant").agg(F.min("text").alias("text"))
+    return rows.where("variant = 0").select("doc_id", "variant", "text").unionByName(again)

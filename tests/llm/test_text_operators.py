@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import pytest
@@ -68,7 +69,7 @@ def check_pii(rows, texts):
         said = ",".join(f"{k}:{a}:{b}" for k, a, b in want)
         assert r["base_sha256"] == hashlib.sha256(said.encode()).hexdigest(), (r, said)
         assert [r[f"n_{k}"] for k in PLAIN] == [sum(x[0] == k for x in want) for k in PLAIN]
-        assert set(said.split(",")) <= set(r["spans"].split(","))
+        assert not want or set(said.split(",")) <= set(r["spans"].split(","))
 
 
 def test_pii_base_matches_the_plain_patterns(spark):
@@ -100,6 +101,116 @@ def test_pii_patterns_discover_unseen_identifiers(spark):
     assert got[11]["spans"] == "" and got[12]["spans"] == "" and got[13]["spans"] == ""
 
 
+def bootstrapped(texts, support=3, confidence=0.8, rounds=3):
+    """All spans of each text, by the definitions, one instance after the other."""
+    base, words, left = {}, {}, {}
+    for i, text in texts.items():
+        base[i] = base_spans(text)
+        at = [(m.start(), m.end(), m[0]) for m in WORD.finditer(text or "")]
+        for k, (a, b, w) in enumerate(at):
+            if k >= 2 and re.search("[0-9@]", w):
+                left[i, a] = re.sub("[0-9]+", "#", f"{at[k - 2][2]} {at[k - 1][2]}".lower())
+        words[i] = [(a, a + len(w.rstrip(".,;:!?)]}\"'")), w.rstrip(".,;:!?)]}\"'").lower()) for a, b, w in at if (i, a) in left and not any(s < b and a < e for _, s, e in base[i])]
+    edges = {}
+    for i in texts:
+        for kind, a, b in base[i]:
+            if (i, a) in left:
+                key = left[i, a], texts[i][a:b].lower()
+                edges[key] = max(kind, edges.get(key) or "")
+        for a, _, v in words[i]:
+            edges.setdefault((left[i, a], v), None)
+    wide = {p for p in {p for p, _ in edges} if sum(q == p for q, _ in edges) >= support and any(q == p and k for (q, _), k in edges.items())}
+    edges = {e: k for e, k in edges.items() if e[0] in wide}
+    known = {(v, k): 1.0 for (_, v), k in edges.items() if k}
+    score, trusted = dict(known), {}
+    for _ in range(rounds):
+        trusted = {}
+        for p in wide:
+            values = [v for q, v in edges if q == p]
+            for kind in PLAIN:
+                got = [score[v, kind] for v in values if (v, kind) in score]
+                if sum(x >= 0.5 for x in got) >= support and sum(got) / len(values) >= confidence:
+                    trusted[p, kind] = sum(got) / len(values)
+        score = dict(known)
+        miss = defaultdict(lambda: 1.0)
+        for (p, v), k in edges.items():
+            for (q, kind), c in trusted.items():
+                if q == p and not k:
+                    miss[v, kind] *= 1 - min(c, 0.999)
+        for key, m in miss.items():
+            score[key] = max(score.get(key, 0), 1 - m)
+    kind_of = {p: max((c, k) for (q, k), c in trusted.items() if q == p)[1] for p in {p for p, _ in trusted}}
+    order = list(PLAIN)
+    out = {}
+    for i in texts:
+        found = [(kind_of[left[i, a]], a, b) for a, b, _ in words[i] if left[i, a] in kind_of]
+        out[i] = ",".join(f"{k}:{a}:{b}" for _, a, b, k in sorted((order.index(k), a, b, k) for k, a, b in [*base[i], *found]))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_pii_agrees_with_a_plain_bootstrapper(spark, seed):
+    rng = random.Random(seed)
+    seeds = ["x{}@a.org", "10.0.0.{}", "+1 555 01{}9 22", "41111111111111{}", "u{}(at)b.org", "host-{}", "nothing", "y@z", "n{},"]
+    texts = {}
+    for i in range(150):
+        parts = []
+        for _ in range(rng.randrange(1, 6)):
+            k = rng.randrange(5)
+            usual = seeds[k] if k < 4 and rng.random() < 0.95 else rng.choice(seeds)
+            parts += [["mail to", "at host", "call on", "paid by card", "see 7 of"][k], usual.format(rng.randrange(10, 99))]
+        texts[i] = rng.choice([" ", "  ", "\n", " \t"]).join(parts)
+    texts |= {200: None, 201: "", 202: "mail to"}
+    want = bootstrapped(texts)
+    got = {r["doc_id"]: r for r in pii.find(frame(spark, list(texts.items()))).collect()}
+    assert {i: r["spans"] for i, r in got.items()} == want
+    check_pii(got.values(), texts)
+    assert sum(v.count(":") for v in want.values()) > 2 * sum(len(base_spans(t)) for t in texts.values()), "nothing was discovered"
+
+
+def test_pii_of_a_planted_corpus(spark):
+    rng = random.Random(9)
+    fill = lambda n: " ".join(rng.choice("lorem ipsum dolor sit amet elit sed tempor".split()) for _ in range(n))
+    texts = {i: f"{fill(9)} server address is 10.1.{i}.7 {fill(5)}" for i in range(40)}
+    texts |= {100 + i: f"{fill(6)} address is fe80::{i:x}a9 {fill(4)}" for i in range(20)}
+    texts |= {200 + i: f"{fill(6)} chapter has {i} pages {fill(4)}" for i in range(40)}
+    got = {r["doc_id"]: r for r in pii.find(frame(spark, list(texts.items()))).collect()}
+    planted = {i: (t.index("fe80"), t.index("fe80") + len(t[t.index("fe80") :].split()[0])) for i, t in texts.items() if "fe80" in t}
+    # 40 of 60 instances are known: too few to trust the pattern; with fewer unseen ones it is trusted.
+    assert all(r["spans"].count(":") == 2 * r["n_ip"] for r in got.values())
+    few = {i: t for i, t in texts.items() if not 105 <= i < 120}
+    got = {r["doc_id"]: r["spans"] for r in pii.find(frame(spark, list(few.items()))).collect()}
+    assert all(got[i] == f"ip:{a}:{b}" for i, (a, b) in planted.items() if i in few) and all(not got[i] for i in few if i >= 200)
+
+
+def test_pii_is_linear_in_the_text(spark):
+    def seconds(n):
+        text = " ".join(f"w{i} me{i}@x.org" if i % 9 == 0 else f"w{i}" for i in range(n))
+        began = time.monotonic()
+        (row,) = pii.find(frame(spark, [(1, text)])).collect()
+        assert row["n_email"] == -(-n // 9)
+        return time.monotonic() - began
+
+    seconds(100)
+    assert seconds(32_000) < 3 * seconds(8_000) + 1
+
+
+def test_pii_of_a_text_of_ten_megabytes(spark):
+    text = "word of number +1 555 0100 99 " * 350_000
+    (row,) = pii.find(frame(spark, [(1, text)])).collect()
+    assert row["n_phone"] == 350_000 and row["spans"].endswith(f":{len(text) - 1}")
+    (row,) = pii.redact(frame(spark, [(1, text)])).select("text").collect()
+    assert row["text"] == "word of number [PHONE] " * 350_000
+
+
+def test_redact_of_overlapping_spans_and_long_texts(spark):
+    long = "é" * 3000 + " a@b.cd " + "😀" * 1500 + " 10.0.0.1 end"
+    texts = [(1, "card +4111 1111 1111 1111 x"), (2, long), (2, "other 1.2.3.4"), (2, long)]
+    got = Counter(r["text"] for r in pii.redact(frame(spark, texts)).collect())
+    assert got["é" * 3000 + " [EMAIL] " + "😀" * 1500 + " [IP] end"] == 2 and got["other [IP]"] == 1
+    assert got["card [CARD] x"] + got["card +[CARD] x"] == 1
+
+
 def test_redact(spark):
     df = frame(spark, [(1, "x me@a.bc, 1.2.3.4 y"), (1, "x me@a.bc, 1.2.3.4 y"), (2, "clean"), (3, None), (None, "é +1 555 0100 99")])
     got = sorted(map(tuple, pii.redact(df).select("doc_id", "text", "n_chars", "key").collect()), key=str)
