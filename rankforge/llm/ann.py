@@ -1,19 +1,24 @@
 """Approximate nearest neighbours: inverted file, product-quantised residuals, exact reranking.
 
 ``fit`` learns coarse centroids and residual codebooks by k-means on a bounded,
-seeded sample (``SAMPLE`` vectors). ``search`` gives every vector its cell and its
-code, splits cells into blocks of bounded size (a cell may hold most vectors), sends
-each query to the blocks of its nearest cells, ranks a block's codes by asymmetric
-distance tables, and reranks the best ``DEPTH`` distinct vectors of each block by the
-exact distance in double precision. The blocks' results meet by query.
-
-How many cells a query probes is measured on the sample (``COVER``); it goes on until
-they hold enough candidates, so it finds k neighbours wherever there are k.
+seeded sample (``SAMPLE`` vectors). There are about as many cells as the root of the
+number of vectors, as far as the sample can tell centroids. ``search`` keeps of every
+distinct vector its cell and its code, apart from the vectors themselves, and splits
+cells into blocks of bounded size (a cell may hold most vectors). A query goes to the
+blocks of its nearest cells, where asymmetric distance tables rank the codes; the
+best ``depth`` of all blocks together are its shortlist. Only for shortlists are
+vectors read, and reranked by the exact distance in double precision.
+
+How many cells a query probes is measured on the sample (``COVER``), and how long its
+shortlist is (``DEEP``); it goes on until cells hold enough candidates, so it finds k
+neighbours wherever there are k.
 
 Corner cases: vectors that are null, zero, of another length than most, or hold null
 or non-finite components take no part, nor do rows without an id; rows that share an
-id count as one (the smallest vector by its bytes stands for a query); copies tie and go by the
-smaller id; an empty table gives an empty result; other columns are ignored.
+id are candidates with each of their vectors, and the id is found once, at its
+smallest distance (as a query, the smallest vector stands for it); equal vectors are
+one candidate until the end, so copies displace nothing, and go by the smaller id; an
+empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,22 +27,25 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from rankforge.llm.workspace import Workspace
+from rankforge.llm.workspace import Workspace, releasing, small
 
-SAMPLE, SEED = 20_000, 7
-CELLS, SUBSPACES, CODES = 128, 16, 256
-DEPTH, K = 100, 10
+SAMPLE, SEED = 32_768, 7
+#: Cells: the root of the number of vectors times ROOT, but at least so many sample vectors each.
+ROOT, PER_CELL = 1.0, 16
+SUBSPACES, CODES = 16, 256
+K = 10
 #: Cells that a query probes: as few as hold this share of the true neighbours of TRIED sample vectors within the sample.
-#: Clustered vectors need a few cells, isotropic ones, whose neighbours lie all over, most of them.
-COVER, TRIED = 0.98, 512
-#: Vectors of one block: half as many again as a cell has on average, within these bounds, which memory sets at the upper end.
-BLOCK = (256, 65_536)
+#: Clustered vectors need a few cells, isotropic ones, whose neighbours lie all over, many.
+COVER, TRIED = 0.97, 512
+#: Length of a shortlist: so many times k, or more if the codes rank this share of the sample's true neighbours further down.
+DEPTH, DEEP = 10, 0.99
+#: Codes of one block, by which memory is bounded.
+BLOCK = 65_536
 
 
 def kmeans(x: np.ndarray, k: int, seed: int, rounds: int = 12) -> np.ndarray:
@@ -62,25 +70,49 @@ def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Index:
-    """Centroids and one codebook for each subspace; CELLS x dimension and CODES x dimension numbers, whatever the input."""
+    """Centroids and one codebook for each subspace; at most SAMPLE / PER_CELL x dimension and CODES x dimension numbers, whatever the input."""
 
     centroids: np.ndarray
     books: list[np.ndarray]
     parts: list[tuple[int, int]]
     probes: int
+    depth: int
 
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         cell = nearest(x, self.centroids)
         rest = x - self.centroids[cell]
         return cell, np.stack([nearest(rest[:, a:b], book) for (a, b), book in zip(self.parts, self.books, strict=True)], 1).astype(np.uint8)
 
-    def tables(self, query: np.ndarray, cell: int) -> np.ndarray:
-        """Squared distances of the query's residual to all codes of each subspace."""
-        rest = query - self.centroids[cell]
-        out = np.full((len(self.books), CODES), np.inf)
+    def calibrate(self, x: np.ndarray, k: int = K) -> None:
+        """Sets how many cells must be probed to meet COVER of the k nearest sample vectors of sample vectors, and how long a shortlist must be."""
+        cell, code = self.encode(x)
+        ask = x[:TRIED]
+        k = min(k, len(x) - 1)
+        if k < 1:
+            self.probes = len(self.centroids)
+            return
+        own = np.arange(len(ask))
+        far = distances(ask, x)
+        far[own, own] = np.inf
+        true = np.argpartition(far, k - 1, 1)[:, :k]
+        place = np.argsort(np.argsort(distances(ask, self.centroids), 1, kind="stable"), 1)
+        self.probes = quantile(np.take_along_axis(place, cell[true], 1), COVER) + 1
+        # Where the codes rank the true neighbours among the sample.
+        near = self.centroids[cell]
         for i, ((a, b), book) in enumerate(zip(self.parts, self.books, strict=True)):
-            out[i, : len(book)] = ((book - rest[a:b]) ** 2).sum(1)
-        return out
+            near[:, a:b] += book[code[:, i]]
+        ranks = []
+        for s in range(0, len(ask), 64):
+            d = distances(ask[s : s + 64], near)
+            d[np.arange(len(d)), own[s : s + 64]] = np.inf
+            ordered = np.sort(d, 1)
+            ranks += [np.searchsorted(ordered[i], d[i, true[s + i]]) for i in range(len(d))]
+        self.depth = max(self.depth, quantile(np.array(ranks), DEEP) + 1 + k)
+
+
+def quantile(values: np.ndarray, share: float) -> int:
+    values = np.sort(values.ravel())
+    return int(values[min(len(values) - 1, int(np.ceil(share * len(values))))])
 
 
 def usable(rows: DataFrame, key: str, vector: str) -> DataFrame:
@@ -90,33 +122,22 @@ def usable(rows: DataFrame, key: str, vector: str) -> DataFrame:
     return df.where(F.coalesce(fine, F.lit(False)) & F.exists("embedding", lambda x: x != 0))
 
 
-def fit(rows: DataFrame, cells: int = CELLS, sample: int = SAMPLE) -> Index | None:
+def fit(rows: DataFrame, count: int, sample: int = SAMPLE) -> Index | None:
     """Index of usable rows; None without any. The sample's bound is what reaches the driver."""
     first = rows.select("embedding", F.xxhash64(F.lit(SEED), "vec_id").alias("draw")).orderBy("draw", "embedding").limit(sample)
     table = first.select("embedding").toArrow()["embedding"].combine_chunks()
     if not len(table):
         return None
-    x = np.stack([np.asarray(v.values.to_numpy(zero_copy_only=False), np.float64) for v in table])
-    centroids = kmeans(x, max(1, min(cells, len(x) // 8)), SEED)
+    x = np.unique(np.asarray(table.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(table), -1), axis=0)
+    x = x[np.random.default_rng(SEED).permutation(len(x))]
+    centroids = kmeans(x, max(1, min(round(ROOT * count**0.5), len(x) // PER_CELL)), SEED)
     rest = x - centroids[nearest(x, centroids)]
     cuts = np.linspace(0, x.shape[1], min(SUBSPACES, x.shape[1]) + 1).astype(int)
     parts = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
-    return Index(centroids, [kmeans(rest[:, a:b], min(CODES, len(x)), SEED + 1 + i, 8) for i, (a, b) in enumerate(parts)], parts, calibrate(x, centroids))
-
-
-def calibrate(x: np.ndarray, centroids: np.ndarray, k: int = K) -> int:
-    """How many cells must be probed so that they hold COVER of the k nearest sample vectors of sample vectors."""
-    cell = nearest(x, centroids)
-    ask = x[:TRIED]
-    far = distances(ask, x)
-    far[np.arange(len(ask)), np.arange(len(ask))] = np.inf
-    k = min(k, len(x) - 1)
-    if k < 1:
-        return len(centroids)
-    true = np.argpartition(far, k - 1, 1)[:, :k]
-    place = np.argsort(np.argsort(distances(ask, centroids), 1, kind="stable"), 1)
-    ranks = np.sort(np.take_along_axis(place, cell[true], 1).ravel())
-    return int(ranks[min(len(ranks) - 1, int(np.ceil(COVER * len(ranks))))]) + 1
+    books = [kmeans(rest[:, a:b], min(CODES, len(x)), SEED + 1 + i, 8) for i, (a, b) in enumerate(parts)]
+    index = Index(centroids, books, parts, 1, DEPTH * K)
+    index.calibrate(x)
+    return index
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -125,56 +146,46 @@ def matrix(column: pa.Array) -> np.ndarray:
 
 
 def encoded(rows: DataFrame, index: Index) -> DataFrame:
-    """vec_id, embedding, cell, code."""
+    """vec_id, same (two hashes of the vector, by which equal ones are known), cell, code."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = matrix(b.column(1))
+            x = matrix(b.column(3))
             cell, code = index.encode(x) if len(x) else (np.empty(0, int), np.empty((0, 1), np.uint8))
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(cell.astype(np.int32)), pa.array([c.tobytes() for c in code], pa.binary())], ["vec_id", "embedding", "cell", "code"])
-
-    return rows.mapInArrow(run, "vec_id long, embedding array<double>, cell int, code binary")
-
-
-def search_block(index: Index, cell: int, queries: pd.DataFrame, rows: pd.DataFrame, k: int, depth: int) -> list[tuple[int, int, float]]:
-    """The best of one block for each query that probes its cell."""
-    if not len(queries) or not len(rows):
-        return []
-    ids = rows["vec_id"].to_numpy()
-    order = np.argsort(ids, kind="stable")
-    ids, x = ids[order], np.stack(rows["embedding"].to_numpy())[order].astype(np.float64)
-    code = np.frombuffer(b"".join(rows["code"]), np.uint8).reshape(len(ids), -1)[order]
-    # Copies share one place in the ranking, so that they don't displace other vectors; rows that repeat count once.
-    _, first, group = np.unique(x, axis=0, return_index=True, return_inverse=True)
-    group = group.ravel()
-    members = np.lexsort((ids, group))
-    new = np.r_[True, (ids[members][1:] != ids[members][:-1]) | (group[members][1:] != group[members][:-1])]
-    members = members[new]
-    ends = np.cumsum(np.bincount(group[members]))
-    begins = np.r_[0, ends[:-1]]
-    columns = np.arange(code.shape[1])
-    out = []
-    for q, v in zip(queries["vec_id"], queries["embedding"], strict=True):
-        v = np.asarray(v, np.float64)
-        adc = index.tables(v, cell)[columns, code[first]].sum(1)
-        near = np.argpartition(adc, depth)[:depth] if len(adc) > depth else np.arange(len(adc))
-        exact = np.sqrt(((x[first[near]] - v) ** 2).sum(1))
-        take: dict[int, float] = {}
-        last = np.inf
-        for g, d in sorted(zip(near.tolist(), exact.tolist(), strict=True), key=lambda p: p[1]):
-            if d > last:
-                break
-            # The first k copies besides the query itself are all that can count.
-            for i in ids[members[begins[g] : min(ends[g], begins[g] + k + 1)]].tolist():
-                if i != q:
-                    take.setdefault(i, d)
-            if len(take) >= k:
-                last = min(last, d)
-        out += [(int(q), i, d) for d, i in sorted((d, i) for i, d in take.items())[:k]]
-    return out
-
-
-def search(vectors: DataFrame, queries: DataFrame, k: int = K, probes: int | None = None, depth: int = DEPTH, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+            binary = pa.array([c.tobytes() for c in code], pa.binary())
+            yield pa.record_batch([b.column(0), b.column(1), b.column(2), pa.array(cell.astype(np.int32)), binary], ["vec_id", "same", "same2", "cell", "code"])
+
+    hashed = rows.select("vec_id", F.xxhash64("embedding").alias("same"), F.xxhash64(F.lit(SEED), "embedding").alias("same2"), "embedding")
+    return hashed.mapInArrow(releasing(run), "vec_id long, same long, same2 long, cell int, code binary")
+
+
+def shortlist(index: Index, cell: int, ids: np.ndarray, queries: np.ndarray, same: np.ndarray, codes: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query ids, rows of the block, distances by codes) of the nearest ``depth`` of one block for each query.
+
+    |q - c - r|^2 = |q - c|^2 + |r|^2 + 2 c.r - 2 q.r for a residual r of cell c: only the last part needs a table for each query.
+    """
+    place = np.arange(len(index.books)) * CODES
+    at = codes.astype(np.int32) + place
+    own = np.zeros(len(index.books) * CODES)
+    for i, ((a, b), book) in enumerate(zip(index.parts, index.books, strict=True)):
+        own[place[i] : place[i] + len(book)] = (book**2).sum(1) + 2 * book @ index.centroids[cell, a:b]
+    fixed = own[at].sum(1)
+    out_q, out_r, out_d = [], [], []
+    for qid, q in zip(ids, queries, strict=True):
+        table = np.zeros_like(own)
+        for i, ((a, b), book) in enumerate(zip(index.parts, index.books, strict=True)):
+            table[place[i] : place[i] + len(book)] = -2 * book @ q[a:b]
+        d = fixed + ((q - index.centroids[cell]) ** 2).sum()
+        for i in range(at.shape[1]):
+            d += table[at[:, i]]
+        near = np.argpartition(d, depth - 1)[:depth] if len(d) > depth else np.arange(len(d))
+        out_q.append(np.full(len(near), qid))
+        out_r.append(near)
+        out_d.append(d[near])
+    return np.concatenate(out_q), np.concatenate(out_r), np.concatenate(out_d)
+
+
+def search(vectors: DataFrame, queries: DataFrame, k: int = K, probes: int | None = None, depth: int | None = None, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score (Euclidean distance): the k nearest found of each query's id, not itself."""
     spark = vectors.sparkSession
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -184,15 +195,22 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, probes: int | Non
     if size is None:
         return empty
     rows = rows.where(F.size("embedding") == size["d"])
-    index = fit(rows)
+    index = fit(rows, size["count"])
     probes = index.probes if probes is None else probes
-    rows = work.table(encoded(rows, index), "encoded")
-    held = {r["cell"]: r["count"] for r in rows.groupBy("cell").count().collect()}  # a row for each cell
-    counts = np.array([held.get(c, 0) for c in range(len(index.centroids))])
-    block = int(np.clip(1.5 * counts.mean(), *BLOCK))
-    split = np.maximum(1, -(-counts // block))
+    # A shortlist is of distinct vectors, the query's own one among them.
+    depth = max(k + 1, index.depth * k // K if depth is None else depth)
+
+    # Of equal vectors the first k + 1 ids are all that can be found; ranks are limited before they are shuffled.
+    codes = work.table(encoded(rows, index), "codes")
+    nth = F.row_number().over(Window.partitionBy("same", "same2").orderBy("vec_id"))
+    ids = codes.groupBy("same", "same2", "vec_id").agg(F.first("cell").alias("cell"), F.first("code").alias("code")).withColumn("nth", nth)
+    ids = work.table(ids.where(F.col("nth") <= k + 1), "ids")
+    held = {r["cell"]: (r["ids"], r["vectors"]) for r in ids.groupBy("cell").agg(F.count(F.lit(1)).alias("ids"), F.count_if(F.col("nth") == 1).alias("vectors")).collect()}  # a row for each cell
+    counts, distinct = (np.array([held.get(c, (0, 0))[i] for c in range(len(index.centroids))]) for i in (0, 1))
+    split = np.maximum(1, -(-distinct // BLOCK))
 
     ask = usable(queries, key, vector).where(F.size("embedding") == size["d"]).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    ask = work.table(ask, "queries")
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -204,7 +222,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, probes: int | Non
                 need = np.where(enough.any(1), enough.argmax(1) + 1, len(counts))
                 for i, n in enumerate(np.maximum(need, probes)):
                     for c in order[i, :n]:
-                        if counts[c]:
+                        if distinct[c]:
                             at += [i] * int(split[c])
                             cell += [int(c)] * int(split[c])
                             block += range(int(split[c]))
@@ -213,13 +231,31 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, probes: int | Non
 
     asked = ask.mapInArrow(route, "vec_id long, embedding array<double>, cell int, block int")
     parts = F.element_at(F.array(*[F.lit(int(n)) for n in split]), F.col("cell") + 1)
-    blocks = rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), parts).cast("int"))
-
-    def both(keys: tuple, q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(search_block(index, int(keys[0]), q, r, k, depth), columns=["query_id", "vec_id", "score"])
-
-    found = asked.groupBy("cell", "block").cogroup(blocks.groupBy("cell", "block")).applyInPandas(both, "query_id long, vec_id long, score double")
-    # Rows that share an id count once, by their smallest distance.
-    found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
+    first = ids.where("nth = 1").drop("nth")
+    blocks = first.withColumn("block", F.pmod(F.col("same"), parts).cast("int")).select("vec_id", "same", "same2", "code", "cell", "block")
+
+    def both(keys: tuple, q: pa.Table, r: pa.Table) -> pa.Table:
+        found = [np.empty(0, np.int64)] * 2 + [np.empty(0)]
+        r = r.combine_chunks()
+        if q.num_rows and r.num_rows:
+            codes = np.frombuffer(b"".join(r["code"].to_pylist()), np.uint8).reshape(r.num_rows, -1)
+            found = shortlist(index, keys[0].as_py(), q["vec_id"].to_numpy(), matrix(q["embedding"].combine_chunks()), r["same"].to_numpy(), codes, depth)
+        at = pa.array(found[1])
+        return pa.table([pa.array(found[0]), r["vec_id"].take(at), r["same"].take(at), r["same2"].take(at), pa.array(found[2])], ["query_id", "vec_id", "same", "same2", "near"])
+
+    found = asked.groupBy("cell", "block").cogroup(blocks.groupBy("cell", "block")).applyInArrow(both, "query_id long, vec_id long, same long, same2 long, near double")
+    best = F.row_number().over(Window.partitionBy("query_id").orderBy("near", "same", "same2"))
+    short = work.table(found.withColumn("at", best).where(F.col("at") <= depth).drop("at", "near"), "shortlist")
+
+    # Vectors are read for shortlists only, by the id that stands for equal ones.
+    wanted = work.table(short.select("vec_id").distinct(), "wanted")
+    exact = rows.join(small(wanted), "vec_id", "left_semi").select(F.xxhash64("embedding").alias("same"), F.xxhash64(F.lit(SEED), "embedding").alias("same2"), "embedding").dropDuplicates(["same", "same2"])
+    pairs = short.join(exact, ["same", "same2"]).join(small(ask.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))), "query_id")
+    square = F.aggregate(F.zip_with("embedding", "query", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
+    pairs = pairs.select("query_id", "vec_id", "same", "same2", F.sqrt(square).alias("score"))
+    # Each vector has an id at least, so only the k + 1 nearest ones count; then all their ids.
+    order = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+    near = pairs.withColumn("at", order).where(F.col("at") <= k + 1).select("query_id", "same", "same2", "score")
+    near = near.join(ids.select("same", "same2", "vec_id"), ["same", "same2"]).where("vec_id != query_id")
+    near = near.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    return near.withColumn("rank", order).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
