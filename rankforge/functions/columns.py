@@ -65,9 +65,10 @@ def parse_order(text: Column, n: Column) -> Column:
 
 
 def phrases(text: Column, count: int) -> Column:
-    """The first lines of an answer without list marks, 2 to 80 characters long."""
-    lines = F.transform(F.split(text, "\n"), lambda x: F.trim(F.regexp_replace(x, r"^[\s\-*0-9.)]+", "")))
-    return F.slice(F.filter(lines, lambda x: F.length(x).between(2, 80)), 1, count)
+    """The first lines of an answer without blanks, list marks and digits at either end, 2 to 80 characters long."""
+    lines = F.filter(F.split(text, "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"), lambda x: x.rlike(r"(?U)\S"))
+    stripped = F.transform(lines, lambda x: F.btrim(x, F.lit(" -*\t.0123456789)")))
+    return F.slice(F.filter(stripped, lambda x: F.length(x).between(2, 80)), 1, count)
 
 
 def student_t_two_sided(t: float, df: float) -> float:

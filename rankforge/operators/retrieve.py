@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from rankforge.operators import scorers
-from rankforge.operators.ranking import by_user, exclude, last_item, recent
+from rankforge.operators.ranking import by_user, exclude, last_item, positions, recent
+
+#: Quantiles by which a global order is dealt.
+MARKS = 64
 
 
 def best(scores: DataFrame, seen: DataFrame, n: int, high_id: bool = False) -> DataFrame:
@@ -21,11 +24,18 @@ def best(scores: DataFrame, seen: DataFrame, n: int, high_id: bool = False) -> D
 
 
 def global_order(counts: DataFrame) -> DataFrame:
-    """item_idx, score, place: the catalogue by falling count, ties by item. The places of equal counts are numbered apart, so no task sorts the catalogue."""
-    sizes = counts.groupBy("score").agg(F.count(F.lit(1)).alias("n"))
-    above = F.coalesce(F.sum("n").over(Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    place = F.row_number().over(Window.partitionBy("score").orderBy("item_idx"))
-    return counts.withColumn("__at", place).join(sizes.select("score", above.alias("__above")), "score").select("item_idx", "score", (F.col("__at") + F.col("__above")).alias("place"))
+    """item_idx, score, place: the catalogue by falling score, ties by item, without sorting it in one task.
+
+    Items are numbered within ranges between quantiles of the score (at most MARKS
+    numbers reach the driver); a score that is a quantile itself is a range of its own,
+    dealt by item, as many items may share it.
+    """
+    marks = sorted(set(counts.approxQuantile("score", [i / MARKS for i in range(MARKS + 1)], 0.25 / MARKS)))
+    level = sum((((F.col("score") < m).cast("int") + (F.col("score") <= m).cast("int")) for m in marks), F.lit(0))
+    low, high = counts.agg(F.min("item_idx"), F.max("item_idx")).first()
+    slice_ = F.floor((F.col("item_idx") - F.lit(low or 0)) / F.lit(((high or 0) - (low or 0)) // MARKS + 1))
+    bucket = level * (MARKS + 1) + F.when(F.col("score").isin(marks), slice_).otherwise(0) if marks else F.lit(0)
+    return positions(counts, bucket, [F.desc("score"), F.col("item_idx")], "place").select("item_idx", "score", "place")
 
 
 def by_global_order(order: DataFrame, users: DataFrame, seen: DataFrame, n: int) -> DataFrame:
@@ -83,11 +93,11 @@ def graph_expansion(users: DataFrame, train: DataFrame, edges: DataFrame, seen:
     return best(scorers.expand(history, edges, "item_a", "item_b", "n"), seen, n, high_id=True)
 
 
-#: Vectors of one block of the catalogue, and users of one batch.
-BLOCK, BATCH = 8192, 4096
+#: Vectors of one block of the catalogue, and users of one batch: what a task holds. Each side travels once for each part of the other, so parts are large; users of one product.
+BLOCK, BATCH, PRODUCT = 32_768, 32_768, 128
 
 
-def dense_top(users: DataFrame, items: DataFrame, n: int, extra: DataFrame | None = None, blocks: int = 1) -> DataFrame:
+def dense_top(users: DataFrame, items: DataFrame, n: int, extra: DataFrame | None = None, blocks: int | None = None) -> DataFrame:
     """user_idx, item_idx, score: the n best dot products of vectors u (users) and v (items), found block by block.
 
     The catalogue is dealt into blocks; users meet each block in batches as a matrix
@@ -95,8 +105,10 @@ def dense_top(users: DataFrame, items: DataFrame, n: int, extra: DataFrame | Non
     more items than n are wanted (as many as the user has seen).
     """
     wanted = users.withColumn("had", F.lit(0).cast("long")) if extra is None else users.join(extra, "user_idx", "left")
-    # Every batch of users meets every block of items: both are as large as memory allows, as a block travels once for each batch.
-    batches = max(1, -(-users.count() // BATCH))
+    blocks = max(1, -(-items.count() // BLOCK)) if blocks is None else blocks
+    # Every batch of users meets every block of items. Few users still make work for all cores.
+    count = users.count()
+    batches = max(1, -(-count // BATCH), min(users.sparkSession.sparkContext.defaultParallelism, count // 1024))
     parts = wanted.select("user_idx", "u", F.coalesce("had", F.lit(0).cast("long")).alias("had")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     parts = parts.withColumn("batch", F.pmod(F.xxhash64("user_idx"), F.lit(batches)).cast("int"))
     held = items.withColumn("block", F.pmod(F.xxhash64("item_idx"), F.lit(blocks)).cast("int")).select("block", "item_idx", "v")
@@ -109,8 +121,8 @@ def dense_top(users: DataFrame, items: DataFrame, n: int, extra: DataFrame | Non
         if len(left) and len(right):
             right = right.sort_values("item_idx")
             ids, v = right["item_idx"].to_numpy(), np.stack(right["v"].to_numpy()).astype(np.float64)
-            for at in range(0, len(left), 512):
-                part = left.iloc[at : at + 512]
+            for at in range(0, len(left), PRODUCT):
+                part = left.iloc[at : at + PRODUCT]
                 s = np.round(np.stack(part["u"].to_numpy()).astype(np.float64) @ v.T, digits)
                 for user, had, row in zip(part["user_idx"], part["had"], s, strict=True):
                     k = min(len(row), n + int(had))

@@ -15,6 +15,8 @@ from rankforge.functions.columns import bigrams, tokens
 from rankforge.operators.ranking import minmax, recent
 
 DIGITS = 9
+#: Items of a history that meet each other under one key.
+PART = 2048
 
 
 def weights(train: DataFrame) -> DataFrame:
@@ -32,12 +34,29 @@ def popularity(pool: DataFrame, train: DataFrame) -> DataFrame:
     return pool.join(counts, "item_idx", "left").na.fill(0.0, ["score"])
 
 
+def pairs(w: DataFrame, part: int = PART) -> DataFrame:
+    """item_i < item_j, wi, wj: each pair of a user's items (user_idx, item_idx, w) once.
+
+    A history beyond ``part`` items is dealt into parts, and each pair of parts is a
+    key of its own, so a heavy user's pairs are many tasks' work.
+    """
+    sizes = w.groupBy("user_idx").agg(F.ceil(F.count(F.lit(1)) / part).cast("int").alias("__parts"))
+    dealt = w.join(sizes, "user_idx").withColumn("__own", F.pmod(F.xxhash64("item_idx"), F.col("__parts")).cast("int"))
+    side = lambda low, high, n: dealt.select("user_idx", F.col("item_idx").alias(f"item_{n}"), F.col("w").alias(f"w{n}"), F.col("__own").alias(f"__p{n}"), F.explode(F.sequence(low, high)).alias("__with"))
+    # Parts p <= q meet in the key (p, q): the left side goes to all q from its own on, the right side to all p up to its own.
+    left = side(F.col("__own"), F.col("__parts") - 1, "a").withColumnsRenamed({"__pa": "__p", "__with": "__q"})
+    right = side(F.lit(0), F.col("__own"), "b").withColumnsRenamed({"__pb": "__q", "__with": "__p"})
+    met = left.join(right, ["user_idx", "__p", "__q"]).where("__p < __q or item_a < item_b")
+    low = F.col("item_a") < F.col("item_b")
+    pick = lambda a, b, name: F.when(low, F.col(a)).otherwise(F.col(b)).alias(name)
+    return met.select(pick("item_a", "item_b", "item_i"), pick("item_b", "item_a", "item_j"), pick("wa", "wb", "wi"), pick("wb", "wa", "wj"))
+
+
 def item_similarity(train: DataFrame, k: int = 100) -> DataFrame:
     """item_i, item_j, sim: cosine of item columns; of each item_i the k most similar, ties at the k-th place included."""
     w = weights(train)
     norms = w.groupBy("item_idx").agg((F.sqrt(F.sum(F.col("w") * F.col("w"))) + 1e-8).alias("norm"))
-    a, b = w.select("user_idx", F.col("item_idx").alias("item_i"), F.col("w").alias("wi")), w.select("user_idx", F.col("item_idx").alias("item_j"), F.col("w").alias("wj"))
-    half = a.join(b, "user_idx").where("item_i < item_j").groupBy("item_i", "item_j").agg(F.sum(F.col("wi") * F.col("wj")).alias("dot"))
+    half = pairs(w).groupBy("item_i", "item_j").agg(F.sum(F.col("wi") * F.col("wj")).alias("dot"))
     # Each unordered pair is summed once and mirrored.
     both = half.select(F.explode(F.array(F.struct("item_i", "item_j", "dot"), F.struct(F.col("item_j").alias("item_i"), F.col("item_i").alias("item_j"), "dot"))).alias("e")).select("e.*")
     ni, nj = norms.select(F.col("item_idx").alias("item_i"), F.col("norm").alias("ni")), norms.select(F.col("item_idx").alias("item_j"), F.col("norm").alias("nj"))

@@ -8,19 +8,20 @@ from pyspark.sql.window import Window
 
 from rankforge.operators.ranking import by_user, dense_index, draw, exclude, positions, tie_key
 from rankforge.schema import SCENARIOS
+from rankforge.sources.readers import shared_folder
 
 DAY = 86_400
 #: Rows that are numbered together.
 SLOTS = 65_536
+#: Steps of a walk through a catalogue: primes, of which one has no common factor with its size.
+WALK = (1_000_003, 1_000_033)
 
 
 def kcore(log: DataFrame, min_user: int, min_item: int, rounds: int = 50) -> DataFrame:
     """Drops users and items with too few interactions until nothing changes. Each round is checkpointed, so plans stay short."""
-    spark = log.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="rankforge-"))
+    context = log.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(shared_folder(log.sparkSession))
     n = log.count()
     for _ in range(rounds):
         users = log.groupBy("user_idx").count().where(F.col("count") >= min_user).select("user_idx")
@@ -108,27 +109,50 @@ def scenario_rows(df: DataFrame, scenarios: tuple[str, ...] = SCENARIOS) -> Data
 
 
 def uniform_candidates(gold_rows: DataFrame, seen: DataFrame, items: DataFrame, negatives: int, seed: int = 42, draws: int = 4) -> DataFrame:
-    """The gold item and ``negatives`` unseen items: seeded draws from the catalogue, ``draws`` times as many as wanted, not a product with it."""
+    """The gold item and ``negatives`` unseen items, or as many as there are: seeded draws from the catalogue, not a product with it.
+
+    ``draws`` times as many are drawn as wanted; a user to whom that leaves too few walks through the whole catalogue (``walk``).
+    """
     at = dense_index(items, "item_idx", "slot")
-    return _pool(gold_rows, seen, at, items.agg(F.count(F.lit(1)).alias("n")), negatives, seed, draws)
+    return _pool(gold_rows, seen, at, at, negatives, seed, draws)
 
 
 def popularity_candidates(gold_rows: DataFrame, seen: DataFrame, train: DataFrame, negatives: int, seed: int = 42, draws: int = 8) -> DataFrame:
-    """As uniform_candidates; a draw is a random training row, so items come in proportion to their counts."""
+    """As uniform_candidates; a draw is a random training row, so items come in proportion to their counts. What draws leave open is filled by a walk through the items of the rows."""
     at = positions(train.select("item_idx", "pos"), F.floor(F.col("pos") / SLOTS), ["pos"], "slot").select("item_idx", (F.col("slot") - 1).alias("slot"))
-    return _pool(gold_rows, seen, at, train.agg(F.count(F.lit(1)).alias("n")), negatives, seed, draws)
+    return _pool(gold_rows, seen, at, dense_index(train, "item_idx", "slot"), negatives, seed, draws)
 
 
-def _pool(gold_rows: DataFrame, seen: DataFrame, slots: DataFrame, size: DataFrame, negatives: int, seed: int, draws: int) -> DataFrame:
+def _pool(gold_rows: DataFrame, seen: DataFrame, slots: DataFrame, catalogue: DataFrame, negatives: int, seed: int, draws: int) -> DataFrame:
     users = gold_rows.select("user_idx", "true_item")
+    size = slots.agg(F.count(F.lit(1)).alias("n"))
     tries = users.withColumn("try", F.explode(F.sequence(F.lit(1), F.lit(negatives * draws)))).join(F.broadcast(size))
     tries = tries.withColumn("slot", draw(seed, F.col("n"), "user_idx", "try")).join(slots, "slot").where("item_idx != true_item")
     tries = exclude(tries.groupBy("user_idx", "item_idx").agg(F.min("try").alias("try")), seen)
     fill = tries.withColumn("pool_pos", F.row_number().over(by_user().orderBy("try")) + 1).where(F.col("pool_pos") <= negatives + 1)
-    fill = fill.select("user_idx", "item_idx", F.lit(0).alias("label"), "pool_pos")
+    fill = fill.select("user_idx", "item_idx", "pool_pos")
+    fill = fill.unionByName(walk(users, fill, seen, catalogue, negatives, seed)).withColumn("label", F.lit(0)).select("user_idx", "item_idx", "label", "pool_pos")
     return users.select("user_idx", F.col("true_item").alias("item_idx"), F.lit(1).alias("label"), F.lit(1).alias("pool_pos")).unionByName(fill)
 
 
+def walk(users: DataFrame, fill: DataFrame, seen: DataFrame, catalogue: DataFrame, negatives: int, seed: int) -> DataFrame:
+    """What is missing in pools shorter than ``negatives`` + 1: the next unseen items on a seeded walk that passes every slot of the catalogue once.
+
+    Of a walk's first places, no more than the items that a user has seen or holds can be void, so it is as long as these and what is missing.
+    """
+    held = fill.groupBy("user_idx").agg(F.count(F.lit(1)).alias("held"))
+    short = users.join(held, "user_idx", "left").na.fill(0, ["held"]).where(F.col("held") < negatives)
+    had = seen.join(short.select("user_idx"), "user_idx", "left_semi").select("user_idx", "item_idx").distinct().groupBy("user_idx").agg(F.count(F.lit(1)).alias("had"))
+    n = F.col("n")
+    # A step without a common factor with the number of slots passes all of them.
+    step = F.when(n % WALK[0] != 0, WALK[0]).otherwise(WALK[1])
+    places = short.join(had, "user_idx", "left").na.fill(0, ["had"]).join(F.broadcast(catalogue.agg(F.count(F.lit(1)).alias("n"))))
+    places = places.withColumn("at", F.explode(F.sequence(F.lit(1).cast("long"), F.least(n, F.col("had") + 1 + negatives))))
+    places = places.withColumn("slot", (draw(seed, n, "user_idx", "n") + F.col("at") * step) % n).join(catalogue, "slot").where("item_idx != true_item")
+    free = exclude(exclude(places, seen), fill).withColumn("nth", F.row_number().over(by_user().orderBy("at")))
+    return free.withColumn("pool_pos", (F.col("held") + F.col("nth") + 1).cast("int")).where(F.col("pool_pos") <= negatives + 1).select("user_idx", "item_idx", "pool_pos")
+
+
 def hard_first(pool: DataFrame, hard: DataFrame, negatives: int) -> DataFrame:
     """Negatives from impressions without a click go first, random ones fill up; the positive stays in front."""
     first = hard.select("user_idx", "item_idx").distinct().join(pool.where("label = 1").select("user_idx", F.col("item_idx").alias("g")), "user_idx").where("item_idx != g")

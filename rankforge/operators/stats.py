@@ -1,18 +1,19 @@
-"""Intervals and paired tests. Counts come from Spark; resampling works on one small array of per-user values."""
+"""Intervals and paired tests. Counts and resampled means come from Spark."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankforge.functions.columns import discount, mcnemar, student_t_two_sided, wilson
 from rankforge.schema import K_LIST
 
-#: Users whose values the driver may hold for exact resampling; above, Poisson weights resample in the cluster.
-DRIVER_USERS = 2_000_000
+#: Where the cumulated Poisson probabilities of mean 1 lie on a scale of 16 bits.
+POISSON = tuple(math.floor(65_536 * sum(math.exp(-1) / math.factorial(i) for i in range(k + 1))) for k in range(8))
 
 
 def per_user(ranks: DataFrame, k_list: Sequence[int] = K_LIST) -> DataFrame:
@@ -24,28 +25,28 @@ def per_user(ranks: DataFrame, k_list: Sequence[int] = K_LIST) -> DataFrame:
     return ranks.select("user_idx", *out)
 
 
+def weight(replicate: Column, key: str = "user_idx", seed: int = 42) -> Column:
+    """How often a user counts in a replicate: a Poisson number of mean 1 from 16 bits of the md5 text of seed, user and every eighth replicate."""
+    text = F.md5(F.concat_ws(":", F.lit(seed), F.col(key).cast("string"), F.floor(replicate / 8).cast("string")))
+    bits = F.conv(F.substring(text, (F.pmod(replicate, F.lit(8)) * 4 + 1).cast("int"), F.lit(4)), 16, 10).cast("int")
+    return sum(((bits >= x).cast("int") for x in POISSON), F.lit(0))
+
+
 def bootstrap(values: DataFrame, n_boot: int = 1000, level: float = 0.95, seed: int = 42) -> DataFrame:
-    """metric, mean, ci_lo, ci_hi, n_users of the columns besides user_idx."""
-    spark: SparkSession = values.sparkSession
+    """metric, mean, ci_lo, ci_hi, n_users of the columns besides user_idx.
+
+    All replicates are one aggregation, at any number of users: users are dealt to
+    replicates with Poisson weights, sums are combined before they are shuffled, and a
+    replicate's value is the weighted mean. Equal weights for a user in every run.
+    """
     names = [c for c in values.columns if c != "user_idx"]
-    schema = "metric string, mean double, ci_lo double, ci_hi double, n_users long"
-    n = values.count()
-    if n == 0:
-        return spark.createDataFrame([], schema)
-    q = [50 * (1 - level), 50 * (1 + level)]
-    if n <= DRIVER_USERS:
-        table = values.orderBy("user_idx").select(*names).toArrow()
-        x = np.stack([table[c].to_numpy() for c in names], 1)
-        rng = np.random.default_rng(seed)
-        means = np.stack([np.bincount(rng.integers(0, n, n), minlength=n) @ x / n for _ in range(n_boot)])
-        centre = x.mean(0)
-    else:
-        weight = lambda b: -F.log(F.greatest(F.lit(1e-12), F.rand(seed + b)))  # noqa: E731  exponential weights: the Bayesian bootstrap
-        rows = [values.withColumn("w", weight(b)).agg(*[(F.sum(F.col("w") * F.col(c)) / F.sum("w")).alias(c) for c in names]) for b in range(n_boot)]
-        means = np.array([list(r.first()) for r in rows])
-        centre = np.array(list(values.agg(*[F.avg(c) for c in names]).first()))
-    lo, hi = np.percentile(means, q, axis=0)
-    return spark.createDataFrame([(c, float(m), float(a), float(b), n) for c, m, a, b in zip(names, centre, lo, hi, strict=True)], schema)
+    rows = values.withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1)))).withColumn("__w", weight(F.col("__b"), seed=seed))
+    means = rows.where("__w > 0").groupBy("__b").agg(*[(F.sum(F.col("__w") * F.col(c)) / F.sum("__w")).alias(c) for c in names])
+    ends = means.agg(*[F.percentile(c, [(1 - level) / 2, (1 + level) / 2]).alias(c) for c in names])
+    centre = values.agg(F.count(F.lit(1)).alias("n_users"), *[F.avg(c).alias(f"__m_{c}") for c in names]).where("n_users > 0")
+    out = centre.join(F.broadcast(ends))
+    rows = F.array(*[F.struct(F.lit(c).alias("metric"), F.col(f"__m_{c}").alias("mean"), F.col(c)[0].alias("ci_lo"), F.col(c)[1].alias("ci_hi")) for c in names])
+    return out.select("n_users", F.explode(rows).alias("r")).select("r.*", "n_users")
 
 
 def with_wilson(df: DataFrame, hits: str, n: str, digits: int = 6) -> DataFrame:

@@ -1,59 +1,35 @@
-"""Trained embeddings: matrix factorisation by pairwise loss, graph propagation, sequential and two-tower stand-ins.
+"""Trained embeddings: matrix factorisation by pairwise loss, graph convolution, two towers, and a contract for sequence models.
 
-The trainers run in numpy on the driver, on at most ``TRAIN_ROWS`` interactions (a
-documented bound for fitting a model; larger logs use ``als``, which MLlib distributes
-and which is named what it is). Scoring is distributed in any case.
+Pairwise training is a loop of DataFrame plans over all interactions: an epoch joins
+triples (user, item, drawn item) with the vectors of their nodes and sums gradients by
+node, so that it is distributed as any aggregation is, and the same in every run. With
+layers it is the light graph convolution: its mean of neighbourhood sums is linear and
+symmetric, so a gradient goes back through the same propagation. Towers are matrices of
+features x dimension; their gradients are summed over all rows, the matrices stay on
+the driver. Sequence models are plugged in with their weights (``SequenceModel``).
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from typing import Protocol
+
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.recommendation import ALS
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rankforge.operators.ranking import dense_index, draw
+from rankforge.sources.readers import shared_folder
 
-TRAIN_ROWS = 2_000_000
-
-
-def sample_pairs(train: DataFrame, rows: int = TRAIN_ROWS, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
-    table = train.select("user_idx", "item_idx", "pos").orderBy(F.xxhash64(F.lit(seed), "pos")).limit(rows).orderBy("pos").toArrow()
-    return table["user_idx"].to_numpy(), table["item_idx"].to_numpy()
 
-
-def negatives(rng: np.random.Generator, users: np.ndarray, seen: np.ndarray, n_items: int, tries: int = 30) -> np.ndarray:
-    """Unseen items for the users, drawn anew up to ``tries`` times. seen: sorted user * n_items + item."""
-    out = rng.integers(0, n_items, len(users))
-    for _ in range(tries):
-        key = users * n_items + out
-        bad = seen[np.minimum(np.searchsorted(seen, key), len(seen) - 1)] == key
-        if not bad.any():
-            break
-        out[bad] = rng.integers(0, n_items, int(bad.sum()))
-    return out
-
-
-def fit_bpr(users: np.ndarray, items: np.ndarray, dim: int = 64, epochs: int = 20, rate: float = 0.05, decay: float = 1e-4, batch: int = 4096, seed: int = 42) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(user ids, item ids, user vectors, item vectors) by stochastic descent on -log sigmoid(positive - negative)."""
-    rng = np.random.default_rng(seed)
-    uid, u = np.unique(users, return_inverse=True)
-    iid, i = np.unique(items, return_inverse=True)
-    p, q = rng.normal(0, 0.1, (len(uid), dim)), rng.normal(0, 0.1, (len(iid), dim))
-    seen = np.unique(u * len(iid) + i)
-    for _ in range(epochs):
-        for at in np.array_split(rng.permutation(len(u)), max(1, len(u) // batch)):
-            a, b = u[at], i[at]
-            c = negatives(rng, a, seen, len(iid))
-            pa, qb, qc = p[a], q[b], q[c]
-            g = 1 / (1 + np.exp(np.einsum("nd,nd->n", pa, qb - qc)))[:, None]
-            np.add.at(p, a, rate * (g * (qb - qc) - decay * pa))
-            np.add.at(q, b, rate * (g * pa - decay * qb))
-            np.add.at(q, c, rate * (-g * pa - decay * qc))
-    return uid, iid, p, q
-
-
-def vectors(spark: SparkSession, ids: np.ndarray, x: np.ndarray, key: str) -> DataFrame:
-    return spark.createDataFrame([(int(a), [float(z) for z in b]) for a, b in zip(ids, x, strict=True)], f"{key} long, embedding array<double>")
+def settled(df: DataFrame) -> DataFrame:
+    """df, written to the shared folder and read from there, so that plans of loops stay short and survive lost executors."""
+    context = df.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint()
 
 
 def als(train: DataFrame, dim: int = 32, rounds: int = 10, seed: int = 42) -> tuple[DataFrame, DataFrame]:
@@ -74,20 +50,88 @@ def bipartite_edges(train: DataFrame) -> DataFrame:
     return half.unionByName(half.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
 
 
+def places(dim: int) -> list[str]:
+    """Columns of a table of vectors (node, x0, x1, ...)."""
+    return [f"x{i}" for i in range(dim)]
+
+
+def dimension(x: DataFrame) -> int:
+    return sum(c.startswith("x") for c in x.columns)
+
+
 def hash_vectors(edges: DataFrame, dim: int, seed: int = 42) -> DataFrame:
-    """(node, at, x): start values in -0.1..0.1 from the md5 of seed, node and place, the same in every engine."""
-    nodes = edges.select(F.col("src").alias("node")).distinct().withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(dim - 1))))
-    h = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "node", F.col("at").cast("string"))), 1, 8), 16, 10).cast("double")
-    return nodes.withColumn("x", (h / 4294967295.0 - 0.5) * 0.2)
+    """(node, x0, ...): start values in -0.1..0.1 from the md5 of seed, node and place, the same in every engine."""
+    h = lambda i: F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "node", F.lit(i))), 1, 8), 16, 10).cast("double")
+    return edges.select(F.col("src").alias("node")).distinct().select("node", *[((h(i) / 4294967295.0 - 0.5) * 0.2).alias(f"x{i}") for i in range(dim)])
 
 
 def propagate(edges: DataFrame, start: DataFrame, layers: int = 2) -> DataFrame:
-    """(node, at, x): mean of the start values and ``layers`` rounds of neighbourhood sums; each round is a join and a sum."""
-    total, x = start, start
+    """(node, x0, ...): mean of the start values and ``layers`` rounds of neighbourhood sums; each round is a join and a sum."""
+    names, total, x = places(dimension(start)), start, start
     for _ in range(layers):
-        x = edges.join(x, edges["dst"] == x["node"]).groupBy("src", "at").agg(F.sum(F.col("w") * F.col("x")).alias("x")).select(F.col("src").alias("node"), "at", "x")
+        x = edges.join(x, edges["dst"] == x["node"]).groupBy("src").agg(*[F.sum(F.col("w") * F.col(c)).alias(c) for c in names]).withColumnRenamed("src", "node")
         total = total.unionByName(x)
-    return total.groupBy("node", "at").agg((F.sum("x") / (layers + 1)).alias("x"))
+    return total.groupBy("node").agg(*[(F.sum(c) / (layers + 1)).alias(c) for c in names])
+
+
+def drawn_triples(pairs: DataFrame, slots: DataFrame, size: int, seed: int) -> DataFrame:
+    """(u, i, j): nodes of each user and item with another item, drawn by the md5 of seed and ids; draws that the user has are left out."""
+    drawn = pairs.withColumn("slot", draw(seed, size, "user_idx", "item_idx")).join(slots.select("slot", F.col("item_idx").alias("other")), "slot")
+    drawn = drawn.join(pairs.select("user_idx", F.col("item_idx").alias("other")), ["user_idx", "other"], "left_anti")
+    node = lambda kind, c, name: F.concat(F.lit(kind), F.col(c).cast("string")).alias(name)
+    return drawn.select(node("u", "user_idx", "u"), node("i", "item_idx", "i"), node("i", "other", "j"))
+
+
+def pairwise_gradient(x: DataFrame, triples: DataFrame) -> DataFrame:
+    """(node, x0, ...): by node, the sum of the gradients of log sigmoid(u.i - u.j) over triples."""
+    names = places(dimension(x))
+    t = triples
+    for side in "uij":
+        t = t.join(x.select(F.col("node").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in names]), side)
+    gap = sum((F.col(f"u_{c}") * (F.col(f"i_{c}") - F.col(f"j_{c}")) for c in names), F.lit(0.0))
+    t = t.withColumn("g", 1 / (1 + F.exp(gap)))
+    rows = [
+        F.struct(F.col("u").alias("node"), *[(F.col("g") * (F.col(f"i_{c}") - F.col(f"j_{c}"))).alias(c) for c in names]),
+        F.struct(F.col("i").alias("node"), *[(F.col("g") * F.col(f"u_{c}")).alias(c) for c in names]),
+        F.struct(F.col("j").alias("node"), *[(-F.col("g") * F.col(f"u_{c}")).alias(c) for c in names]),
+    ]
+    return t.select(F.explode(F.array(*rows)).alias("r")).select("r.*").groupBy("node").agg(*[F.sum(c).alias(c) for c in names])
+
+
+def fit_pairwise(train: DataFrame, layers: int = 0, dim: int = 64, epochs: int = 20, rate: float = 0.5, decay: float = 1e-4, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """(users, items) with embeddings of all users and items of the log, by gradient ascent on the pairwise likelihood.
+
+    layers 0: matrix factorisation. Otherwise vectors are propagated over the graph of
+    users and items before they are compared. A node's step is its summed gradient over
+    the root of its degree, so that frequent nodes neither stand still nor run away.
+    """
+    edges = settled(bipartite_edges(train))
+    pairs = settled(train.select("user_idx", "item_idx").distinct())
+    slots = settled(dense_index(train, "item_idx", "slot"))
+    size, names = slots.count(), places(dim)
+    degree = settled(edges.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("n")))
+    x = settled(hash_vectors(edges, dim, seed))
+    for epoch in range(epochs):
+        final = settled(propagate(edges, x, layers)) if layers else x
+        step = pairwise_gradient(final, drawn_triples(pairs, slots, size, seed + 1 + epoch))
+        step = propagate(edges, settled(step), layers) if layers else step
+        step = step.select("node", *[F.col(c).alias(f"g_{c}") for c in names])
+        moved = [(F.col(c) * (1 - rate * decay) + rate * F.coalesce(f"g_{c}", F.lit(0.0)) / F.sqrt("n")).alias(c) for c in names]
+        x = settled(x.join(degree, "node").join(step, "node", "left").select("node", *moved))
+    final = settled(propagate(edges, x, layers)) if layers else x
+
+    def of(kind: str, key: str) -> DataFrame:
+        return final.where(F.col("node").startswith(kind)).select(F.substring("node", 2, 30).cast("long").alias(key), F.array(*names).alias("embedding"))
+
+    return of("u", "user_idx"), of("i", "item_idx")
+
+
+def fit_bpr(train: DataFrame, **how: float) -> tuple[DataFrame, DataFrame]:
+    return fit_pairwise(train, layers=0, **how)
+
+
+def fit_lightgcn(train: DataFrame, layers: int = 2, **how: float) -> tuple[DataFrame, DataFrame]:
+    return fit_pairwise(train, layers=layers, **how)
 
 
 def decayed_markov(train: DataFrame, history: int = 50, decay: float = 0.8) -> DataFrame:
@@ -107,25 +151,120 @@ def sequences(train: DataFrame, length: int = 50) -> DataFrame:
     return rows.select("user_idx", F.concat(F.array_repeat(F.lit(0).cast("long"), length - F.size("items")), "items").alias("seq"))
 
 
-def fit_two_tower(user_x: np.ndarray, item_x: np.ndarray, pairs: tuple[np.ndarray, np.ndarray], dim: int = 32, epochs: int = 5, rate: float = 0.05, negatives_each: int = 15, seed: int = 42, scale: float = 10.0) -> tuple[np.ndarray, np.ndarray]:
-    """Two linear projections, trained so that a user's item beats sampled others (softmax over 1 + negatives_each)."""
+def tower_gradient(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, scale: float = 10.0) -> tuple[np.ndarray, np.ndarray, float]:
+    """(gradients of the two projections, loss), summed over the rows of a batch: a row's item is to beat the items of the other rows (softmax)."""
+    p, q = x @ a, y @ b
+    s = scale * p @ q.T
+    top = s.max(1, keepdims=True)
+    e = np.exp(s - top)
+    total = e.sum(1, keepdims=True)
+    loss = float((top[:, 0] + np.log(total[:, 0]) - np.diag(s)).sum())
+    g = scale * (e / total - np.eye(len(x)))
+    return x.T @ (g @ q), y.T @ (g.T @ p), loss
+
+
+def fit_two_tower(rows: DataFrame, dim: int = 32, epochs: int = 5, rate: float = 0.05, batch: int = 256, seed: int = 42, scale: float = 10.0) -> tuple[np.ndarray, np.ndarray]:
+    """Projections of user features ``u`` and item features ``v`` (arrays), trained on all rows (user_idx, item_idx, u, v).
+
+    Each epoch sums the gradients of all batches in the cluster, and takes one step of
+    Adam on the driver, which holds numbers of features x dimension only.
+    """
+    rows = settled(rows.where("u is not null and v is not null").repartition(F.xxhash64(F.lit(seed), "user_idx", "item_idx")))
+    first = rows.first()
     rng = np.random.default_rng(seed)
-    a = rng.normal(0, 1 / np.sqrt(user_x.shape[1]), (user_x.shape[1], dim))
-    b = rng.normal(0, 1 / np.sqrt(item_x.shape[1]), (item_x.shape[1], dim))
-    u, i = pairs
-    for _ in range(epochs):
-        for at in np.array_split(rng.permutation(len(u)), max(1, len(u) // 512)):
-            cand = np.concatenate([i[at][:, None], rng.integers(0, len(item_x), (len(at), negatives_each))], 1)
-            x, y = user_x[u[at]], item_x[cand]
-            s = scale * np.einsum("nd,nkd->nk", x @ a, y @ b)
-            g = np.exp(s - s.max(1, keepdims=True))
-            g /= g.sum(1, keepdims=True)
-            g[:, 0] -= 1
-            g *= scale / len(at)
-            da = x.T @ np.einsum("nk,nkd->nd", g, y @ b)
-            db = np.einsum("nke,nd->ed", g[:, :, None] * y, x @ a)
-            a -= rate * da
-            b -= rate * db
-    return a, b
+    shapes = [(len(first["u"]), dim), (len(first["v"]), dim)] if first else [(1, dim), (1, dim)]
+    towers = [rng.normal(0, 1 / np.sqrt(n), (n, m)) for n, m in shapes]
+    n = rows.count()
+    state = [(np.zeros(s), np.zeros(s)) for s in shapes]
+    for epoch in range(1, epochs + 1 if n else 0):
+        a, b = towers
+
+        def run(batches: Iterator[pa.RecordBatch], a: np.ndarray = a, b: np.ndarray = b) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(a.size + b.size)
+            for part in batches:
+                for at in range(0, part.num_rows, batch):
+                    some = part.slice(at, batch)
+                    x, y = (some.column(c).flatten().to_numpy(zero_copy_only=False).reshape(some.num_rows, -1) for c in (0, 1))
+                    da, db, _ = tower_gradient(a, b, x, y, scale)
+                    total += np.concatenate([da.ravel(), db.ravel()])
+            yield pa.record_batch([pa.array(np.arange(len(total))), pa.array(total)], ["at", "g"])
+
+        summed = rows.select(F.col("u").cast("array<double>"), F.col("v").cast("array<double>")).mapInArrow(run, "at long, g double").groupBy("at").agg(F.sum("g").alias("g")).orderBy("at").toArrow()
+        g = summed["g"].to_numpy() / n
+        parts = [g[: a.size].reshape(a.shape), g[a.size :].reshape(b.shape)]
+        for i, d in enumerate(parts):
+            m, v = state[i]
+            state[i] = m, v = 0.9 * m + 0.1 * d, 0.99 * v + 0.01 * d * d
+            towers[i] = towers[i] - rate * (m / (1 - 0.9**epoch)) / (np.sqrt(v / (1 - 0.99**epoch)) + 1e-9)
+    return towers[0], towers[1]
+
+
+def project(vectors: DataFrame, tower: np.ndarray, key: str, column: str) -> DataFrame:
+    """key and embedding: the column's arrays times a tower."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1) @ tower if b.num_rows else np.empty((0, tower.shape[1]))
+            offsets = pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * tower.shape[1])
+            yield pa.record_batch([b.column(0), pa.ListArray.from_arrays(offsets, pa.array(x.ravel()))], [key, "embedding"])
+
+    return vectors.select(F.col(key).cast("long"), F.col(column).cast("array<double>")).where(F.col(column).isNotNull()).mapInArrow(run, f"{key} long, embedding array<double>")
+
+
+class SequenceModel(Protocol):
+    """A trained sequence model: ``encode`` turns sequences (rows x length, item + 1, 0 for none) into vectors that are compared with its items'."""
+
+    length: int
+
+    def encode(self, sequences: np.ndarray) -> np.ndarray: ...
+
+
+class SelfAttention:
+    """A self-attentive sequence model with given weights, forward pass only.
+
+    weights: ``items`` (catalogue + 1 x dim), ``places`` (length x dim), ``norm`` (gain,
+    bias), and for each layer ``qkv`` (dim x 3 dim, bias), ``out`` (dim x dim, bias),
+    ``norm1``, ``up`` (dim x 4 dim, bias), ``down`` (4 dim x dim, bias), ``norm2``.
+    """
+
+    def __init__(self, weights: dict, heads: int = 2) -> None:
+        self.w, self.heads = weights, heads
+        self.length = len(weights["places"])
+
+    @staticmethod
+    def norm(x: np.ndarray, gain: np.ndarray, bias: np.ndarray) -> np.ndarray:
+        mean = x.mean(-1, keepdims=True)
+        return (x - mean) / np.sqrt(((x - mean) ** 2).mean(-1, keepdims=True) + 1e-5) * gain + bias
+
+    def attention(self, x: np.ndarray, seen: np.ndarray, layer: dict) -> np.ndarray:
+        n, length, dim = x.shape
+        q, k, v = np.split(x @ layer["qkv"][0] + layer["qkv"][1], 3, -1)
+        split = lambda z: z.reshape(n, length, self.heads, dim // self.heads).transpose(0, 2, 1, 3)
+        s = split(q) @ split(k).transpose(0, 1, 3, 2) / np.sqrt(dim // self.heads)
+        s = np.where(seen[:, None], s, -1e9)
+        e = np.exp(s - s.max(-1, keepdims=True))
+        mixed = (e / e.sum(-1, keepdims=True)) @ split(v)
+        return mixed.transpose(0, 2, 1, 3).reshape(n, length, dim) @ layer["out"][0] + layer["out"][1]
+
+    def encode(self, sequences: np.ndarray) -> np.ndarray:
+        """The vector at the last place of each sequence."""
+        x = self.norm(self.w["items"][sequences] + self.w["places"], *self.w["norm"])
+        # A place sees itself and the items before it.
+        seen = np.tril(np.ones((self.length, self.length), bool)) & (sequences != 0)[:, None, :] | np.eye(self.length, dtype=bool)
+        for layer in self.w["layers"]:
+            x = self.norm(x + self.attention(x, seen, layer), *layer["norm1"])
+            h = x @ layer["up"][0] + layer["up"][1]
+            h = 0.5 * h * (1 + np.tanh(np.sqrt(2 / np.pi) * (h + 0.044715 * h**3)))
+            x = self.norm(x + h @ layer["down"][0] + layer["down"][1], *layer["norm2"])
+        return x[:, -1]
+
 
+def encode_sequences(train: DataFrame, model: SequenceModel) -> DataFrame:
+    """user_idx, embedding: what a sequence model makes of each user's last items."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x = model.encode(b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)).astype(np.float64)
+                offsets = pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * x.shape[1])
+                yield pa.record_batch([b.column(0), pa.ListArray.from_arrays(offsets, pa.array(x.ravel()))], ["user_idx", "embedding"])
 
+    return sequences(train, model.length).select(F.col("user_idx").cast("long"), "seq").mapInArrow(run, "user_idx long, embedding array<double>")

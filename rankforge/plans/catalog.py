@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from rankforge.functions import columns as C
 from rankforge.operators import ceiling, fuse, learned, metrics, ranking, rerank, retrieve, scorers, split, stats, trainers
 from rankforge.plans import oracles as O
+from rankforge.plans import runs
 from rankforge.plans.context import MODELS, RETRIEVED, Context
 from rankforge.sources import datasets
 
@@ -58,9 +59,9 @@ def _kcore_sql(rounds: int, users: int, items: int) -> str:
     return O.with_(*parts) + f"SELECT user_idx, count(*) AS n_rows, count(DISTINCT item_idx) AS n_items, sum(item_idx)::BIGINT AS item_sum FROM {source} GROUP BY 1"
 
 
-@query(_kcore_sql(14, 14, 12))
+@query(_kcore_sql(20, 13, 11))
 def kcore(c):
-    core = split.kcore(c.raw, 14, 12)
+    core = split.kcore(c.raw, 13, 11)
     return core.groupBy("user_idx").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("item_idx").alias("n_items"), F.sum("item_idx").alias("item_sum"))
 
 
@@ -108,8 +109,9 @@ def candidates_uniform(c):
 @query(O.with_(O.BASE) + """, slots AS (SELECT item_idx, row_number() OVER (ORDER BY pos) - 1 AS slot FROM train),
 tries AS (SELECT g.user_idx, g.true_item, t.i AS try, """ + O.DRAW.format(seed=42, cols="user_idx, t.i") + """ % (SELECT count(*) FROM train) AS slot FROM gold g, range(1, 73) t(i)),
 fill AS (SELECT t.user_idx, s.item_idx, min(try) AS try FROM tries t JOIN slots s USING (slot) WHERE s.item_idx <> t.true_item GROUP BY 1, 2),
-unseen AS (SELECT *, row_number() OVER (PARTITION BY user_idx ORDER BY try) + 1 AS pool_pos FROM fill f WHERE NOT EXISTS (SELECT 1 FROM train t WHERE t.user_idx = f.user_idx AND t.item_idx = f.item_idx))
-SELECT user_idx, true_item AS item_idx, 1 AS label, 1 AS pool_pos FROM gold UNION ALL SELECT user_idx, item_idx, 0, pool_pos::INT FROM unseen WHERE pool_pos <= 10""")
+unseen AS (SELECT *, row_number() OVER (PARTITION BY user_idx ORDER BY try) + 1 AS pool_pos FROM fill f WHERE NOT EXISTS (SELECT 1 FROM train t WHERE t.user_idx = f.user_idx AND t.item_idx = f.item_idx)),
+known AS (SELECT item_idx, row_number() OVER (ORDER BY item_idx) - 1 AS slot FROM ic), """ + O.walked(9, "known") + """
+SELECT user_idx, true_item AS item_idx, 1 AS label, 1 AS pool_pos FROM gold UNION ALL SELECT user_idx, item_idx, 0, pool_pos FROM filled""")
 def candidates_popularity(c):
     return split.popularity_candidates(c.gold, c.train, c.train, 9)
 
@@ -181,7 +183,8 @@ def score_markov(c):
     return scorers.markov(c.candidates, c.train).select("user_idx", "item_idx", "score")
 
 
-TFIDF_POOL = "tfidf_scores AS MATERIALIZED (SELECT c.user_idx, c.item_idx, round(sum(x * y), 9) AS score FROM candidates c JOIN tv USING (item_idx) JOIN tp ON tp.user_idx = c.user_idx AND tp.term = tv.term GROUP BY 1, 2)"
+TFIDF_POOL = """pool_terms AS MATERIALIZED (SELECT c.user_idx, c.item_idx, term, x FROM candidates c JOIN tv USING (item_idx)),
+tfidf_scores AS MATERIALIZED (SELECT t.user_idx, t.item_idx, round(sum(x * y), 9) AS score FROM pool_terms t JOIN tp ON tp.user_idx = t.user_idx AND tp.term = t.term GROUP BY 1, 2)"""
 EMBEDDING_POOL = "emb_pool AS MATERIALIZED (SELECT c.user_idx, c.item_idx, round(list_dot_product(u, v), 9) AS score FROM candidates c JOIN profiles USING (user_idx) JOIN unit USING (item_idx))"
 
 
@@ -481,7 +484,8 @@ def _hits(c, model: str, k: int) -> DataFrame:
 HITS = (_hits_sql("itemknn", 20, "a"), _hits_sql("embedding", 20, "b"))
 
 
-@query(O.with_(*POOLS, *HITS) + f"SELECT scenario, count(*) AS n_users, round(avg(a.hit), 6) AS recall_a, round(avg(b.hit), 6) AS recall_b, round(avg(greatest(a.hit, b.hit)), 6) AS recall_oracle FROM gold g JOIN a USING (user_idx) JOIN b USING (user_idx), {O.NAMES} WHERE {O.IN_SCENARIO} GROUP BY 1")
+@query(O.with_(*POOLS, *HITS) + f""", both_hits AS MATERIALIZED (SELECT a.user_idx, a.hit AS ha, b.hit AS hb FROM a JOIN b USING (user_idx)), shown AS MATERIALIZED (SELECT g.user_idx, s.scenario::VARCHAR AS scenario FROM gold g, {O.NAMES} WHERE {O.IN_SCENARIO})
+SELECT scenario, count(*) AS n_users, round(avg(ha), 6) AS recall_a, round(avg(hb), 6) AS recall_b, round(avg(greatest(ha, hb)), 6) AS recall_oracle FROM shown JOIN both_hits USING (user_idx) GROUP BY 1""")
 def oracle_router(c):
     return ceiling.router(_hits(c, "itemknn", 20), _hits(c, "embedding", 20), c.gold)
 
@@ -513,9 +517,19 @@ def multiseed_summary(c):
     return stats.multiseed(ranks.groupBy("seed", "model").agg(F.avg((F.col("rank") <= 20).cast("double")).alias("v")), "v", ["model"])
 
 
-@query()
+BOOT_METRICS = tuple(f"{m}_at_{k}" for k in (5, 10) for m in ("recall", "ndcg", "mrr"))
+BOOT = (
+    "vals AS MATERIALIZED (SELECT user_idx, " + ", ".join(f"CASE WHEN rank <= {k} THEN {v} ELSE 0::DOUBLE END AS {m}_at_{k}" for k in (5, 10) for m, v in (("recall", "1::DOUBLE"), ("ndcg", "1 / log2(rank + 1)"), ("mrr", "1::DOUBLE / rank"))) + " FROM gr)",
+    "resampled AS (SELECT v.*, b, ('0x' || substr(md5(concat_ws(':', 42, user_idx, b // 8)), ((b % 8) * 4 + 1)::INT, 4))::INT AS bits FROM vals v, range(0, 1000) t(b))",
+    "counted_in AS (SELECT *, " + " + ".join(f"(bits >= {x})::INT" for x in stats.POISSON) + " AS w FROM resampled)",
+    "means AS MATERIALIZED (SELECT b, " + ", ".join(f"sum(w * {c}) / sum(w) AS {c}" for c in BOOT_METRICS) + " FROM counted_in WHERE w > 0 GROUP BY 1)",
+)
+
+
+@query(O.with_(*POOL_METRICS, *BOOT) + " UNION ALL ".join(f"SELECT '{c}' AS metric, round((SELECT avg({c}) FROM vals), 6) AS mean, round(quantile_cont({c}, 0.025), 6) AS ci_lo, round(quantile_cont({c}, 0.975), 6) AS ci_hi, (SELECT count(*) FROM vals) AS n_users FROM means" for c in BOOT_METRICS))
 def bootstrap_ci(c):
-    return stats.bootstrap(stats.per_user(metrics.gold_rank(c.gold, _ranked(c)), (5, 10)))
+    b = stats.bootstrap(stats.per_user(metrics.gold_rank(c.gold, _ranked(c)), (5, 10)))
+    return b.select("metric", *[r6(F.col(x), x) for x in ("mean", "ci_lo", "ci_hi")], "n_users")
 
 
 # ---- learned fusion
@@ -572,35 +586,123 @@ def selective_gate(c):
 
 # ---- trained embeddings
 
-PROPAGATE = """e AS (SELECT user_idx, item_idx, count(*)::DOUBLE AS n FROM train GROUP BY 1, 2), half AS (SELECT 'u' || user_idx AS src, 'i' || item_idx AS dst, n / sqrt((sum(n) OVER (PARTITION BY user_idx) + 1e-8) * (sum(n) OVER (PARTITION BY item_idx) + 1e-8)) AS w FROM e),
-adj AS MATERIALIZED (SELECT src, dst, w FROM half UNION ALL SELECT dst, src, w FROM half),
-x0 AS MATERIALIZED (SELECT node, pl, ((('0x' || substr(md5(concat_ws(':', 42, node, pl)), 1, 8))::BIGINT)::DOUBLE / 4294967295.0::DOUBLE - 0.5) * 0.2 AS x FROM (SELECT DISTINCT src AS node FROM adj), range(0, 4) t(pl)),
-x1 AS MATERIALIZED (SELECT src AS node, pl, sum(w * x) AS x FROM adj JOIN x0 ON node = dst GROUP BY 1, 2),
-x2 AS (SELECT src AS node, pl, sum(w * x) AS x FROM adj JOIN x1 ON node = dst GROUP BY 1, 2)"""
+DIM, EPOCHS, RATE, DECAY = 4, 2, 0.5, 1e-4
+ADJACENCY = """e AS (SELECT user_idx, item_idx, count(*)::DOUBLE AS n FROM train GROUP BY 1, 2), half AS (SELECT 'u' || user_idx AS src, 'i' || item_idx AS dst, n / sqrt((sum(n) OVER (PARTITION BY user_idx) + 1e-8) * (sum(n) OVER (PARTITION BY item_idx) + 1e-8)) AS w FROM e),
+adj AS MATERIALIZED (SELECT src, dst, w FROM half UNION ALL SELECT dst, src, w FROM half)"""
+
+
+def _each(form: str, dim: int = DIM) -> str:
+    return ", ".join(form.format(i=i) for i in range(dim))
+
+
+START = f"SELECT node, {_each("((('0x' || substr(md5(concat_ws(':', 42, node, {i})), 1, 8))::BIGINT)::DOUBLE / 4294967295.0::DOUBLE - 0.5) * 0.2 AS x{i}")} FROM (SELECT DISTINCT src AS node FROM adj)"
+
+
+def _propagate_sql(source: str, name: str, layers: int = 2) -> str:
+    """name: the mean of source (node, x0, ...) and its neighbourhood sums."""
+    parts, last = [], source
+    for k in range(1, layers + 1):
+        parts.append(f"{name}_{k} AS MATERIALIZED (SELECT src AS node, {_each('sum(w * x{i}) AS x{i}')} FROM adj JOIN {last} ON node = dst GROUP BY 1)")
+        last = f"{name}_{k}"
+    every = " UNION ALL ".join(f"SELECT * FROM {t}" for t in (source, *[f"{name}_{k}" for k in range(1, layers + 1)]))
+    return ",\n".join([*parts, f"{name} AS MATERIALIZED (SELECT node, {_each(f'sum(x{{i}}) / {layers + 1} AS x{{i}}')} FROM ({every}) GROUP BY 1)"])
+
+
+def _pairwise_sql(layers: int) -> str:
+    """final: node vectors after training."""
+    parts = [ADJACENCY, "known AS MATERIALIZED (SELECT DISTINCT user_idx, item_idx FROM train)", "kslots AS MATERIALIZED (SELECT item_idx, row_number() OVER (ORDER BY item_idx) - 1 AS slot FROM (SELECT DISTINCT item_idx FROM known))", "degree AS MATERIALIZED (SELECT src AS node, count(*) AS n FROM adj GROUP BY 1)", f"v0 AS MATERIALIZED ({START})"]
+    for k in range(EPOCHS):
+        final = f"v{k}"
+        if layers:
+            parts.append(_propagate_sql(f"v{k}", f"f{k}", layers))
+            final = f"f{k}"
+        gap = " + ".join(f"u.x{i} * (i.x{i} - j.x{i})" for i in range(DIM))
+        parts += [
+            f"t{k} AS MATERIALIZED (SELECT 'u' || p.user_idx AS u, 'i' || p.item_idx AS i, 'i' || s.item_idx AS j FROM known p JOIN kslots s ON s.slot = {O.DRAW.format(seed=43 + k, cols='p.user_idx, p.item_idx')} % (SELECT count(*) FROM kslots) WHERE NOT EXISTS (SELECT 1 FROM known q WHERE q.user_idx = p.user_idx AND q.item_idx = s.item_idx))",
+            f"s{k} AS MATERIALIZED (SELECT t.u, t.i, t.j, 1 / (1 + exp({gap})) AS g, {_each('i.x{i} - j.x{i} AS d{i}')}, {_each('u.x{i} AS u{i}')} FROM t{k} t JOIN {final} u ON u.node = t.u JOIN {final} i ON i.node = t.i JOIN {final} j ON j.node = t.j)",
+            f"g{k} AS MATERIALIZED (SELECT node, {_each('sum(x{i}) AS x{i}')} FROM (SELECT u AS node, {_each('g * d{i} AS x{i}')} FROM s{k} UNION ALL SELECT i, {_each('g * u{i}')} FROM s{k} UNION ALL SELECT j, {_each('-g * u{i}')} FROM s{k}) GROUP BY 1)",
+        ]
+        step = f"g{k}"
+        if layers:
+            parts.append(_propagate_sql(f"g{k}", f"b{k}", layers))
+            step = f"b{k}"
+        parts.append(f"v{k + 1} AS MATERIALIZED (SELECT v.node, {_each(f'v.x{{i}} * (1 - {RATE} * {DECAY}::DOUBLE) + {RATE} * coalesce(g.x{{i}}, 0) / sqrt(n) AS x{{i}}')} FROM v{k} v JOIN degree d ON d.node = v.node LEFT JOIN {step} g ON g.node = v.node)")
+    parts.append(_propagate_sql(f"v{EPOCHS}", "final", layers) if layers else f"final AS MATERIALIZED (SELECT * FROM v{EPOCHS})")
+    return ",\n".join(parts)
+
+
+def _dot_sql(name: str, pairs: str) -> str:
+    return f"{name} AS MATERIALIZED (SELECT c.user_idx, c.item_idx, round({' + '.join(f'u.x{i} * i.x{i}' for i in range(DIM))}, 9)::DOUBLE AS score FROM {pairs} c JOIN final u ON u.node = 'u' || c.user_idx JOIN final i ON i.node = 'i' || c.item_idx)"
+
+
+EVERY_PAIR = "every_pair AS (SELECT user_idx, item_idx FROM gold, (SELECT DISTINCT item_idx FROM train))"
 
 
-@query(O.with_(O.BASE, PROPAGATE) + "SELECT node, pl::INT AS place, round(sum(x) / 3, 6)::DOUBLE AS x FROM (SELECT * FROM x0 UNION ALL SELECT * FROM x1 UNION ALL SELECT * FROM x2) GROUP BY 1, 2")
+@query(O.with_(O.BASE, ADJACENCY, f"v0 AS MATERIALIZED ({START})", _propagate_sql("v0", "final")) + " UNION ALL ".join(f"SELECT node, {i} AS place, round(x{i}, 6)::DOUBLE AS x FROM final" for i in range(DIM)))
 def lightgcn_propagate(c):
     edges = trainers.bipartite_edges(c.train)
-    return trainers.propagate(edges, trainers.hash_vectors(edges, 4)).select("node", F.col("at").alias("place"), r6(F.col("x"), "x"))
+    x = trainers.propagate(edges, trainers.hash_vectors(edges, DIM))
+    return x.select("node", F.explode(F.array(*[F.struct(F.lit(i).alias("place"), F.round(f"x{i}", 6).alias("x")) for i in range(DIM)])).alias("r")).select("node", "r.*")
 
 
-def _vector_top(c, users: DataFrame, items: DataFrame) -> DataFrame:
+def _trained(c, layers: int) -> tuple[DataFrame, DataFrame]:
+    return trainers.fit_pairwise(c.train, layers, DIM, EPOCHS, RATE, DECAY)
+
+
+@query(O.with_(O.BASE, O.CANDIDATES, _pairwise_sql(0), _dot_sql("dots", "candidates")) + "SELECT user_idx, item_idx, round(coalesce(score, 0), 6)::DOUBLE AS score FROM candidates LEFT JOIN dots USING (user_idx, item_idx)")
+def score_bpr(c):
+    return runs.dot_scores(c.candidates, *_trained(c, 0)).select("user_idx", "item_idx", r6(F.col("score"), "score"))
+
+
+@query(O.with_(O.BASE, O.CANDIDATES, _pairwise_sql(2), _dot_sql("dots", "candidates")) + "SELECT user_idx, item_idx, round(coalesce(score, 0), 6)::DOUBLE AS score FROM candidates LEFT JOIN dots USING (user_idx, item_idx)")
+def score_lightgcn(c):
+    return runs.dot_scores(c.candidates, *_trained(c, 2)).select("user_idx", "item_idx", r6(F.col("score"), "score"))
+
+
+def _vector_list(c, users: DataFrame, items: DataFrame) -> DataFrame:
     u = users.join(c.gold.select("user_idx"), "user_idx", "left_semi").withColumnRenamed("embedding", "u")
     had = c.seen.distinct().groupBy("user_idx").agg(F.count(F.lit(1)).alias("had"))
-    top = retrieve.best(retrieve.dense_top(u, items.withColumnRenamed("embedding", "v"), 20, had), c.seen, 20)
-    return metrics.gold_rank(c.gold, top).agg(F.count(F.lit(1)).alias("n_users"), *metrics.at_k((5, 20)))
+    return retrieve.best(retrieve.dense_top(u, items.withColumnRenamed("embedding", "v"), 20, had), c.seen, 20)
+
+
+@query(O.with_(O.BASE, _pairwise_sql(0), EVERY_PAIR, _dot_sql("dots", "every_pair"), O.best("dots", 20, "top")) + LISTED.format(t="top"))
+def retrieve_bpr(c):
+    return _listed(_vector_list(c, *_trained(c, 0)))
+
+
+@query(O.with_(O.BASE, _pairwise_sql(2), EVERY_PAIR, _dot_sql("dots", "every_pair"), O.best("dots", 20, "top")) + LISTED.format(t="top"))
+def retrieve_lightgcn(c):
+    return _listed(_vector_list(c, *_trained(c, 2)))
+
+
+@query(O.with_(O.BASE, O.RECENT.format(n=50), _pairwise_sql(2), f"""iv AS MATERIALIZED (SELECT substr(node, 2)::BIGINT AS item_idx, {_each('x{i}')}, sqrt({' + '.join(f'x{i} * x{i}' for i in range(DIM))}) AS norm FROM final WHERE node LIKE 'i%'),
+cosines AS (SELECT a.item_idx AS item_a, b.item_idx AS item_b, round({' + '.join(f'a.x{i} / a.norm * (b.x{i} / b.norm)' for i in range(DIM))}, 9) AS n FROM iv a, iv b WHERE a.item_idx <> b.item_idx),
+near AS MATERIALIZED (SELECT * FROM cosines QUALIFY row_number() OVER (PARTITION BY item_a ORDER BY n DESC, item_b) <= 50),
+h AS MATERIALIZED (SELECT DISTINCT user_idx, item_idx FROM recent), emb AS (SELECT h.user_idx, item_b AS item_idx, round(sum(n), 9) AS score FROM h JOIN gold USING (user_idx) JOIN near ON item_a = h.item_idx GROUP BY 1, 2)""", O.best("emb", 20, "top", "item_idx DESC")) + "SELECT user_idx, count(*) AS n_items, round(sum(score), 4)::DOUBLE AS total, max(rank) AS last_rank FROM top GROUP BY 1")
+def retrieve_graph_emb(c):
+    """Neighbours by the trained graph vectors; sums of the lists, as scores of distant items tie to the ninth digit."""
+    near = retrieve.vector_neighbours(_trained(c, 2)[1], 50)
+    top = retrieve.graph_expansion(c.gold.select("user_idx"), c.train, near, c.seen, 20)
+    return top.groupBy("user_idx").agg(F.count(F.lit(1)).alias("n_items"), r6(F.sum("score"), "total", 4), F.max(F.col("rank").cast("long")).alias("last_rank"))
+
+
+def _recall(c, users: DataFrame, items: DataFrame) -> DataFrame:
+    return metrics.gold_rank(c.gold, _vector_list(c, users, items)).agg(F.count(F.lit(1)).alias("n_users"), *metrics.at_k((5, 20)))
 
 
 @query()
 def als_topn(c):
-    return _vector_top(c, *trainers.als(c.train, 16, 5))
+    return _recall(c, *trainers.als(c.train, 16, 5))
 
 
 @query()
 def bpr_topn(c):
-    uid, iid, p, q = trainers.fit_bpr(*trainers.sample_pairs(c.train), dim=16, epochs=5)
-    return _vector_top(c, trainers.vectors(c.spark, uid, p, "user_idx"), trainers.vectors(c.spark, iid, q, "item_idx"))
+    return _recall(c, *trainers.fit_bpr(c.train, dim=16, epochs=5))
+
+
+@query()
+def two_tower_topn(c):
+    return _recall(c, *runs.two_tower(c.train, c.vectors, dim=16, epochs=5))
 
 
 # ---- evidence, prompts, parsers

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-import tempfile
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,28 +9,19 @@ from pyspark.sql import functions as F
 
 from rankforge.operators import retrieve, split
 from rankforge.sources import datasets
-from rankforge.sources.readers import exists
+from rankforge.sources.readers import exists, fingerprint, shared_folder
 
 POOL, RETRIEVED = 20, 50
 MODELS = ("popularity", "itemknn", "markov", "embedding")
 
 
-def folder(spark: SparkSession) -> str:
-    """Shared by driver and executors: spark.checkpoint.dir, or a temporary folder where it is unset."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = getattr(spark.sparkContext, "_rankforge_artefacts", None)
-        if root is None:
-            root = spark.sparkContext._rankforge_artefacts = tempfile.mkdtemp(prefix="rankforge-artefacts-")
-    return f"{root.rstrip('/')}/rankforge-{spark.sparkContext.applicationId}"
-
-
 class Context:
     """The default log: purchases of 25 pieces and more, items launched at the test period, one cut in time."""
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark, self.sf_dir = spark, sf_dir
-        self.root = f"{folder(spark)}/{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}"
+        # Tables that change under the same path get artefacts of their own.
+        self.root = f"{shared_folder(spark)}/rankforge-{spark.sparkContext.applicationId}/{fingerprint(spark, sf_dir)[:16]}"
 
     def artefact(self, name: str, build, by: str | None = None) -> DataFrame:
         """A table that is built once in a session; complete tables have Spark's marker."""

@@ -35,13 +35,27 @@ NAMES = "(VALUES ('overall'), " + ", ".join(f"('{s}')" for s in SCENARIOS) + ")
 IN_SCENARIO = "(scenario = 'overall' OR " + " OR ".join(f"(scenario = '{s}' AND {s})" for s in SCENARIOS) + ")"
 
 DRAW = "(('0x' || substr(md5(concat_ws(':', {seed}, {cols})), 1, 8))::BIGINT)"
-#: Uniform candidates: the gold item, then draws from the catalogue in the order of their numbers.
+
+
+def walked(negatives: int, catalogue: str) -> str:
+    """unseen (user_idx, item_idx, pool_pos) from draws, and what a walk through the catalogue (item_idx, slot) adds to pools that are short."""
+    return f"""drawn AS MATERIALIZED (SELECT user_idx, item_idx, pool_pos::INT AS pool_pos FROM unseen WHERE pool_pos <= {negatives + 1}),
+held AS (SELECT g.user_idx, g.true_item, count(u.item_idx) AS held FROM gold g LEFT JOIN drawn u ON u.user_idx = g.user_idx GROUP BY 1, 2 HAVING count(u.item_idx) < {negatives}),
+size AS (SELECT count(*) AS n FROM {catalogue}),
+places AS (SELECT h.*, t.pl, ({DRAW.format(seed=42, cols="user_idx, n")} % n + t.pl * CASE WHEN n % 1000003 <> 0 THEN 1000003 ELSE 1000033 END) % n AS slot FROM held h, size, range(1, n + 1) t(pl)),
+free AS (SELECT p.user_idx, c.item_idx, held, row_number() OVER (PARTITION BY p.user_idx ORDER BY p.pl) AS nth FROM places p JOIN {catalogue} c USING (slot) WHERE c.item_idx <> p.true_item
+  AND NOT EXISTS (SELECT 1 FROM train t WHERE t.user_idx = p.user_idx AND t.item_idx = c.item_idx) AND NOT EXISTS (SELECT 1 FROM drawn u WHERE u.user_idx = p.user_idx AND u.item_idx = c.item_idx)),
+filled AS (SELECT user_idx, item_idx, pool_pos FROM drawn UNION ALL SELECT user_idx, item_idx, (held + nth + 1)::INT FROM free WHERE held + nth <= {negatives})"""
+
+
+#: Uniform candidates: the gold item, then draws from the catalogue in the order of their numbers, then a walk through it.
 CANDIDATES = """slots AS (SELECT item_idx, row_number() OVER (ORDER BY item_idx) - 1 AS slot, count(*) OVER () AS n FROM items),
 tries AS (SELECT g.user_idx, g.true_item, t.i AS try, {draw} % (SELECT count(*) FROM items) AS slot FROM gold g, range(1, 77) t(i)),
 fill AS (SELECT t.user_idx, s.item_idx, min(try) AS try FROM tries t JOIN slots s USING (slot) WHERE s.item_idx <> t.true_item GROUP BY 1, 2),
 unseen AS (SELECT *, row_number() OVER (PARTITION BY user_idx ORDER BY try) + 1 AS pool_pos FROM fill f WHERE NOT EXISTS (SELECT 1 FROM train t WHERE t.user_idx = f.user_idx AND t.item_idx = f.item_idx)),
-candidates AS MATERIALIZED (SELECT user_idx, true_item AS item_idx, 1 AS label, 1 AS pool_pos FROM gold UNION ALL SELECT user_idx, item_idx, 0, pool_pos::INT FROM unseen WHERE pool_pos <= 20)""".format(
-    draw=DRAW.format(seed=42, cols="user_idx, t.i")
+{walk},
+candidates AS MATERIALIZED (SELECT user_idx, true_item AS item_idx, 1 AS label, 1 AS pool_pos FROM gold UNION ALL SELECT user_idx, item_idx, 0, pool_pos FROM filled)""".format(
+    draw=DRAW.format(seed=42, cols="user_idx, t.i"), walk=walked(19, "slots")
 )
 POPULARITY = "scored AS MATERIALIZED (SELECT user_idx, item_idx, coalesce(c, 0)::DOUBLE AS score FROM candidates LEFT JOIN ic USING (item_idx))"
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -86,29 +87,64 @@ def prepare(log: DataFrame, items: DataFrame, folder: str, config: SplitConfig =
     return Split(spark, folder)
 
 
-def baselines(s: Split, vectors: DataFrame | None = None, fusion: FusionConfig = FusionConfig()) -> dict[str, Callable[[], DataFrame]]:
+def baselines(s: Split, vectors: DataFrame | None = None, fusion: FusionConfig = FusionConfig(), sasrec: tuple[trainers.SequenceModel, DataFrame] | None = None) -> dict[str, Callable[[], DataFrame]]:
     """Scorers of the candidate pool by name; ``run_models`` runs them with failures kept apart."""
     pool, train, items = s.candidates, s.train, s.items_mapped
 
-    def bpr() -> DataFrame:
-        uid, iid, p, q = trainers.fit_bpr(*trainers.sample_pairs(train))
-        return dot_scores(pool, trainers.vectors(s.spark, uid, p, "user_idx"), trainers.vectors(s.spark, iid, q, "item_idx"))
-
     out: dict[str, Callable[[], DataFrame]] = {
         "popularity": lambda: scorers.popularity(pool, train),
         "itemknn": lambda: scorers.itemknn(pool, train),
         "tfidf": lambda: scorers.tfidf(pool, train, items),
         "markov": lambda: scorers.markov(pool, train),
-        "bpr": bpr,
+        "bpr": lambda: dot_scores(pool, *trainers.fit_bpr(train)),
+        "lightgcn": lambda: dot_scores(pool, *trainers.fit_lightgcn(train)),
         "als": lambda: dot_scores(pool, *trainers.als(train)),
         "decayed_markov": lambda: scorers.gather(pool, trainers.decayed_markov(train)),
     }
+    if sasrec is not None:
+        out["sasrec"] = lambda: dot_scores(pool, *sequential(train, *sasrec))
     if vectors is not None:
         out["embedding"] = lambda: scorers.embedding(pool, train, vectors)
-        out["graph_aware"] = lambda: scorers.graph_aware(pool, out["embedding"](), out["als"](), out["itemknn"](), out["popularity"](), s.item_stats, fusion.alpha, fusion.beta, fusion.gamma, fusion.popularity_penalty, fusion.tail_boost)
+        out["two_tower"] = lambda: dot_scores(pool, *two_tower(train, vectors))
+        out["graph_aware"] = lambda: scorers.graph_aware(pool, out["embedding"](), out["lightgcn"](), out["itemknn"](), out["popularity"](), s.item_stats, fusion.alpha, fusion.beta, fusion.gamma, fusion.popularity_penalty, fusion.tail_boost)
     return out
 
 
+def two_tower(train: DataFrame, vectors: DataFrame, window: int = 10, **how: float) -> tuple[DataFrame, DataFrame]:
+    """(users, items) with embeddings: profiles of the last items and item vectors, each through its trained projection."""
+    unit = scorers.unit_vectors(vectors)
+    u = scorers.dense(scorers.user_profiles(unit, ranking.recent(train, window)), "user_idx", "u")
+    v = scorers.dense(unit, "item_idx", "v")
+    rows = train.select("user_idx", "item_idx").distinct().join(u, "user_idx").join(v, "item_idx")
+    a, b = trainers.fit_two_tower(rows, **how)
+    return trainers.project(u, a, "user_idx", "u"), trainers.project(v, b, "item_idx", "v")
+
+
+#: Texts that encoders of these names expect before a document (fixed values).
+PREFIXES = {"sbert": "", "bge_large": "", "bge_m3": "", "e5_large": "passage: "}
+
+
+def encode_items(items: DataFrame, encode: Callable[[list[str]], Sequence[Sequence[float]]], name: str = "sbert", batch: int = 256) -> DataFrame:
+    """item_idx, embedding: item texts through a plugged-in encoder (list of texts to list of vectors), with the prefix of its name."""
+    import pyarrow as pa
+
+    prefix = PREFIXES.get(name, "")
+
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, batch):
+                part = b.slice(at, batch)
+                texts = [prefix + (t or "") for t in part.column(1).to_pylist()]
+                yield pa.record_batch([part.column(0), pa.array([[float(x) for x in v] for v in encode(texts)], pa.list_(pa.float64()))], ["item_idx", "embedding"])
+
+    return items.select(F.col("item_idx").cast("long"), F.col("text").cast("string")).mapInArrow(run, "item_idx long, embedding array<double>")
+
+
+def sequential(train: DataFrame, model: trainers.SequenceModel, items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(users, items) with embeddings by a plugged-in sequence model; items: item_idx, embedding."""
+    return trainers.encode_sequences(train, model), items
+
+
 def dot_scores(pool: DataFrame, users: DataFrame, items: DataFrame) -> DataFrame:
     from rankforge.functions.columns import dot
 
@@ -152,8 +188,11 @@ def failure_analysis(s: Split, scored: DataFrame, k_list: Sequence[int] = K_LIST
     return out
 
 
-def retrieval(s: Split, n: int = 200, names: Sequence[str] = ("popularity", "itemknn", "tfidf", "markov", "embedding", "graph_cooccur", "graph_emb", "recency", "als"), vectors: DataFrame | None = None, on: str = "test") -> tuple[DataFrame | None, dict[str, str]]:
-    """Long pools (user_idx, item_idx, score, rank, model) of the named retrievers, and the failures. On validation, only training rows count as seen."""
+def retrieval(s: Split, n: int = 200, names: Sequence[str] = ("popularity", "itemknn", "tfidf", "markov", "embedding", "graph_cooccur", "graph_emb", "recency", "als", "bpr", "lightgcn", "two_tower"), vectors: DataFrame | Mapping[str, DataFrame] | None = None, on: str = "test", sasrec: tuple[trainers.SequenceModel, DataFrame] | None = None) -> tuple[DataFrame | None, dict[str, str]]:
+    """Long pools (user_idx, item_idx, score, rank, model) of the named retrievers, and the failures. On validation, only training rows count as seen.
+
+    vectors: item vectors of a text encoder, or of several by name, each of which is a retriever of that name (sbert, bge, e5); ``encode_items`` makes them.
+    """
     train, items = s.train, s.items_mapped
     users = (s.test if on == "test" else s.valid).select("user_idx").distinct()
     seen = s.seen if on == "test" else train.select("user_idx", "item_idx")
@@ -163,10 +202,19 @@ def retrieval(s: Split, n: int = 200, names: Sequence[str] = ("popularity", "ite
         u = u.join(users, "user_idx", "left_semi").withColumnRenamed("embedding", "u")
         return retrieve.best(retrieve.dense_top(u, v.withColumnRenamed("embedding", "v"), n, had), seen, n)
 
+    encoders = {} if vectors is None else dict(vectors) if isinstance(vectors, Mapping) else {"embedding": vectors}
+
     def need() -> DataFrame:
-        if vectors is None:
+        if not encoders:
             raise ValueError("item vectors are needed")
-        return vectors
+        return next(iter(encoders.values()))
+
+    def model() -> tuple[trainers.SequenceModel, DataFrame]:
+        if sasrec is None:
+            raise ValueError("a sequence model and its item vectors are needed")
+        return sasrec
+
+    graph = cache(lambda: trainers.fit_lightgcn(train))  # trained once for both retrievers that use it
 
     reg = retrieve.Registry(
         popularity=lambda: retrieve.popularity(users, train, items, seen, n),
@@ -175,10 +223,16 @@ def retrieval(s: Split, n: int = 200, names: Sequence[str] = ("popularity", "ite
         markov=lambda: retrieve.markov(users, train, seen, n),
         embedding=lambda: retrieve.embedding(users, train, need(), seen, n),
         graph_cooccur=lambda: retrieve.graph_expansion(users, train, retrieve.cooccurrence(train), seen, n),
-        graph_emb=lambda: retrieve.graph_expansion(users, train, retrieve.vector_neighbours(need()), seen, n),
+        graph_emb=lambda: retrieve.graph_expansion(users, train, retrieve.vector_neighbours(graph()[1]), seen, n),
         recency=lambda: retrieve.recency(users, train, items, seen, n),
         als=lambda: by_vectors(*trainers.als(train)),
+        bpr=lambda: by_vectors(*trainers.fit_bpr(train)),
+        lightgcn=lambda: by_vectors(*graph()),
+        two_tower=lambda: by_vectors(*two_tower(train, need())),
+        sasrec=lambda: by_vectors(*sequential(train, *model())),
     )
+    for name, own in encoders.items():
+        reg.setdefault(name, lambda own=own: retrieve.embedding(users, train, own, seen, n))
     return reg.run(list(names))
 
 

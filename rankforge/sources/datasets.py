@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from rankforge.sources.readers import csv, exists, json_lines
 
 #: Genre flags of the 100k file, in its order (fixed values).
-GENRES = ("unknown", "Action", "Adventure", "Animation", "Children's", "Comedy", "Crime", "Documentary", "Drama", "Fantasy", "Film-Noir", "Horror", "Musical", "Mystery", "Romance", "Sci-Fi", "Thriller", "War", "Western")
+GENRES = ("unknown", "Action", "Adventure", "Animation", "Children", "Comedy", "Crime", "Documentary", "Drama", "Fantasy", "Film-Noir", "Horror", "Musical", "Mystery", "Romance", "Sci-Fi", "Thriller", "War", "Western")
 #: Names that a city goes by in dataset names (fixed values).
 CITIES = {"philly": "Philadelphia"}
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import re
+import tempfile
 import zipfile
 from pathlib import Path
 from typing import Any
@@ -21,6 +24,29 @@ def exists(spark: SparkSession, path: str) -> bool:
     return found is not None and len(found) > 0
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a temporary one on a single machine, and an error on a cluster."""
+    context = spark.sparkContext
+    root = context.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = getattr(context, "_rankforge_artefacts", None)
+        if root is None:
+            root = context._rankforge_artefacts = tempfile.mkdtemp(prefix="rankforge-artefacts-")
+    return root.rstrip("/")
+
+
+def fingerprint(spark: SparkSession, folder: str) -> str:
+    """A digest of the names, sizes and times of the files below a folder."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    files, found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(path, True), []
+    while files.hasNext():
+        f = files.next()
+        found.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
+    return hashlib.sha256("\n".join(sorted(found)).encode()).hexdigest()
+
+
 def csv(spark: SparkSession, path: str, schema: T.StructType | str, sep: str = ",", header: bool = True, encoding: str = "UTF-8") -> DataFrame:
     """Delimited text with a given schema; separators may have several characters."""
     return spark.read.schema(schema).option("sep", sep).option("header", header).option("encoding", encoding).csv(path)
@@ -113,4 +139,4 @@ def extract(archive: str, folder: str) -> list[str]:
     return out
 
 
-__all__ = ["INTERACTIONS", "ITEMS", "arrow_shards", "csv", "exists", "extract", "json_lines", "merged", "optional_scores", "parquet", "relabel", "scores", "upsert", "write_scores", "write_status"]
+__all__ = ["INTERACTIONS", "ITEMS", "arrow_shards", "csv", "exists", "extract", "fingerprint", "json_lines", "merged", "optional_scores", "parquet", "relabel", "scores", "shared_folder", "upsert", "write_scores", "write_status"]

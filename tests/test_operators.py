@@ -1,5 +1,6 @@
 """Operators on frames whose results are known by hand, and against small plain versions."""
 
+import hashlib
 import math
 
 import numpy as np
@@ -277,28 +278,167 @@ def test_registry_isolates_failures(spark):
 
 def test_propagation_keeps_a_uniform_vector(spark):
     edges = trainers.bipartite_edges(log(spark, [(u, i, 1) for u in range(3) for i in range(3)]))
-    start = edges.select(F.col("src").alias("node")).distinct().withColumn("at", F.lit(0)).withColumn("x", F.lit(1.0))
-    assert all(r["x"] == pytest.approx(1, abs=1e-6) for r in trainers.propagate(edges, start).collect())
-
-
-def test_bpr_learns_blocks():
-    users = np.repeat(np.arange(20), 5)
-    items = np.array([(u % 2) * 10 + k for u in range(20) for k in range(5)])
-    uid, iid, p, q = trainers.fit_bpr(users, items, 8, epochs=60, batch=16, rate=0.1)
-    s = p @ q.T
-    own = np.array([[(u % 2) == (i >= 10) for i in iid] for u in uid])
-    assert s[own].mean() > s[~own].mean() + 0.5
-
-
-def test_two_tower_gradient_descends():
+    start = edges.select(F.col("src").alias("node")).distinct().withColumn("x0", F.lit(1.0))
+    assert all(r["x0"] == pytest.approx(1, abs=1e-6) for r in trainers.propagate(edges, start).collect())
+
+
+def plain_pairwise(pairs, layers, dim, epochs, rate, decay, seed):
+    """The same training with dictionaries and loops."""
+    md5 = lambda *x: int(hashlib.md5(":".join(map(str, x)).encode()).hexdigest()[:8], 16)
+    items = sorted({i for _, i in pairs})
+    nodes = sorted({f"u{u}" for u, _ in pairs} | {f"i{i}" for _, i in pairs})
+    deg = {n: sum(n in (f"u{u}", f"i{i}") for u, i in pairs) for n in nodes}
+    near = {n: [] for n in nodes}
+    for u, i in pairs:
+        w = 1 / math.sqrt((deg[f"u{u}"] + 1e-8) * (deg[f"i{i}"] + 1e-8))
+        near[f"u{u}"].append((f"i{i}", w))
+        near[f"i{i}"].append((f"u{u}", w))
+
+    def spread(x):
+        total, now = {n: v.copy() for n, v in x.items()}, x
+        for _ in range(layers):
+            now = {n: sum((w * now[m] for m, w in near[n]), np.zeros(dim)) for n in nodes}
+            total = {n: total[n] + now[n] for n in nodes}
+        return {n: v / (layers + 1) for n, v in total.items()}
+
+    x = {n: np.array([(md5(seed, n, k) / 4294967295.0 - 0.5) * 0.2 for k in range(dim)]) for n in nodes}
+    for epoch in range(epochs):
+        f, grad = spread(x), {n: np.zeros(dim) for n in nodes}
+        for u, i in pairs:
+            j = items[md5(seed + 1 + epoch, u, i) % len(items)]
+            if (u, j) in pairs:
+                continue
+            u_, i_, j_ = f"u{u}", f"i{i}", f"i{j}"
+            g = 1 / (1 + math.exp(f[u_] @ (f[i_] - f[j_])))
+            grad[u_] += g * (f[i_] - f[j_])
+            grad[i_] += g * f[u_]
+            grad[j_] -= g * f[u_]
+        grad = spread(grad) if layers else grad
+        x = {n: v * (1 - rate * decay) + rate * grad[n] / math.sqrt(deg[n]) for n, v in x.items()}
+    return spread(x)
+
+
+@pytest.mark.parametrize("layers", [0, 2])
+def test_pairwise_training_is_that_of_a_plain_loop(spark, layers):
+    pairs = {(u, (3 * u + k * k) % 11) for u in range(7) for k in range(4)}
+    rows = log(spark, [(u, i, 1) for u, i in sorted(pairs)])
+    users, items = trainers.fit_pairwise(rows, layers, 3, 2, 0.4, 0.01, 5)
+    want = plain_pairwise(pairs, layers, 3, 2, 0.4, 0.01, 5)
+    for r in users.collect():
+        assert np.allclose(r["embedding"], want[f"u{r['user_idx']}"])
+    for r in items.collect():
+        assert np.allclose(r["embedding"], want[f"i{r['item_idx']}"])
+
+
+@pytest.mark.parametrize("fit", [trainers.fit_bpr, trainers.fit_lightgcn])
+def test_pairwise_training_learns_blocks(spark, fit):
+    rows = log(spark, [(u, (u % 2) * 10 + k, 1) for u in range(20) for k in range(5)])
+    users, items = fit(rows, dim=4, epochs=6, rate=2.0)
+    u, i = ({r[0]: np.array(r["embedding"]) for r in x.collect()} for x in (users, items))
+    own = [x @ y for a, x in u.items() for b, y in i.items() if (a % 2) == (b >= 10)]
+    other = [x @ y for a, x in u.items() for b, y in i.items() if (a % 2) != (b >= 10)]
+    assert np.mean(own) > np.mean(other) + 0.2
+
+
+def test_tower_gradient_is_that_of_its_loss():
+    rng = np.random.default_rng(0)
+    x, y, a, b = (rng.normal(size=s) for s in ((5, 4), (5, 3), (4, 2), (3, 2)))
+    da, db, _ = trainers.tower_gradient(a, b, x, y, 2.0)
+    for m, d in ((a, da), (b, db)):
+        for at in np.ndindex(m.shape):
+            m[at] += 1e-5
+            up = trainers.tower_gradient(a, b, x, y, 2.0)[2]
+            m[at] -= 2e-5
+            down = trainers.tower_gradient(a, b, x, y, 2.0)[2]
+            m[at] += 1e-5
+            assert d[at] == pytest.approx((up - down) / 2e-5, rel=1e-3, abs=1e-6)
+
+
+def test_two_tower_training(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(30, 6))
-    pairs = (np.arange(30), np.arange(30))
+    rows = spark.createDataFrame([(i, i, v.tolist(), v.tolist()) for i, v in enumerate(x)], "user_idx long, item_idx long, u array<double>, v array<double>")
 
     def hits(a, b):
         return np.mean(np.argmax((x @ a) @ (x @ b).T, 1) == np.arange(30))
 
-    assert hits(*trainers.fit_two_tower(x, x, pairs, 6, epochs=60, rate=0.02)) > max(0.3, hits(*trainers.fit_two_tower(x, x, pairs, 6, epochs=0)))
+    trained = trainers.fit_two_tower(rows, 6, epochs=12, rate=0.1)
+    assert hits(*trained) > max(0.5, hits(*trainers.fit_two_tower(rows, 6, epochs=0)))
+    got = {r["user_idx"]: r["embedding"] for r in trainers.project(rows, trained[0], "user_idx", "u").collect()}
+    assert np.allclose([got[i] for i in range(30)], x @ trained[0])
+
+
+def attention_weights(items, length, dim, seed=1):
+    rng = np.random.default_rng(seed)
+    r = lambda *s: rng.normal(0, 0.3, s)
+    layer = lambda: {"qkv": (r(dim, 3 * dim), r(3 * dim)), "out": (r(dim, dim), r(dim)), "norm1": (1 + r(dim), r(dim)), "up": (r(dim, 4 * dim), r(4 * dim)), "down": (r(4 * dim, dim), r(dim)), "norm2": (1 + r(dim), r(dim))}
+    return {"items": r(items + 1, dim), "places": r(length, dim), "norm": (1 + r(dim), r(dim)), "layers": [layer(), layer()]}
+
+
+def plain_attention(w, seq, heads):
+    """One sequence, place by place."""
+    norm = lambda v, g, b: (v - v.mean()) / np.sqrt(v.var() + 1e-5) * g + b
+    x = [norm(w["items"][s] + w["places"][t], *w["norm"]) for t, s in enumerate(seq)]
+    for layer in w["layers"]:
+        qkv = [v @ layer["qkv"][0] + layer["qkv"][1] for v in x]
+        d = len(x[0])
+        out = []
+        for t in range(len(seq)):
+            mixed = []
+            for h in range(heads):
+                part = slice(h * d // heads, (h + 1) * d // heads)
+                may = [k for k in range(t + 1) if seq[k] != 0 or k == t]
+                s = np.array([qkv[t][:d][part] @ qkv[k][d : 2 * d][part] / math.sqrt(d // heads) for k in may])
+                p = np.exp(s - s.max())
+                p /= p.sum()
+                mixed.append(sum(a * qkv[k][2 * d :][part] for a, k in zip(p, may, strict=True)))
+            out.append(norm(x[t] + np.concatenate(mixed) @ layer["out"][0] + layer["out"][1], *layer["norm1"]))
+        x = []
+        for v in out:
+            h = v @ layer["up"][0] + layer["up"][1]
+            h = 0.5 * h * (1 + np.tanh(np.sqrt(2 / np.pi) * (h + 0.044715 * h**3)))
+            x.append(norm(v + h @ layer["down"][0] + layer["down"][1], *layer["norm2"]))
+    return x[-1]
+
+
+def test_sequence_model(spark):
+    w = attention_weights(12, 4, 6)
+    model = trainers.SelfAttention(w)
+    assert np.allclose(model.encode(np.array([[0, 0, 3, 7], [1, 2, 3, 4]])), [plain_attention(w, s, 2) for s in ([0, 0, 3, 7], [1, 2, 3, 4])])
+    rows = spark.createDataFrame([(1, 2, 1.0, 1), (1, 6, 2.0, 2), (2, 5, 1.0, 3)], "user_idx long, item_idx long, ts double, pos long")
+    got = {r[0]: r[1] for r in trainers.encode_sequences(rows, model).collect()}
+    assert np.allclose(got[1], plain_attention(w, [0, 0, 3, 7], 2)) and np.allclose(got[2], plain_attention(w, [0, 0, 0, 6], 2))
+
+
+def test_pools_of_users_who_have_seen_nearly_everything(spark):
+    seen = spark.createDataFrame([(1, i) for i in range(40) if i not in (3, 17, 30)] + [(2, 1)], "user_idx long, item_idx long")
+    items = spark.range(40).select(F.col("id").alias("item_idx"))
+    truth = gold(spark, [(1, 30), (2, 30), (3, 5)])
+    got = {}
+    for r in split.uniform_candidates(truth, seen, items, 8, draws=1).orderBy("user_idx", "pool_pos").collect():
+        got.setdefault(r["user_idx"], []).append((r["pool_pos"], r["item_idx"], r["label"]))
+    assert {i for _, i, _ in got[1]} == {30, 3, 17}
+    for u, rows in got.items():
+        assert [p for p, _, _ in rows] == list(range(1, len(rows) + 1)) and rows[0][2] == 1 and len({i for _, i, _ in rows}) == len(rows)
+    assert len(got[2]) == len(got[3]) == 9 and 1 not in {i for _, i, _ in got[2]}
+    hot = spark.createDataFrame([(u, 1 if k else u, p) for p, (u, k) in enumerate((u, k) for u in range(30) for k in range(40))], "user_idx long, item_idx long, pos long")
+    short = split.popularity_candidates(gold(spark, [(99, 1), (5, 7)]), hot, hot, 6).groupBy("user_idx").count().collect()
+    assert {r["user_idx"]: r["count"] for r in short} == {99: 7, 5: 7}
+
+
+def test_pairs_of_a_heavy_user(spark):
+    w = spark.createDataFrame([(1, i, float(i)) for i in range(40)] + [(2, 3, 1.0), (2, 9, 2.0)], "user_idx long, item_idx long, w double")
+    got = sorted(map(tuple, scorers.pairs(w, 6).select("item_i", "item_j", "wi", "wj").collect()))
+    want = sorted([(i, j, float(i), float(j)) for i in range(40) for j in range(i + 1, 40)] + [(3, 9, 1.0, 2.0)])
+    assert got == want
+
+
+def test_global_order_with_many_ties(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, float(s)) for i, s in enumerate(np.where(rng.random(900) < 0.6, 0, rng.integers(0, 50, 900)))] + [(2000 + i, float(x)) for i, x in enumerate(rng.random(300))]
+    got = [tuple(r) for r in retrieve.global_order(spark.createDataFrame(rows, "item_idx long, score double").repartition(5)).orderBy("place").collect()]
+    assert got == [(i, s, k + 1) for k, (i, s) in enumerate(sorted(rows, key=lambda r: (-r[1], r[0])))]
+    assert retrieve.global_order(spark.createDataFrame([], "item_idx long, score double")).collect() == []
 
 
 # ---- statistics
@@ -341,6 +481,8 @@ def test_parsers(spark):
     assert [r[0] for r in got] == [[3, 1, 2, 4], [1, 2, 3, 4]]
     lines = spark.createDataFrame([("- Red wine\n2) x\n* jazz\n" + "y" * 99,)], "t string").select(C.phrases(F.col("t"), 5)).first()[0]
     assert lines == ["Red wine", "jazz"]
+    both = spark.createDataFrame([("1. wireless mouse 2.\r\n- usb cable -\n\u2003\u3000\n",)], "t string").select(C.phrases(F.col("t"), 5)).first()[0]
+    assert both == ["wireless mouse", "usb cable"]
 
 
 def test_tokens(spark):
