@@ -6,34 +6,17 @@ are returned; windows have total orders.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankforge.functions import columns as C
 from rankforge.operators import ceiling, fuse, learned, metrics, ranking, rerank, retrieve, scorers, split, stats, trainers
 from rankforge.plans import oracles as O
 from rankforge.plans import runs
-from rankforge.plans.context import MODELS, RETRIEVED, Context
+from rankforge.plans.context import MODELS, RETRIEVED
+from rankforge.plans.registry import ORACLES, QUERIES, query, r6
 from rankforge.sources import datasets
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable:
-    def add(f: Callable[[Context], DataFrame]) -> Callable[[Context], DataFrame]:
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(Context(spark, sf_dir))
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-r6 = lambda c, name, d=6: F.round(c, d).alias(name)
-
 # ---- logs, splits, statistics
 
 
@@ -805,3 +788,8 @@ SELECT user_idx, round(max(score) FILTER (rank = 1), 6) AS top, round(coalesce(m
 def gate_features(c):
     g = ranking.gate_features(c.pools.where("model = 'itemknn'"))
     return g.select("user_idx", *[r6(F.col(x), x) for x in ("top", "margin", "entropy")])
+
+
+from rankforge.plans import files, more  # noqa: E402  they register their queries, and use parts of the SQL above
+
+__all__ = ["ORACLES", "QUERIES", "files", "more"]

@@ -66,7 +66,10 @@ def arrow_shards(spark: SparkSession, folder: str, schema: T.StructType | str) -
     """Arrow stream or file shards of a folder, read as binary files by Spark and decoded in tasks."""
     import pyarrow as pa
 
-    names = [f.name for f in (T._parse_datatype_string(schema) if isinstance(schema, str) else schema).fields]
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    schema = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+    wanted = to_arrow_schema(schema)  # shards may hold narrower types
 
     def run(batches):
         for b in batches:
@@ -78,7 +81,7 @@ def arrow_shards(spark: SparkSession, folder: str, schema: T.StructType | str) -
                 except pa.ArrowInvalid:
                     parts = pa.ipc.open_stream(buffer)
                 for part in parts:
-                    yield part.select(names)
+                    yield from pa.Table.from_batches([part]).select(wanted.names).cast(wanted).to_batches()
 
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.arrow").load(folder).select("content").mapInArrow(run, schema)
 
@@ -89,14 +92,14 @@ def optional_scores(spark: SparkSession, path: str) -> DataFrame:
 
 
 def scores(spark: SparkSession, path: str) -> DataFrame:
-    """One or many ``{model}_scores.csv`` with the model's name taken from the file's."""
+    """One or many ``{model}_scores.csv``, files or folders of parts, with the model's name taken from theirs."""
     df = csv(spark, path, SCORED)
-    name = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)_scores\.csv$", 1)
+    name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]*)_scores\.csv(?:/[^/]*)?$", 1)
     return df.select("*", name.alias("model"))
 
 
 def merged(spark: SparkSession, pattern: str, level: int = 2) -> DataFrame:
-    """CSV files of several datasets; ``dataset`` is the folder ``level`` steps above the file."""
+    """CSV files of several datasets; ``dataset`` is the folder ``level`` - 1 steps above the file."""
     df = spark.read.option("header", True).option("inferSchema", True).csv(pattern)
     parts = F.split(F.col("_metadata.file_path"), "/")
     return df.select("*", F.element_at(parts, -level).alias("dataset"))
