@@ -51,6 +51,12 @@ def bigrams(words: Column) -> Column:
     return F.when(F.size(words) > 1, F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(F.array().cast("array<string>"))
 
 
+def with_bigrams(text: Column) -> Column:
+    """Words and word pairs of a text."""
+    words = tokens(text)
+    return F.concat(words, bigrams(words))
+
+
 def parse_score(text: Column) -> Column:
     """The first number in a text, within 0..100; null without one."""
     number = F.nullif(F.regexp_extract(text, r"\b\d+(?:\.\d+)?\b", 0), F.lit("")).cast("double")

@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,17 +59,19 @@ def paired(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.agg(F.count(F.lit(1)).alias("n_users"), F.round(F.avg(F.col("ha") - F.col("hb")), 6).alias("mean_delta"), F.sum(((F.col("ha") == 1) & (F.col("hb") == 0)).cast("int")).alias("gained"), F.sum(((F.col("ha") == 0) & (F.col("hb") == 1)).cast("int")).alias("lost"))
 
 
-def paired_report(a: DataFrame, b: DataFrame, n_boot: int = 10_000, seed: int = 42) -> dict[str, float]:
-    """Mean difference with its bootstrap interval, discordant counts, exact McNemar p, and whether the interval leaves out 0."""
-    r = paired(a, b).first()
-    gained, lost, n = int(r["gained"] or 0), int(r["lost"] or 0), int(r["n_users"])
-    if n == 0:
-        return {"n_users": 0, "mean_delta": 0.0, "ci_low": 0.0, "ci_high": 0.0, "gained": 0, "lost": 0, "p": 1.0, "significant": False}
-    # Differences are 1, -1 or 0, so a resample is a multinomial draw of their counts: nothing but the counts is needed.
-    rng = np.random.default_rng(seed)
-    draws = rng.multinomial(n, [gained / n, lost / n, (n - gained - lost) / n], n_boot)
-    low, high = np.percentile((draws[:, 0] - draws[:, 1]) / n, [2.5, 97.5])
-    return {"n_users": n, "mean_delta": (gained - lost) / n, "ci_low": float(low), "ci_high": float(high), "gained": gained, "lost": lost, "p": mcnemar(gained, lost), "significant": bool(low > 0 or high < 0)}
+def paired_table(a: DataFrame, b: DataFrame, n_boot: int = 1000, seed: int = 42) -> DataFrame:
+    """One row: n_users, mean_delta, ci_low, ci_high (of resampled differences), gained, lost, significant (the interval leaves out 0). No users: 0 users."""
+    both = a.select("user_idx", F.col("hit").alias("ha")).join(b.select("user_idx", F.col("hit").alias("hb")), "user_idx").select("user_idx", (F.col("ha") - F.col("hb")).alias("delta"))
+    counts = both.agg(F.count(F.lit(1)).alias("n_users"), F.coalesce(F.avg("delta"), F.lit(0.0)).alias("mean_delta"), F.count_if(F.col("delta") > 0).alias("gained"), F.count_if(F.col("delta") < 0).alias("lost"))
+    ends = bootstrap(both, n_boot, seed=seed).select(F.col("ci_lo").alias("ci_low"), F.col("ci_hi").alias("ci_high"))
+    out = counts.join(F.broadcast(ends), how="left").na.fill(0.0, ["ci_low", "ci_high"])
+    return out.withColumn("significant", (F.col("ci_low") > 0) | (F.col("ci_high") < 0))
+
+
+def paired_report(a: DataFrame, b: DataFrame, n_boot: int = 1000, seed: int = 42) -> dict[str, float]:
+    """``paired_table`` as a dictionary, with the exact McNemar p."""
+    r = paired_table(a, b, n_boot, seed).first().asDict()
+    return r | {"p": mcnemar(int(r["gained"]), int(r["lost"]))}
 
 
 def welch_p(row: dict[str, float]) -> float:

@@ -632,14 +632,14 @@ def _trained(c, layers: int) -> tuple[DataFrame, DataFrame]:
     return trainers.fit_pairwise(c.train, layers, DIM, EPOCHS, RATE, DECAY)
 
 
-@query(O.with_(O.BASE, O.CANDIDATES, _pairwise_sql(0), _dot_sql("dots", "candidates")) + "SELECT user_idx, item_idx, round(coalesce(score, 0), 6)::DOUBLE AS score FROM candidates LEFT JOIN dots USING (user_idx, item_idx)")
+@query(O.with_(O.BASE, O.CANDIDATES, _pairwise_sql(0), _dot_sql("dots", "candidates")) + "SELECT user_idx, item_idx, coalesce(score, 0)::DOUBLE AS score FROM candidates LEFT JOIN dots USING (user_idx, item_idx)")
 def score_bpr(c):
-    return runs.dot_scores(c.candidates, *_trained(c, 0)).select("user_idx", "item_idx", r6(F.col("score"), "score"))
+    return runs.dot_scores(c.candidates, *_trained(c, 0)).select("user_idx", "item_idx", "score")
 
 
-@query(O.with_(O.BASE, O.CANDIDATES, _pairwise_sql(2), _dot_sql("dots", "candidates")) + "SELECT user_idx, item_idx, round(coalesce(score, 0), 6)::DOUBLE AS score FROM candidates LEFT JOIN dots USING (user_idx, item_idx)")
+@query(O.with_(O.BASE, O.CANDIDATES, _pairwise_sql(2), _dot_sql("dots", "candidates")) + "SELECT user_idx, item_idx, coalesce(score, 0)::DOUBLE AS score FROM candidates LEFT JOIN dots USING (user_idx, item_idx)")
 def score_lightgcn(c):
-    return runs.dot_scores(c.candidates, *_trained(c, 2)).select("user_idx", "item_idx", r6(F.col("score"), "score"))
+    return runs.dot_scores(c.candidates, *_trained(c, 2)).select("user_idx", "item_idx", "score")
 
 
 def _vector_list(c, users: DataFrame, items: DataFrame) -> DataFrame:

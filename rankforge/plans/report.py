@@ -45,6 +45,11 @@ class Timing:
         self.rows.append((model, pairs, took, pairs / took if took else 0.0))
         return pairs
 
+    def save(self, spark: Any, path: str) -> None:
+        """The rows as CSV with a header; nothing where nothing was recorded."""
+        if self.rows:
+            self.table(spark).write.mode("overwrite").option("header", True).csv(path)
+
     def table(self, spark: Any) -> DataFrame:
         return spark.createDataFrame(self.rows, "model string, num_pairs long, elapsed_seconds double, throughput_pairs_per_sec double")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import cache
@@ -9,11 +10,16 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rankforge.functions import columns
 from rankforge.operators import ceiling, fuse, learned, metrics, ranking, rerank, retrieve, scorers, split, stats, trainers
 from rankforge.plans.config import FusionConfig, SplitConfig
 from rankforge.plans.report import report, run_models
 from rankforge.schema import K_LIST
-from rankforge.sources.readers import exists
+from rankforge.sources.readers import exists, listed
+
+LOGGER = logging.getLogger("rankforge")
+#: Below this effect and above this rate, a failure analysis warns.
+SMALL_EFFECT, MANY_TIES = 0.2, 0.05
 
 TABLES = ("train", "valid", "test", "candidates", "valid_candidates", "items_mapped", "users_mapped", "item_stats", "rerank_eval_users")
 
@@ -240,7 +246,10 @@ def fused(pools: DataFrame, users: DataFrame, n: int, components: Sequence[str])
     """Pools and their fusions: rrf, interleave, and cara with equal shares where a component has no budget of its own."""
     present = {r["model"] for r in pools.select("model").distinct().collect()}
     names = [c for c in components if c in present]
+    if missing := [c for c in components if c not in present]:
+        LOGGER.warning("not among the pools: %s", ", ".join(missing))
     if len(names) < 2:
+        LOGGER.warning("nothing to fuse: %d of the components are there", len(names))
         return pools
     def profile(shares: Mapping[str, float]) -> dict[str, float]:
         return {m: shares.get(m, 1 / len(names)) for m in names}
@@ -270,8 +279,9 @@ def end_to_end(pools: DataFrame, gold: DataFrame, prompts: Callable[[DataFrame],
     return sums.join(F.broadcast(total)).select("model", (F.col("g") / F.col("t")).alias("coverage"), (F.col("a") / F.col("t")).alias("retriever_recall"), (F.col("b") / F.col("t")).alias("e2e_recall"), ceiling.conditional_success(F.col("b"), F.col("g")).alias("conditional_recall"))
 
 
-def learned_fusion(s: Split, test_pools: DataFrame, valid_pools: DataFrame | None, models: Sequence[str], n: int, kind: str = "gbt", ablation: str = "", rounds: int = 20, regime: Mapping[str, float] | None = None) -> DataFrame:
+def learned_fusion(s: Split, test_pools: DataFrame, valid_pools: DataFrame | None, models: Sequence[str], n: int, kind: str = "gbt", ablation: str = "", rounds: int = 300, regime: Mapping[str, float] | None = None) -> DataFrame:
     """The first n of the union by a learned ranker: fitted on validation pools, or cross-fitted on the test pools where there are none."""
+    models = learned.ablated(models, ablation)
     names = learned.feature_names(models, ablation)
     test = learned.features(test_pools, models, n, s.gold, s.train, s.items_mapped)
     if valid_pools is None:
@@ -281,6 +291,140 @@ def learned_fusion(s: Split, test_pools: DataFrame, valid_pools: DataFrame | Non
     return learned.reranked(p, n)
 
 
+def warnings_of(s: Split, scored: DataFrame, tables: Mapping[str, DataFrame]) -> list[str]:
+    """What a reader of a failure analysis should know first: models that miss users, barely separate, or tie too often."""
+    total = s.gold.count()
+    covered = scored.join(s.gold.select("user_idx"), "user_idx", "left_semi").groupBy("model").agg(F.count_distinct("user_idx").alias("n")).collect()
+    out = [f"{r['model']} covers {r['n']} of {total} users; metrics are those of covered users" for r in covered if r["n"] < total]
+    if len({r["n"] for r in covered}) > 1:
+        out.append("models are evaluated on different numbers of users")
+    for r in tables["separation"].select("model", "cohens_d").collect() if "separation" in tables else []:
+        if r["cohens_d"] is not None and abs(r["cohens_d"]) < SMALL_EFFECT:
+            out.append(f"{r['model']}: Cohen's d is {r['cohens_d']:.3f}, scores hardly tell relevant items from others")
+    for r in tables["ties"].select("model", "tie_rate").collect() if "ties" in tables else []:
+        if r["tie_rate"] is not None and r["tie_rate"] > MANY_TIES:
+            out.append(f"{r['model']}: {100 * r['tie_rate']:.1f} % of users have ties with the true item, ranks are partly arbitrary")
+    for text in out:
+        LOGGER.warning(text)
+    return out
+
+
+def matrix_shape(train: DataFrame, candidates: DataFrame, items: DataFrame | None = None) -> DataFrame:
+    """One row: n_users, n_items, one more than the largest index that any table has."""
+    index = lambda df, c: df.select(F.max(c).alias("m"))
+    users = index(train, "user_idx").unionAll(index(candidates, "user_idx")).agg((F.max("m") + 1).alias("n_users"))
+    found = index(train, "item_idx").unionAll(index(candidates, "item_idx"))
+    found = found if items is None else found.unionAll(index(items, "item_idx"))
+    return users.join(found.agg((F.max("m") + 1).alias("n_items")))
+
+
+def find_retrieval(spark: SparkSession, root: str, dataset: str, seed: int) -> str | None:
+    """The folder of a retrieval run that has score files: ``<dataset>-retrieval-s<seed>-N*``, else ``<dataset>-top*-s<seed>/retrieval``."""
+    for pattern in (f"{root}/{dataset}-retrieval-s{seed}-N*", f"{root}/{dataset}-top*-s{seed}/retrieval"):
+        for folder in listed(spark, pattern):
+            if exists(spark, f"{folder}/*_scores.csv"):
+                return folder
+    return None
+
+
+def read_metrics(spark: SparkSession, folder: str, metric: str) -> dict[str, float]:
+    """model -> metric of a run's table of metrics; empty where there is none."""
+    path = f"{folder}/all_model_metrics.csv"
+    if not exists(spark, path):
+        return {}
+    df = spark.read.option("header", True).option("inferSchema", True).csv(path)
+    return {r["model"]: r[metric] for r in df.select("model", metric).collect()} if metric in df.columns else {}
+
+
+def write_fused(top: DataFrame, root: str, dataset: str, seed: int, n: int, kind: str = "lhf", tag: str = "") -> str:
+    """Writes a learned list as a scored pool whose folder names the variant; returns its path."""
+    path = f"{root}/{dataset}-retrieval-s{seed}-N{n}/{kind}{'_' + tag if tag else ''}_scores.csv"
+    retrieve.as_pool(top).write.mode("overwrite").option("header", True).csv(path)
+    return path
+
+
+def resources() -> dict[str, float]:
+    """What the driver's process has used so far: seconds of CPU, and its largest resident memory in MB."""
+    import resource
+
+    used = resource.getrusage(resource.RUSAGE_SELF)
+    out = {"cpu_seconds": used.ru_utime + used.ru_stime, "peak_mb": used.ru_maxrss / 1024}
+    LOGGER.info("resources: %s", out)
+    return out
+
+
+def second_stage(s: Split, valid_top: DataFrame, test_top: DataFrame, n: int = 50, rounds: int = 200, seed: int = 42) -> DataFrame:
+    """The first n of the test lists (user_idx, item_idx, rank, score), ordered by trees that were fitted on the validation lists."""
+    items = s.items_mapped
+    valid = learned.second_stage(valid_top, s.train, items, split.gold(s.valid))
+    test = learned.second_stage(test_top, s.train, items, s.gold)
+    return learned.reranked(learned.fit_second_stage(valid, test, seed, rounds), n)
+
+
+def hits_at(gold: DataFrame, top: DataFrame, k: int) -> DataFrame:
+    """user_idx, hit (0 or 1) of the users that a list has."""
+    users = gold.join(top.select("user_idx").distinct(), "user_idx", "left_semi")
+    return metrics.gold_rank(users, top).select("user_idx", F.coalesce(F.col("rank") <= k, F.lit(False)).cast("double").alias("hit"))
+
+
+def compare_rankers(gold: DataFrame, lists: Mapping[str, DataFrame], k: int = 10, n_boot: int = 1000, seed: int = 42) -> DataFrame:
+    """Every pair of named lists on the users that all of them have: both recalls, mean difference, interval, gained, lost, significant."""
+    hits = {name: hits_at(gold, top, k) for name, top in lists.items()}
+    names, out = list(hits), None
+    for i, a in enumerate(names):
+        for b in names[i + 1 :]:
+            own = [hits[a], hits[b]]
+            for other in hits.values():
+                own = [h.join(other.select("user_idx"), "user_idx", "left_semi") for h in own]
+            row = stats.paired_table(own[0], own[1], n_boot, seed).withColumn("pair", F.lit(f"{a}_vs_{b}"))
+            row = row.join(F.broadcast(own[0].agg(F.avg("hit").alias("recall_a")))).join(F.broadcast(own[1].agg(F.avg("hit").alias("recall_b"))))
+            out = row if out is None else out.unionByName(row)
+    if out is None:
+        raise ValueError("two lists at least")
+    return out
+
+
+def rerank_variants(rows: DataFrame, prompts: Mapping[str, Callable[[DataFrame], DataFrame]], scorers_by_name: Mapping[str, Callable]) -> DataFrame:
+    """user_idx, item_idx, score, variant: every prompt variant (baseline, evidence, without a part of it) scored by every plugged-in model."""
+    out = {f"{model}_{name}" if len(scorers_by_name) > 1 else name: rerank.score_with(prompt(rows), scorer) for model, scorer in scorers_by_name.items() for name, prompt in prompts.items()}
+    return rerank.compare(out)
+
+
+def coverage_at(gold: DataFrame, top: DataFrame, n: int) -> DataFrame:
+    """scenario, n_users, coverage: the share of users whose true item is among the first n."""
+    r = split.scenario_rows(metrics.gold_rank(gold, top))
+    return r.groupBy("scenario").agg(F.count(F.lit(1)).alias("n_users"), F.round(F.avg(F.coalesce(F.col("rank") <= n, F.lit(False)).cast("double")), 6).alias("coverage"))
+
+
+def freshness_probe(gold: DataFrame, train: DataFrame, items: DataFrame, seen: DataFrame, n: int = 200, share: float = 0.1) -> DataFrame:
+    """method, scenario, n_users, coverage of popularity and of popularity by age."""
+    users, out = gold.select("user_idx"), None
+    for name, top in (("popularity", retrieve.popularity(users, train, items, seen, n)), ("recency", retrieve.recency(users, train, items, seen, n, share))):
+        part = coverage_at(gold, top, n).withColumn("method", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def intent_probe(gold: DataFrame, items: DataFrame, seen: DataFrame, history: DataFrame, answers: DataFrame, n: int = 50, quota: int = 20, phrases: int = 5) -> DataFrame:
+    """method, scenario, n_users, coverage of history lists, of lists by what users are after, and of their union.
+
+    history: user_idx, item_idx, rank; answers: user_idx, answer, whose lines are
+    phrases. A phrase is compared with item texts by TF-IDF, an item's score is its best phrase's.
+    """
+    said = answers.select("user_idx", F.posexplode(columns.phrases(F.col("answer"), phrases)).alias("phrase", "text"))
+    vectors = scorers.tfidf_vectors(items)
+    words = said.select("user_idx", "phrase", F.explode(columns.with_bigrams(F.col("text"))).alias("term")).groupBy("user_idx", "phrase", "term").agg(F.count(F.lit(1)).alias("tf"))
+    norms = words.groupBy("user_idx", "phrase").agg(F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("norm"))
+    scores = words.join(vectors, "term").groupBy("user_idx", "phrase", "item_idx").agg(F.sum(F.col("tf") * F.col("x")).alias("dot")).join(norms, ["user_idx", "phrase"])
+    scores = rerank.intent_scores(scores.select("user_idx", "phrase", "item_idx", F.round(F.col("dot") / F.col("norm"), scorers.DIGITS).alias("score")))
+    intent = retrieve.best(scores, seen, n)
+    out = None
+    for name, top in (("history", history.where(F.col("rank") <= n)), ("intent", intent), ("union", fuse.quota_union(history, intent, n, quota))):
+        part = coverage_at(gold, top, n).withColumn("method", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def write_report(tables: Mapping[str, DataFrame | None], path: str, title: str = "Run") -> None:
     with open(path, "w") as f:
         f.write(report(title, dict(tables)))

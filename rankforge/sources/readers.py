@@ -24,6 +24,13 @@ def exists(spark: SparkSession, path: str) -> bool:
     return found is not None and len(found) > 0
 
 
+def listed(spark: SparkSession, pattern: str) -> list[str]:
+    """The paths that match a glob, in order, in any store that Spark reads."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p)
+    return sorted(str(f.getPath().toString()) for f in found or [])
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a temporary one on a single machine, and an error on a cluster."""
     context = spark.sparkContext
@@ -142,4 +149,4 @@ def extract(archive: str, folder: str) -> list[str]:
     return out
 
 
-__all__ = ["INTERACTIONS", "ITEMS", "arrow_shards", "csv", "exists", "extract", "fingerprint", "json_lines", "merged", "optional_scores", "parquet", "relabel", "scores", "shared_folder", "upsert", "write_scores", "write_status"]
+__all__ = ["INTERACTIONS", "ITEMS", "arrow_shards", "csv", "exists", "extract", "fingerprint", "json_lines", "listed", "merged", "optional_scores", "parquet", "relabel", "scores", "shared_folder", "upsert", "write_scores", "write_status"]
