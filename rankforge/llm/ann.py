@@ -3,11 +3,12 @@
 ``fit`` learns coarse centroids and residual codebooks by k-means on a bounded,
 seeded sample (``SAMPLE`` vectors). There are about as many cells as the root of the
 number of vectors, as far as the sample can tell centroids. ``search`` keeps of every
-distinct vector its cell and its code, apart from the vectors themselves, and splits
-cells into blocks of bounded size (a cell may hold most vectors). A query goes to the
-blocks of its nearest cells, where asymmetric distance tables rank the codes; the
-best ``depth`` of all blocks together are its shortlist. Only for shortlists are
-vectors read, and reranked by the exact distance in double precision.
+distinct vector its cell and its code, apart from the vectors themselves, and deals
+cells to shards of bounded size (a cell may hold most vectors; it is split). A query
+goes to the shards of its nearest cells, where asymmetric distance tables rank the
+codes of these cells; the best ``depth`` of all shards together are its shortlist.
+Only for shortlists are vectors read, and reranked by the exact distance in double
+precision.
 
 How many cells a query probes is measured on the sample (``COVER``), and how long its
 shortlist is (``DEEP``); it goes on until cells hold enough candidates, so it finds k
@@ -44,8 +45,8 @@ K = 10
 COVER, TRIED = 0.97, 512
 #: Length of a shortlist: so many times k, or more if the codes rank this share of the sample's true neighbours further down.
 DEPTH, DEEP = 10, 0.99
-#: Codes of one block, by which memory is bounded.
-BLOCK = 65_536
+#: Codes of one shard and queries that meet it at a time, by which memory is bounded, and codes that are worth a shard.
+BLOCK, LOT, LEAST = 65_536, 16_384, 4096
 
 
 def kmeans(x: np.ndarray, k: int, seed: int, rounds: int = 12) -> np.ndarray:
@@ -159,30 +160,37 @@ def encoded(rows: DataFrame, index: Index) -> DataFrame:
     return hashed.mapInArrow(releasing(run), "vec_id long, same long, same2 long, cell int, code binary")
 
 
-def shortlist(index: Index, cell: int, ids: np.ndarray, queries: np.ndarray, same: np.ndarray, codes: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query ids, rows of the block, distances by codes) of the nearest ``depth`` of one block for each query.
-
-    |q - c - r|^2 = |q - c|^2 + |r|^2 + 2 c.r - 2 q.r for a residual r of cell c: only the last part needs a table for each query.
-    """
-    place = np.arange(len(index.books)) * CODES
-    at = codes.astype(np.int32) + place
-    own = np.zeros(len(index.books) * CODES)
-    for i, ((a, b), book) in enumerate(zip(index.parts, index.books, strict=True)):
-        own[place[i] : place[i] + len(book)] = (book**2).sum(1) + 2 * book @ index.centroids[cell, a:b]
-    fixed = own[at].sum(1)
-    out_q, out_r, out_d = [], [], []
-    for qid, q in zip(ids, queries, strict=True):
-        table = np.zeros_like(own)
+class Shard:
+    """Codes of some cells, by cell."""
+
+    def __init__(self, index: Index, cells: np.ndarray, codes: np.ndarray) -> None:
+        self.index, self.order = index, np.argsort(cells, kind="stable")
+        cells = cells[self.order]
+        self.held, self.begin = np.unique(cells, return_index=True)
+        self.end = np.append(self.begin[1:], len(cells))
+        self.place = np.arange(len(index.books)) * CODES
+        self.codes = codes[self.order].astype(np.int32) + self.place
+        # |q - c - r|^2 = |q - c|^2 + |r|^2 + 2 c.r - 2 q.r for a residual r of cell c: only the last part needs a table for each query.
+        self.fixed = np.zeros(len(cells))
         for i, ((a, b), book) in enumerate(zip(index.parts, index.books, strict=True)):
-            table[place[i] : place[i] + len(book)] = -2 * book @ q[a:b]
-        d = fixed + ((q - index.centroids[cell]) ** 2).sum()
-        for i in range(at.shape[1]):
-            d += table[at[:, i]]
+            self.fixed += (book**2).sum(1)[codes[self.order, i]] + 2 * (index.centroids[cells, a:b] * book[codes[self.order, i]]).sum(1)
+
+    def nearest(self, query: np.ndarray, probed: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """(rows, distances by codes) of the nearest ``depth`` in the probed cells."""
+        here = np.flatnonzero(np.isin(self.held, probed))
+        if not len(here):
+            return np.empty(0, np.int64), np.empty(0)
+        at = np.concatenate([np.arange(self.begin[i], self.end[i]) for i in here])
+        far = ((query - self.index.centroids[self.held[here]]) ** 2).sum(1)
+        d = self.fixed[at] + np.repeat(far, self.end[here] - self.begin[here])
+        table = np.zeros(len(self.place) * CODES)
+        for i, ((a, b), book) in enumerate(zip(self.index.parts, self.index.books, strict=True)):
+            table[self.place[i] : self.place[i] + len(book)] = -2 * book @ query[a:b]
+        codes = self.codes[at]
+        for i in range(codes.shape[1]):
+            d += table[codes[:, i]]
         near = np.argpartition(d, depth - 1)[:depth] if len(d) > depth else np.arange(len(d))
-        out_q.append(np.full(len(near), qid))
-        out_r.append(near)
-        out_d.append(d[near])
-    return np.concatenate(out_q), np.concatenate(out_r), np.concatenate(out_d)
+        return self.order[at[near]], d[near]
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = K, probes: int | None = None, depth: int | None = None, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -207,43 +215,49 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, probes: int | Non
     ids = work.table(ids.where(F.col("nth") <= k + 1), "ids")
     held = {r["cell"]: (r["ids"], r["vectors"]) for r in ids.groupBy("cell").agg(F.count(F.lit(1)).alias("ids"), F.count_if(F.col("nth") == 1).alias("vectors")).collect()}  # a row for each cell
     counts, distinct = (np.array([held.get(c, (0, 0))[i] for c in range(len(index.centroids))]) for i in (0, 1))
-    split = np.maximum(1, -(-distinct // BLOCK))
-
     ask = usable(queries, key, vector).where(F.size("embedding") == size["d"]).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     ask = work.table(ask, "queries")
 
+    # A cell's vectors are dealt to the shards from its own number on, so many that none gets more than its share.
+    shards = int(max(1, -(-distinct.sum() // BLOCK), min(spark.sparkContext.defaultParallelism, distinct.sum() // LEAST)))
+    split = np.minimum(shards, np.maximum(1, -(-distinct * shards // max(1, distinct.sum()))))
+    lots = int(max(1, -(-ask.count() * min(1.0, probes / len(counts)) // LOT)))
+
+    def probed(x: np.ndarray) -> list[np.ndarray]:
+        """The cells that each query probes: the nearest ones, and more until they hold enough ids."""
+        order = np.argsort(distances(x, index.centroids), 1, kind="stable")
+        enough = np.cumsum(counts[order], 1) >= k + 1
+        need = np.maximum(np.where(enough.any(1), enough.argmax(1) + 1, len(counts)), probes)
+        return [cells[:n][distinct[cells[:n]] > 0] for cells, n in zip(order, need, strict=True)]
+
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = matrix(b.column(1))
-            at, cell, block = [], [], []
-            if len(x):
-                order = np.argsort(distances(x, index.centroids), 1, kind="stable")
-                enough = np.cumsum(counts[order], 1) >= k + 1
-                need = np.where(enough.any(1), enough.argmax(1) + 1, len(counts))
-                for i, n in enumerate(np.maximum(need, probes)):
-                    for c in order[i, :n]:
-                        if distinct[c]:
-                            at += [i] * int(split[c])
-                            cell += [int(c)] * int(split[c])
-                            block += range(int(split[c]))
-            take = pa.array(at, pa.int64())
-            yield pa.record_batch([b.column(0).take(take), b.column(1).take(take), pa.array(cell, pa.int32()), pa.array(block, pa.int32())], ["vec_id", "embedding", "cell", "block"])
-
-    asked = ask.mapInArrow(route, "vec_id long, embedding array<double>, cell int, block int")
+            to = [np.unique(np.concatenate([(c + np.arange(split[c])) % shards for c in cells] or [np.empty(0, np.int64)])) for cells in probed(x)] if len(x) else []
+            take = pa.array(np.repeat(np.arange(len(to)), [len(t) for t in to]))
+            yield pa.record_batch([b.column(0).take(take), b.column(1).take(take), pa.array(np.concatenate([*to, np.empty(0)]).astype(np.int32))], ["vec_id", "embedding", "shard"])
+
+    lot = lambda c: F.pmod(F.xxhash64(c), F.lit(lots)).cast("int")
+    asked = ask.mapInArrow(route, "vec_id long, embedding array<double>, shard int").withColumn("lot", lot("vec_id"))
     parts = F.element_at(F.array(*[F.lit(int(n)) for n in split]), F.col("cell") + 1)
-    first = ids.where("nth = 1").drop("nth")
-    blocks = first.withColumn("block", F.pmod(F.col("same"), parts).cast("int")).select("vec_id", "same", "same2", "code", "cell", "block")
+    first = ids.where("nth = 1").withColumn("shard", F.pmod(F.col("cell") + F.pmod(F.col("same"), parts), F.lit(shards)).cast("int"))
+    dealt = first.withColumn("lot", F.explode(F.sequence(F.lit(0), F.lit(lots - 1)))).select("vec_id", "same", "same2", "cell", "code", "shard", "lot")
 
-    def both(keys: tuple, q: pa.Table, r: pa.Table) -> pa.Table:
-        found = [np.empty(0, np.int64)] * 2 + [np.empty(0)]
+    def both(q: pa.Table, r: pa.Table) -> pa.Table:
+        found: list[list[np.ndarray]] = [[np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]]
         r = r.combine_chunks()
         if q.num_rows and r.num_rows:
             codes = np.frombuffer(b"".join(r["code"].to_pylist()), np.uint8).reshape(r.num_rows, -1)
-            found = shortlist(index, keys[0].as_py(), q["vec_id"].to_numpy(), matrix(q["embedding"].combine_chunks()), r["same"].to_numpy(), codes, depth)
-        at = pa.array(found[1])
-        return pa.table([pa.array(found[0]), r["vec_id"].take(at), r["same"].take(at), r["same2"].take(at), pa.array(found[2])], ["query_id", "vec_id", "same", "same2", "near"])
-
-    found = asked.groupBy("cell", "block").cogroup(blocks.groupBy("cell", "block")).applyInArrow(both, "query_id long, vec_id long, same long, same2 long, near double")
+            shard, x = Shard(index, r["cell"].to_numpy(), codes), matrix(q["embedding"].combine_chunks())
+            for at in range(0, len(x), 1024):
+                for qid, v, cells in zip(q["vec_id"].to_numpy()[at : at + 1024], x[at : at + 1024], probed(x[at : at + 1024]), strict=True):
+                    row, d = shard.nearest(v, cells, depth)
+                    for c, values in zip(found, (np.full(len(row), qid), row, d), strict=True):
+                        c.append(values)
+        qid, row, d = (pa.array(np.concatenate(c)) for c in found)
+        return pa.table([qid, r["vec_id"].take(row), r["same"].take(row), r["same2"].take(row), d], ["query_id", "vec_id", "same", "same2", "near"])
+
+    found = asked.groupBy("shard", "lot").cogroup(dealt.groupBy("shard", "lot")).applyInArrow(both, "query_id long, vec_id long, same long, same2 long, near double")
     best = F.row_number().over(Window.partitionBy("query_id").orderBy("near", "same", "same2"))
     short = work.table(found.withColumn("at", best).where(F.col("at") <= depth).drop("at", "near"), "shortlist")
 
