@@ -61,9 +61,10 @@ def recency(users: DataFrame, train: DataFrame, items: DataFrame, seen: DataFram
     return by_global_order(global_order(scores), users, seen, n)
 
 
-def itemknn(users: DataFrame, train: DataFrame, seen: DataFrame, n: int, k: int = 100) -> DataFrame:
+def itemknn(users: DataFrame, train: DataFrame, seen: DataFrame, n: int, k: int = 100, edges: DataFrame | None = None) -> DataFrame:
+    edges = scorers.item_similarity(train, k) if edges is None else edges
     history = scorers.weights(train).join(users.select("user_idx").distinct(), "user_idx", "left_semi")
-    return best(scorers.expand(history, scorers.item_similarity(train, k), "item_i", "item_j", "sim"), seen, n)
+    return best(scorers.expand(history, edges, "item_i", "item_j", "sim"), seen, n)
 
 
 def markov(users: DataFrame, train: DataFrame, seen: DataFrame, n: int) -> DataFrame:

@@ -72,9 +72,9 @@ def expand(history: DataFrame, edges: DataFrame, source: str, target: str, value
     return scores.select("user_idx", F.col("__to").alias("item_idx"), "score")
 
 
-def itemknn(pool: DataFrame, train: DataFrame, k: int = 100) -> DataFrame:
-    """Only the pool's users and the edges into its items take part in the sum."""
-    edges = item_similarity(train, k)
+def itemknn(pool: DataFrame, train: DataFrame, k: int = 100, edges: DataFrame | None = None) -> DataFrame:
+    """Only the pool's users and the edges into its items take part in the sum. edges: ``item_similarity``, where it has been written before."""
+    edges = item_similarity(train, k) if edges is None else edges
     users = weights(train).join(pool.select("user_idx").distinct(), "user_idx", "left_semi")
     return gather(pool, expand(users, edges, "item_i", "item_j", "sim"))
 

@@ -158,7 +158,7 @@ def item_similarity(c):
 
 @query(O.with_(O.BASE, O.CANDIDATES, O.SIMILARITY) + "SELECT user_idx, item_idx, coalesce(score, 0)::DOUBLE AS score FROM candidates LEFT JOIN knn_scores USING (user_idx, item_idx)")
 def score_itemknn(c):
-    return scorers.itemknn(c.candidates, c.train).select("user_idx", "item_idx", "score")
+    return scorers.itemknn(c.candidates, c.train, edges=c.similarity).select("user_idx", "item_idx", "score")
 
 
 @query(O.with_(O.BASE, O.CANDIDATES, O.MARKOV) + "SELECT user_idx, item_idx, coalesce(score, 0)::DOUBLE AS score FROM candidates LEFT JOIN markov_scores USING (user_idx, item_idx)")
@@ -190,7 +190,7 @@ def _scaled_sql(name: str, source: str) -> str:
        + "SELECT c.user_idx, c.item_idx, round(0.5 * sem_s.x + 0.45 * gra_s.x + 0.3 * bas_s.x - 0.1 * pop_s.x + CASE WHEN is_tail THEN 0.05 ELSE 0 END, 9)::DOUBLE AS score FROM candidates c JOIN sem_s USING (user_idx, item_idx) JOIN gra_s USING (user_idx, item_idx) JOIN bas_s USING (user_idx, item_idx) JOIN pop_s USING (user_idx, item_idx) LEFT JOIN stats USING (item_idx)")
 def graph_aware_fusion(c):
     pool = c.candidates
-    df = scorers.graph_aware(pool, scorers.embedding(pool, c.train, c.vectors), scorers.itemknn(pool, c.train), scorers.markov(pool, c.train), scorers.popularity(pool, c.train), c.stats)
+    df = scorers.graph_aware(pool, scorers.embedding(pool, c.train, c.vectors), scorers.itemknn(pool, c.train, edges=c.similarity), scorers.markov(pool, c.train), scorers.popularity(pool, c.train), c.stats)
     return df.select("user_idx", "item_idx", "score")
 
 

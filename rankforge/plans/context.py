@@ -7,11 +7,13 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankforge.operators import retrieve, split
+from rankforge.operators import retrieve, scorers, split
 from rankforge.sources import datasets
 from rankforge.sources.readers import exists, fingerprint, shared_folder
 
 POOL, RETRIEVED = 20, 50
+#: What queries share, in the order in which it is built.
+ARTEFACTS = ("log", "flagged", "candidates", "similarity", "pools")
 MODELS = ("popularity", "itemknn", "markov", "embedding")
 
 
@@ -75,12 +77,17 @@ class Context:
     def candidates(self) -> DataFrame:
         return self.artefact("candidates", lambda: split.uniform_candidates(self.gold, self.train, self.items, POOL - 1))
 
+    @cached_property
+    def similarity(self) -> DataFrame:
+        """Edges of similar items, which scorers and retrievers share."""
+        return self.artefact("similarity", lambda: scorers.item_similarity(self.train))
+
     def retrieved(self, model: str, n: int = RETRIEVED) -> DataFrame:
         users = self.gold.select("user_idx")
         if model == "popularity":
             return retrieve.popularity(users, self.train, self.items, self.seen, n)
         if model == "itemknn":
-            return retrieve.itemknn(users, self.train, self.seen, n)
+            return retrieve.itemknn(users, self.train, self.seen, n, edges=self.similarity)
         if model == "markov":
             return retrieve.markov(users, self.train, self.seen, n)
         if model == "embedding":

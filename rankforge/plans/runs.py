@@ -93,17 +93,17 @@ def prepare(log: DataFrame, items: DataFrame, folder: str, config: SplitConfig =
     return Split(spark, folder)
 
 
-def baselines(s: Split, vectors: DataFrame | None = None, fusion: FusionConfig = FusionConfig(), sasrec: tuple[trainers.SequenceModel, DataFrame] | None = None) -> dict[str, Callable[[], DataFrame]]:
-    """Scorers of the candidate pool by name; ``run_models`` runs them with failures kept apart."""
-    pool, train, items = s.candidates, s.train, s.items_mapped
+def baselines(s: Split, vectors: DataFrame | None = None, fusion: FusionConfig = FusionConfig(), sasrec: tuple[trainers.SequenceModel, DataFrame] | None = None, how: Mapping[str, float] | None = None) -> dict[str, Callable[[], DataFrame]]:
+    """Scorers of the candidate pool by name; ``run_models`` runs them with failures kept apart. how: settings of training (dim, epochs, rate)."""
+    pool, train, items, how = s.candidates, s.train, s.items_mapped, dict(how or {})
 
     out: dict[str, Callable[[], DataFrame]] = {
         "popularity": lambda: scorers.popularity(pool, train),
         "itemknn": lambda: scorers.itemknn(pool, train),
         "tfidf": lambda: scorers.tfidf(pool, train, items),
         "markov": lambda: scorers.markov(pool, train),
-        "bpr": lambda: dot_scores(pool, *trainers.fit_bpr(train)),
-        "lightgcn": lambda: dot_scores(pool, *trainers.fit_lightgcn(train)),
+        "bpr": lambda: dot_scores(pool, *trainers.fit_bpr(train, **how)),
+        "lightgcn": lambda: dot_scores(pool, *trainers.fit_lightgcn(train, **how)),
         "als": lambda: dot_scores(pool, *trainers.als(train)),
         "decayed_markov": lambda: scorers.gather(pool, trainers.decayed_markov(train)),
     }
@@ -111,7 +111,7 @@ def baselines(s: Split, vectors: DataFrame | None = None, fusion: FusionConfig =
         out["sasrec"] = lambda: dot_scores(pool, *sequential(train, *sasrec))
     if vectors is not None:
         out["embedding"] = lambda: scorers.embedding(pool, train, vectors)
-        out["two_tower"] = lambda: dot_scores(pool, *two_tower(train, vectors))
+        out["two_tower"] = lambda: dot_scores(pool, *two_tower(train, vectors, **how))
         out["graph_aware"] = lambda: scorers.graph_aware(pool, out["embedding"](), out["lightgcn"](), out["itemknn"](), out["popularity"](), s.item_stats, fusion.alpha, fusion.beta, fusion.gamma, fusion.popularity_penalty, fusion.tail_boost)
     return out
 
@@ -194,11 +194,13 @@ def failure_analysis(s: Split, scored: DataFrame, k_list: Sequence[int] = K_LIST
     return out
 
 
-def retrieval(s: Split, n: int = 200, names: Sequence[str] = ("popularity", "itemknn", "tfidf", "markov", "embedding", "graph_cooccur", "graph_emb", "recency", "als", "bpr", "lightgcn", "two_tower"), vectors: DataFrame | Mapping[str, DataFrame] | None = None, on: str = "test", sasrec: tuple[trainers.SequenceModel, DataFrame] | None = None) -> tuple[DataFrame | None, dict[str, str]]:
+def retrieval(s: Split, n: int = 200, names: Sequence[str] = ("popularity", "itemknn", "tfidf", "markov", "embedding", "graph_cooccur", "graph_emb", "recency", "als", "bpr", "lightgcn", "two_tower"), vectors: DataFrame | Mapping[str, DataFrame] | None = None, on: str = "test", sasrec: tuple[trainers.SequenceModel, DataFrame] | None = None, how: Mapping[str, float] | None = None) -> tuple[DataFrame | None, dict[str, str]]:
     """Long pools (user_idx, item_idx, score, rank, model) of the named retrievers, and the failures. On validation, only training rows count as seen.
 
     vectors: item vectors of a text encoder, or of several by name, each of which is a retriever of that name (sbert, bge, e5); ``encode_items`` makes them.
+    how: settings of training (dim, epochs, rate).
     """
+    how = dict(how or {})
     train, items = s.train, s.items_mapped
     users = (s.test if on == "test" else s.valid).select("user_idx").distinct()
     seen = s.seen if on == "test" else train.select("user_idx", "item_idx")
@@ -220,7 +222,7 @@ def retrieval(s: Split, n: int = 200, names: Sequence[str] = ("popularity", "ite
             raise ValueError("a sequence model and its item vectors are needed")
         return sasrec
 
-    graph = cache(lambda: trainers.fit_lightgcn(train))  # trained once for both retrievers that use it
+    graph = cache(lambda: trainers.fit_lightgcn(train, **how))  # trained once for both retrievers that use it
 
     reg = retrieve.Registry(
         popularity=lambda: retrieve.popularity(users, train, items, seen, n),
@@ -232,9 +234,9 @@ def retrieval(s: Split, n: int = 200, names: Sequence[str] = ("popularity", "ite
         graph_emb=lambda: retrieve.graph_expansion(users, train, retrieve.vector_neighbours(graph()[1]), seen, n),
         recency=lambda: retrieve.recency(users, train, items, seen, n),
         als=lambda: by_vectors(*trainers.als(train)),
-        bpr=lambda: by_vectors(*trainers.fit_bpr(train)),
+        bpr=lambda: by_vectors(*trainers.fit_bpr(train, **how)),
         lightgcn=lambda: by_vectors(*graph()),
-        two_tower=lambda: by_vectors(*two_tower(train, need())),
+        two_tower=lambda: by_vectors(*two_tower(train, need(), **how)),
         sasrec=lambda: by_vectors(*sequential(train, *model())),
     )
     for name, own in encoders.items():
