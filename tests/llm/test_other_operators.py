@@ -225,6 +225,14 @@ def test_url_rules_and_mined_rules(spark):
     assert {r["verdict"] for r in urls.judge(df.where("page_id in (100, 101)")).collect()} == {"allow"}
 
 
+def test_urls_of_one_long_template(spark):
+    # Fifty tokens that always occur together have 2 ** 50 subsets.
+    long = "/".join(f"part{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(50))
+    rows = [(i, f"https://w.example.org/es/{long}/{i}") for i in range(60)] + [(100 + i, f"https://a.org/x/{i}") for i in range(60)] + [(200, f"https://z.net/es/{long}/7"), (201, "https://z.net/other")]
+    said = {r["page_id"]: r["verdict"] for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert said[200] == "block" and said[201] == "allow" and all(v == ("block" if i < 60 else "allow") for i, v in said.items() if i < 200)
+
+
 def test_url_query(spark, sf):
     raw = {r[0]: r[1] for r in spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url").collect()}
     got = q.op5_urls(spark, sf).collect()
