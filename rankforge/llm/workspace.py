@@ -30,7 +30,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 #: Rows and bytes of an Arrow batch. The default of Spark, 10,000 rows, is a gigabyte of long texts.
-BATCH_ROWS, BATCH_BYTES = 2048, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 2048, 8 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
