@@ -300,6 +300,17 @@ def test_divide_skip_finds_what_counting_finds():
         assert jaccard.Block(sets).search(q) == want
 
 
+def test_sets_under_one_key_are_told_apart():
+    import numpy as np
+
+    sets = [np.arange(k, k + 4, dtype=np.uint64) for k in range(6)] * 2
+    keys, checks = jaccard.set_keys(sets, np.empty(0, np.int64))
+    assert len(set(keys.tolist())) == len(set(checks.tolist())) == 6 and (keys[:6] == keys[6:]).all()
+    clash = np.sort(keys[[1, 4]])
+    again, _ = jaccard.set_keys(sets, clash)
+    assert not set(again[[1, 4]].tolist()) & set(keys.tolist()) and len(set(again.tolist())) == 6 and (np.delete(again, [1, 4, 7, 10]) == np.delete(keys, [1, 4, 7, 10])).all()
+
+
 def test_sketches_bound_the_difference():
     import numpy as np
 
