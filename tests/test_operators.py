@@ -549,3 +549,15 @@ def test_config_and_report(spark, tmp_path):
     assert list(failed) == ["x"] and "partial" in (tmp_path / "s.json").read_text()
     t = report.Timing()
     assert t.record("m", lambda: 5) == 5 and t.table(spark).first()["num_pairs"] == 5
+
+
+def test_bootstrap_makes_a_row_for_eight_replicates(spark):
+    v = spark.createDataFrame([(i, float(i % 3 - 1)) for i in range(40)], "user_idx long, x double")
+    out = stats.bootstrap(v, 20)
+    # Old plans had one row for each of the 20 replicates; groups of eight are 3.
+    assert "Aggregate [__g#" in out._jdf.queryExecution().optimizedPlan().toString()
+    # The same means as one row for each replicate and user gives.
+    rows = v.crossJoin(spark.range(20).withColumnRenamed("id", "b")).withColumn("w", stats.weight(F.col("b")))
+    means = sorted(r["m"] for r in rows.groupBy("b").agg((F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("m")).collect())
+    row = out.first()
+    assert row["ci_lo"] == pytest.approx(np.percentile(means, 2.5)) and row["ci_hi"] == pytest.approx(np.percentile(means, 97.5))
