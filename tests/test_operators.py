@@ -561,3 +561,18 @@ def test_bootstrap_makes_a_row_for_eight_replicates(spark):
     means = sorted(r["m"] for r in rows.groupBy("b").agg((F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("m")).collect())
     row = out.first()
     assert row["ci_lo"] == pytest.approx(np.percentile(means, 2.5)) and row["ci_hi"] == pytest.approx(np.percentile(means, 97.5))
+
+
+def test_embedding_by_kinds_finds_what_items_with_own_vectors_find(spark, monkeypatch):
+    """Six items share each vector, two vectors tie, users have seen items of several kinds; no more than kinds meet users."""
+    base = [(k, [1.0 + k % 3, float(k % 2), 0.5 * (k % 3)]) for k in range(7)] + [(7, [0.0, 0.0, 0.0])]
+    kinds = spark.createDataFrame([(i, i % 8) for i in range(48)], "item_idx long, kind long")
+    vectors = spark.createDataFrame(base, "item_idx long, embedding array<double>")
+    own = kinds.join(vectors.withColumnRenamed("item_idx", "kind"), "kind").select("item_idx", "embedding")
+    train = spark.createDataFrame([(u, (u * 5 + j * 7) % 48, float(j), j) for u in range(9) for j in range(2 + 3 * u)], "user_idx long, item_idx long, ts double, pos long")
+    users, met = train.select("user_idx").distinct(), []
+    whole = retrieve.dense_top
+    monkeypatch.setattr(retrieve, "dense_top", lambda u, v, *rest: met.append(v.count()) or whole(u, v, *rest))
+    want = sorted(map(tuple, retrieve.embedding(users, train, own, train, 9).collect()))
+    got = sorted(map(tuple, retrieve.embedding(users, train, vectors, train, 9, kinds=kinds).collect()))
+    assert got == want and len(got) > 60 and met == [42, 7]
