@@ -576,3 +576,23 @@ def test_embedding_by_kinds_finds_what_items_with_own_vectors_find(spark, monkey
     want = sorted(map(tuple, retrieve.embedding(users, train, own, train, 9).collect()))
     got = sorted(map(tuple, retrieve.embedding(users, train, vectors, train, 9, kinds=kinds).collect()))
     assert got == want and len(got) > 60 and met == [42, 7]
+
+
+def test_itemknn_sums_edges_where_users_are(spark, monkeypatch):
+    """The same lists as from products that move, for users in many parts, users who have seen what is near, and one without edges."""
+    train = spark.createDataFrame([(u * (1 + u % 3), (u * j * j + 3 * j) % 23, float(j), j) for u in range(40) for j in range(1 + u % 9)] + [(500, 99, 0.0, 0)], "user_idx long, item_idx long, ts double, pos long")
+    seen = train.select("user_idx", "item_idx").unionByName(spark.createDataFrame([(u, i) for u in (6, 24) for i in range(15)], "user_idx long, item_idx long"))
+    edges = scorers.item_similarity(train, 5).localCheckpoint()
+    users = train.select("user_idx").distinct()
+    want = sorted(map(tuple, retrieve.best(scorers.expand(scorers.weights(train), edges, "item_i", "item_j", "sim"), seen, 4).collect()))
+
+    def moved(*args):
+        raise AssertionError("products of histories and edges move")
+
+    monkeypatch.setattr(scorers, "expand", moved)
+    assert sorted(map(tuple, retrieve.itemknn(users, train, seen, 4, edges=edges).collect())) == want and len(want) > 50
+    monkeypatch.setattr(retrieve, "HELD", 10)
+    monkeypatch.setattr(retrieve, "SHARING", (64, 2))
+    monkeypatch.setattr(retrieve, "SUMMED", 8)
+    assert sorted(map(tuple, retrieve.itemknn(users, train, seen, 4, edges=edges).collect())) == want
+    assert retrieve.itemknn(users, train.where("pos < 0"), seen, 4, edges=edges).count() == 0
