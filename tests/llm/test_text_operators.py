@@ -300,6 +300,27 @@ def test_divide_skip_finds_what_counting_finds():
         assert jaccard.Block(sets).search(q) == want
 
 
+def test_blocks_of_long_sets_are_bounded_in_shingles(spark, monkeypatch):
+    import numpy as np
+
+    from rankforge.llm.workspace import Workspace
+
+    monkeypatch.setattr(jaccard, "HELD", 4000)
+    rng = np.random.default_rng(8)
+    base = np.sort(rng.integers(0, 1 << 64, 1000, np.uint64))
+    sets = [np.delete(base, rng.integers(0, 1000, 3)) for _ in range(24)]
+    rows = [(k, len(x), bytearray(x.tobytes())) for k, x in enumerate(sets)]
+    held = spark.createDataFrame(rows, "node long, n int, shingles binary")
+    asked = held.select(F.lit(7).cast("long").alias("owner"), "node", "n")
+    work, met = Workspace(spark, "blocks"), []
+    write = work.table
+    monkeypatch.setattr(work, "table", lambda df, name: met.append(write(df, name)) or met[-1])
+    got = {tuple(r) for r in jaccard.search(asked, asked, held, 75, work, "all").collect()}
+    assert got == {(a, b) for a in range(24) for b in range(24) if a != b}
+    parts = met[0].join(held, "node").groupBy("block", "lot").agg(F.sum("n").alias("n")).collect()
+    assert len(parts) > 16 and max(r["n"] for r in parts) < 24_000  # before: one task with all 48 sets
+
+
 def test_sets_under_one_key_are_told_apart():
     import numpy as np
 
