@@ -250,6 +250,53 @@ def test_itemknn_against_matrices(spark):
         assert r["score"] == pytest.approx(want[r["user_idx"], r["item_idx"]], abs=1e-6)
 
 
+@pytest.mark.parametrize(("rows", "summed", "part"), [(1 << 18, 1 << 20, 2048), (40, 7, 3)])
+def test_similar_items_need_no_shuffle_of_pairs(spark, monkeypatch, rows, summed, part):
+    for name, value in (("ROWS", rows), ("SUMMED", summed), ("PART", part)):
+        monkeypatch.setattr(scorers, name, value)
+    rng = np.random.default_rng(14)
+    train = [(int(u), int(i), 1) for u, i in zip(rng.integers(0, 30, 400), rng.integers(0, 25, 400) ** 2, strict=True)]
+    x = np.zeros((30, 577))
+    for u, i, _ in train:
+        x[u, i] += 1
+    norm = np.sqrt((x**2).sum(0)) + 1e-8
+    dot = x.T @ x
+    np.fill_diagonal(dot, 0)
+    want = set()
+    for i in range(577):
+        s = {j: round(dot[i, j] / norm[i] / norm[j], 9) for j in np.flatnonzero(dot[i])}
+        least = sorted(s.values(), reverse=True)[:5]
+        want |= {(i, int(j), v) for j, v in s.items() if v >= least[-1]}
+    lists = scorers.neighbours(log(spark, train), 5)
+    assert {tuple(r) for r in scorers.edge_rows(lists).collect()} == want
+    # Nothing but histories moves: no exchange holds pairs.
+    assert "item_j" not in lists._jdf.queryExecution().executedPlan().toString()
+
+
+def test_short_lists_lose_nothing(spark):
+    rng = np.random.default_rng(15)
+    rows = [(1, [5, 2, 1 << 60], [0.5, 1e-9, 0.25]), (2, list(range(300, 0, -1)), [0.125] * 300), (3, [7], [1 / 3]), (4, [-4, 9], [3e9, -1.5]), (5, list(range(400)), rng.choice([1 / 3, 2 / 7], 400).tolist()), (6, [], [])]
+    lists = spark.createDataFrame(rows, "item_idx long, to array<long>, v array<double>")
+    table = retrieve.short_lists(lists).orderBy("item_idx").toArrow()
+    to, v = retrieve.long_lists(table)
+    want = [x for _, a, b in rows for x in sorted(zip(a, b, strict=True))]
+    assert list(zip(to.tolist(), v.tolist(), strict=True)) == want and table["size"].to_pylist() == [3, 300, 1, 2, 400]
+    assert len(table["to"][1].as_py()) + len(table["v"][1].as_py()) < 300  # 4,800 bytes as numbers
+
+
+@pytest.mark.parametrize("head", [4096, 4])
+def test_first_unseen_places_move_with_users_only(spark, monkeypatch, head):
+    monkeypatch.setattr(retrieve, "HEAD", head)
+    order = spark.createDataFrame([(i, float(40 - i), i + 1) for i in range(30)], "item_idx long, score double, place long")
+    seen = scored(spark, [(1, 0, 0), (1, 2, 0), (1, 2, 0), (2, 1, 0), *[(3, i, 0) for i in range(28)]]).drop("score")
+    users = spark.createDataFrame([(1,), (2,), (3,), (4,)], "user_idx long")
+    got = retrieve.by_global_order(order, users, seen, 3)
+    want = [(1, 1, 1), (1, 2, 3), (1, 3, 4), (2, 1, 0), (2, 2, 2), (2, 3, 3), (3, 1, 28), (3, 2, 29), (4, 1, 0), (4, 2, 1), (4, 3, 2)]
+    assert asked(got, "user_idx", "rank", "item_idx") == want and asked(got, "item_idx", "score")[0] == (0, 40.0)
+    if head == 4096:
+        assert "array_except" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_popularity_list_skips_seen_and_reaches_the_end(spark):
     train = log(spark, [(1, 1, 1), (2, 1, 1), (2, 2, 1)])
     items = spark.createDataFrame([(i,) for i in (1, 2, 3, 4)], "item_idx long")
