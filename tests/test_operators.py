@@ -625,6 +625,22 @@ def test_embedding_by_kinds_finds_what_items_with_own_vectors_find(spark, monkey
     assert got == want and len(got) > 60 and met == [42, 7]
 
 
+def test_tfidf_lists_meet_texts_not_items(spark, monkeypatch):
+    rng = np.random.default_rng(16)
+    words = ["red", "blue", "green", "old", "new", "pen", "cup"]
+    texts = [" ".join(rng.choice(words, 3)) for _ in range(9)] + [""]
+    items = spark.createDataFrame([(i, texts[int(rng.integers(0, 10))]) for i in range(60)], "item_idx long, text string")
+    train = log(spark, [(int(u), int(i), 1) for u, i in zip(rng.integers(0, 9, 60), rng.integers(0, 60, 60), strict=True)])
+    users = train.select("user_idx").distinct()
+    vectors = scorers.tfidf_vectors(items)
+    profiles = scorers.tfidf_profiles(vectors, ranking.recent(train, 10)).withColumnRenamed("x", "y")
+    plain = profiles.join(vectors, "term").groupBy("user_idx", "item_idx").agg(F.round(F.sum(F.col("x") * F.col("y")), 9).alias("score")).where("score > 0")
+    met, whole = [], retrieve.sparse_top
+    monkeypatch.setattr(retrieve, "sparse_top", lambda u, v, *rest: met.append(v.count()) or whole(u, v, *rest))
+    got = sorted(map(tuple, retrieve.tfidf(users, train, items, train, 8).collect()))
+    assert got == sorted(map(tuple, retrieve.best(plain, train, 8).collect())) and len(got) > 50 and met[0] <= 9
+
+
 def test_itemknn_sums_edges_where_users_are(spark, monkeypatch):
     """The same lists as from products that move, for users in many parts, users who have seen what is near, and one without edges."""
     train = spark.createDataFrame([(u * (1 + u % 3), (u * j * j + 3 * j) % 23, float(j), j) for u in range(40) for j in range(1 + u % 9)] + [(500, 99, 0.0, 0)], "user_idx long, item_idx long, ts double, pos long")
