@@ -317,6 +317,24 @@ def test_dense_top_in_blocks(spark):
         assert asked(got, "user_idx", "rank", "item_idx") == [(a, r + 1, int(want[a, r])) for a in range(6) for r in range(4)]
 
 
+def test_dense_top_rounds_and_sorts_few_scores(spark, monkeypatch):
+    rng = np.random.default_rng(17)
+    u, v = rng.normal(size=(20, 3)), np.round(rng.normal(size=(900, 3)), 1)
+    users = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(u)], "user_idx long, u array<double>")
+    items = spark.createDataFrame([(i, x.tolist(), int(i % 3) + 1) for i, x in enumerate(v)], "item_idx long, v array<double>, size int")
+    for name, value in (("BLOCK", 100), ("WIDTH", 128), ("STRETCH", 4)):
+        monkeypatch.setattr(retrieve, name, value)
+    s = np.round(u @ v.T, 9)
+    want = {(a, int(b), s[a, b]) for a in range(20) for b in np.flatnonzero(s[a] >= np.sort(s[a])[-5])}
+    got = retrieve.dense_top(users, items.drop("size"), 5)
+    assert got.count() == 100 and {tuple(r) for r in got.collect()} <= want  # one block: vectors are short; before, nine
+    sized = {tuple(r) for r in retrieve.dense_top(users, items, 5).collect()}
+    for a in range(20):
+        order = sorted(range(900), key=lambda b: -s[a, b])
+        k = next(k for k in range(900) if sum(int(b % 3) + 1 for b in order[: k + 1]) >= 5)
+        assert {b for x, b, _ in sized if x == a} >= {b for b in range(900) if s[a, b] >= s[a, order[k]]}
+
+
 def test_registry_isolates_failures(spark):
     reg = retrieve.Registry(good=lambda **c: c["x"], bad=lambda **c: c["missing"])
     pools, failed = reg.run(["good", "bad", "none"], x=lists(spark, a=[1]).drop("model"))
