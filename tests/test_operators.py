@@ -677,3 +677,29 @@ def test_itemknn_sums_edges_where_users_are(spark, monkeypatch):
     monkeypatch.setattr(retrieve, "SUMMED", 8)
     assert sorted(map(tuple, retrieve.itemknn(users, train, seen, 4, edges=edges).collect())) == want
     assert retrieve.itemknn(users, train.where("pos < 0"), seen, 4, edges=edges).count() == 0
+
+
+def test_best_products_leave_a_task_once_and_without_what_was_seen(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    u, v = rng.normal(size=(60, 4)), np.round(rng.normal(size=(3000, 4)), 1)
+    v[2990:], u[7] = 1e-12 * v[2990:], 0  # almost nothing, and a user whose scores all tie
+    users = spark.createDataFrame([(i * 3, x.tolist()) for i, x in enumerate(u)], "user_idx long, u array<double>")
+    items = spark.createDataFrame([(i * 2, x.tolist()) for i, x in enumerate(v)], "item_idx long, v array<double>")
+    for name, value in (("WIDTH", 512), ("STRETCH", 2), ("SOME", 16), ("PRODUCT", 8), ("TILE", 100), ("PACK", 70), ("MET", 1)):
+        monkeypatch.setattr(retrieve, name, value)
+    s = np.round(u @ v.T, 9)
+    order = [sorted(range(3000), key=lambda b, a=a: (-s[a, b], b)) for a in range(60)]
+    seen = spark.createDataFrame([(a * 3, b * 2) for a in range(0, 60, 2) for b in order[a][: a + 1]] * 2 + [(1, 4), (3, 999)], "user_idx long, item_idx long")
+    want = [(a * 3, r + 1, b * 2) for a in range(60) for r, b in enumerate(order[a][(a + 1) * (a % 2 == 0) :][:5])]
+    assert asked(retrieve.dense_lists(users, items, seen, 5), "user_idx", "rank", "item_idx") == want
+    # Before, each of several blocks gave its best for every user, all of which moved.
+    assert retrieve.dense_top(users, items, 5, None, 4).count() == 300
+
+
+def test_als_rounds_need_no_earlier_files(spark, monkeypatch):
+    made = []
+    whole = trainers.ALS
+    monkeypatch.setattr(trainers, "ALS", lambda **how: made.append(how) or whole(**how))
+    users, items = trainers.als(log(spark, [(u, (u + k) % 7, 1) for u in range(9) for k in range(3)]), 4, 3)
+    assert made[0].get("checkpointInterval") == 1 and spark.sparkContext._jsc.sc().getCheckpointDir().isDefined()
+    assert users.count() == 9 and items.count() == 7
