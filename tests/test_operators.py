@@ -4,6 +4,7 @@ import hashlib
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -703,3 +704,27 @@ def test_als_rounds_need_no_earlier_files(spark, monkeypatch):
     users, items = trainers.als(log(spark, [(u, (u + k) % 7, 1) for u in range(9) for k in range(3)]), 4, 3)
     assert made[0].get("checkpointInterval") == 1 and spark.sparkContext._jsc.sc().getCheckpointDir().isDefined()
     assert users.count() == 9 and items.count() == 7
+
+
+def test_packs_of_towers_hold_a_vector_once_and_all_rows(spark):
+    rng = np.random.default_rng(3)
+    u, v = {a: rng.normal(size=4) for a in range(12)}, {b: rng.normal(size=3) for b in range(0, 20, 2)}
+    pairs = [(a, (a * 5 + k * k) % 22) for a in range(14) for k in range(9)]  # some users and items have no vector, some pairs come twice
+    table = lambda x, key, name: spark.createDataFrame([(k, y.tolist()) for k, y in x.items()], f"{key} long, {name} array<double>")
+    packs = trainers.packed_rows(table(u, "user_idx", "u"), table(v, "item_idx", "v"), spark.createDataFrame(pairs, "user_idx long, item_idx long"), 7)
+    got, rows = packs.collect(), []
+    assert sum(len(r["ids"]) // 8 for r in got) == 12 and all(len(r["v"]) // 24 <= 10 for r in got)
+    for r in got:
+        ids, x, y, i, j = next(trainers.unpack(pa.record_batch([pa.array([r[c]]) for c in packs.columns], packs.columns)))
+        assert r["n"] == len(i) and all(np.array_equal(x[k], u[a]) for k, a in enumerate(ids))
+        rows += [(int(ids[a]), next(k for k in v if np.array_equal(v[k], y[b]))) for a, b in zip(i, j)]
+    want = sorted((a, b) for a, b in pairs if a in u and b in v)
+    assert sorted(rows) == want and rows != want
+    # One epoch over one batch is a step of Adam on the gradient of all rows.
+    rng = np.random.default_rng(1)
+    a, b = (rng.normal(0, 1 / np.sqrt(n), (n, 2)) for n in (4, 3))
+    da, db, _ = trainers.tower_gradient(a, b, *(np.array(x) for x in zip(*[(u[k], v[m]) for k, m in rows])))
+    trained = trainers.fit_towers(packs, 2, 1, 0.1, 256, 1)
+    for old, new, d in zip((a, b), trained, (da / len(want), db / len(want))):
+        assert np.allclose(new, old - 0.1 * d / (np.abs(d) + 1e-9))
+    assert {r[0]: r[1] for r in trainers.project_users(packs, a).collect()} == {k: pytest.approx(list(x @ a)) for k, x in u.items()}
