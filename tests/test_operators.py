@@ -318,6 +318,13 @@ def test_dense_top_in_blocks(spark):
         assert asked(got, "user_idx", "rank", "item_idx") == [(a, r + 1, int(want[a, r])) for a in range(6) for r in range(4)]
 
 
+def test_tfidf_lists_send_one_table_through_the_driver(spark):
+    items = spark.createDataFrame([(i, f"red part {i % 7}") for i in range(40)], "item_idx long, text string")
+    rows = log(spark, [(u, (u * 3 + k) % 40, k) for u in range(9) for k in range(4)])
+    out = retrieve.tfidf(rows.select("user_idx").distinct(), rows, items, rows.select("user_idx", "item_idx"), 5)
+    assert out._jdf.queryExecution().sparkPlan().toString().count("BroadcastHashJoin") == 1 and out.count() == 45
+
+
 def test_dense_top_rounds_and_sorts_few_scores(spark, monkeypatch):
     rng = np.random.default_rng(17)
     u, v = rng.normal(size=(20, 3)), np.round(rng.normal(size=(900, 3)), 1)
