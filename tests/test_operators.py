@@ -318,6 +318,36 @@ def test_dense_top_in_blocks(spark):
         assert asked(got, "user_idx", "rank", "item_idx") == [(a, r + 1, int(want[a, r])) for a in range(6) for r in range(4)]
 
 
+def test_pieces_that_are_far_away_are_not_multiplied():
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(6000, 4))
+    v /= np.sqrt((v * v).sum(1, keepdims=True))
+    v = v[np.argsort(retrieve.direction(v), kind="stable")]
+    lists = retrieve.Lists(v[::7], np.full(len(v[::7]), 5), 9, piece=64)
+    ids, ones = np.arange(6000), np.ones(6000, np.int64)
+    lists.meet(ids[:3000], v[:3000], ones[:3000])
+    lists.tile = 0  # products with all items would end in an error
+    lists.floor[:] = np.sort(np.round(v[::7] @ v.T, 9), 1)[:, -5]
+    lists.meet(ids[3000:], v[3000:], ones[3000:])
+    got = {}
+    for who, item, *_ in lists.held:
+        for a, b in zip(who.tolist(), item.tolist(), strict=True):
+            got.setdefault(a, []).append(b)
+    want = np.argsort(-np.round(v[::7] @ v.T, 9), axis=1, kind="stable")[:, :5]
+    assert all(got[a] == want[a].tolist() for a in range(len(want)))
+
+
+def test_graph_expansion_is_summed_where_users_are(spark):
+    rows = log(spark, [(u, (u * u + 3 * k) % 17, k) for u in range(12) for k in range(5)])
+    edges = spark.createDataFrame([(a, b, float((a * b) % 5) / 4) for a in range(17) for b in range(17) if a != b], "item_a long, item_b long, n double")
+    users, seen = rows.select("user_idx").distinct(), rows.select("user_idx", "item_idx")
+    history = rows.select("user_idx", "item_idx").distinct().withColumn("w", F.lit(1.0))
+    want = retrieve.best(retrieve.scorers.expand(history, edges, "item_a", "item_b", "n"), seen, 6, high_id=True)
+    got = retrieve.graph_expansion(users, rows, edges, seen, 6)
+    assert asked(got, "user_idx", "item_idx", "score", "rank") == asked(want, "user_idx", "item_idx", "score", "rank")
+    assert "FlatMapCoGroups" in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_tfidf_lists_send_one_table_through_the_driver(spark):
     items = spark.createDataFrame([(i, f"red part {i % 7}") for i in range(40)], "item_idx long, text string")
     rows = log(spark, [(u, (u * 3 + k) % 40, k) for u in range(9) for k in range(4)])
