@@ -632,6 +632,30 @@ def test_cross_fit_separates_an_easy_case(spark):
     assert {r["item_idx"] for r in top.collect()} == {3}
 
 
+def test_features_are_made_once_for_all_folds(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    df = spark.createDataFrame([(u, i, float(i), int(i == 3)) for u in range(30) for i in range(4)], "user_idx long, item_idx long, x double, label int")
+    assert learned.cross_fit(df.mapInArrow(count, df.schema), "logreg", ["x"], 2).count() == 120
+    assert made.value == 120
+
+
+def test_only_lists_that_are_asked_for_are_made(spark, monkeypatch, tmp_path):
+    from rankforge.plans.context import Context
+
+    made = []
+    c = Context(spark, "/root/testdata/sf0.001")
+    c.root = str(tmp_path)
+    monkeypatch.setattr(c, "retrieved", lambda m: made.append(m) or spark.createDataFrame([(1, 2, 0.5, 1)], "user_idx long, item_idx long, score double, rank int"))
+    assert [r["model"] for r in c.pools_of(("markov",)).collect()] == ["markov"] and made == ["markov"]
+    assert c.pools.count() == 4 and sorted(made) == ["embedding", "itemknn", "markov", "popularity"]
+
+
 def test_regime_weights(spark):
     df = spark.createDataFrame([(1, 1, 1), (1, 0, 1), (0, 0, 0), (0, 0, 0)], "label int, x int, cold int")
     w = {(r["label"], r["cold"]): r["weight"] for r in learned.balanced(df, {"cold": 3.0}).collect()}
