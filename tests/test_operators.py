@@ -443,6 +443,17 @@ def test_pairwise_training_learns_blocks(spark, fit):
     assert np.mean(own) > np.mean(other) + 0.2
 
 
+def test_graph_lists_come_from_a_whole_training():
+    import inspect
+
+    from rankforge.plans import catalog
+
+    whole = inspect.signature(trainers.fit_pairwise).parameters
+    assert catalog.WHOLE == (whole["dim"].default, whole["epochs"].default)
+    sql = catalog.ORACLES["retrieve_lightgcn"]
+    assert "u.x63 * i.x63" in sql and "x64" not in sql and "v20 AS" in sql and "v21" not in sql
+
+
 def test_tower_gradient_is_that_of_its_loss():
     rng = np.random.default_rng(0)
     x, y, a, b = (rng.normal(size=s) for s in ((5, 4), (5, 3), (4, 2), (3, 2)))
